@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ogg_media, pii_scan, secret_scan
+from . import html_extract, language_id, line_dedup, mixing, ogg_media, packing, pii_scan, pivot_topk, secret_scan, simhash
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +32,94 @@ def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_scan.find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best inner products of every vector whose id is divisible by 100."""
+    return pivot_topk.top_k(_table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text."""
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every text."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op9_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the later copies of repeated line runs."""
+    docs = line_dedup.remove_repeated_runs(_table(spark, sf_dir, "documents"), count_col="lines_removed")
+    return docs.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "lines_removed")
+
+
+def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op2_secret_crf": op2_secret_crf,
     "op3_pii_crf": op3_pii_crf,
+    "op4_pivot_topk": op4_pivot_topk,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_language_mixture": op6_language_mixture,
+    "op7_golay_simhash": op7_golay_simhash,
+    "op8_html_crf": op8_html_crf,
+    "op9_line_suffix_array": op9_line_suffix_array,
+    "op10_entropy_mix": op10_entropy_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_pivot_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS query_id, b.vec_id,
+                   CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id
+            WHERE a.vec_id % 100 = 0
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        WHERE rank <= 10
+    """,
+    "op9_line_suffix_array": """
+        WITH d AS (
+            SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL
+        ), l AS (
+            SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM d
+        ), w AS (
+            SELECT doc_id, i, ls, len(regexp_extract_all(ls[i], '[^\\x20\\x09-\\x0D]+')) AS w FROM l
+        ), c AS (
+            SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM w
+        ), win AS (
+            SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.w >= 50 GROUP BY 1, 2
+            UNION
+            SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.w >= 50 GROUP BY 1, 3
+        ), k AS (
+            SELECT win.*, array_to_string(d.ls[s:e], chr(10)) AS key, min((win.doc_id, s)) OVER (PARTITION BY array_to_string(d.ls[s:e], chr(10))) AS first
+            FROM win JOIN d USING (doc_id)
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM k WHERE (doc_id, s) > first
+        ), kept AS (
+            SELECT l.doc_id, count(*) FILTER (WHERE g.i IS NOT NULL) AS n, coalesce(string_agg(l.ls[l.i], chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text
+            FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY 1
+        )
+        SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n_chars, CAST(n AS BIGINT) AS lines_removed FROM kept
+    """,
+}
