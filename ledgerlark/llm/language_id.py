@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE = 1500  # labelled documents of each language to learn from, about
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
@@ -166,19 +167,30 @@ def infer(model: Languages, texts: list[str | None]) -> list[tuple[str, float, s
     return out
 
 
+def _columns(found: list[tuple[str, float, str]]) -> list[pa.Array]:
+    cols = list(zip(*found)) if found else [[]] * 3
+    return [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.float64(), pa.string()))]
+
+
 def predict(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, languages) of every whole text; only the text is looked at."""
+    return annotate(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text")), model).drop("text")
+
+
+def annotate(docs: DataFrame, model: Languages, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred, score and languages, in one pass and without a join."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = [*docs.columns, "lang_pred", "score", "languages"]
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                cols = list(zip(*infer(sent.value, part.column(1).to_pylist())))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.string())], names=[id_col, "lang_pred", "score", "languages"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *_columns(infer(sent.value, part.column(at).to_pylist()))], names=names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` long, lang_pred string, score double, languages string")
+    return docs.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
