@@ -1,0 +1 @@
+"""Public-spending analytics as composable DataFrame operators."""
