@@ -1 +1,6 @@
+"""Composed analyses and the registry of queries."""
 
+from . import names, relational  # noqa: F401
+from .registry import QUERIES
+
+__all__ = ["QUERIES"]
