@@ -25,7 +25,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O", "B-name", "I-name", "B-email", "I-email", "B-ip", "B-card", "I-card", "B-phone", "I-phone"]
 # The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DOTTED = re.compile(r"[0-9]\.[0-9]")
@@ -100,7 +100,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by start and then by kind as listed."""
     found = [(*m.span(), "email") for m in _emails(text)] if "@" in text else []
     if _DOTTED.search(text):
-        found += [(*m.span(), "ip") for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        found += [(*m.span(), "ip") for m in IP.finditer(text) if all(len(n := p.lstrip("0")) <= 3 and int(n or 0) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(digits := re.sub("[ -]", "", m[0])) <= 19 and luhn(digits):
             found.append((*m.span(), "card"))
