@@ -97,7 +97,7 @@ def bn_defect(bn: Column) -> Column:
 
 def alternate_names(name: Column) -> Column:
     """Names on both sides of the first separator that applies: trade name, O/A, DBA, bar, trailing comma and full stop."""
-    parts = lambda pattern: F.filter(F.transform(F.split(name, pattern), F.trim), lambda p: F.length(p) > 2)
+    parts = lambda pattern: F.filter(F.transform(F.split(name, pattern), lambda x: F.trim(x)), lambda p: F.length(p) > 2)
     got = (
         F.when(name.rlike(r"(?i)trade\s+name\s+of"), parts(r"(?i)\s+trade\s+name\s+of\s+"))
         .when(name.rlike(r"(?i)\s+O/A\s+"), parts(r"(?i)\s+O/A\s+"))

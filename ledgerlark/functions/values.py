@@ -59,7 +59,7 @@ def blank_to_null(text: Column) -> Column:
 
 
 def split_list(text: Column, sign: str = r"[|;]") -> Column:
-    return F.filter(F.transform(F.split(text, sign), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, sign), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def money(value: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ledgerlark.functions.names import trigrams
 
@@ -91,7 +92,7 @@ def _jaro_winkler(a: str | None, b: str | None) -> float | None:
     return jaro + same * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler similarity; Spark has no built-in for it."""
     return pd.Series([_jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
@@ -108,9 +109,9 @@ def blocked_pairs(rows: DataFrame, rules: Sequence[Sequence[str]], keep: Sequenc
     return found.distinct().join(side("a"), "id_a").join(side("b"), "id_b")
 
 
-def resolver_confidence(similarity: Column, overlap: Column, bn_a: Column, bn_b: Column) -> Column:
+def resolver_confidence(similarity: Column, overlap: Column, bn_a: Column, bn_b: Column, least_overlap: float = 0.7, least_similarity: float = 0.3) -> Column:
     """0.6 similarity + 0.4 overlap, 0.15 more (0.98 at most) on equal numbers; null if a gate or a differing number rejects."""
     score = similarity * 0.6 + overlap * 0.4
     same = F.coalesce(bn_a == bn_b, F.lit(False))
     apart = F.coalesce(bn_a != bn_b, F.lit(False))
-    return F.when((overlap >= 0.7) & (similarity >= 0.3) & ~apart, F.when(same, F.least(score + 0.15, F.lit(0.98))).otherwise(score))
+    return F.when((overlap >= least_overlap) & (similarity >= least_similarity) & ~apart, F.when(same, F.least(score + 0.15, F.lit(0.98))).otherwise(score))

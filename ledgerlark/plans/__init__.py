@@ -1,6 +1,7 @@
 """Composed analyses and the registry of queries."""
 
-from . import names, relational  # noqa: F401
+from . import entities, graphs, names, relational, reviews, validation  # noqa: F401
 from .registry import QUERIES
+from .reviews import flagship
 
-__all__ = ["QUERIES"]
+__all__ = ["QUERIES", "flagship"]
