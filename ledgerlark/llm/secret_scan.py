@@ -97,8 +97,8 @@ def join_spans(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def add_spans(text: str, data: bytes, base: list[tuple[int, int, str]], more: list[tuple[int, int, str]], kinds: tuple[str, ...]) -> list[tuple[int, int, str]]:
-    """Base spans with those of the tagger (byte offsets) that touch none of them."""
+def add_spans(text: str, data: bytes, base: list[tuple[int, int, str]], more: list[tuple[int, int, str]], kinds: tuple[str, ...], holds=None) -> list[tuple[int, int, str]]:
+    """Base spans with those of the tagger (byte offsets) that touch none of them and for whose kind and text ``holds``."""
     if not more:
         return base
     plain = len(data) == len(text)
@@ -106,13 +106,13 @@ def add_spans(text: str, data: bytes, base: list[tuple[int, int, str]], more: li
     for a, b, kind in more:
         if not plain:
             a, b = len(data[:a].decode("utf-8", "ignore")), len(data[:b].decode("utf-8", "ignore"))
-        if not any(x < b and a < y for x, y, _ in base):
+        if not any(x < b and a < y for x, y, _ in base) and (holds is None or holds(kind, text[a:b])):
             out.append((a, b, f"crf_{kind}"))
     rank = {k: i for i, k in enumerate(kinds)}
     return sorted(out, key=lambda s: (s[0], rank.get(s[2], len(kinds)), s[2], s[1]))
 
 
-def scan(docs: DataFrame, tagger: Tagger, base, kinds: tuple[str, ...], id_col: str, text_col: str) -> DataFrame:
+def scan(docs: DataFrame, tagger: Tagger, base, kinds: tuple[str, ...], id_col: str, text_col: str, holds=None) -> DataFrame:
     """Counts per base kind, digest of the base spans, all spans. One pass over the texts."""
     model = docs.sparkSession.sparkContext.broadcast(tagger)
 
@@ -125,7 +125,7 @@ def scan(docs: DataFrame, tagger: Tagger, base, kinds: tuple[str, ...], id_col:
                 rows = []
                 for text, data, more in zip(texts, raw, model.value.tag(raw)):
                     found = base(text)
-                    rows.append((*(sum(s[2] == x for s in found) for x in kinds), hashlib.sha256(join_spans(found).encode()).hexdigest(), join_spans(add_spans(text, data, found, more, kinds))))
+                    rows.append((*(sum(s[2] == x for s in found) for x in kinds), hashlib.sha256(join_spans(found).encode()).hexdigest(), join_spans(add_spans(text, data, found, more, kinds, holds))))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in cols[: len(kinds)]), *(pa.array(c, pa.string()) for c in cols[len(kinds) :])], names=[id_col, *(f"n_{x}" for x in kinds), "base_sha256", "spans"])
 
