@@ -137,8 +137,11 @@ def entity_search(spark, d):
 
 
 def _linkage_pairs(spark, d):
-    s = view(spark, d, "dirty_names").select("id", F.substr("name", F.lit(1), F.lit(30)).alias("name"), "bn", "province", "segment")
-    return M.blocked_pairs(s, [["province", "segment"]], ["name", "bn", "province", "segment"])
+    """Pairs of a source with dirty names and one with clean names, in blocks of place and segment."""
+    dirty = view(spark, d, "dirty_names").select("id", N.norm_name(F.col("name")).alias("name"), N.bn_root(F.col("bn")).alias("bn"), "province", "segment")
+    c, n = view(spark, d, "customer"), view(spark, d, "nation")
+    clean = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select((F.col("c_custkey") + 10**9).alias("id"), N.norm_name(F.col("c_name")).alias("name"), F.lpad(F.col("c_custkey").cast("string"), 9, "1").alias("bn"), F.col("n_name").alias("province"), F.col("c_mktsegment").alias("segment"))
+    return M.blocked_pairs(dirty.unionByName(clean), [["province", "segment"]], ["name", "bn"]).where((F.col("id_a") < 10**9) & (F.col("id_b") >= 10**9))
 
 
 def _levels():

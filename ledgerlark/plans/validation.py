@@ -87,7 +87,7 @@ def ministry_history(spark, d):
     SELECT CASE WHEN bn IS NOT NULL AND bn IN (SELECT lpad(CAST(s_suppkey AS VARCHAR), 9, '1') FROM supplier) THEN 'bridged' WHEN bn IS NOT NULL THEN 'number_unknown' WHEN recipient_type = 'G' THEN 'government' ELSE 'no_number' END AS bucket, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM {agreements} GROUP BY 1""")
 def unlinked_classes(spark, d):
     a = view(spark, d, "agreements")
-    s = view(spark, d, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 9, "1").alias("bn"), F.lit(True).alias("there"))
+    s = view(spark, d, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 9, "1").alias("bn")).distinct().withColumn("there", F.lit(True))
     bucket = F.when(F.col("there"), "bridged").when(F.col("bn").isNotNull(), "number_unknown").when(F.col("recipient_type") == "G", "government").otherwise("no_number")
     return a.join(s, "bn", "left").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
 
