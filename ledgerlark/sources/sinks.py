@@ -41,7 +41,8 @@ def delete_using(rows: DataFrame, others: DataFrame, key: Sequence[str]) -> Data
 
 def rebuild(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Replace a derived table; a plan that reads the target cannot be written to it."""
-    if any(f.removeprefix("file:").startswith(path) for f in rows.inputFiles()):
+    bare = lambda p: "/" + p[5:].lstrip("/") if p.startswith("file:") else p.rstrip("/")
+    if any(bare(f).startswith(bare(path) + "/") for f in rows.inputFiles()):
         raise ValueError("a table cannot be rebuilt from itself")
     w = rows.write.mode("overwrite")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
