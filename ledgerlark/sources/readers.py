@@ -79,6 +79,11 @@ def deduplicated(spark: SparkSession, paths: Sequence[str], key: Sequence[str])
 
 def unzipped(spark: SparkSession, path: str, pick: str = r"\.csv$") -> DataFrame:
     """(path, member, size, content) of the members of ZIP files that match, largest first within a file."""
+    return members(spark.read.format("binaryFile").load(path), pick)
+
+
+def members(files: DataFrame, pick: str = r"\.csv$") -> DataFrame:
+    """As ``unzipped``, of files that are at hand as (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -87,7 +92,7 @@ def unzipped(spark: SparkSession, path: str, pick: str = r"\.csv$") -> DataFrame
                     rows = [(name, i.filename, i.file_size, z.read(i)) for i in z.infolist() if re.search(pick, i.filename, re.I)]
                 yield pd.DataFrame(sorted(rows, key=lambda r: (-r[2], r[1])), columns=["path", "member", "size", "content"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, member string, size long, content binary")
+    return files.select("path", "content").mapInPandas(run, "path string, member string, size long, content binary")
 
 
 def xlsx(spark: SparkSession, path: str, header_row: int = 2) -> DataFrame:
