@@ -136,8 +136,13 @@ def trigrams(text: Column) -> Column:
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
-    x, y = trigrams(a), trigrams(b)
-    return F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(F.array_union(x, y)))
+    return set_similarity(trigrams(a), trigrams(b))
+
+
+def set_similarity(x: Column, y: Column) -> Column:
+    """Shared share of two arrays without repeats."""
+    both = F.size(F.array_intersect(x, y))
+    return F.try_divide(both.cast("double"), F.size(x) + F.size(y) - both)
 
 
 def category_key(text: Column) -> Column:

@@ -141,11 +141,15 @@ def _linkage_pairs(spark, d):
     dirty = view(spark, d, "dirty_names").select("id", N.norm_name(F.col("name")).alias("name"), N.bn_root(F.col("bn")).alias("bn"), "province", "segment")
     c, n = view(spark, d, "customer"), view(spark, d, "nation")
     clean = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select((F.col("c_custkey") + 10**9).alias("id"), N.norm_name(F.col("c_name")).alias("name"), F.lpad(F.col("c_custkey").cast("string"), 9, "1").alias("bn"), F.col("n_name").alias("province"), F.col("c_mktsegment").alias("segment"))
-    return M.blocked_pairs(dirty.unionByName(clean), [["province", "segment"]], ["name", "bn"]).where((F.col("id_a") < 10**9) & (F.col("id_b") >= 10**9))
+    # trigrams are made once a record and levels once a pair
+    rows = dirty.unionByName(clean).withColumn("grams", N.trigrams(F.col("name")))
+    pairs = M.blocked_pairs(rows, [["province", "segment"]], ["name", "bn", "grams"]).where((F.col("id_a") < 10**9) & (F.col("id_b") >= 10**9))
+    near = F.when(F.col("name_a") == F.col("name_b"), 2).when(N.set_similarity(F.col("grams_a"), F.col("grams_b")) > 0.6, 1).otherwise(0)
+    return written(pairs.select("id_a", "id_b", F.when(F.col("bn_a") == F.col("bn_b"), 1).otherwise(0).alias("bn_level"), near.alias("name_level")), "pairs")
 
 
 def _levels():
-    return [F.when(F.col("bn_a") == F.col("bn_b"), 1).otherwise(0), F.when(F.col("name_a") == F.col("name_b"), 2).when(N.trigram_similarity(F.col("name_a"), F.col("name_b")) > 0.6, 1).otherwise(0)]
+    return [F.col("bn_level"), F.col("name_level")]
 
 
 @query("linkage_model", "O-154")
@@ -159,6 +163,6 @@ def linkage_model(spark, d):
 @query("linkage_matches", "O-154 O-155 O-156")
 def linkage_matches(spark, d):
     """Pairs with a match probability of 0.4 and more."""
-    pairs = written(_linkage_pairs(spark, d), "pairs")
+    pairs = _linkage_pairs(spark, d)
     m, u, share, _ = E.fellegi_sunter(E.agreement_patterns(pairs, _levels()), [2, 3])
     return pairs.select("id_a", "id_b", F.round(E.match_probability(_levels(), m, u, share), 6).alias("probability")).where("probability >= 0.4")
