@@ -198,3 +198,31 @@ def temporal_loop_score(yearly: DataFrame, symmetry: float = 0.5) -> DataFrame:
     n = per.groupBy(F.col("src").alias("node")).agg(F.sum("sy").alias("same_year"), F.sum("ay").alias("adjacent_year"), F.max(F.col("sy") + F.col("ay")).alias("years"))
     trips = [(5, 4), (3, 3), (1, 2)]
     return n.where(F.col("years") > 0).select("node", "same_year", "adjacent_year", V.total([V.banded(F.col("same_year"), trips), V.banded(F.col("adjacent_year"), trips), V.flag(F.col("years") >= 2, 2)]).alias("temporal_score"))
+
+
+def circular_flows(members: DataFrame, yearly: DataFrame) -> DataFrame:
+    """(node, partners, triangles, sent, received, circular, years): what a node gives to and gets from its partners on cycles.
+
+    ``members``: (node, hops, sends_to, receives_from), ``yearly``: (src, dst, year, amount). One join each way, over
+    distinct partners, so a gift on many cycles counts once.
+    """
+    kinds = members.groupBy("node").agg(F.countDistinct(F.when(F.col("hops") == 2, F.col("sends_to"))).alias("partners"), A.count_where(F.col("hops") == 3).alias("triangles"))
+    side = lambda mine, other, partner, name: yearly.join(members.select("node", F.col(partner).alias("p")).distinct(), (F.col(mine) == F.col("node")) & (F.col(other) == F.col("p"))).select("node", "year", F.col("amount").alias("value"), F.lit(name).alias("way"))
+    moved = side("src", "dst", "sends_to", "sent").unionByName(side("dst", "src", "receives_from", "received"))
+    sums = moved.groupBy("node").agg(*(F.coalesce(A.sum_where(F.col("way") == w, F.col("value")), F.lit(0)).alias(w) for w in ("sent", "received")), F.countDistinct("year").alias("years"))
+    return kinds.join(sums, "node").withColumn("circular", F.least("sent", "received"))
+
+
+def circular_points(partners: Column, triangles: Column, years: Column, circular: Column, associated: Column | None = None, shared: Column | None = None) -> Column:
+    """0 to 6: give-and-take partners, several cycles, several years, large sums, associated bodies, shared people."""
+    tests = [partners > 0, (partners >= 2) | (triangles > 0), years >= 2, circular > 100_000, *(t for t in (associated, shared) if t is not None)]
+    return V.total([V.flag(t, 1) for t in tests])
+
+
+def financial_points(revenue: Column, spending: Column, program: Column, overhead: Column, gifts_in: Column, gifts_out: Column, pay: Column, circular: Column) -> Column:
+    """0 to 12: overhead, dependence on gifts, pass-through, little program work, pay above it, circular sums above it."""
+    z = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    r, s, p, o, gi, go, w, c = map(z, (revenue, spending, program, overhead, gifts_in, gifts_out, pay, circular))
+    share = F.when(s > 0, F.round(o / s * 100, 1)).otherwise(0.0)
+    passing = (gi > 50_000) & (go > 0) & (F.least(gi, go) > F.greatest(gi, go) * 0.5)
+    return V.total([F.when(share > 40, 2).when(share > 25, 1).otherwise(0), V.flag((r > 0) & (gi > r * 0.5), 2), V.flag(passing, 2), V.flag((r > 100_000) & (p < r * 0.2), 2), V.flag((w > 0) & (p > 0) & (w > p), 2), V.flag((p > 0) & (c > p * 2), 2)])

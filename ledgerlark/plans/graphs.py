@@ -155,3 +155,23 @@ def loop_score(spark, d):
     f = view(spark, d, "year_edges").select("src", "dst", F.col("min_year").alias("year"), F.col("total_amt").alias("amount"))
     return S.temporal_loop_score(written(f, "yearly"))
 
+
+
+@query("circular_score", "O-190 O-189 O-210", f"""
+    WITH {_MEMBERS}, k AS (SELECT node, count(DISTINCT CASE WHEN hops = 2 THEN sends_to END) AS partners, count(*) FILTER (WHERE hops = 3) AS triangles FROM m GROUP BY 1),
+    v AS (SELECT node, year, amount, 1 AS o FROM {{yearly_flows}} JOIN (SELECT DISTINCT node, sends_to FROM m) x ON src = node AND dst = sends_to UNION ALL SELECT node, year, amount, 0 FROM {{yearly_flows}} JOIN (SELECT DISTINCT node, receives_from FROM m) x ON dst = node AND src = receives_from),
+    s AS (SELECT node, coalesce(sum(amount) FILTER (WHERE o = 1), 0) AS sent, coalesce(sum(amount) FILTER (WHERE o = 0), 0) AS got, count(DISTINCT year) AS years FROM v GROUP BY 1)
+    SELECT node, partners, triangles, years, CAST(least(sent, got) AS DOUBLE) AS circular, CAST((partners > 0)::INT + (partners >= 2 OR triangles > 0)::INT + (years >= 2)::INT + (least(sent, got) > 100000)::INT AS BIGINT) AS score FROM k JOIN s USING (node)""")
+def circular_score(spark, d):
+    m = written(G.participants(G.all_cycles(view(spark, d, "top_edges"), 5)), "members")
+    c = S.circular_flows(m, written(view(spark, d, "yearly_flows"), "yearly"))
+    return c.select("node", "partners", "triangles", "years", "circular", S.circular_points(F.col("partners"), F.col("triangles"), F.col("years"), F.col("circular")).alias("score"))
+
+
+@query("financial_score", "O-190 O-211 O-231", """
+    WITH f AS (SELECT filing, coalesce(CAST(total AS DOUBLE), 0) AS r, coalesce(CAST(program_spending + compensation AS DOUBLE), 0) AS s, coalesce(CAST(program_spending AS DOUBLE), 0) AS p, coalesce(CAST(c AS DOUBLE), 0) AS o, coalesce(CAST(a AS DOUBLE), 0) AS gi, coalesce(CAST(b AS DOUBLE), 0) AS go, coalesce(CAST(compensation AS DOUBLE), 0) AS w FROM {filings}), g AS (SELECT *, CASE WHEN s > 0 THEN round(o / s * 100, 1) ELSE 0 END AS oh FROM f)
+    SELECT filing, CAST(CASE WHEN oh > 40 THEN 2 WHEN oh > 25 THEN 1 ELSE 0 END + CASE WHEN r > 0 AND gi > r * 0.5 THEN 2 ELSE 0 END + CASE WHEN gi > 50000 AND go > 0 AND least(gi, go) > greatest(gi, go) * 0.5 THEN 2 ELSE 0 END + CASE WHEN r > 100000 AND p < r * 0.2 THEN 2 ELSE 0 END + CASE WHEN w > 0 AND p > 0 AND w > p THEN 2 ELSE 0 END + CASE WHEN p > 0 AND gi > p * 2 THEN 2 ELSE 0 END AS BIGINT) AS score FROM g""")
+def financial_score(spark, d):
+    c = F.col
+    points = S.financial_points(c("total"), c("program_spending") + c("compensation"), c("program_spending"), c("c"), c("a"), c("b"), c("compensation"), c("a"))
+    return view(spark, d, "filings").select("filing", points.alias("score"))
