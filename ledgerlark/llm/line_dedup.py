@@ -111,8 +111,9 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     told = written(told, "told")
     interval = ["len", "left", "right"]
     place = F.struct("d", "th", "pos")
-    firsts = told.groupBy(*interval).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    late = told.join(firsts, interval).where(place > F.col("first")).select("d", "th", "pos", (F.col("pos") + F.col("len") - 1).alias("end"))
+    # every window but the first of its interval goes; the first is named by its place, so a common passage is not one task
+    firsts = told.groupBy(*interval).agg(F.min(place).alias("first")).select("first.*", "len")
+    late = told.join(firsts, [*AT, "pos", "len"], "left_anti").select("d", "th", "pos", (F.col("pos") + F.col("len") - 1).alias("end"))
     by = Window.partitionBy(*AT).orderBy("pos", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     marked = late.withColumn("fresh", F.when(F.col("pos") <= reach + 1, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(by))
