@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 SAMPLE = 1500  # labelled documents of each language to learn from, about
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
-ROUNDS, AT_ONCE = 8, 6_000_000
+ROUNDS, AT_ONCE = 8, 2_000_000
 UNKNOWN = "und"
 #: Everything that is no letter parts words: ASCII letters and all bytes of other characters stay.
 _WORDS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -189,6 +189,7 @@ def annotate(docs: DataFrame, model: Languages, text_col: str = "text") -> DataF
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 yield pa.RecordBatch.from_arrays([*part.columns, *_columns(infer(sent.value, part.column(at).to_pylist()))], names=names)
+        pa.default_memory_pool().release_unused()  # the worker lives on for later stages
 
     return docs.mapInArrow(run, schema)
 

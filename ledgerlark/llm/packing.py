@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .store import written
 
 CAPACITY, END_ID = 4096, 1
+CACHED_WORDS = 400_000  # words whose ids a worker keeps; fewer take less memory and more time
 #: White space to some and text to other tools: such texts are not cut by us.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: Where lower case depends on more than the letter itself, it is left to the tokenizer.
@@ -44,7 +45,7 @@ class WordIds(dict):
     from which words in use come back; so memory is bounded and common words stay.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.old = Tokenizer.from_file(path), limit, {}
@@ -70,16 +71,16 @@ class WordIds(dict):
 
 
 @cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, limit: int) -> WordIds:
+    return WordIds(path, limit)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", cached_words: int = CACHED_WORDS) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids and the end id, cut only if longer than ``capacity``."""
     step, end = 4 * capacity, np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer_path)
+        words = word_ids(tokenizer_path, cached_words)
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -88,6 +89,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
             cols = list(zip(*rows)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[id_col, "piece", "start", "length", "ids_crc32"])
+        pa.default_memory_pool().release_unused()  # the worker lives on for later stages
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` long, piece int, start long, length long, ids_crc32 long")
@@ -173,6 +175,6 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> D
     return placed.select(*rows.columns, (F.col("step.first") + F.floor(turn / F.col("step.per"))).cast("long").alias("sequence_id"), (F.col("step.base") + (turn % F.col("step.per")) * F.col("length")).cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", cached_words: int = CACHED_WORDS) -> DataFrame:
     """Tokenise, cut and pack whole documents: one row per piece with its place."""
-    return pack(written(pieces(docs, tokenizer_path, capacity, id_col, text_col), "pieces"), capacity, id_col)
+    return pack(written(pieces(docs, tokenizer_path, capacity, id_col, text_col, cached_words), "pieces"), capacity, id_col)
