@@ -53,7 +53,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of 4096 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # the workers hold what other stages need, too
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=120_000)
 
 
 STAGES = [
