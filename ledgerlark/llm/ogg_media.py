@@ -10,7 +10,11 @@ by serial number and takes time stamps from granule positions.
 Defined results: null text is the empty text, whose payload is 64 zero bytes;
 rows are independent, so repeated rows give repeated results; an empty table
 gives an empty table; columns besides the id and the text are ignored. A page
-whose checksum fails is counted and its bytes are not used.
+whose checksum fails is counted and its bytes are not used; lost pages show by
+the numbers of those that follow or by a stream without its last page. A file
+of which any part is missing has null payload columns and says so in
+``feature`` and ``intact``; null media is such a file. What a text holds never
+matters: "OggS" inside a page is not looked at.
 """
 
 from __future__ import annotations
@@ -94,8 +98,18 @@ class Stream:
     packets: list[bytes] = field(default_factory=list)
     #: end time in samples of each packet, None where no granule position tells it
     ends: list[int | None] = field(default_factory=list)
-    granule: int = 0
+    #: number of the page that comes next
+    due: int = 0
+    lost_pages: int = 0
+    #: packets of which a part is gone
+    cut_packets: int = 0
     ended: bool = False
+    #: the packet that runs on to the next page
+    open_: bytearray | None = None
+
+    def drop_open(self) -> None:
+        self.cut_packets += self.open_ is not None
+        self.open_ = None
 
 
 @dataclass
@@ -103,58 +117,83 @@ class OggFile:
     streams: dict[int, Stream]
     pages: int
     bad_pages: int
+    #: pages whose number was seen before
+    repeated_pages: int = 0
+
+    @property
+    def lost_pages(self) -> int:
+        return sum(s.lost_pages for s in self.streams.values())
 
 
 def parse(media: bytes) -> OggFile:
-    """Pages, packets and streams of an Ogg file."""
-    streams: dict[int, Stream] = {}
-    part: dict[int, bytearray] = {}
-    at, pages, bad = media.find(b"OggS"), 0, 0
+    """Pages, packets and streams of an Ogg file.
+
+    Page numbers are followed in each stream. After a gap the open packet is
+    dropped, and so is what continues a packet whose beginning is gone; a packet
+    is never joined over a hole.
+    """
+    found = OggFile({}, 0, 0)
+    at = media.find(b"OggS")
     while at >= 0 and at + _HEAD.size <= len(media):
-        _, _, flags, granule, serial, _, crc, n = _HEAD.unpack_from(media, at)
+        _, _, flags, granule, serial, number, crc, n = _HEAD.unpack_from(media, at)
         body = at + _HEAD.size + n
         table = media[at + _HEAD.size : body]
         end = body + sum(table)
         raw = media[at:end]
         if len(table) < n or end > len(media) or page_crc(raw[:_CRC_AT] + b"\0\0\0\0" + raw[_CRC_AT + 4 :]) != crc:
-            bad += 1
+            found.bad_pages += 1
             at = media.find(b"OggS", at + 4)
             continue
-        pages += 1
-        s = streams.setdefault(serial, Stream(serial))
-        held = part.pop(serial, None) if flags & 1 else None
-        left = bytearray() if held is None else held
-        lost = bool(flags & 1) and held is None
-        first = len(s.packets)
+        at = media.find(b"OggS", end)
+        found.pages += 1
+        s = found.streams.setdefault(serial, Stream(serial))
+        ahead = (number - s.due) & 0xFFFFFFFF
+        if ahead >> 31:
+            found.repeated_pages += 1
+            continue
+        if ahead or not flags & 1:
+            s.drop_open()
+        s.lost_pages += ahead
+        s.due = (number + 1) & 0xFFFFFFFF
+        # a page that continues a packet whose beginning is gone
+        lost = bool(flags & 1) and s.open_ is None
+        left, s.open_ = s.open_ or bytearray(), None
+        first, header = len(s.packets), bool(flags & 2)
         for value in table:
             left += media[body : body + value]
             body += value
             if value < 255:
                 if lost:
-                    lost = False
-                elif not s.ident:
+                    s.cut_packets += 1
+                elif header:
                     s.ident = bytes(left)
                 else:
                     s.packets.append(bytes(left))
                     s.ends.append(None)
-                left = bytearray()
-        if table and table[-1] == 255:
-            part[serial] = left
-        if granule >= 0 and len(s.packets) > first:
-            s.granule = granule
+                left, lost, header = bytearray(), False, False
+        if table and table[-1] == 255 and not lost:
+            s.open_ = left
+        if granule >= 0:
             for k in range(len(s.packets) - 1, first - 1, -1):
                 s.ends[k] = granule
                 granule -= len(s.packets[k])
         s.ended |= bool(flags & 4)
-        at = media.find(b"OggS", end)
-    return OggFile(streams, pages, bad)
+    if 0 <= at and at + _HEAD.size > len(media):
+        found.bad_pages += 1  # the file breaks off within a page's head
+    for s in found.streams.values():
+        s.drop_open()
+    return found
 
 
-def payload_of(ogg: OggFile) -> bytes:
-    """The stored bytes: packets of the logical streams, taken in turn."""
-    order = sorted((s for s in ogg.streams.values() if s.ident.startswith(MAGIC)), key=lambda s: _IDENT.unpack(s.ident)[4])
-    turns = max((len(s.packets) for s in order), default=0)
-    return b"".join(s.packets[k] for k in range(turns) for s in order if k < len(s.packets))
+def payload_of(ogg: OggFile) -> bytes | None:
+    """The stored bytes, packets of the logical streams in the order of their time; None if any part is missing."""
+    streams = list(ogg.streams.values())
+    if not streams or ogg.bad_pages or any(s.lost_pages or s.cut_packets or not s.ended or len(s.ident) != _IDENT.size or not s.ident.startswith(MAGIC) or None in s.ends for s in streams):
+        return None
+    heads = {s.serial: _IDENT.unpack(s.ident) for s in streams}
+    if any(h[5] != len(streams) for h in heads.values()):
+        return None
+    return b"".join(p for _, _, p in sorted(((e - len(p), heads[s.serial][4], p) for s in streams for p, e in zip(s.packets, s.ends)), key=lambda x: x[:2]))
 
 
 def _padded(text: str | None) -> tuple[int, bytes]:
@@ -177,7 +216,9 @@ def store_text_as_ogg(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, f"`{id_col}` long, n_bytes long, media binary")
 
 
-def _feature(ogg: OggFile, payload: bytes) -> str:
+def _feature(ogg: OggFile, payload: bytes | None) -> str:
+    if payload is None:
+        return f"damaged;streams={len(ogg.streams)};pages={ogg.pages};bad={ogg.bad_pages};lost={ogg.lost_pages};cut={sum(s.cut_packets for s in ogg.streams.values())};packets={sum(len(s.packets) for s in ogg.streams.values())}"
     samples = np.frombuffer(payload, np.uint8)
     centred = samples.astype(np.int32) - 128
     crossings = int(np.count_nonzero(np.diff(centred >= 0)))
@@ -190,7 +231,7 @@ def _feature(ogg: OggFile, payload: bytes) -> str:
     )
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, bad_pages long"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, bad_pages long, lost_pages long, intact boolean"
 
 
 def ogg_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -203,10 +244,11 @@ def ogg_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 media = value.as_py() or b""
                 ogg = parse(media)
                 payload = payload_of(ogg)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), _feature(ogg, payload), ogg.bad_pages))
-            cols = list(zip(*rows)) if rows else [[]] * 7
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "bad_pages"])
+                read = (None, None, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]))
+                rows.append((*read, len(media), hashlib.sha256(media).hexdigest(), _feature(ogg, payload), ogg.bad_pages, ogg.lost_pages, payload is not None))
+            cols = list(zip(*rows)) if rows else [[]] * 9
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "bad_pages", "lost_pages", "intact"])
 
     return media.select(id_col, "n_bytes", "media").mapInArrow(run, f"`{id_col}` long, n_bytes long, {FEATURES}")
 
