@@ -26,9 +26,25 @@ class Crf:
         return self.weights[at].sum(0) if at else np.zeros(len(self.labels))
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
+def marginals(e: np.ndarray, lens: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of each label of each token, expected count of each move) by forward-backward in scaled probabilities.
+
+    ``e``: sequences x tokens x labels, of which the first ``lens`` tokens count; every sequence has one at least.
+    """
+    n, size, k = e.shape
+    mask = np.arange(size)[None, :] < lens[:, None]
+    x, m = np.exp(e - e.max(-1, keepdims=True)), np.exp(moves)
+    alpha, beta, scale = np.empty_like(x), np.ones_like(x), np.ones((n, size))
+    for t in range(size):
+        now = (alpha[:, t - 1] @ m if t else np.exp(start - start.max())[None]) * x[:, t]
+        scale[:, t] = now.sum(1)
+        alpha[:, t] = now / scale[:, t, None]
+    for t in range(size - 2, -1, -1):
+        back = (x[:, t + 1] * beta[:, t + 1]) @ m.T / scale[:, t + 1, None]
+        beta[:, t] = np.where(mask[:, t + 1, None], back, 1)
+    p = alpha * beta * mask[:, :, None]
+    after = x[:, 1:] * beta[:, 1:] / scale[:, 1:, None] * mask[:, 1:, None]
+    return p, alpha[:, :-1].reshape(-1, k).T @ after.reshape(-1, k) * m
 
 
 def train(sequences: list[tuple[list[list[str]], list[str]]], labels: list[str], steps: int = 120, l2: float = 0.02, rate: float = 0.15, forbidden: tuple[tuple[str, str], ...] = ()) -> Crf:
@@ -55,32 +71,20 @@ def train(sequences: list[tuple[list[list[str]], list[str]]], labels: list[str],
     block = np.zeros((k, k))
     for x, y in forbidden:
         block[where[x], where[y]] = -30.0
-    last = (np.arange(n), lens - 1)
+    tokens = np.nonzero(mask)
+    counted = np.zeros((k, k))
+    np.add.at(counted, (gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]), 1)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, a, s)]
     order = np.argsort(flat, kind="stable")
     heads = np.searchsorted(flat[order], np.arange(len(index)))
     for step in range(1, steps + 1):
         e = np.stack([np.bincount(owner, w[flat, j], n * size) for j in range(k)], -1).reshape(n, size, k)
-        m = a + block
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0] + s
-        for t in range(1, size):
-            alpha[:, t] = np.where(mask[:, t, None], _logsum(alpha[:, t - 1, :, None] + m[None], 1) + e[:, t], alpha[:, t - 1])
-        for t in range(size - 2, -1, -1):
-            beta[:, t] = np.where(mask[:, t + 1, None], _logsum(m[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
-        z = _logsum(alpha[last], 1)
-        p = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
-        diff = p.copy()
-        ii, tt = np.nonzero(mask)
-        diff[ii, tt, gold[ii, tt]] -= 1
-        ga = np.zeros((k, k))
-        for t in range(1, size):
-            pair = np.exp(alpha[:, t - 1, :, None] + m[None] + (e[:, t] + beta[:, t])[:, None, :] - z[:, None, None])
-            ga += (pair * mask[:, t, None, None]).sum(0)
-            np.subtract.at(ga, (gold[mask[:, t], t - 1], gold[mask[:, t], t]), 1)
+        diff, ga = marginals(e, lens, a + block, s) if n else (np.zeros((0, 0, k)), np.zeros((k, k)))
+        diff[(*tokens, gold[tokens])] -= 1
+        ga -= counted
         d = diff.reshape(-1, k)[owner[order]]
         gw = np.add.reduceat(d, heads, 0) if len(d) else np.zeros_like(w)
-        gs = diff[:, 0].sum(0)
+        gs = diff[:, :1].sum((0, 1))
         for p_, g, mom in zip((w, a, s), (gw, ga, gs), moments):
             g = g / max(1, n) + l2 * p_ / max(1, n)
             mom[0] = 0.9 * mom[0] + 0.1 * g

@@ -40,11 +40,16 @@ WORDS = {
     "name": ["name", "named", "signed", "author", "regards", "sincerely", "nom", "nombre"],
     "at": ["at", "(at)", "[at]"],
     "dot": ["dot", "(dot)", "[dot]"],
+    "toward": ["to", "from", "or", "and", "by", "with", "via", "on", "is", "the"],
+    "domain": ["com", "org", "net", "edu", "de", "fr", "es", "ch", "uk", "eu", "info"],
+    "greet": ["dear", "hello", "liebe", "lieber", "querida", "cher", "chère", "estimado"],
     "host": ["ip", "address", "server", "host"],
 }
 TEMPLATES = [
     "{fill} Mr. {name} {fill}", "{fill} Dr. {name} {fill}", "{fill} Frau {name} {fill}", "regards, {name}", "{fill} name: {name} {fill}", "{fill} signed {name} {fill}", "{fill} {email} {fill}", "mail {spelt} {fill}", "{fill} contact {spelt} {fill}",
     "{fill} {ip} {fill}", "server {ip} {fill}", "{fill} {card} {fill}", "card {cards} {fill}", "visa: {cards} {fill}", "{fill} {phone} {fill}", "call {local} {fill}", "tel. {local} {fill}", "phone: {local} {fill}", "{fill} {phone}",
+    "dear Mr. {name} {fill}", "{fill} Mrs. {name} {fill}", "Herr {name} {fill}", "sincerely, {name}", "author: {name} {fill}", "{fill} señora {name} {fill}", "madame {name} {fill}", "mail {spelt} {fill}", "email: {spelt} , {fill}", "{fill} send it to {spelt} {fill}", "{fill} to {plain} or {plain} {fill}", "fax: {local} {fill}", "mobile {local} {fill}", "{fill} telephone {local}", "{fill} number was {local} {fill}",
+    "{fill} at {plain} and {plain} {fill}", "{fill} the dot at the {plain} {fill}", "{fill} contact the {plain} {fill}", "{fill} {decimals} {fill}", "{fill} pages {number} to {number} {fill}", "{fill} at {clock} {fill}",
     "{fill}", "{fill} {fill}", "{fill} {number} {fill}", "{fill} {date} {fill}", "{fill} {version} {fill}", "{fill} call the {plain} {fill}", "{fill} card game {fill}", "{fill} name of the {plain} {fill}", "{fill} {hex} {fill}", "{fill} token = \"{hex}\" {fill}", "{fill} {money} {fill}", "{fill} look at the dot {fill}",
 ]
 KIND_OF = {"name": "name", "email": "email", "spelt": "email", "ip": "ip", "card": "card", "cards": "card", "phone": "phone", "local": "phone"}
@@ -54,15 +59,23 @@ def _make(name: str, r: random.Random) -> str:
     pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
     low, num = string.ascii_lowercase, string.digits
     word = lambda: pick(low, r.randint(3, 9))
+    end = lambda: r.choice(WORDS["domain"])
+
+    def spelt() -> str:
+        at, dot = r.choice([("(at)", "(dot)"), ("[at]", "[dot]"), ("at", "dot")])
+        head = f"{word()} {dot} {word()}" if at == "at" and r.random() < 0.5 else f"{word()}.{word()}" if r.random() < 0.3 else word()
+        return f"{head} {at} {word()} {dot} {end()}"
+
     return {
-        "name": lambda: f"{word().capitalize()} {word().capitalize()}" if r.random() < 0.7 else word().capitalize(), "email": lambda: f"{word()}.{r.randint(1, 99)}@{word()}{r.randint(1, 9)}.example.com", "spelt": lambda: f"{word()} {r.choice(['(at)', '[at]'])} {word()} {r.choice(['(dot)', '[dot]'])} com",
+        "decimals": lambda: ", ".join(f"{r.randint(1, 99)}.{r.randint(0, 9)}" for _ in range(3)), "clock": lambda: f"{r.randint(0, 23)}:{r.randint(10, 59)}",
+        "name": lambda: f"{word().capitalize()} {word().capitalize()}" if r.random() < 0.7 else word().capitalize(), "email": lambda: f"{word()}.{r.randint(1, 99)}@{word()}{r.randint(1, 9)}.example.com", "spelt": lambda: spelt(),
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), "card": lambda: pick(num, 16), "cards": lambda: " ".join(pick(num, 4) for _ in range(4)), "phone": lambda: f"+{r.randint(1, 99)} ({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}",
-        "local": lambda: r.choice([f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}", f"{r.randint(200, 999)}-{r.randint(200, 999)}-{r.randint(1000, 9999)}", f"0{r.randint(10, 99)} {r.randint(1000, 9999)} {r.randint(1000, 9999)}"]),
+        "local": lambda: r.choice([f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}", f"{r.randint(200, 999)}-{r.randint(200, 999)}-{r.randint(1000, 9999)}", f"0{r.randint(10, 99)} {r.randint(1000, 9999)} {r.randint(1000, 9999)}", f"0{r.randint(100, 999)} {r.randint(1000, 9999)} {r.randint(1000, 9999)}", f"(0{r.randint(10, 999)}) {r.randint(100, 999)} {r.randint(1000, 9999)}", f"0{r.randint(10, 99)}-{r.randint(1000, 999999)}-{r.randint(10, 99)}"]),
         "number": lambda: pick(num, r.randint(1, 9)), "date": lambda: f"{r.randint(1990, 2024)}-1{r.randint(0, 2)}-0{r.randint(1, 9)}", "version": lambda: f"{r.randint(0, 9)}.{r.randint(0, 30)}.{r.randint(0, 9)}", "plain": word, "hex": lambda: pick(num + "abcdef", 40), "money": lambda: f"${r.randint(1, 99)},{r.randint(100, 999)}.00",
     }[name]()
 
 
-def labelled_table(spark: SparkSession, rows: int = 620, seed: int = 7) -> DataFrame:
+def labelled_table(spark: SparkSession, rows: int = 1000, seed: int = 7) -> DataFrame:
     """A small labelled table: text, and the labels of its white-space tokens."""
     r = random.Random(seed)
     made = [labelled(TEMPLATES[i % len(TEMPLATES)], KIND_OF, lambda name: _make(name, r), r) for i in range(rows)]
@@ -111,7 +124,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def holds(kind: str, text: str) -> bool:
-    """Exact check of a span of the tagger: a card passes Luhn, an address has parts to 255, a name is one line within a sentence."""
+    """Exact check of a span of the tagger: a card passes Luhn, an address has parts to 255, a name is one line within a sentence, an email has an at and a dot."""
     if kind == "card":
         digits = re.sub(r"[^0-9]", "", text)
         return 13 <= len(digits) <= 19 and luhn(digits)
@@ -119,6 +132,8 @@ def holds(kind: str, text: str) -> bool:
         return all(len(n := p.lstrip("0")) <= 3 and int(n or 0) <= 255 for p in re.findall("[0-9]+", text))
     if kind == "name":
         return "\n" not in text and not re.search(r"[^\W\d_]{3,}[.!?]\s", text)
+    if kind == "email":
+        return "@" in text or bool(re.search(r"\w\W+at\W+\w.*\W(dot\W|\.\w)", text, re.I | re.S))
     return True
 
 

@@ -44,7 +44,7 @@ TEMPLATES = [
     "{fill} credential: {mixed} {fill}", "{fill} private_key := {b64} {fill}", "const auth = \"{long}\"; {fill}", "login user {plain} pwd {mixed} {fill}", "x-api-key: {long} {fill}", "{fill} my pwd was {mixed} {fill}",
     "{fill} passphrase: {phrase} {fill}", "{fill} signature {b64} {fill}", "{fill} ghp_{long} {fill}", "{fill} sk-{long} {fill}", "set access_token => {long} {fill}",
     "{fill}", "{fill} {fill}", "{fill} {number} {fill}", "{fill} the token is used {fill}", "{fill} a secret was kept {fill}", "{fill} key points are {fill}", "{fill} {email} {fill}", "{fill} {ip} {fill}", "{fill} {phone} {fill}",
-    "{fill} password reset page {fill}", "{fill} user was {plain} {fill}", "{fill} basic {plain} {fill}", "{fill} {card} {fill}", "{fill} {url} {fill}", "host = {plain} ; set env = {plain}", "{fill} key = {plain} {fill}", "{fill} {date} {fill}", "{fill} {longword} {fill}",
+    "{fill} password reset page {fill}", "{fill} user was {plain} {fill}", "{fill} basic {plain} {fill}", "{fill} {card} {fill}", "{fill} {url} {fill}", "host = {plain} ; set env = {plain}", "{fill} key = {plain} {fill}", "{fill} {date} {fill}", "{fill} {longword} {fill}", "const {plain}_value = {call} {fill}", "let {plain} = {call}", "{fill} bearer of {plain} {fill}", "authorization: basic {b64}", "{fill} token_name = {call} {fill}",
 ]
 KIND_OF = {k: "secret" for k in ("long", "b64", "mixed", "phrase")}
 
@@ -63,11 +63,11 @@ def _make(name: str, r: random.Random) -> str:
     return {
         "plain": lambda: pick(low, r.randint(3, 9)), "number": lambda: pick(string.digits, r.randint(1, 16)), "email": lambda: f"{pick(low, 5)}.{r.randint(1, 99)}@mail{r.randint(1, 9)}.example.com",
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), "phone": lambda: f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}", "card": lambda: pick(string.digits, 16), "url": lambda: f"https://{pick(low, 6)}.example/{pick(low, 4)}/{r.randint(1, 99)}?page=2",
-        "date": lambda: f"{r.randint(1990, 2024)}-1{r.randint(0, 2)}-0{r.randint(1, 9)}T10:00:00", "longword": lambda: pick(low, r.randint(16, 40)),
+        "date": lambda: f"{r.randint(1990, 2024)}-1{r.randint(0, 2)}-0{r.randint(1, 9)}T10:00:00", "longword": lambda: pick(low, r.randint(16, 40)), "call": lambda: f"{pick(low, r.randint(3, 7))}{pick(low, 5).capitalize()}({r.choice(['', pick(low, 3), pick(string.digits, 1)])});",
     }[name]()
 
 
-def labelled_table(spark: SparkSession, rows: int = 700, seed: int = 11) -> DataFrame:
+def labelled_table(spark: SparkSession, rows: int = 1000, seed: int = 11) -> DataFrame:
     """A small labelled table: text, and the labels of its white-space tokens."""
     r = random.Random(seed)
     made = [labelled(TEMPLATES[i % len(TEMPLATES)], KIND_OF, lambda name: _make(name, r), r) for i in range(rows)]
@@ -113,7 +113,7 @@ def add_spans(text: str, data: bytes, base: list[tuple[int, int, str]], more: li
 
 
 def scan(docs: DataFrame, tagger: Tagger, base, kinds: tuple[str, ...], id_col: str, text_col: str, holds=None) -> DataFrame:
-    """Counts per base kind, digest of the base spans, all spans. One pass over the texts."""
+    """Counts per base kind, digest of the base spans, all spans and their number. One pass over the texts."""
     model = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,12 +125,14 @@ def scan(docs: DataFrame, tagger: Tagger, base, kinds: tuple[str, ...], id_col:
                 rows = []
                 for text, data, more in zip(texts, raw, model.value.tag(raw)):
                     found = base(text)
-                    rows.append((*(sum(s[2] == x for s in found) for x in kinds), hashlib.sha256(join_spans(found).encode()).hexdigest(), join_spans(add_spans(text, data, found, more, kinds, holds))))
+                    spans = add_spans(text, data, found, more, kinds, holds)
+                    rows.append((*(sum(s[2] == x for s in found) for x in kinds), len(spans), hashlib.sha256(join_spans(found).encode()).hexdigest(), join_spans(spans)))
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in cols[: len(kinds)]), *(pa.array(c, pa.string()) for c in cols[len(kinds) :])], names=[id_col, *(f"n_{x}" for x in kinds), "base_sha256", "spans"])
+                n = len(kinds) + 1
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in cols[:n]), *(pa.array(c, pa.string()) for c in cols[n:])], names=[id_col, *(f"n_{x}" for x in kinds), "n_spans", "base_sha256", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` long, {', '.join(f'n_{x} long' for x in kinds)}, base_sha256 string, spans string")
+    return rows.mapInArrow(run, f"`{id_col}` long, {', '.join(f'n_{x} long' for x in kinds)}, n_spans long, base_sha256 string, spans string")
 
 
 def find_secrets(docs: DataFrame, tagger: Tagger | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,8 @@ from .crf import Crf, train, viterbi
 _SHAPE = bytes(ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("0") if 48 <= b <= 57 else b for b in range(256))
 _TOKEN = re.compile(rb"\S+")
 _RUN = re.compile(rb"(a+|A+|0+|[^aA0]+)")
-_TRIM_LEFT, _TRIM_RIGHT = b"\"'`([{<,;:!?*#$%&|=", b"\"'`)]}>,;:!?*#$%&|=."
+_TRIM_LEFT, _TRIM_RIGHT = b"\"'`([{<,;:!?*#$%&|=", b"\"'`)]}>,;:!?*#$%&|."
+_PAIRS = ((b"(", b")"), (b"[", b"]"))
 TOKENS_AT_ONCE = 200_000
 
 
@@ -69,16 +70,15 @@ class Tagger:
     def clear(self) -> None:
         """Forget the shapes seen so far."""
         self.ids: dict[bytes, int] = {}
-        self.own: list[np.ndarray] = []
-        self.before: list[np.ndarray] = []
-        self.after: list[np.ndarray] = []
+        #: weights of each shape for itself, for the token after it and for the one before it
+        self.table = np.zeros((1024, 3, len(self.crf.labels)), np.float32)
 
     def shape_id(self, shape: bytes) -> int:
-        k = self.ids[shape] = len(self.own)
-        self.own.append(self.crf.rows(shape_features(shape)))
+        k = self.ids[shape] = len(self.ids)
+        if k == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         near = near_features(shape)
-        self.before.append(self.crf.rows([f"p{f}" for f in near]))
-        self.after.append(self.crf.rows([f"n{f}" for f in near]))
+        self.table[k] = self.crf.rows(shape_features(shape)), self.crf.rows([f"p{f}" for f in near]), self.crf.rows([f"n{f}" for f in near])
         return k
 
     def tag(self, texts: list[bytes]) -> list[list[tuple[int, int, str]]]:
@@ -110,7 +110,7 @@ class Tagger:
         if not len(s):
             return
         start = np.concatenate([[0], np.cumsum(lengths)])
-        own, before, after = (np.array(x, np.float32) for x in (self.own, self.before, self.after))
+        own, before, after = (self.table[:, x] for x in range(3))
         e = own[s] + self.lexical[""][w]
         first = np.zeros(len(s), bool)
         first[start[:-1][lengths > 0]] = True
@@ -140,6 +140,12 @@ def _spans(data: bytes, tokens: list[tuple[int, int]], labels: list[str]):
         raw = data[a:b]
         a += len(raw) - len(raw.lstrip(_TRIM_LEFT))
         b -= len(raw) - len(raw.rstrip(_TRIM_RIGHT))
+        for left, right in _PAIRS:  # a bracket stays with its fellow
+            inner = data[a:b]
+            if right in inner and data[a - 1 : a] == left and inner.find(left) in (-1, *range(inner.find(right), len(inner))):
+                a -= 1
+            elif left in inner and data[b : b + 1] == right and inner.rfind(right) < inner.rfind(left):
+                b += 1
         if a < b:
             yield a, b, kind
         k = j
@@ -188,6 +194,8 @@ def filler(r: random.Random, n: int) -> list[str]:
     parts = ["an", "ver", "tion", "el", "qu", "ment", "sch", "or", "is", "ado", "ber", "the", "ing", "lé", "ü", "os", "ñ"]
     words = ["".join(r.choice(parts) for _ in range(r.randint(1, 4))) for _ in range(n)]
     words = [w.capitalize() if r.random() < 0.15 else w + r.choice([",", "."]) if r.random() < 0.12 else w for w in words]
+    if r.random() < 0.8:  # prose: a sentence begins with a capital
+        words = [w.capitalize() if i and words[i - 1].endswith(".") else w for i, w in enumerate(words)]
     dress = r.random()
     if dress < 0.1:
         return [w.upper() + "!!" for w in words]
