@@ -5,10 +5,14 @@ Each block has features of its ancestors' tags, classes and ids, of its text
 and links, and of its neighbours. The CRF, trained on a small table of labelled
 pages, marks the blocks of the main text; Viterbi decodes a batch of pages.
 
+Of the markup only scripts, styles and comments have their content dropped by
+rule; all else is for the model to keep or leave.
+
 Defined results: null html is the empty page and has empty text; markup that is
-not closed ends with its parent; whole pages are read; repeated rows give
-repeated results; an empty table gives an empty table; other columns are kept
-out of the way.
+not closed ends with its parent; a tag, script, style or comment without an end
+takes the rest of the page; a quote that nothing closes is none; whole pages
+are read, in time that grows with their length; repeated rows give repeated
+results; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,8 +20,10 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,25 +39,119 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("html head body div section article main nav header footer aside form fieldset ul ol li dl dt dd table thead tbody tr td th caption p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary dialog option select title label button".split())
 #: What an opening tag ends, if open: its like, up to the nearest of the second set.
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-HIDDEN = frozenset("script style noscript template svg math iframe object textarea".split())
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
+#: Elements whose content is no markup: dropped, or text up to their end.
+DROPPED, PLAIN = ("script", "style"), ("title", "textarea")
+_END_OF = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in (*DROPPED, *PLAIN)}
+_TAG = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+class _Page:
+    """Tags and texts of a page in one pass: every search goes on from where the last one ended."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.absent: set[str] = set()  # what the rest of the page does not hold
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.absent:
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.absent.add(what)
+        return k
+
+    def tag_end(self, at: int) -> int:
+        """Where the ``>`` of a tag stands, -1 if nowhere; a quoted value, which follows a ``=``, may hold one."""
+        page, first = self.page, at
+        if self.find(">", at) < 0:
+            return -1
+        while m := _STOP.search(page, at):
+            k = at = m.start()
+            if page[k] == ">":
+                return k
+            at += 1
+            while k > first and page[k - 1].isspace():
+                k -= 1
+            if k > first and page[k - 1] == "=":
+                close = self.find(m[0], at)
+                if close < 0:  # a quote that nothing closes is none
+                    return self.find(">", at)
+                at = close + 1
+        return -1
+
+    def pieces(self):
+        """(tag, attributes, text): an opening tag, an end tag as "/tag", or a text with tag None."""
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            lt = self.find("<", at)
+            if lt < 0:
+                yield None, "", page[at:]
+                return
+            if lt > at:
+                yield None, "", page[at:lt]
+            m = _TAG.match(page, lt)
+            if not m:
+                mark = page[lt + 1 : lt + 2]
+                if mark not in ("!", "?", "/"):
+                    yield None, "", "<"
+                    at = lt + 1
+                    continue
+                comment = page.startswith("<!--", lt)
+                close = self.find("-->", lt + 2) if comment else self.find(">", lt)
+                if close < 0:
+                    return
+                at = close + (3 if comment else 1)
+                continue
+            end = self.tag_end(m.end())
+            if end < 0:  # the page breaks off within a tag
+                return
+            at, tag = end + 1, m[1].lower()
+            if page[lt + 1] == "/":
+                yield "/" + tag, "", ""
+                continue
+            yield tag, page[m.end() : end], ""
+            if tag in _END_OF:
+                close = _END_OF[tag].search(page, at)
+                upto = close.start() if close else n
+                if tag in PLAIN:
+                    yield None, "", page[at:upto]
+                at = upto
+
+
+@dataclass(frozen=True)
+class Element:
+    """An open element with what its blocks need to know of all around it; what an element adds nothing to is shared."""
+
+    tag: str
+    tags: frozenset[str]
+    names: frozenset[str]
+    outer: tuple[str, ...]  # the two nearest block elements
+
+
 @dataclass
 class Block:
-    tags: tuple[str, ...]
-    names: tuple[str, ...]
+    within: Element
     text: str
     linked: int = 0
-    parts: list[str] = field(default_factory=list)
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order, white space made one, references decoded."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+ROOT = Element("", frozenset(), frozenset(), ())
+
+
+def blocks(page: str, known: dict[str, int] | None = None) -> list[Block]:
+    """Leaf blocks in page order, white space made one, references decoded.
+
+    Time and memory grow with the page's length, however deep it is: where the
+    open elements stand is kept by name, and ``known`` limits the tags and class
+    names that are gathered to those that a model has features of.
+    """
+    stack: list[Element] = []
+    where: defaultdict[str, list[int]] = defaultdict(list)  # places of each open tag
+    open_blocks: list[int] = []
     found: list[Block] = []
     parts: list[str] = []
     linked = 0
@@ -59,63 +159,77 @@ def blocks(page: str) -> list[Block]:
     def close() -> None:
         nonlocal parts, linked
         if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+            text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                found.append(Block(tuple(t for t, _ in stack), tuple(n for _, ns in stack for n in ns), text, linked))
+                found.append(Block(stack[-1] if stack else ROOT, text, linked))
         parts, linked = [], 0
 
-    for m in _PIECE.finditer(page):
-        tag, text = m[2], m[4]
-        if text is not None:
-            parts.append(text)
-            if any(t == "a" for t, _ in stack):
-                linked += len(text)
-            continue
+    def cut(to: int) -> None:
+        while len(stack) > to:
+            tag = stack.pop().tag
+            where[tag].pop()
+            if tag in BLOCK:
+                open_blocks.pop()
+
+    def top(tags) -> int:
+        return max((where[t][-1] for t in tags if where[t]), default=-1)
+
+    for tag, attributes, text in _Page(page).pieces():
         if tag is None:
-            if m[1] is not None:
+            parts.append(html.unescape(text) if "&" in text else text)
+            if where["a"]:
+                linked += len(text)
+        elif tag[0] == "/":
+            tag = tag[1:]
+            if tag in BLOCK:
+                close()
+            # an inline end does not reach beyond its block
+            if where[tag] and (tag in BLOCK or not open_blocks or where[tag][-1] > open_blocks[-1]):
+                cut(where[tag][-1])
+        elif tag in VOID:
+            if tag == "hr":
+                close()
+            elif tag != "wbr":
+                parts.append(" ")
+        else:
+            if tag in DROPPED:
                 parts.append(" ")
-            continue
-        tag = tag.lower()
-        if m[0][1] == "/":
             if tag in BLOCK:
                 close()
-            if any(t == tag for t, _ in stack):
-                # an inline end does not reach beyond its block
-                inner = len(stack) - 1 - next(i for i, (t, _) in enumerate(reversed(stack)) if t == tag)
-                if tag in BLOCK or not any(t in BLOCK for t, _ in stack[inner:]):
-                    del stack[inner:]
-            continue
-        if tag in VOID:
-            parts.append(" ")
-            continue
-        if tag in BLOCK:
-            close()
-            like, limit = ENDS.get(tag, (set(), set()))
-            if any(t == "p" for t, _ in stack):  # a paragraph holds no block
-                del stack[next(i for i, (t, _) in enumerate(stack) if t == "p") :]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in limit:
-                    break
-                if stack[i][0] in like:
-                    del stack[i:]
-                    break
-        names = tuple(w for x in _NAMED.findall(m[3]) for w in _WORD.findall("".join(x[1:]).lower())) if m[3] else ()
-        if not m[3].rstrip().endswith("/"):
-            stack.append((tag, names))
+                if where["p"]:  # a paragraph holds no block
+                    cut(where["p"][0])
+                like, limit = ENDS.get(tag, ((), ()))
+                above = top(limit)
+                ended = [places[i] for t in like if (i := bisect_right(places := where[t], above)) < len(places)]
+                if ended:
+                    cut(min(ended))
+            if attributes.rstrip().endswith("/") and tag not in _END_OF:
+                continue
+            up = stack[-1] if stack else ROOT
+            names = {w for x in _NAMED.findall(attributes) for w in _WORD.findall("".join(x[1:]).lower())} if attributes else set()
+            names = {w for w in names - up.names if known is None or f"c={w}" in known}
+            new = tag not in up.tags and (known is None or f"t={tag}" in known)
+            where[tag].append(len(stack))
+            if tag in BLOCK:
+                open_blocks.append(len(stack))
+            stack.append(Element(tag, up.tags | {tag} if new else up.tags, up.names | names if names else up.names, (*up.outer[-1:], tag) if tag in BLOCK else up.outer))
     close()
     return found
 
 
+_SECTIONS = frozenset("article main nav header footer aside form".split())
+
+
 def features(bs: list[Block]) -> list[list[str]]:
     own = []
     for b in bs:
         n, words = len(b.text), b.text.count(" ") + 1
         stops = sum(b.text.count(c) for c in ".!?;,")
         link = b.linked / max(1, n)
-        outer = [t for t in b.tags if t in BLOCK]
-        f = [f"t={t}" for t in set(b.tags)] + [f"c={x}" for x in set(b.names)] + [f"leaf={outer[-1] if outer else ''}", f"up={'>'.join(outer[-2:])}"]
+        within = b.within
+        f = [f"t={t}" for t in within.tags] + [f"c={x}" for x in within.names] + [f"leaf={within.outer[-1] if within.outer else ''}", f"up={'>'.join(within.outer)}"]
         f += [f"w={min(words.bit_length(), 7)}", f"link={int(link * 4)}", f"stops={min(stops, 4)}"]
-        f += ["sign" for _ in [0] if b.text[0] in "©&|»›"] + (["bare"] if not set(b.tags) & {"article", "main", "nav", "header", "footer", "aside", "form"} else [])
+        f += ["sign" for _ in [0] if b.text[0] in "©&|»›"] + (["bare"] if not within.tags & _SECTIONS else [])
         own.append(f)
     edge = lambda f: [x for x in f if x[:2] in ("le", "w=", "li")]
     return [f + [f"p{x}" for x in (edge(own[i - 1]) if i else ["start"])] + [f"n{x}" for x in (edge(own[i + 1]) if i + 1 < len(own) else ["end"])] for i, f in enumerate(own)]
@@ -165,7 +279,7 @@ def block_labels(bs: list[Block], main: list[str]) -> list[str]:
     tags, at = [], 0
     for b in bs:
         # the title repeats no block of the body
-        hit = at < len(main) and "title" not in b.tags and b.text == _SPACE.sub(" ", main[at]).strip()
+        hit = at < len(main) and "title" not in b.within.tags and b.text == _SPACE.sub(" ", main[at]).strip()
         tags.append(("I-text" if tags and tags[-1] != "O" else "B-text") if hit else "O")
         at += hit
     return tags
@@ -180,7 +294,7 @@ def train_extractor(table: DataFrame, max_rows: int = 1000) -> Crf:
 
 def main_texts(model: Crf, pages: list[str | None]) -> list[str]:
     """Main text of each page, its blocks parted by one line feed."""
-    cut = [blocks(p or "") for p in pages]
+    cut = [blocks(p or "", model.index) for p in pages]
     emissions = [model.rows(f) for bs in cut for f in features(bs)]
     if not emissions:
         return [""] * len(pages)
