@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import release, written
 
 MAX_ROUNDS = 60
 SALTS = 16  # parts of a node's edges: the centre of a large star is not one task
@@ -43,7 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        edges = written(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        release(before)
         after = _state(edges)
         if after == state:
             break

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE = 1500  # labelled documents of each language to learn from, about
+LANGUAGES = 256  # languages to learn: the counts and the model take some 1.2 MB each in a worker
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
 ROUNDS, AT_ONCE = 8, 2_000_000
 UNKNOWN = "und"
@@ -78,10 +79,14 @@ class Languages:
         return np.add.reduceat(per, begins, axis=0), owner[begins]
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Languages:
-    """Count n-grams of about ``sample`` labelled documents of each language, chosen by hash of their id and text length."""
+def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", languages: int = LANGUAGES) -> Languages:
+    """Count n-grams of about ``sample`` labelled documents of each language, chosen by hash of their id and text length.
+
+    Of more than ``languages`` labels those with the most documents are
+    learned, so memory has a bound however dirty the labels are.
+    """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     names = sorted(sizes)
     if not names:
         return Languages([], np.zeros((len(ORDERS), BUCKETS, 0), np.float32))
@@ -98,7 +103,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
         at, bucket = np.nonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(bucket, pa.int32()), pa.array(seen[at, bucket], pa.int64())], names=["lang", "bucket", "n"])
 
-    chosen = rows.where(F.shiftrightunsigned(F.xxhash64("id", F.length("text")), 11) / float(1 << 53) < share).select("text", "lang")
+    chosen = rows.where(share.isNotNull()).where(F.shiftrightunsigned(F.xxhash64("id", F.length("text")), 11) / float(1 << 53) < share).select("text", "lang")
     found = chosen.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets at most
     counts = np.zeros((len(names), len(ORDERS) * BUCKETS))
     counts[found.lang, found.bucket] = found.n
@@ -178,8 +183,9 @@ def predict(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col:
 
 
 def annotate(docs: DataFrame, model: Languages, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and languages, in one pass and without a join."""
+    """``docs`` with lang_pred, score and languages, in one pass and without a join; columns of these names are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c == text_col or c.lower() not in ("lang_pred", "score", "languages")))
     names = [*docs.columns, "lang_pred", "score", "languages"]
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.StringType())])
@@ -191,7 +197,7 @@ def annotate(docs: DataFrame, model: Languages, text_col: str = "text") -> DataF
                 yield pa.RecordBatch.from_arrays([*part.columns, *_columns(infer(sent.value, part.column(at).to_pylist()))], names=names)
         pa.default_memory_pool().release_unused()  # the worker lives on for later stages
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))).mapInArrow(run, schema)  # a name may hold a dot
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:

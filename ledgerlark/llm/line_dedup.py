@@ -20,7 +20,9 @@ Defined results: null text stays null; empty text has one empty line and stays;
 a document that loses all lines keeps its row with empty text; rows repeated
 with id and text are one document and change alike; documents that share an id
 but not the text are in the order of a hash of it; null ids come first; extra
-columns are returned unchanged; an empty table gives an empty table.
+columns are returned unchanged, one with the name of ``count_col`` is replaced;
+an empty table gives an empty table. A document's lines are ordered in one
+task: they were one row of it before.
 """
 
 from __future__ import annotations
@@ -28,19 +30,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import release, written
 
 MIN_WORDS = 50
 AT = ["d", "th"]
 
 
 def document_key(id_col: str, text_col: str) -> list[Column]:
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.col(text_col).cast("string")).alias("th")]
+    return [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("th")]
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(d, th, pos, h1, h2, w): each line's place, 128-bit id and words; the lines themselves are not moved."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(*document_key(id_col, text_col), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "line"))
+    text = F.col(f"`{text_col}`")
+    rows = docs.where(text.isNotNull()).select(*document_key(id_col, text_col), F.posexplode(F.split(text.cast("string"), "\n")).alias("pos", "line"))
     words = F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+"))
     return rows.select("d", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), words.cast("int").alias("w"))
 
@@ -73,8 +76,11 @@ def doubled(level: DataFrame, span: int) -> DataFrame:
     """Suffixes ranked by twice ``span`` lines from those ranked by ``span``; only repeats stay."""
     after = level.select("d", "th", (F.col("pos") - span).alias("pos"), F.col("rank").alias("next"))
     pairs = written(level.select("d", "th", "pos", F.col("rank").alias("this")).join(after, [*AT, "pos"]), "pairs")
-    ranks = ordered_ranks(_repeated(pairs, ["this", "next"]), ["this", "next"])
-    return pairs.join(ranks, ["this", "next"]).select("d", "th", "pos", "rank")
+    repeats = _repeated(pairs, ["this", "next"])
+    ranks = ordered_ranks(repeats, ["this", "next"])
+    ranked = written(pairs.join(ranks, ["this", "next"]).select("d", "th", "pos", "rank"), "level")
+    release(pairs, repeats)
+    return ranked
 
 
 def least_windows(rows: DataFrame, min_words: int) -> DataFrame:
@@ -103,7 +109,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     level = rows.select("d", "th", "pos", "rank")
     levels = level.withColumn("level", F.lit(0))
     for k in range(deepest):
-        level = written(doubled(level, 1 << k), "level")
+        level = doubled(level, 1 << k)
         levels = levels.unionByName(level.withColumn("level", F.lit(k + 1)))
     tail = (F.col("pos") + F.col("len") - F.pow(F.lit(2.0), F.col("level"))).cast("int")
     head = windows.withColumn("tail", tail).join(levels.withColumnRenamed("rank", "left"), [*AT, "level", "pos"])
@@ -125,13 +131,15 @@ def remove_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: st
     late = later_copies(docs, min_words, id_col, text_col)
     gone = late.select(*AT, F.explode(F.sequence("first", "last")).alias("pos")).groupBy(*AT).agg(F.collect_list("pos").alias("gone"))
     key = [c.alias(f"line_dedup_{n}") for c, n in zip(document_key(id_col, text_col), AT)]
-    keyed = docs.select("*", *key)
+    kept = [c for c in docs.columns if c == text_col or count_col is None or c.lower() != count_col.lower()]
+    keyed = docs.select(*(F.col(f"`{c}`") for c in kept), *key)
     hit = keyed.join(gone.select(*(F.col(n).alias(f"line_dedup_{n}") for n in AT), F.col("gone").alias("line_dedup_gone")), [f"line_dedup_{n}" for n in AT], "left")
-    lines = F.split(F.col(text_col).cast("string"), "\n")
+    text = F.col(f"`{text_col}`")
+    lines = F.split(text.cast("string"), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("line_dedup_gone"))
     left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    changed = F.when(F.col("line_dedup_gone").isNull(), F.col(text_col)).otherwise(left)
-    cols = [changed.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    changed = F.when(F.col("line_dedup_gone").isNull(), text).otherwise(left)
+    cols = [changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept]
     return hit.select(*cols, *([F.coalesce(F.size("line_dedup_gone"), F.lit(0)).cast("long").alias(count_col)] if count_col else []))
 
 
@@ -140,7 +148,7 @@ def suffix_array(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     level = written(repeated_lines(written(line_table(docs, id_col, text_col), "lines"), 0).select("d", "th", "pos", "rank"), "level")
     found, span = level.withColumn("depth", F.lit(1)), 1
     while not level.isEmpty():
-        level = written(doubled(level, span), "level")
+        level = doubled(level, span)
         span *= 2
         found = found.unionByName(level.withColumn("depth", F.lit(span)))
     deepest = found.groupBy("d", "th", "pos").agg(F.max(F.struct("depth", "rank")).alias("x"))

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import release, written
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2
 ROUNDS, CLOSE, FILLS = 25, 1e-7, 3
@@ -83,7 +83,8 @@ def solve_rates(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataF
         newton = F.col("lam") - (F.col("f") - F.col("target")) / F.nullif(F.col("g"), F.lit(0.0))
         met = F.abs(F.col("f") - F.col("target")) <= F.col("target") * CLOSE
         moved = sums.select("source", "target", "mean", lo.alias("lo"), hi.alias("hi"), F.when(met, F.col("lam")).when((newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2).alias("lam"), met.alias("met"))
-        state = written(moved, "duals")
+        before, state = state, written(moved, "duals")
+        release(before)
         if state.where("not met").isEmpty():
             break
     # sums of doubles depend on their order in the last bits, reruns should not
@@ -113,9 +114,14 @@ def _cutoffs(steps: DataFrame, targets: DataFrame) -> DataFrame:
     return known
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, rate, copies, taken): how often the mix takes each document."""
-    rows = written(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """(id, source, size, source_size, target, rate, copies, taken): how often the mix takes each document.
+
+    ``row_col`` names a column that numbers the rows of stored ``docs``; it is
+    returned, so that rows which share an id can be told apart.
+    """
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = written(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), row.alias("row")), "sizes")
     targets = written(source_targets(rows, weights, share, most), "targets")
     duals = solve_rates(rows, targets, most)
     t = targets.join(duals, _same(targets, duals), "left").select(targets["*"], "lam", "mean")
@@ -132,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     taken = joined.select(id_col, rated.source, "size", "source_size", "target", "rate", copies.alias("copies"), F.struct("size", F.xxhash64(id_col, F.lit("fill")).alias("h"), F.col(id_col).alias("i"), "row").alias("key"))
     for _ in range(FILLS):
         taken = _filled(written(taken, "taken"), most)
-    return taken.select(id_col, "source", "size", "source_size", "target", F.round("rate", 9).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return taken.select(*([F.col("key.row").alias(row_col)] if row_col else []), id_col, "source", "size", "source_size", "target", F.round("rate", 9).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _filled(taken: DataFrame, most: int) -> DataFrame:

@@ -13,11 +13,13 @@ place from its rank among the pieces of its length; ranks come from counts of
 
 Defined results: null text is the empty text, one piece that holds the end id
 only; repeated rows are packed as often as they occur; an empty table gives an
-empty table; other columns are ignored.
+empty table; ``pack_documents`` ignores other columns, ``pack`` returns them
+whatever their names and replaces ``sequence_id`` and ``offset``.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,6 +40,24 @@ _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _BEYOND_LATIN = re.compile("[\u0130\u0250-\U0010ffff]")
 
 
+def cuts_at_space(tokenizer: str) -> bool:
+    """Whether a tokenizer (its JSON) lowers case and drops white space without joining anything across it."""
+    import regex
+
+    spec = json.loads(tokenizer)
+    norm, cut = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    norms, cuts = norm.get("normalizers", [norm]), cut.get("pretokenizers", [cut])
+    plain = all(n.get("type") in ("NFC", "Lowercase") or n.get("type") == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in norms)
+    if not plain or not any(n.get("type") == "Lowercase" for n in norms) or spec.get("truncation") or spec.get("padding"):
+        return False
+    first = cuts[0]
+    if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert") or "Regex" not in first.get("pattern", {}):
+        return False
+    # the words must be what the pattern finds, and nothing that it finds may hold white space
+    probe = "".join(f"a{x}{y}b1" for x in " \t\n\r\v\f\x85\xa0\u2028\u3000" for y in (" ", "'s", "!", "é", "\u0301", "_", ""))
+    return not any(any(c.isspace() for c in m[0]) for m in regex.finditer(first["pattern"]["Regex"], probe)) and all(c.get("type") == "ByteLevel" and not c.get("add_prefix_space") for c in cuts[1:])
+
+
 class WordIds(dict):
     """Little-endian ids of white-space-separated words.
 
@@ -49,6 +69,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.old = Tokenizer.from_file(path), limit, {}
+        self.by_word = cuts_at_space(self.tokenizer.to_str())
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -62,8 +83,8 @@ class WordIds(dict):
         return found
 
     def ids(self, text: str) -> bytes:
-        """Ids of a whole text: the tokenizer lowers case, drops white space and joins nothing across it."""
-        if any(x in text for x in _ODD):
+        """Ids of a whole text, word by word if the tokenizer lowers case, drops white space and joins nothing across it."""
+        if not self.by_word or any(x in text for x in _ODD):
             return self.whole(text)
         if text.isascii() or not _BEYOND_LATIN.search(text):
             text = text.lower()
@@ -159,20 +180,24 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
-    """Place each row by its ``length``: adds sequence_id and offset. ``rows`` must be stored, it is read three times."""
+    """Place each row by its ``length``: adds sequence_id and offset. ``rows`` must be stored, it is read three times.
+
+    A row travels as one struct, so no column of it meets those of the plan.
+    """
     spark = rows.sparkSession
+    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns if c.lower() not in ("sequence_id", "offset"))).alias("whole")
     counts = {r.length: r["count"] for r in rows.groupBy("length").count().collect()}  # at most ``capacity`` rows
     steps = spark.createDataFrame(best_fit_plan(counts, capacity) or [(0, 0, 1, 0, 0)], "length long, rank long, per long, first long, base long")
     plan = steps.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("rank", "per", "first", "base"))).alias("steps"))
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)))
+    salted = rows.select(whole, "length", F.pmod(F.xxhash64(F.col(f"`{id_col}`"), "piece"), F.lit(salts)).alias("salt"))
     sizes = salted.groupBy("length", "salt").count()
     before = sizes.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
-    ranked = salted.withColumn("at", F.row_number().over(Window.partitionBy("length", "salt").orderBy(id_col, "piece")))
+    ranked = salted.withColumn("at", F.row_number().over(Window.partitionBy("length", "salt").orderBy(F.col(f"whole.`{id_col}`"), "whole.piece")))
     ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("at") - 1)
     placed = ranked.join(F.broadcast(plan), "length").withColumn("step", F.expr("element_at(filter(steps, s -> s.rank <= rank), -1)"))
     turn = F.col("rank") - F.col("step.rank")
-    return placed.select(*rows.columns, (F.col("step.first") + F.floor(turn / F.col("step.per"))).cast("long").alias("sequence_id"), (F.col("step.base") + (turn % F.col("step.per")) * F.col("length")).cast("long").alias("offset"))
+    return placed.select("whole.*", (F.col("step.first") + F.floor(turn / F.col("step.per"))).cast("long").alias("sequence_id"), (F.col("step.base") + (turn % F.col("step.per")) * F.col("length")).cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", cached_words: int = CACHED_WORDS) -> DataFrame:

@@ -55,16 +55,17 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(id, fp): the fingerprint of each whole text as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep, fp): the fingerprint of each whole text as a signed long; ``keep`` names long columns to carry along."""
+    names = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=[id_col, "fp"])
+            made = np.array([fingerprint(t.as_py(), words) for t in batch.column(len(names))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(made, pa.int64())], names=[*names, "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` long, fp long")
+    rows = docs.select(*(F.col(f"`{c}`").cast("long").alias(c) for c in names), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"`{c}` long" for c in [*names, "fp"]))
 
 
 def _segment(fp: np.ndarray, k: int) -> np.ndarray:
@@ -123,7 +124,7 @@ def link_fingerprints(nodes: DataFrame, bits: int = BITS) -> DataFrame:
         raise ValueError(f"the keys guarantee links of at most {BITS} differing bits")
     named = lambda links: nodes.join(links, nodes.fp == links.node, "left").select("fp", F.coalesce("component", "fp").alias("group"))
     first = written(named(components(_star_links(nodes, bits))), "stars")
-    keys = written(_key_rows(first), "keys")
+    keys = written(_key_rows(first), "keys")  # read by both sides of the join below
     stored = keys.select(F.explode("stored").alias("key"), "fp", "group")
     probing = keys.select(F.explode("probing").alias("key"), F.col("fp").alias("fp2"), F.col("group").alias("group2"))
     meet = (stored.key == probing.key) & (F.col("fp") < F.col("fp2")) & (F.col("group") != F.col("group2")) & (_distance("fp", "fp2") <= bits)
@@ -131,6 +132,25 @@ def link_fingerprints(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     return first.join(more, first.group == more.node, "left").select("fp", F.coalesce("component", "group").alias("group"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = BITS) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class: the one of the smallest id, null ids last.
+
+    Rows are told apart by themselves and not by their id: rows that share an
+    id, or have none, are documents of their own. Among rows of one id that
+    with the smallest hash of its columns stays, so reruns agree; only equal
+    rows are beyond that, and which of them stays makes no difference.
+    """
+    row = "near_duplicates_row"
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map" not in kind and "variant" not in kind]
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    keys = numbered.select(F.col(row).alias("row"), F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(*hashed).alias("h"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    prints = written(fingerprints(keys, "row", "text", words, ("i", "h")), "fingerprints")
+    order = F.struct(F.col("i").isNull().alias("unnamed"), "i", "h", "row")
+    nodes = written(prints.groupBy("fp").agg(F.min(order).alias("best")), "nodes")
+    best = link_fingerprints(nodes.select("fp"), bits).join(nodes, "fp").groupBy("group").agg(F.min("best").alias("best"))
+    return numbered.join(best.select(F.col("best.row").alias(row)), row, "left_semi").drop(row)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = BITS) -> DataFrame:
     """(id, fingerprint, component_id): the component is the smallest id reachable over links."""
     rows = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
