@@ -2,14 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and reread as the next one's ``docs``; all but the last return the
-columns of ``documents``. Empty and null columns are handled as the operators
-state.
+columns of ``documents``. Rows are told apart by themselves, not by doc_id:
+rows that share an id, or have none, are documents of their own. Null or empty
+text: goes in the first stage, as it has no letter. Repeated rows: one stays in
+near-dedup. Ties: as the operators state. An empty table gives an empty table;
+columns besides those of ``documents`` are dropped.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import language_id, line_dedup, mixing, packing, simhash
@@ -19,12 +22,6 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
-def _with(docs: DataFrame, decisions: DataFrame, keep: Column) -> DataFrame:
-    """``docs`` for which a row of ``decisions`` of the same id has ``keep``; ids may be null."""
-    d = decisions.where(keep).select(F.col("doc_id").alias("decided_id")).distinct()
-    return docs.join(d, F.col("doc_id").eqNullSafe(F.col("decided_id")), "left_semi")
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language, which is set; those without letters go."""
     model = language_id.train(docs.where(~language_id.is_held_out(F.col("doc_id"))))
@@ -39,16 +36,15 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one of the smallest id."""
-    classes = written(simhash.near_duplicates(docs), "classes")
-    return _with(docs.select(*COLUMNS), classes, F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["doc_id"])
+    """One document of each near-duplicate class, the one of the smallest id; no other document goes."""
+    return simhash.one_of_each(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")).withColumnRenamed("doc_id", "mixed_id")
-    rows = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
+    taken = mixing.mix(rows, row_col="row").where("copies > 0").select("row", "copies")
+    return rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
