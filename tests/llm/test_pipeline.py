@@ -44,10 +44,11 @@ def test_every_stage_equals_its_plain_version(spark, tmp_path):
     assert Counter((low(x.doc_id), x.text) for x in lines) == Counter((k, cut[k, t]) for k, t in ((low(x.doc_id), x.text) for x in known) if cut[k, t] or not t)
     assert all(x.n_chars == len(x.text) for x in lines)
 
-    prints = {x.doc_id: plain_fingerprint(x.text) for x in lines if x.doc_id is not None}
-    links = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
-    roots = set(plain_components(list(prints), links).values())
-    assert {x.doc_id for x in single if x.doc_id is not None} == roots and len(single) == len({x.doc_id for x in single})
+    ordered = sorted(lines, key=lambda x: (x.doc_id is None, x.doc_id or 0, x.text))
+    prints = [plain_fingerprint(x.text) for x in ordered]
+    links = [(a, b) for a in range(len(prints)) for b in range(a + 1, len(prints)) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    roots = [ordered[k] for k in sorted(set(plain_components(range(len(prints)), links).values()))]
+    assert Counter((x.doc_id, x.text) for x in single) == Counter((x.doc_id, x.text) for x in roots)
     assert {300 + i for i in range(10)} & {x.doc_id for x in single} == set()
 
     sizes, taken = Counter(), Counter()
@@ -72,6 +73,26 @@ def test_every_stage_equals_its_plain_version(spark, tmp_path):
     assert len(held) == len(best_fit([n for x in ids for n in [4096] * (x // 4096) + [x % 4096] if n], 4096))
 
 
+def test_documents_of_one_id_or_none_are_kept_apart(spark, tmp_path):
+    r = random.Random(5)
+    a, b, c, d = (" ".join(r.choice(["oak", "elm", "ash", "fir", "yew"]) + str(r.randint(0, 99)) for _ in range(300)) for _ in range(4))
+    rows = [(1, a), (5, a + " x"), (5, b), (None, c), (None, d), (None, d), (5, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert (plain_fingerprint(a) ^ plain_fingerprint(a + " x")).bit_count() <= 4
+    for parts in (1, 5):
+        docs.repartition(parts).write.parquet(str(tmp_path / f"in{parts}"))
+        kept = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(str(tmp_path / f"in{parts}")), str(tmp_path))
+        assert Counter((x.doc_id, x.text) for x in kept.collect()) == Counter([(1, a), (5, b), (None, c), (None, d)])
+    same_id = [(7, "w " * 40, "en", "s", 80), (7, "v " * 90, "en", "s", 180), (None, "u " * 70, "en", "s", 140), (None, "t " * 10, "en", "t", 20)]
+    spark.createDataFrame(same_id, docs.schema).write.parquet(str(tmp_path / "mix"))
+    mixed = Counter((x.doc_id, x.text) for x in corpus_pipeline.mix_sources(spark, spark.read.parquet(str(tmp_path / "mix")), str(tmp_path)).collect())
+    words = Counter()
+    for (_, t), n in mixed.items():
+        words[t.split()[0] == "t"] += n * len(t.split())
+        assert n <= 2
+    assert words[False] <= 295 + 90 and words[True] <= 20 and abs(words[False] - 295) <= 40
+
+
 def test_run_reads_the_table(spark, tmp_path):
     docs = spark.createDataFrame(corpus()[:30], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))

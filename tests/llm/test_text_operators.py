@@ -1,6 +1,7 @@
 """Operators on documents: brute force, round trips, held-out accuracy, odd rows."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -9,11 +10,14 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import labelled_texts
 import xxhash
 from tokenizers import Tokenizer
 
 from ledgerlark.llm import components, crf, golay, language_id, line_dedup, mixing, ogg_media, packing, pii_scan, secret_scan, simhash
 
+from ledgerlark.llm.span_crf import _spans
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, d int, rank int"
 LONG = "lang word " * 30_000
 ODD = [(1, None, "en", "a", 0, 0, 0), (2, "", None, None, 0, 0, 0), (None, "null id here", "en", "a", 0, 0, 0), (3, "same text", "en", "b", 0, 0, 0), (3, "same text", "en", "b", 0, 0, 0), (4, LONG, "en", "b", 0, 0, 0), (5, "?! 12 \n\n", "de", "b", 0, 0, 0)]
@@ -33,7 +37,7 @@ def test_ogg_round_trip(n):
     ogg = ogg_media.parse(ogg_media.encode(payload))
     assert ogg_media.payload_of(ogg) == payload and ogg.bad_pages == 0
     assert all(s.ended for s in ogg.streams.values())
-    assert sum(s.granule for s in ogg.streams.values()) == n
+    assert sum(s.ends[-1] for s in ogg.streams.values()) == n
 
 
 def test_ogg_checksum_is_the_bitwise_one():
@@ -53,6 +57,44 @@ def test_ogg_damage_is_noticed():
     assert ogg_media.parse(b"").pages == 0
 
 
+def pages_of(media):
+    cuts, at = [], 0
+    while at < len(media):
+        n = media[at + 26]
+        end = at + 27 + n + sum(media[at + 27 : at + 27 + n])
+        cuts.append((at, end))
+        at = end
+    return cuts
+
+
+@pytest.mark.parametrize("n", [64, 4160, 200_000, 400_000])
+def test_every_lost_page_and_flipped_byte_is_told(n):
+    payload = random.Random(n).randbytes(n)
+    media = ogg_media.encode(payload, packet=150_000 if n == 400_000 else 4096)
+    stored = {media_packet for s in ogg_media.parse(media).streams.values() for media_packet in s.packets}
+    assert ogg_media.payload_of(ogg_media.parse(media)) == payload
+    r = random.Random(1)
+    for a, b in pages_of(media):
+        lost = ogg_media.parse(media[:a] + media[b:])
+        assert ogg_media.payload_of(lost) is None and all(p in stored for s in lost.streams.values() for p in s.packets)
+        for at in {*range(a, min(b, a + 28)), r.randrange(a, b), b - 1}:
+            hit = bytearray(media)
+            hit[at] ^= 1 << r.randrange(8)
+            hit = ogg_media.parse(bytes(hit))
+            assert ogg_media.payload_of(hit) is None and all(p in stored for s in hit.streams.values() for p in s.packets)
+        assert ogg_media.payload_of(ogg_media.parse(media[:b] + media[a:])) == payload  # a page that comes twice counts once
+    for at in (1, 30, len(media) // 2, len(media) - 1):
+        assert ogg_media.payload_of(ogg_media.parse(media[:at])) is None
+
+
+def test_damaged_media_has_no_payload(spark):
+    media = bytearray(ogg_media.encode(b"x" * 9000))
+    media[500] ^= 1
+    rows = spark.createDataFrame([(1, 9000, bytes(media)), (2, 9000, None)], "doc_id long, n_bytes long, media binary")
+    for x in ogg_media.ogg_features(rows).collect():
+        assert x.payload_sha256 is None and not x.intact and x.feature.startswith("damaged")
+
+
 def test_ogg_query_columns(spark):
     got = {(r.doc_id, r.n_bytes): r for r in ogg_media.ogg_features(ogg_media.store_text_as_ogg(docs(spark, ODD))).collect()}
     for key, text, *_ in ODD:
@@ -90,6 +132,68 @@ def test_viterbi_equals_brute_force():
         at += n
 
 
+def test_marginals_equal_brute_force():
+    r = np.random.default_rng(5)
+    e, moves, start, lens = r.normal(size=(3, 4, 3)) * 3, r.normal(size=(3, 3)), r.normal(size=3), np.array([4, 1, 3])
+    p, pairs = crf.marginals(e, lens, moves, start)
+    want, want_pairs = np.zeros_like(p), np.zeros((3, 3))
+    for i, n in enumerate(lens):
+        paths = list(np.ndindex(*[3] * n))
+        score = np.array([start[x[0]] + sum(e[i, t, y] for t, y in enumerate(x)) + sum(moves[a, b] for a, b in zip(x, x[1:])) for x in paths])
+        chance = np.exp(score - score.max())
+        for x, c in zip(paths, chance / chance.sum()):
+            for t, y in enumerate(x):
+                want[i, t, y] += c
+            for ab in zip(x, x[1:]):
+                want_pairs[ab] += c
+    assert np.allclose(p, want) and np.allclose(pairs, want_pairs)
+
+
+def test_training_finds_the_best_weights():
+    rows = [([["a"], ["b"], ["a"]], ["O", "B", "I"]), ([["b"], ["c"]], ["B", "O"]), ([["a"]], ["O"])]
+    made = crf.train(rows, ["O", "B", "I"], steps=600, rate=0.05, l2=0.1)
+
+    def loss(w, a, s):
+        total = 0.0
+        for feats, tags in rows:
+            e = np.array([sum(w[made.index[f]] for f in fs) for fs in feats])
+            score = lambda x: s[x[0]] + sum(e[t, y] for t, y in enumerate(x)) + sum(a[p, q] for p, q in zip(x, x[1:]))  # noqa: E731, B023
+            gold = [made.labels.index(t) for t in tags]
+            total += np.log(sum(np.exp(score(x)) for x in np.ndindex(*[3] * len(tags)))) - score(gold)
+        return total + 0.05 * sum((p**2).sum() for p in (w, a, s))
+
+    here = loss(made.weights, made.moves, made.start)
+    for k, p in enumerate((made.weights, made.moves, made.start)):
+        for at in np.ndindex(*p.shape):
+            for step in (1e-2, -1e-2):
+                moved = [x.copy() for x in (made.weights, made.moves, made.start)]
+                moved[k][at] += step
+                assert loss(*moved) > here - 1e-5
+
+
+@pytest.mark.parametrize("module, block", [(secret_scan, labelled_texts.SECRETS), (pii_scan, labelled_texts.PII)])
+def test_spans_in_texts_written_by_hand(spark, module, block):
+    """Places and kinds of the spans that the method adds, on texts that are not the generator's."""
+    rows = labelled_texts.read(block)
+    scan = secret_scan.find_secrets if module is secret_scan else pii_scan.find_pii
+    found = {x.doc_id: x for x in scan(docs(spark, [(i, t) for i, (t, _) in enumerate(rows)])).collect()}
+    right, added, asked = Counter(), Counter(), Counter()
+    for i, (text, spans) in enumerate(rows):
+        base = module.base_spans(text)
+        assert found[i].base_sha256 == hashlib.sha256(secret_scan.join_spans(base).encode()).hexdigest()
+        got = {(int(a), int(b), k[4:]) for k, a, b in (s.split(":") for s in found[i].spans.split(",") if s) if k.startswith("crf_")}
+        assert found[i].n_spans == len(base) + len(got)
+        want = {s for s in spans if not any(a < s[1] and s[0] < b for a, b, _ in base)}
+        for kind in {s[2] for s in got | want}:
+            mine = lambda x, kind=kind: {s for s in x if s[2] == kind}
+            right[kind] += len(mine(got) & mine(want))
+            added[kind] += len(mine(got))
+            asked[kind] += len(mine(want))
+    assert set(asked) >= ({"secret"} if module is secret_scan else {"name", "email", "phone"})
+    for kind in asked:
+        assert right[kind] >= 0.9 * added[kind] > 0 and right[kind] >= 0.9 * asked[kind]
+
+
 def plain_spans(text, rules):
     return sorted(((*m.span(), k) for k, (p, ok) in rules.items() for m in re.finditer(p, text) if ok(m)), key=lambda s: (s[0], list(rules).index(s[2])))
 
@@ -125,7 +229,8 @@ def test_tagger_on_held_out_rows(spark, module):
     tagger = module.train_tagger(module.labelled_table(spark))
     good, rows = 0, module.labelled_table(spark, 200, seed=123).collect()
     for row in rows:
-        good += len(tagger.tag([row.text.encode()])[0]) == sum(x[0] == "B" for x in row.labels)
+        ends = [m.span() for m in re.finditer(rb"\S+", row.text.encode())]
+        good += tagger.tag([row.text.encode()])[0] == list(_spans(row.text.encode(), ends, row.labels))
     assert good / len(rows) > 0.95
 
 
@@ -194,6 +299,26 @@ def test_plan_equals_best_fit_decreasing(seed):
     assert sorted(capacity - sum(n for _, n in p) for p in held.values()) == best_fit(lengths, capacity)
 
 
+def test_tokenizers_that_join_over_spaces_get_whole_texts():
+    spec = json.loads(open(public_tokenizers.path("word_bpe_49k.json")).read())
+    assert packing.cuts_at_space(json.dumps(spec))
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}}, {"normalizer": {"type": "Sequence", "normalizers": [{"type": "Lowercase"}, {"type": "Prepend", "prepend": "x"}]}}):
+        assert not packing.cuts_at_space(json.dumps(spec | change))
+    loose = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": " ?[\\p{L}]+"}, "behavior": "Removed", "invert": True}]}
+    assert not packing.cuts_at_space(json.dumps(spec | {"pre_tokenizer": loose}))
+
+
+def test_columns_whose_names_clash(spark):
+    rows = spark.createDataFrame([(1, 0, 5, 9, 8, 7, 6, 5, 4, 3), (2, 0, 6, 9, 8, 7, 6, 5, 4, 3)], "doc_id long, piece int, length long, rank int, salt int, step int, at int, before int, per int, sequence_id int")
+    got = {x.doc_id: x for x in packing.pack(rows, 16).collect()}
+    assert [(x["rank"], x.salt, x.step, x["at"], x.before, x.per) for x in got.values()] == [(9, 8, 7, 6, 5, 4)] * 2 and got[1].sequence_id == got[2].sequence_id
+    odd = spark.createDataFrame([(1, "der die und", "de", 1, "x", 2.0)], "doc_id long, text string, lang string, `a.b` int, lines_removed string, score double")
+    cut = line_dedup.remove_repeated_runs(odd, count_col="lines_removed")
+    assert cut.columns == ["doc_id", "text", "lang", "a.b", "score", "lines_removed"] and cut.first()["a.b"] == 1
+    told = language_id.annotate(odd, language_id.train(odd))
+    assert told.columns.count("score") == 1 and told.first().lang_pred == "de" and told.first()["a.b"] == 1
+
+
 def test_packing_of_odd_rows(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack_documents(docs(spark, ODD), path).collect()
@@ -241,6 +366,43 @@ def test_languages_held_out_and_mixed(spark):
     assert language_id.identify(docs(spark, [(1, "no label at all", None)])).first().lang_pred == "und"
 
 
+def test_mixtures_equal_plain_em(spark):
+    """Shares and the chosen set against EM over one word at a time and a search of the nested sets."""
+    r = random.Random(9)
+    model = language_id.train(docs(spark, [(i, sentence(r, lang, 200), lang) for i in range(6) for lang in WORDS]))
+    for k in range(12):
+        text = sentence(r, "en", 5 + 7 * k) + " " + sentence(r, "de", 2 + 5 * (k % 4)) + (" " + sentence(r, "fr", 30) if k % 3 == 0 else "")
+        logs, _ = model.words([text])
+        p = np.exp(np.maximum(logs.astype(float) - logs.max(1, keepdims=True), -60))
+
+        def em(shares, p=p):
+            for _ in range(language_id.ROUNDS):
+                total = np.zeros(len(shares))
+                for word in p:
+                    total += word * shares / (word * shares).sum()
+                shares = total / len(p)
+            return shares, sum(np.log((word * shares).sum()) for word in p)
+
+        full, _ = em(np.full(3, 1 / 3))
+        order = np.argsort(-full, kind="stable")
+        lead = int(np.log(p).sum(0).argmax())
+        best, chosen = np.log(p).sum(0)[lead], np.eye(3)[lead]
+        charge = 0.5 * np.log(len(p)) + 1
+        for size in (2, 3):
+            allowed = np.where(np.isin(np.arange(3), order[:size]), np.maximum(full, 1e-3), 0)
+            shares, like = em(allowed / allowed.sum())
+            if like - (size - 1) * charge > best:
+                best, chosen = like - (size - 1) * charge, shares
+        lang, score, told = language_id.infer(model, [text])[0]
+        assert lang == model.names[int(chosen.argmax())] and abs(score - chosen.max()) < 2e-3
+        assert {x.split(":")[0] for x in told.split(",")} == {model.names[i] for i in range(3) if chosen[i] > 0}
+
+
+def test_labels_to_learn_are_bounded(spark):
+    rows = [(i, "the and of", f"l{i}") for i in range(20)] + [(50 + i, "der die", "de") for i in range(3)]
+    assert len(language_id.train(docs(spark, rows), languages=5).names) == 5 and "de" in language_id.train(docs(spark, rows), languages=5).names
+
+
 def test_language_does_not_depend_on_neighbours(spark):
     r = random.Random(4)
     model = language_id.train(docs(spark, [(i, sentence(r, lang), lang) for i, lang in enumerate(WORDS)] ))
