@@ -161,3 +161,55 @@ def recipient_key(bn: Column, name: Column, *place: Column) -> Column:
     digits = F.left(_sub(F.coalesce(bn, F.lit("")), "[^0-9]", ""), F.lit(9))
     parts = [F.upper(F.trim(F.coalesce(c, F.lit("")))) for c in (name, *place)]
     return F.when(F.length(digits) > 0, F.concat(F.lit("BN:"), digits)).otherwise(F.concat_ws("|", *parts))
+
+
+# Words that tell usual networks and public bodies by name.
+DENOMINATIONS = "(ROMAN CATHOLIC|SEVENTH-DAY ADVENTIST|ANGLICAN|DIOCESE|PARISH|BAPTIST|PRESBYTERIAN)"
+FEDERATIONS = "(UNITED WAY|YMCA|YWCA|FEDERATION|FEDERATED|COMMUNITY FOUNDATION)"
+CARE = "(HOSPITAL|HEALTH)"
+GOVERNMENT = ["government", "gouvernement", "province of", "province de", "ministry", "ministère", "ministre", "batch report", "rapport en lots"]
+
+
+def loop_label(names: Column) -> Column:
+    """What the joined names of a loop's members suggest: a usual network, or something to review."""
+    n = F.upper(F.coalesce(names, F.lit("")))
+    return (
+        F.when(n.rlike(DENOMINATIONS), "likely_normal_denominational_network").when(n.contains("FOUNDATION") & n.rlike(CARE), "likely_normal_foundation_operator")
+        .when(n.rlike(FEDERATIONS), "likely_normal_federated_network").otherwise("review"))
+
+
+def pair_label(a: Column, b: Column) -> Column:
+    """The same for two organisations, whichever comes first."""
+    x, y = F.upper(a), F.upper(b)
+    either = lambda test, other: (test(x) & other(y)) | (test(y) & other(x))
+    both = lambda word: x.contains(word) & y.contains(word)
+    trust = either(lambda n: n.contains("UNIVERSITY"), lambda n: n.like("%EMPLOYEES%CHARITY%TRUST%"))
+    operator = either(lambda n: n.contains("FOUNDATION"), lambda n: n.rlike(CARE))
+    return (
+        F.when(trust, "likely_normal_university_affiliate").when(operator, "likely_normal_foundation_operator")
+        .when(both("SEVENTH-DAY ADVENTIST") | both("ROMAN CATHOLIC"), "likely_normal_denominational_network").otherwise("review"))
+
+
+def is_government(name: Column) -> Column:
+    n = F.lower(F.coalesce(name, F.lit("")))
+    found = F.lit(False)
+    for word in GOVERNMENT:
+        found = found | n.contains(word)
+    return found
+
+
+def _words(listed) -> Column:
+    return F.array(*map(F.lit, listed)) if listed else F.array().cast("array<string>")
+
+
+def text_match(words: Column, all_of, any_of=(), none_of=()) -> Column:
+    """Whether a text, as its list of words, holds all words of the first list, one of the second if there is any, none of the third."""
+    found = F.size(F.array_except(_words(all_of), words)) == 0
+    if any_of:
+        found = found & F.arrays_overlap(words, _words(any_of))
+    return found & ~F.coalesce(F.arrays_overlap(words, _words(none_of)), F.lit(False))
+
+
+def text_rank(words: Column, wanted) -> Column:
+    """Share of a text's words that are wanted ones."""
+    return F.try_divide(F.size(F.filter(words, lambda w: w.isin(list(wanted)))).cast("double"), F.size(words))

@@ -64,3 +64,15 @@ def reload_check(source: DataFrame, store: DataFrame) -> DataFrame:
     sums = F.col("measure").startswith("sum:")
     room = F.when(sums, F.greatest(F.lit(1.0), F.abs("source_value") * 1e-4)).otherwise(F.greatest(F.lit(5.0), F.abs("source_value") * 1e-4))
     return j.withColumn("ok", F.coalesce(gap <= room, F.lit(False)))
+
+
+def unmapped(source: DataFrame, store: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(measure, value): how many keys of the source the store lacks."""
+    return only_in(source, store, keys).select(*keys).distinct().agg(F.count("*").cast("double").alias("value")).select(F.lit("unmapped").alias("measure"), "value")
+
+
+def typed_audit(source: DataFrame, store: DataFrame, keys: Sequence[str], kinds: dict[str, str]) -> DataFrame:
+    """(field, differing, checked) over the rows that both sides have; ``kinds``: how each field is compared."""
+    j = source.select(*keys, *(F.col(c).alias(f"s_{c}") for c in kinds)).join(store.select(*keys, *(F.col(c).alias(f"t_{c}") for c in kinds)), list(keys))
+    tests = F.array(*(F.struct(F.lit(c).alias("field"), typed_equal(F.col(f"s_{c}"), F.col(f"t_{c}"), kind).alias("same")) for c, kind in kinds.items()))
+    return j.select(F.explode(tests).alias("x")).groupBy("x.field").agg(F.count_if(~F.col("x.same")).alias("differing"), F.count("*").alias("checked"))

@@ -55,7 +55,7 @@ def merge_clusters(pairs: DataFrame) -> DataFrame:
     edges = written(pairs.select(F.col("id_a").alias("x"), F.col("id_b").alias("y")).unionByName(pairs.select(F.col("id_b").alias("x"), F.col("id_a").alias("y"))).distinct(), "pairs")
     labels = written(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("cluster")), "labels")
     state = None
-    for _ in range(60):
+    while True:
         seen = edges.join(labels.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("cluster").alias("near"))
         nearer = labels.join(seen, "id").select("id", F.least("cluster", "near").alias("cluster"))
         jump = nearer.select(F.col("id").alias("cluster"), F.col("cluster").alias("next"))
@@ -64,7 +64,6 @@ def merge_clusters(pairs: DataFrame) -> DataFrame:
         if now == state:
             return labels
         state = now
-    raise RuntimeError("clusters not settled")
 
 
 def merge_entities(entities: DataFrame, clusters: DataFrame, id_col: str = "entity_id", lists: Sequence[str] = ("names",)) -> DataFrame:
@@ -149,3 +148,64 @@ def match_probability(levels: Sequence[Column], m: Sequence[Sequence[float]], u:
         weight = weight + F.element_at(F.array(*(F.lit(float(np.log2(a / b))) for a, b in zip(mi, ui))), c + 1)
     odds = F.pow(F.lit(2.0), F.least(F.greatest(weight, F.lit(-60.0)), F.lit(60.0)))
     return odds / (1 + odds)
+
+
+def levels_u(rows: DataFrame, levels: dict[str, tuple[Column, int]], sample: int = 1_000_000, id_col: str = "id") -> list[list[float]]:
+    """How often two random records agree at each level: ``sample`` pairs at most, each record beside those that follow it in the order of a hash.
+
+    ``levels``: name to (level from columns x_a and x_b, number of levels).
+    """
+    n = rows.count()
+    apart = max(1, min(20, sample // max(1, n)))
+    near = rows.select("*", F.conv(F.left(F.md5(F.col(id_col).cast("string")), F.lit(15)), 16, 10).cast("long").alias("_h")).repartitionByRange("_h")
+    by = Window.partitionBy(F.spark_partition_id()).orderBy("_h", id_col)
+    whole = F.struct(*rows.columns)
+    pairs = None
+    for k in range(1, apart + 1):
+        one = near.select(whole.alias("a"), F.lead(whole, k).over(by).alias("b")).where("b is not null")
+        pairs = one if pairs is None else pairs.unionByName(one)
+    flat = pairs.select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in rows.columns))
+    counted = flat.agg(*(F.count_if(level == k).alias(f"{name}_{k}") for name, (level, size) in levels.items() for k in range(size))).first()
+    out = []
+    for name, (_, size) in levels.items():
+        got = np.array([counted[f"{name}_{k}"] for k in range(size)], float) + 0.5
+        out.append(list(map(float, got / got.sum())))
+    return out
+
+
+def frequency_weight(level: Column, top: int, u_exact: float, share_of_value: Column) -> Column:
+    """Log2 factor by which agreement on a rare value counts more, and on a common one less, than agreement as such."""
+    return F.when(level == top, F.log2(F.lit(u_exact)) - F.log2(F.greatest(share_of_value, F.lit(1e-9)))).otherwise(0.0)
+
+
+def aliases_of(clusters: DataFrame, names: DataFrame) -> DataFrame:
+    """(cluster, canonical, alias, records): every other name in a cluster beside its most frequent one. ``names``: (id, name)."""
+    n = names.join(clusters, "id").groupBy("cluster", "name").agg(F.count("*").alias("records"))
+    lead = n.groupBy("cluster").agg(F.min_by("name", F.struct(-F.col("records"), F.col("name"))).alias("canonical"))
+    return n.join(lead, "cluster").where("name <> canonical").select("cluster", "canonical", F.col("name").alias("alias"), "records")
+
+
+# What a verdict makes of a candidate.
+VERDICTS = {"SAME": "same", "RELATED": "related", "DIFFERENT": "different"}
+
+
+def parsed_verdicts(answers: DataFrame, text: str = "response") -> DataFrame:
+    """``answers`` with verdict, confidence and status read from a JSON answer, with or without a code fence around it; unreadable ones are uncertain."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```\w*\n?", ""), r"\n?```\s*$", ""))
+    read = F.from_json(bare, "verdict string, confidence double")
+    status = F.element_at(F.create_map(*(F.lit(x) for kv in VERDICTS.items() for x in kv)), F.upper(F.col("verdict")))
+    return answers.withColumn("read", read).select(*answers.columns, "read.verdict", "read.confidence").withColumn("status", F.coalesce(status, F.lit("uncertain")))
+
+
+def promoted(verdicts: DataFrame, gate: float = 0.7) -> DataFrame:
+    """Pairs that the gate on similarity had left out and a verdict calls the same, as matches of the verdict's confidence."""
+    return verdicts.where((F.col("status") == "same") & (F.col("similarity") < gate)).select("id_a", "id_b", F.lit("verdict").alias("method"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
+
+
+def pipeline_status(predictions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(measure, n): predictions by band of probability, clusters, candidates by status. ``predictions``: (probability, cluster), ``candidates``: (status)."""
+    p = F.col("probability")
+    bands = [("predictions", F.count("*")), ("high", F.count_if(p >= 0.95)), ("middle", F.count_if((p >= 0.70) & (p < 0.95))), ("review", F.count_if((p >= 0.40) & (p < 0.70))), ("clusters", F.countDistinct("cluster"))]
+    one = predictions.agg(*(c.alias(n) for n, c in bands))
+    counted = one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), F.col(n).alias("n")) for n, _ in bands))).alias("x")).select("x.*")
+    return counted.unionByName(candidates.groupBy("status").agg(F.count("*").alias("n")).select(F.concat(F.lit("status:"), "status").alias("measure"), "n"))

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.sources.store import written
+from ledgerlark.sources.store import release, written
 
-MAX_ROUNDS = 100
+PLAIN_ROUNDS = 8  # rounds of pruning before paths are made one edge
 
 
 def build_edges(gifts: DataFrame, src: str = "src", dst: str = "dst", amount: str = "amount", year: str = "year", min_gift: float = 5000) -> DataFrame:
@@ -19,18 +19,101 @@ def build_edges(gifts: DataFrame, src: str = "src", dst: str = "dst", amount: st
         F.sum(amount).alias("total_amt"), F.count("*").alias("edge_count"), F.min(year).alias("min_year"), F.max(year).alias("max_year"), F.array_sort(F.collect_set(year)).alias("years"))
 
 
-def prune_dead_ends(edges: DataFrame) -> DataFrame:
-    """Edges that can lie on a cycle: those whose source has no gift in, then whose target has none out, go, until none does."""
-    edges = written(edges, "edges")
-    n = edges.count()
-    for _ in range(MAX_ROUNDS):
-        fed = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        edges = written(fed.join(fed.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select(*edges.columns), "edges")
+def _pruned_once(edges: DataFrame) -> DataFrame:
+    """Without the edges whose source has no gift in, then those whose target has none out."""
+    fed = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    return fed.join(fed.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select(*edges.columns)
+
+
+def _pruned(edges: DataFrame, least: float, rounds: int | None = None) -> tuple[DataFrame, bool]:
+    """Prune while a round takes at least the share ``least`` of the edges; and whether it came to rest within ``rounds``."""
+    n, turn = edges.count(), 0
+    while rounds is None or turn < rounds:
+        before, edges = edges, written(_pruned_once(edges), "edges")
         m = edges.count()
-        if m == n:
-            return edges
-        n = m
-    raise RuntimeError("dead ends left")
+        release(before)
+        if n - m <= least * n:
+            return edges, True
+        n, turn = m, turn + 1
+    return edges, False
+
+
+def prune_dead_ends(edges: DataFrame) -> DataFrame:
+    """Edges that can lie on a cycle: those whose source has no gift in, then whose target has none out, go, until none does.
+
+    Where that takes long, paths whose inner nodes have one gift in and one out
+    count as one edge, so a chain of any length goes at once.
+    """
+    left, rested = _pruned(written(edges, "edges"), 0, PLAIN_ROUNDS)
+    if rested:
+        return left
+    ends = contract(left)
+    if ends is None:
+        return prune_dead_ends(left)
+    tagged = _with_ends(left, ends)
+    short = tagged.where("not ring").select(F.col("head").alias("src"), F.col("tail").alias("dst")).distinct()
+    kept = prune_dead_ends(short).select(F.col("src").alias("head"), F.col("dst").alias("tail"), F.lit(True).alias("kept"))
+    return tagged.join(kept, ["head", "tail"], "left").where(F.col("ring") | F.coalesce("kept", F.lit(False))).select(*left.columns)
+
+
+def contract(edges: DataFrame) -> DataFrame | None:
+    """(node, head, tail, ring, least) for the nodes with one edge in and one out: between which other nodes their path runs.
+
+    Found by doubling: each round a node looks twice as far along its path. A
+    ring of such nodes has no other node; ``least`` is its smallest one. None if
+    there is no such node. ``edges``: distinct (src, dst).
+    """
+    pairs = edges.select("src", "dst").distinct()
+    out = pairs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("after")).where("n = 1")
+    into = pairs.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("before")).where("n = 1")
+    inner = written(out.join(into, "node").where("after <> node").select("node", "after", "before", F.col("node").alias("least")), "inner")
+    n = inner.count()
+    if not n:
+        release(inner)
+        return None
+    for _ in range(n.bit_length()):
+        ahead = inner.select(F.col("node").alias("after"), F.col("after").alias("after2"), F.col("least").alias("least2"))
+        behind = inner.select(F.col("node").alias("before"), F.col("before").alias("before2"))
+        far = inner.join(ahead, "after", "left").join(behind, "before", "left")
+        before, inner = inner, written(far.select("node", F.coalesce("after2", "after").alias("after"), F.coalesce("before2", "before").alias("before"), F.least("least", "least2").alias("least")), "inner")
+        release(before)
+    ends = inner.join(inner.select(F.col("node").alias("after"), F.lit(True).alias("ring")), "after", "left")
+    return written(ends.select("node", F.col("before").alias("head"), F.col("after").alias("tail"), F.coalesce("ring", F.lit(False)).alias("ring"), "least"), "ends")
+
+
+def _with_ends(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """``edges`` with (head, tail), the edge that stands for their path, and whether they are part of a ring."""
+    a = ends.select(F.col("node").alias("src"), "head", F.col("ring").alias("ring_a"))
+    b = ends.select(F.col("node").alias("dst"), "tail", F.col("ring").alias("ring_b"))
+    tagged = edges.join(a, "src", "left").join(b, "dst", "left")
+    return tagged.select(*edges.columns, F.coalesce("head", "src").alias("head"), F.coalesce("tail", "dst").alias("tail"), F.coalesce(F.col("ring_a") | F.col("ring_b"), F.lit(False)).alias("ring"))
+
+
+_PATH = ("path", "root", "tail", "bottleneck", "total_flow", "min_year", "max_year")
+
+
+def _within(window: int | None) -> Column:
+    return F.lit(True) if window is None else F.col("max_year") - F.col("min_year") <= window
+
+
+def _first_paths(edges: DataFrame, window: int | None, start: Column | None) -> DataFrame:
+    paths = edges.where(F.col("dst") > F.col("src"))
+    if start is not None:
+        paths = paths.where(start)
+    return paths.select(F.array("src", "dst").alias("path"), F.col("src").alias("root"), F.col("dst").alias("tail"), F.col("total_amt").alias("bottleneck"), F.col("total_amt").alias("total_flow"), "min_year", "max_year").where(_within(window))
+
+
+def _joined(paths: DataFrame, edges: DataFrame, closing: bool, window: int | None) -> DataFrame:
+    """Paths one edge longer, or closed: a join on both ends."""
+    hop = edges.select(F.col("src").alias("tail"), F.col("dst").alias("root" if closing else "to"), F.col("total_amt").alias("amt"), F.col("min_year").alias("y0"), F.col("max_year").alias("y1"))
+    j = paths.join(hop, ["tail", "root"]) if closing else paths.join(hop, "tail").where((F.col("to") > F.col("root")) & ~F.array_contains("path", F.col("to")))
+    path, tail = ("path", "tail") if closing else (F.array_append("path", F.col("to")).alias("path"), F.col("to").alias("tail"))
+    longer = j.select(path, "root", tail, F.least("bottleneck", "amt").alias("bottleneck"), (F.col("total_flow") + F.col("amt")).alias("total_flow"), F.least("min_year", "y0").alias("min_year"), F.greatest("max_year", "y1").alias("max_year"))
+    return longer.where(_within(window))
+
+
+def _as_cycles(closed: DataFrame) -> DataFrame:
+    return closed.select("path", F.array_join("path", ">").alias("path_key"), F.size("path").alias("hops"), "bottleneck", "total_flow", "min_year", "max_year")
 
 
 def cycles(edges: DataFrame, k: int, window: int | None = None, start: Column | None = None) -> DataFrame:
@@ -42,31 +125,27 @@ def cycles(edges: DataFrame, k: int, window: int | None = None, start: Column |
     """
     if not 2 <= k <= 8:
         raise ValueError("2 to 8 hops")
-    e = edges.select("src", "dst", "total_amt", "min_year", "max_year")
-    fits = (lambda: F.col("max_year") - F.col("min_year") <= window) if window is not None else (lambda: F.lit(True))
-    paths = e.where(F.col("dst") > F.col("src"))
-    if start is not None:
-        paths = paths.where(start)
-    paths = paths.select(F.array("src", "dst").alias("path"), F.col("src").alias("root"), F.col("dst").alias("tail"), F.col("total_amt").alias("bottleneck"), F.col("total_amt").alias("total_flow"), "min_year", "max_year").where(fits())
-    hop = e.select(F.col("src").alias("tail"), F.col("dst").alias("to"), F.col("total_amt").alias("amt"), F.col("min_year").alias("y0"), F.col("max_year").alias("y1"))
-    for i in range(2, k + 1):
-        closing = i == k
-        j = paths.join(hop, "tail")
-        j = j.where(F.col("to") == F.col("root")) if closing else j.where((F.col("to") > F.col("root")) & ~F.array_contains("path", F.col("to")))
-        path = F.col("path") if closing else F.array_append("path", F.col("to"))
-        paths = j.select(path.alias("path"), "root", F.col("to").alias("tail"), F.least("bottleneck", "amt").alias("bottleneck"), (F.col("total_flow") + F.col("amt")).alias("total_flow"), F.least("min_year", "y0").alias("min_year"), F.greatest("max_year", "y1").alias("max_year")).where(fits())
-    return paths.select("path", F.array_join("path", ">").alias("path_key"), F.lit(k).alias("hops"), "bottleneck", "total_flow", "min_year", "max_year")
-
-
-def all_cycles(edges: DataFrame, most: int, window: int | None = None) -> DataFrame:
-    """Cycles of 2 to ``most`` hops, looked for inside the strongly connected parts only: no cycle leaves one."""
-    parts = strong_components(edges)
-    inside = edges.join(parts.select(F.col("node").alias("src"), F.col("component").alias("_cs")), "src").join(parts.select(F.col("node").alias("dst"), F.col("component").alias("_cd")), "dst").where("_cs = _cd").select(*edges.columns)
-    inside = written(inside, "inside")
-    found = cycles(inside, 2, window)
-    for k in range(3, most + 1):
-        found = found.unionByName(cycles(inside, k, window))
-    return found
+    paths = _first_paths(edges, window, start)
+    for _ in range(k - 2):
+        paths = _joined(paths, edges, False, window)
+    return _as_cycles(_joined(paths, edges, True, window))
+
+
+def all_cycles(edges: DataFrame, most: int, window: int | None = None, start: Column | None = None) -> DataFrame:
+    """Cycles of 2 to ``most`` hops by one extension of paths, which are closed at every length and carried on.
+
+    Dead ends go first as far as that is worth its while: in rounds that each
+    take a twentieth of the edges or more.
+    """
+    if not 2 <= most <= 8:
+        raise ValueError("2 to 8 hops")
+    edges, _ = _pruned(written(edges.select("src", "dst", "total_amt", "min_year", "max_year"), "edges"), 0.05)
+    paths = _first_paths(edges, window, start)
+    found = _joined(paths, edges, True, window)
+    for _ in range(most - 2):
+        paths = written(_joined(paths, edges, False, window), "paths")
+        found = found.unionByName(_joined(paths, edges, True, window))
+    return _as_cycles(found)
 
 
 def participants(found: DataFrame) -> DataFrame:
@@ -91,18 +170,18 @@ def reciprocal(edges: DataFrame) -> DataFrame:
 def _reach(labels: DataFrame, edges: DataFrame, same: bool) -> DataFrame:
     """Least label that reaches each node along edges, to a fixpoint; ``same``: only within a colour."""
     state = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         sent = edges.join(labels.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "label", *(["colour"] if same else []))
         both = labels.select("node", "label", *(["colour"] if same else [])).unionByName(sent)
         if same:
             own = labels.select("node", F.col("colour").alias("own"))
             both = both.join(own, "node").where("own = colour").drop("own")
-        labels = written(both.groupBy("node", *(["colour"] if same else [])).agg(F.min("label").alias("label")), "labels")
-        now = labels.agg(F.count("label"), F.sum(F.hash("node", "label").cast("bigint"))).first()
+        before, labels = labels, written(both.groupBy("node", *(["colour"] if same else [])).agg(F.min("label").alias("label")), "labels")
+        release(before)
+        now = labels.agg(F.count("label"), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()
         if now == state:
             return labels
         state = now
-    raise RuntimeError("labels not settled")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -111,14 +190,39 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Colour every node with the least node that reaches it; the nodes of a colour
     that reach its root back are the root's component. They are taken out and
     the rest is coloured anew; dead ends go first, each a component of its own.
+    Where half of the nodes or more have one edge in and one out, their paths
+    are made one edge first: they are in a component if both their ends are, so
+    long rings and chains take as many rounds as their length has bits.
     """
     edges = written(edges.select("src", "dst").distinct(), "graph")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    found = _parts(edges)
+    if found is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    least = found.groupBy("component").agg(F.min("node").alias("smallest"))
+    found = found.join(least, "component").select("node", "smallest")
+    return nodes.join(found, "node", "left").select("node", F.coalesce("smallest", "node").alias("component"))
+
+
+def _parts(edges: DataFrame) -> DataFrame | None:
+    """(node, component) of the nodes on cycles, any node of it naming the component; None if there is no cycle."""
     left = prune_dead_ends(edges)
+    if left.isEmpty():
+        return None
+    ends = contract(left)
+    if ends is not None:
+        n = left.select("src").union(left.select("dst")).distinct().count()
+        if 2 * ends.count() >= n:
+            rings = ends.where("ring").select("node", F.col("least").alias("component"))
+            short = _with_ends(left, ends).where("not ring").select(F.col("head").alias("src"), F.col("tail").alias("dst")).distinct()
+            parts = _parts(written(short, "graph"))
+            if parts is None:
+                return written(rings, "component")
+            part = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+            paths = ends.where("not ring").join(part("head"), "head").join(part("tail"), "tail").where("of_head = of_tail").select("node", F.col("of_head").alias("component"))
+            return written(parts.unionByName(rings).unionByName(paths), "component")
     found = None
-    for _ in range(MAX_ROUNDS):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         live = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
         colours = _reach(live.select("node", F.col("node").alias("label")), left, False).select("node", F.col("label").alias("colour"))
         back = left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -128,9 +232,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found = reached if found is None else found.unionByName(reached)
         rest = left.join(reached.select(F.col("node").alias("src")), "src", "left_anti").join(reached.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
         left = prune_dead_ends(rest)
-    if found is None:
-        return nodes.select("node", F.col("node").alias("component"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return found
 
 
 def component_summary(edges: DataFrame, parts: DataFrame) -> DataFrame:

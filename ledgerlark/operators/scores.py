@@ -226,3 +226,112 @@ def financial_points(revenue: Column, spending: Column, program: Column, overhea
     share = F.when(s > 0, F.round(o / s * 100, 1)).otherwise(0.0)
     passing = (gi > 50_000) & (go > 0) & (F.least(gi, go) > F.greatest(gi, go) * 0.5)
     return V.total([F.when(share > 40, 2).when(share > 25, 1).otherwise(0), V.flag((r > 0) & (gi > r * 0.5), 2), V.flag(passing, 2), V.flag((r > 100_000) & (p < r * 0.2), 2), V.flag((w > 0) & (p > 0) & (w > p), 2), V.flag((p > 0) & (c > p * 2), 2)])
+
+
+def loop_financials(found: DataFrame, yearly: DataFrame) -> DataFrame:
+    """Per cycle what its edges carried within its own years: (path_key, window_bottleneck, window_flow, active_years).
+
+    ``found``: cycles with path, min_year and max_year; ``yearly``: (src, dst, year, amount).
+    """
+    n = F.size("path")
+    hops = found.select("path_key", "min_year", "max_year", "path", F.posexplode("path").alias("at", "src")).select("path_key", "min_year", "max_year", "src", F.element_at("path", (F.col("at") + 1) % n + 1).alias("dst"))
+    flows = hops.join(yearly, ["src", "dst"]).where(F.col("year").between(F.col("min_year"), F.col("max_year")))
+    edges = flows.groupBy("path_key", "src", "dst").agg(F.sum("amount").alias("w"), F.countDistinct("year").alias("years"))
+    return edges.groupBy("path_key").agg(F.min("w").alias("window_bottleneck"), F.sum("w").alias("window_flow"), F.max("years").alias("active_years"))
+
+
+def loop_report(found: DataFrame) -> DataFrame:
+    """Per number of hops: loops, members, largest bottleneck, flow, and loops of one year."""
+    by = found.groupBy("hops").agg(F.count("*").alias("loops"), F.max("bottleneck").alias("largest_bottleneck"), F.sum("total_flow").alias("flow"), A.count_where(F.col("min_year") == F.col("max_year")).alias("same_year"))
+    members = found.select("hops", F.explode("path").alias("node")).groupBy("hops").agg(F.countDistinct("node").alias("members"))
+    return by.join(members, "hops")
+
+
+def sector_baseline(given: DataFrame, members: DataFrame) -> DataFrame:
+    """Mean of ``given`` (node, given, sector) over all and over loop members of each sector, and how many times the one is the other."""
+    j = given.join(members.select("node", F.lit(True).alias("looped")), "node", "left").withColumn("looped", F.coalesce("looped", F.lit(False)))
+    g = j.groupBy("sector").agg(F.count("*").alias("members"), A.count_where(F.col("looped")).alias("loop_members"), F.avg("given").alias("mean"), F.avg(F.when(F.col("looped"), F.col("given"))).alias("loop_mean"))
+    return g.select("sector", "members", "loop_members", F.round("mean", 4).alias("sector_mean"), F.round("loop_mean", 4).alias("loop_mean"), F.round(V.ratio(F.col("loop_mean"), F.col("mean")), 6).alias("times_sector"))
+
+
+# Bands, actions and reviewers of the queue by module.
+QUEUE_BANDS = {"zombie": (9, 13), "ghost": (10, 15), "loop": (12, 18), "creep": (51, 81), "concentration": (51, 81), "policy": (51, 81), "overlap": (51, 81), "gap": (51, 81)}
+REVIEWERS = {"zombie": "registry and grants reviewer", "ghost": "program integrity analyst", "loop": "CRA/network analyst", "creep": "procurement integrity analyst"}
+ESCALATE, LINEAGE, NETWORK, DOCUMENTS, MONITOR = "Immediate human reviewer escalation", "Verify amendment lineage and procurement rationale", "Request network review", "Request documents", "Monitor / clarify source data"
+
+
+def queue_rows(cases: DataFrame) -> DataFrame:
+    """``cases`` (module, case_id, entity, score) with band, tone, action and reviewer by the module's limits."""
+    limits = F.create_map(*(x for k, (lo, hi) in QUEUE_BANDS.items() for x in (F.lit(k), F.array(F.lit(lo), F.lit(hi)))))
+    at = lambda i: F.element_at(F.element_at(limits, F.col("module")), i)
+    band = F.when(F.col("score") >= at(2), "critical").when(F.col("score") >= at(1), "elevated").otherwise("low")
+    action = F.when(F.col("band") == "critical", ESCALATE).when((F.col("band") == "elevated") & (F.col("module") == "creep"), LINEAGE).when((F.col("band") == "elevated") & (F.col("module") == "loop"), NETWORK).when(F.col("band") == "elevated", DOCUMENTS).otherwise(MONITOR)
+    who = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in REVIEWERS.items() for x in kv)), F.col("module")), F.lit(REVIEWERS["zombie"]))
+    tone = F.when(F.col("band") == "critical", "review").when(F.col("band") == "elevated", "context").otherwise("info")
+    return cases.withColumn("band", band).withColumn("tone", tone).withColumn("action", action).withColumn("reviewer", who)
+
+
+def module_readiness(cases: DataFrame, least: float = 0.9) -> DataFrame:
+    """(module, cases, ready_share, ready): share of a module's cases with an id, an entity and a score, against what it needs to be shown."""
+    whole = V.flag(F.col("case_id").isNotNull() & F.col("entity").isNotNull() & F.col("score").isNotNull(), 1)
+    g = cases.groupBy("module").agg(F.count("*").alias("cases"), F.avg(whole).alias("share"))
+    return g.select("module", "cases", F.round("share", 6).alias("ready_share"), (F.col("share") >= least).alias("ready"))
+
+
+def action_queue(cases: DataFrame, each: int, least: float = 0.9) -> DataFrame:
+    """The ``each`` first cases of every module that is ready, with how many modules name the entity, and their turn.
+
+    Modules come in turn: all first cases, then all second ones. Per-module
+    order is a row number with a limit, so a large module is not sorted whole.
+    """
+    ready = module_readiness(cases, least).where("ready").select("module")
+    rows = cases.join(ready, "module", "left_semi")
+    signals = rows.where("entity is not null").groupBy("entity").agg(F.countDistinct("module").alias("signals"))
+    from ledgerlark.operators.topk import top_per_group
+
+    first = top_per_group(queue_rows(rows), ["module"], [F.col("score").desc(), F.col("case_id")], each, "turn")
+    return first.join(signals, "entity", "left")
+
+
+COPY_GUARD = r"(?i)\b(fraud|fraudulent|criminal|guilty|corrupt|laundering|stolen)\b"
+
+
+def copy_guard(text: Column) -> Column:
+    """Whether a text that is shown to reviewers claims more than a signal can."""
+    return F.coalesce(text.rlike(COPY_GUARD), F.lit(False))
+
+
+def related_signals(cases: DataFrame, asked: DataFrame) -> DataFrame:
+    """Cases of other modules for the entities of the asked ones (module, case_id, entity)."""
+    a = asked.select(F.col("module").alias("of_module"), F.col("case_id").alias("of_case"), "entity").where("entity is not null")
+    return a.join(cases, "entity").where("module <> of_module").select("of_module", "of_case", "module", "case_id", "score")
+
+
+def tiered(tiers: Sequence[tuple[int, str, DataFrame]], spent: DataFrame) -> DataFrame:
+    """(tier, label, entities, total, share): each entity counts in its first tier. A tier is (number, label, entities); ``spent``: (entity, total)."""
+    named = None
+    for tier, label, rows in tiers:
+        one = rows.select("entity", F.lit(tier).alias("tier"), F.lit(label).alias("label")).distinct()
+        named = one if named is None else named.unionByName(one)
+    first = named.groupBy("entity").agg(F.min(F.struct("tier", "label")).alias("t"))
+    whole = F.broadcast(spent.agg(F.sum("total").alias("whole")))  # one row
+    g = spent.join(first, "entity").groupBy("t").agg(F.count("*").alias("entities"), F.sum("total").alias("total"))
+    return g.crossJoin(whole).select("t.tier", "t.label", "entities", "total", F.round(V.ratio(F.col("total"), F.col("whole")), 6).alias("share"))
+
+
+def evidence(statistics: Sequence[tuple[str, DataFrame, DataFrame]], tolerance: float = 1e-6) -> DataFrame:
+    """(statistic, value, check_value, agrees): each number with the same number by another way; a frame has one row and one column."""
+    found = None
+    for name, value, check in statistics:
+        one = value.toDF("value").select(F.lit(name).alias("statistic"), F.col("value").cast("double")).crossJoin(F.broadcast(check.toDF("check_value").select(F.col("check_value").cast("double"))))
+        found = one if found is None else found.unionByName(one)
+    gap = F.abs(F.col("value") - F.col("check_value")) <= tolerance * F.greatest(F.abs("value"), F.lit(1.0))
+    return found.withColumn("agrees", F.coalesce(gap, F.lit(False)))
+
+
+def routed(texts: DataFrame, modules: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, module, score): three points for each term of a module that a text holds, one for each word of its title. ``modules``: (module, terms, title), a handful of rows."""
+    words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(text_col), "[^a-z0-9]+", " ")), " "))
+    asked = texts.select(F.col(id_col).alias("id"), words.alias("words")).select("id", F.explode("words").alias("word"))
+    points = modules.select("module", F.explode("terms").alias("word"), F.lit(3).alias("p")).unionByName(modules.select("module", F.explode("title").alias("word"), F.lit(1).alias("p")))
+    return asked.join(points, "word").groupBy("id", "module").agg(F.sum("p").alias("score"))

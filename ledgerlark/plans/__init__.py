@@ -1,6 +1,6 @@
 """Composed analyses and the registry of queries."""
 
-from . import entities, graphs, loads, names, relational, reviews, validation  # noqa: F401
+from . import entities, graphs, loads, modules, names, relational, reviews, validation  # noqa: F401
 from .registry import QUERIES
 from .reviews import flagship
 

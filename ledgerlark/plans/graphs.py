@@ -39,15 +39,20 @@ _OUT = ["path_key", "hops", "bottleneck", "total_flow", "min_year", "max_year"]
 _ALL = " UNION ALL ".join(_cycle_sql(k, "top_edges") for k in range(2, 6))
 
 
-@query("cycles_to_5", "O-163 O-170 O-171 O-061", _ALL)
+@query("cycles_to_5", "O-163 O-170 O-171", _ALL)
 def cycles_to_5(spark, d):
     return G.all_cycles(view(spark, d, "top_edges"), 5).select(*_OUT)
 
 
+@query("cycles_all_edges", "O-163", " UNION ALL ".join(_cycle_sql(k, "all_edges") for k in (2, 3)))
+def cycles_all_edges(spark, d):
+    """No edge is left out: cycles of two and three hops over the whole gift graph."""
+    return G.all_cycles(view(spark, d, "all_edges"), 3).select(*_OUT)
+
+
 @query("cycles_window", "O-163", " UNION ALL ".join(_cycle_sql(k, "year_edges", 1) for k in (2, 3)))
 def cycles_window(spark, d):
-    e = written(view(spark, d, "year_edges"), "year_edges")
-    return G.cycles(e, 2, 1).unionByName(G.cycles(e, 3, 1)).select(*_OUT)
+    return G.all_cycles(view(spark, d, "year_edges"), 3, 1).select(*_OUT)
 
 
 @query("seeded_cycles", "O-166", f"SELECT * FROM ({_cycle_sql(3, 'top_edges')}) x WHERE list_contains(string_split(path_key, '>'), '7')")
@@ -126,12 +131,30 @@ def adjacent_flows(spark, d):
     return G.symmetric_flows(written(f, "yearly"), 1)
 
 
-@query("loop_financials", "O-188 O-189", f"""
-    WITH {_MEMBERS}, y AS (SELECT path_key, sum(f.amount) AS w, count(DISTINCT f.year) AS years FROM m JOIN {{yearly_flows}} f ON f.src = node AND f.dst = sends_to AND f.year BETWEEN 1996 AND 1997 GROUP BY 1) SELECT path_key, CAST(w AS DOUBLE) AS window_flow, years AS active_years FROM y""")
+@query("loop_financials", "O-188 O-061", f"""
+    WITH {_MEMBERS}, y AS (SELECT path_key, node, sends_to, sum(f.amount) AS w, count(DISTINCT f.year) AS years FROM m JOIN {{yearly_flows}} f ON f.src = node AND f.dst = sends_to AND f.year BETWEEN min_year AND max_year GROUP BY 1, 2, 3)
+    SELECT path_key, CAST(min(w) AS DOUBLE) AS window_bottleneck, CAST(sum(w) AS DOUBLE) AS window_flow, max(years) AS active_years FROM y GROUP BY 1""")
 def loop_financials(spark, d):
-    m = G.participants(G.all_cycles(view(spark, d, "top_edges"), 5))
-    f = view(spark, d, "yearly_flows").where(F.col("year").between(1996, 1997)).select(F.col("src").alias("node"), F.col("dst").alias("sends_to"), "year", "amount")
-    return m.join(f, ["node", "sends_to"]).groupBy("path_key").agg(F.sum("amount").alias("window_flow"), F.countDistinct("year").alias("active_years"))
+    """Flows of each loop within its own years: an equi-join on the edge, the years of the loop as what is left to test."""
+    return S.loop_financials(written(G.all_cycles(view(spark, d, "top_edges"), 5), "cycles"), view(spark, d, "yearly_flows")).select("path_key", "window_bottleneck", "window_flow", "active_years")
+
+
+@query("loop_report", "O-189", f"""
+    WITH {_MEMBERS}, u AS (SELECT hops, count(DISTINCT path_key) AS loops, count(DISTINCT node) AS members, CAST(max(bottleneck) AS DOUBLE) AS largest_bottleneck FROM m GROUP BY 1), k AS (SELECT hops, CAST(sum(total_flow) AS DOUBLE) AS flow, count(*) FILTER (WHERE min_year = max_year) AS same_year FROM cyc GROUP BY 1)
+    SELECT CAST(hops AS BIGINT) AS hops, loops, members, largest_bottleneck, flow, same_year FROM u JOIN k USING (hops)""")
+def loop_report(spark, d):
+    return S.loop_report(written(G.all_cycles(view(spark, d, "top_edges"), 5), "cycles"))
+
+
+@query("sector_baseline", "O-189", f"""
+    WITH {_MEMBERS}, l AS (SELECT DISTINCT node FROM m), o AS (SELECT src AS node, CAST(sum(total_amt) AS DOUBLE) AS given, count(*) AS partners FROM {{all_edges}} GROUP BY 1), j AS (SELECT r_name AS sector, o.*, node IN (SELECT node FROM l) AS in_loop FROM o JOIN nation ON n_nationkey = node JOIN region ON r_regionkey = n_regionkey)
+    SELECT sector, count(*) AS members, count(*) FILTER (WHERE in_loop) AS loop_members, round(avg(given), 4) AS sector_mean, round(avg(CASE WHEN in_loop THEN given END), 4) AS loop_mean, round(avg(CASE WHEN in_loop THEN given END) / nullif(avg(given), 0), 6) AS times_sector FROM j GROUP BY 1""")
+def sector_baseline(spark, d):
+    """What members of loops give against all of their sector."""
+    members = G.participants(G.all_cycles(view(spark, d, "top_edges"), 5)).select("node").distinct()
+    sectors = view(spark, d, "nation").join(view(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_nationkey").alias("node"), F.col("r_name").alias("sector"))
+    given = view(spark, d, "all_edges").groupBy(F.col("src").alias("node")).agg(F.sum("total_amt").cast("double").alias("given"))
+    return S.sector_baseline(given.join(sectors, "node"), members)
 
 
 @query("loop_watchlist", "O-191 O-190 O-059", f"""
@@ -157,7 +180,7 @@ def loop_score(spark, d):
 
 
 
-@query("circular_score", "O-190 O-189 O-210", f"""
+@query("circular_score", "O-190", f"""
     WITH {_MEMBERS}, k AS (SELECT node, count(DISTINCT CASE WHEN hops = 2 THEN sends_to END) AS partners, count(*) FILTER (WHERE hops = 3) AS triangles FROM m GROUP BY 1),
     v AS (SELECT node, year, amount, 1 AS o FROM {{yearly_flows}} JOIN (SELECT DISTINCT node, sends_to FROM m) x ON src = node AND dst = sends_to UNION ALL SELECT node, year, amount, 0 FROM {{yearly_flows}} JOIN (SELECT DISTINCT node, receives_from FROM m) x ON dst = node AND src = receives_from),
     s AS (SELECT node, coalesce(sum(amount) FILTER (WHERE o = 1), 0) AS sent, coalesce(sum(amount) FILTER (WHERE o = 0), 0) AS got, count(DISTINCT year) AS years FROM v GROUP BY 1)
@@ -168,7 +191,7 @@ def circular_score(spark, d):
     return c.select("node", "partners", "triangles", "years", "circular", S.circular_points(F.col("partners"), F.col("triangles"), F.col("years"), F.col("circular")).alias("score"))
 
 
-@query("financial_score", "O-190 O-211 O-231", """
+@query("financial_score", "O-190", """
     WITH f AS (SELECT filing, coalesce(CAST(total AS DOUBLE), 0) AS r, coalesce(CAST(program_spending + compensation AS DOUBLE), 0) AS s, coalesce(CAST(program_spending AS DOUBLE), 0) AS p, coalesce(CAST(c AS DOUBLE), 0) AS o, coalesce(CAST(a AS DOUBLE), 0) AS gi, coalesce(CAST(b AS DOUBLE), 0) AS go, coalesce(CAST(compensation AS DOUBLE), 0) AS w FROM {filings}), g AS (SELECT *, CASE WHEN s > 0 THEN round(o / s * 100, 1) ELSE 0 END AS oh FROM f)
     SELECT filing, CAST(CASE WHEN oh > 40 THEN 2 WHEN oh > 25 THEN 1 ELSE 0 END + CASE WHEN r > 0 AND gi > r * 0.5 THEN 2 ELSE 0 END + CASE WHEN gi > 50000 AND go > 0 AND least(gi, go) > greatest(gi, go) * 0.5 THEN 2 ELSE 0 END + CASE WHEN r > 100000 AND p < r * 0.2 THEN 2 ELSE 0 END + CASE WHEN w > 0 AND p > 0 AND w > p THEN 2 ELSE 0 END + CASE WHEN p > 0 AND gi > p * 2 THEN 2 ELSE 0 END AS BIGINT) AS score FROM g""")
 def financial_score(spark, d):

@@ -20,14 +20,14 @@ AS_OF, QUIET, GONE = "2001-08-01", 2001, 2000
 _VALUE = "CASE WHEN total_value >= 50000000 THEN 5 WHEN total_value >= 10000000 THEN 4 WHEN total_value >= 1000000 THEN 3 WHEN total_value >= 500000 THEN 2 ELSE 1 END"
 
 
-@query("recipient_rollup", "O-182 O-186 O-030", """
+@query("recipient_rollup", "O-182 O-030", """
     SELECT recipient_key, name, bn, recipient_type, province, grant_count, CAST(amendment_count AS BIGINT) AS amendment_count, CAST(total_value AS DOUBLE) AS total_value, CAST(max_value AS DOUBLE) AS max_value, dept_count,
            CAST(first_grant AS VARCHAR) AS first_grant, CAST(last_grant AS VARCHAR) AS last_grant, CAST(last_amendment_date AS VARCHAR) AS last_amendment_date, CAST(last_year AS BIGINT) AS last_year, round(avg_value, 8) AS avg_value FROM {recipients}""")
 def recipient_rollup(spark, d):
     return S.recipient_rollup(view(spark, d, "agreements")).withColumn("avg_value", F.round("avg_value", 8))
 
 
-@query("zombie_score", "O-183 O-184 O-187 O-260", f"""
+@query("zombie_score", "O-183 O-184 O-260", f"""
     WITH r AS (SELECT *, recipient_type = 'F' AND last_year < {GONE} AND total_value >= 1000000 AS gone FROM {{recipients}} WHERE total_value >= 500000)
     SELECT recipient_key, CAST(total_value AS DOUBLE) AS total_value, CAST(greatest(2001 - last_year, 0) + {_VALUE} + CASE WHEN grant_count <= 1 THEN 3 WHEN grant_count <= 2 THEN 2 WHEN grant_count <= 5 THEN 1 ELSE 0 END + CASE WHEN last_amendment_date IS NULL OR year(last_amendment_date) < {QUIET} THEN 2 ELSE 0 END + CASE WHEN gone THEN 3 ELSE 0 END AS BIGINT) AS score,
            CASE WHEN gone THEN 'vanished' WHEN last_year < {QUIET} THEN 'zombie' ELSE 'dependency' END AS signal FROM r WHERE last_year < {QUIET} OR (grant_count BETWEEN 1 AND 2 AND total_value >= 1000000) OR gone""")
@@ -75,7 +75,7 @@ def program_dominance(spark, d):
     return S.program_dominance(view(spark, d, "agreements"), 0.1)
 
 
-@query("risk_register", "O-214 O-216 O-217", """
+@query("risk_register", "O-214", """
     WITH dom AS (SELECT recipient, count(*) AS pd, sum(v) AS dv FROM (SELECT program, department, recipient, sum(amount) AS v, sum(sum(amount)) OVER (PARTITION BY program, department) AS t FROM {agreements} WHERE NOT is_amendment AND amount > 0 GROUP BY 1, 2, 3) x WHERE t > 100000 AND CAST(v AS DOUBLE) / CAST(t AS DOUBLE) > 0.1 GROUP BY recipient),
     e AS (SELECT recipient, bn, recipient_type, max(province) AS province, count(*) FILTER (WHERE NOT is_amendment) AS n, count(*) FILTER (WHERE is_amendment) AS am, count(DISTINCT department) AS deps, CAST(coalesce(sum(amount) FILTER (WHERE NOT is_amendment), 0) AS DOUBLE) AS v, CAST(coalesce(sum(amount) FILTER (WHERE is_amendment), 0) AS DOUBLE) AS more, max(amount) AS largest, max(year(start_date)) AS y
         FROM {agreements} WHERE recipient_type NOT IN ('P', 'G', 'I') GROUP BY 1, 2, 3),
@@ -153,7 +153,7 @@ def hhi_levels(spark, d):
     return c.select("department", F.round("h", 4).alias("hhi"), A.hhi_level(F.col("h")).alias("level"))
 
 
-@query("recipient_breadth", "O-204 O-213", """
+@query("recipient_breadth", "O-204", """
     SELECT recipient, count(DISTINCT department) AS departments, count(DISTINCT program) AS programs, CAST(sum(amount) AS DOUBLE) AS total, CAST(sum(amount) FILTER (WHERE sole_source) AS DOUBLE) AS sole_total FROM {agreements} WHERE recipient_type = 'F' GROUP BY recipient HAVING count(DISTINCT department) >= 3""")
 def recipient_breadth(spark, d):
     a = view(spark, d, "agreements").where("recipient_type = 'F'")
@@ -177,7 +177,7 @@ def quarter_spike(spark, d):
     return g.withColumn("share", F.round(V.ratio(F.col("last_quarter"), F.col("total")), 6))
 
 
-@query("new_and_loyal", "O-088 O-222 O-210", """
+@query("new_and_loyal", "O-088", """
     WITH f AS (SELECT recipient, year(start_date) AS y, min(year(start_date)) OVER (PARTITION BY recipient) AS y0, count(DISTINCT year(start_date)) OVER (PARTITION BY recipient) AS years, amount FROM {agreements})
     SELECT CAST(y AS BIGINT) AS y, count(DISTINCT recipient) AS recipients, count(DISTINCT CASE WHEN y = y0 THEN recipient END) AS new_recipients, count(DISTINCT CASE WHEN years >= 5 THEN recipient END) AS loyal, CAST(sum(amount) AS DOUBLE) AS total FROM f GROUP BY y""")
 def new_and_loyal(spark, d):
@@ -207,14 +207,14 @@ def provincial_equity(spark, d):
     return j.crossJoin(whole).select("province", "total", "people", F.round("per_head", 4).alias("per_head"), F.round(F.col("per_head") / V.ratio(F.col("t"), F.col("n")) - 1, 6).alias("deviation"))
 
 
-@query("contract_patterns", "O-223 O-224 O-220", """
+@query("contract_patterns", "O-223 O-224", """
     SELECT vendor, CAST(start_date AS VARCHAR) AS start_date, count(*) AS same_day, CAST(sum(amount) AS DOUBLE) AS amount, count(*) FILTER (WHERE amount BETWEEN 9500 AND 10000) AS just_below FROM {contracts} WHERE sole_source GROUP BY vendor, start_date HAVING count(*) >= 2""")
 def contract_patterns(spark, d):
     c = view(spark, d, "contracts").where("sole_source")
     return c.groupBy("vendor", "start_date").agg(F.count("*").alias("same_day"), F.sum("amount").alias("amount"), A.count_where(F.col("amount").between(9500, 10000)).alias("just_below")).where("same_day >= 2")
 
 
-@query("defunct_recipients", "O-223 O-047 O-228", """
+@query("defunct_recipients", "O-223 O-047", """
     WITH s AS (SELECT vendor, sum(amount) FILTER (WHERE sole_source) AS sole, sum(amount) FILTER (WHERE NOT sole_source) AS competitive, max(start_date) AS last FROM {contracts} GROUP BY 1)
     SELECT name, status, CAST(sole AS DOUBLE) AS sole, CAST(competitive AS DOUBLE) AS competitive, CAST(last AS VARCHAR) AS last FROM {registry} LEFT JOIN s ON vendor = name WHERE status <> 'ACTIVE'""")
 def defunct_recipients(spark, d):
@@ -223,7 +223,7 @@ def defunct_recipients(spark, d):
     return view(spark, d, "registry").where("status <> 'ACTIVE'").join(s, "name", "left").select("name", "status", "sole", "competitive", "last")
 
 
-@query("priority_queue", "O-246 O-262 O-263 O-265 O-261", _CELLS + """
+@query("priority_queue", "O-263", _CELLS + """
     , q AS (SELECT 'concentration' AS module, department || '/' || program AS case_id, CAST(least(100, round(h * 70 + ts * 25 + CASE WHEN entity_count <= 9 THEN 5 ELSE 0 END)) AS BIGINT) AS score FROM c),
     r AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY score DESC, case_id) AS turn FROM q) SELECT module, case_id, score, CASE WHEN score >= 81 THEN 'high' WHEN score >= 51 THEN 'medium' ELSE 'low' END AS band, turn FROM r WHERE turn <= 50""")
 def priority_queue(spark, d):
@@ -233,7 +233,7 @@ def priority_queue(spark, d):
     return K.top_per_group(q, ["module"], [F.col("score").desc(), F.col("case_id")], 50, "turn")
 
 
-@query("readiness", "O-247 O-248", "SELECT event_type, count(*) AS cases, round(avg(CASE WHEN value IS NOT NULL AND props IS NOT NULL AND length(props) > 2 THEN 1.0 ELSE 0.0 END), 6) AS ready_share, avg(CASE WHEN value IS NOT NULL AND props IS NOT NULL AND length(props) > 2 THEN 1.0 ELSE 0.0 END) >= 0.9 AS ready, count(DISTINCT user_id) FILTER (WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error')) AS related FROM events GROUP BY event_type")
+@query("readiness", "O-247", "SELECT event_type, count(*) AS cases, round(avg(CASE WHEN value IS NOT NULL AND props IS NOT NULL AND length(props) > 2 THEN 1.0 ELSE 0.0 END), 6) AS ready_share, avg(CASE WHEN value IS NOT NULL AND props IS NOT NULL AND length(props) > 2 THEN 1.0 ELSE 0.0 END) >= 0.9 AS ready, count(DISTINCT user_id) FILTER (WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error')) AS related FROM events GROUP BY event_type")
 def readiness(spark, d):
     e = view(spark, d, "events")
     errors = e.where("event_type = 'error'").select("user_id").distinct().withColumn("hit", F.lit(True))
@@ -242,7 +242,7 @@ def readiness(spark, d):
     return g.select("event_type", "cases", F.round("s", 6).alias("ready_share"), (F.col("s") >= 0.9).alias("ready"), "related")
 
 
-@query("overhead", "O-211 O-230", """
+@query("overhead", "O-211", """
     SELECT CAST(year AS BIGINT) AS year, count(*) AS filings, CAST(sum(total) AS DOUBLE) AS total, round(CAST(sum(compensation) AS DOUBLE) / nullif(CAST(sum(program_spending + compensation) AS DOUBLE), 0), 6) AS overhead, count(*) FILTER (WHERE total > 400000) AS outliers FROM {filings} GROUP BY year""")
 def overhead(spark, d):
     f = view(spark, d, "filings")

@@ -34,9 +34,9 @@ def schedule_equalities(spark, d):
     return R.schedule_equalities(view(spark, d, "filings"), s, ["filing"], [("total", "stated")])
 
 
-@query("schedule_dependency", "O-235", "SELECT filing, CASE WHEN c > 0 THEN 'SCHEDULE_MISSING' ELSE 'SCHEDULE_NOT_NEEDED' END AS problem FROM {filings} f LEFT JOIN (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 3 = 0) s ON s.k = filing WHERE (c > 0 AND k IS NULL) OR (coalesce(c, 0) <= 0 AND k IS NOT NULL)")
+@query("schedule_dependency", "O-235", "SELECT filing, CASE WHEN c > 0 THEN 'SCHEDULE_MISSING' ELSE 'SCHEDULE_NOT_NEEDED' END AS problem FROM {filings} f LEFT JOIN (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) s ON s.k = filing WHERE (c > 0 AND k IS NULL) OR (coalesce(c, 0) <= 0 AND k IS NOT NULL)")
 def schedule_dependency(spark, d):
-    s = view(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("filing"))
+    s = view(spark, d, "orders").where("o_orderpriority in ('1-URGENT', '2-HIGH')").select(F.col("o_orderkey").alias("filing"))
     return R.schedule_dependency(view(spark, d, "filings"), s, ["filing"], F.col("c") > 0)
 
 

@@ -17,7 +17,7 @@ VIEWS = {
                l_orderkey AS ref_number, CAST(seq - 1 AS STRING) AS amendment_number, seq > 1 AS is_amendment,
                CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) OVER (PARTITION BY l_orderkey ORDER BY seq) AS DECIMAL(18,2)) AS agreement_value,
                CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, c_custkey, c_name AS recipient, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE lpad(CAST(c_custkey AS STRING), 9, '1') END AS bn,
-               CASE c_mktsegment WHEN 'BUILDING' THEN 'F' WHEN 'MACHINERY' THEN 'N' WHEN 'AUTOMOBILE' THEN 'F' ELSE 'G' END AS recipient_type,
+               CASE c_mktsegment WHEN 'BUILDING' THEN 'F' WHEN 'MACHINERY' THEN 'N' WHEN 'AUTOMOBILE' THEN 'F' WHEN 'FURNITURE' THEN 'P' ELSE 'G' END AS recipient_type,
                cn.n_name AS province, sn.n_name AS department, p_type AS program, s_name AS vendor, l_returnflag = 'R' AS sole_source,
                CAST(o_orderdate AS DATE) AS start_date, CAST(l_shipdate AS DATE) AS amendment_date
         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE_ORDER}) AS seq FROM {{lineitem}}) l
@@ -32,23 +32,24 @@ VIEWS = {
     "gifts": """
         SELECT c_nationkey AS src, s_nationkey AS dst, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, year(o_orderdate) AS year
         FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {customer} ON c_custkey = o_custkey JOIN {supplier} ON s_suppkey = l_suppkey""",
-    # the two largest edges of each node and year
+    # the two largest edges of each node and year (a parameter of these queries, as is the three of the next view)
     "year_edges": """
         SELECT src, dst, total_amt, year AS min_year, year AS max_year FROM (
             SELECT *, row_number() OVER (PARTITION BY src, year ORDER BY total_amt DESC, dst) AS rn FROM (
                 SELECT src, dst, year, CAST(sum(amount) AS DECIMAL(18,2)) AS total_amt FROM {gifts} WHERE src <> dst GROUP BY src, dst, year) a) b
         WHERE rn <= 2""",
+    "all_edges": "SELECT src, dst, CAST(sum(amount) AS DECIMAL(18,2)) AS total_amt, min(year) AS min_year, max(year) AS max_year FROM {gifts} WHERE amount >= 5000 AND src <> dst GROUP BY src, dst",
     # the three largest edges of each node over all years
     "top_edges": """
         SELECT src, dst, total_amt, min_year, max_year FROM (
             SELECT *, row_number() OVER (PARTITION BY src ORDER BY total_amt DESC, dst) AS rn FROM (
                 SELECT src, dst, CAST(sum(amount) AS DECIMAL(18,2)) AS total_amt, min(year) AS min_year, max(year) AS max_year FROM {gifts} WHERE amount >= 5000 AND src <> dst GROUP BY src, dst) a) b
         WHERE rn <= 3""",
-    # a user's purchase hands over to the next user's
+    # a user's purchase of 100 or more hands over to the next user's
     "event_edges": """
         SELECT src, dst, CAST(sum(v) AS DECIMAL(18,2)) AS total_amt FROM (
-            SELECT user_id AS src, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS dst, CAST(value AS DECIMAL(18,2)) AS v FROM {events} WHERE event_type = 'purchase' AND user_id % 3 <> 0) p
-        WHERE dst IS NOT NULL AND src <> dst AND src % 4 <> 0 GROUP BY src, dst""",
+            SELECT user_id AS src, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS dst, CAST(value AS DECIMAL(18,2)) AS v FROM {events} WHERE event_type = 'purchase') p
+        WHERE dst IS NOT NULL AND src <> dst AND v >= 100 GROUP BY src, dst""",
     "yearly_flows": "SELECT src, dst, year, CAST(sum(amount) AS DECIMAL(18,2)) AS amount FROM {gifts} WHERE src <> dst GROUP BY src, dst, year",
     # customers who returned urgent goods of a supplier stand for its directors
     "roles": """

@@ -32,6 +32,14 @@ DATASETS = {
     "provincial_contracts": "id:text display_fiscal_year:text recipient:text ministry:text amount:money",
     "sole_source": "id:text display_fiscal_year:text ministry:text vendor:text contract_number:text contract_services:text permitted_situations:text start_date:date end_date:date amount:money",
     "non_profits": "id:text type:text legal_name:text status:text registration_date:date city:text postal_code:text",
+    "charitable_programs": "bn:text fpe:date program_type:code description:text",
+    "foundation_info": "bn:text fpe:date field_100:flag field_110:money field_120:money field_130:money",
+    "activities_outside_countries": "bn:text fpe:date sequence_number:whole country:code",
+    "activities_outside_details": "bn:text fpe:date field_200:money field_210:flag field_220:flag",
+    "exported_goods": "bn:text fpe:date sequence_number:whole item_name:text item_value:money destination:text country:code",
+    "resources_sent_outside": "bn:text fpe:date sequence_number:whole individual_org_name:text amount:money country:code",
+    "non_qualified_donees": "bn:text fpe:date sequence_number:whole recipient_name:text purpose:text cash_amount:money non_cash_amount:money country:code",
+    "web_urls": "bn:text fiscal_year:whole sequence_number:whole contact_url:text",
     "linkage_records": "record_id:text source_dataset:text legal_name:text cleaned_name:text bn_root:text postal_code:text city:text province:code entity_type:text",
 }
 

@@ -96,7 +96,12 @@ def members(files: DataFrame, pick: str = r"\.csv$") -> DataFrame:
 
 
 def xlsx(spark: SparkSession, path: str, header_row: int = 2) -> DataFrame:
-    """(path, row, cells) of the first sheet of XLSX files, cells by column name of the header row, one file a task."""
+    """(path, row, cells) of the first sheet of the XLSX files at ``path``."""
+    return xlsx_rows(spark.read.format("binaryFile").load(path), header_row)
+
+
+def xlsx_rows(files: DataFrame, header_row: int = 2) -> DataFrame:
+    """(path, row, cells) of the first sheet of workbooks (path, content), cells by column name of the header row."""
     main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
     def sheet(content: bytes) -> list[tuple[int, dict[str, str]]]:
@@ -121,7 +126,7 @@ def xlsx(spark: SparkSession, path: str, header_row: int = 2) -> DataFrame:
                 rows = sheet(content)
                 yield pd.DataFrame({"path": [name] * len(rows), "row": [r[0] for r in rows], "cells": [r[1] for r in rows]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row int, cells map<string,string>")
+    return files.select("path", "content").mapInPandas(run, "path string, row int, cells map<string,string>")
 
 
 def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: T.StructType) -> DataFrame:
@@ -202,6 +207,18 @@ def sources_registry(spark: SparkSession, entries: Sequence[tuple[str, str, str,
     return spark.createDataFrame(entries, "name string, url string, format string, required boolean")
 
 
+def catalogue(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """(table_name, there, columns) of the named tables and views, as the catalogue has them."""
+    there = {n: spark.catalog.tableExists(n) for n in names}
+    return spark.createDataFrame([(n, ok, len(spark.catalog.listColumns(n)) if ok else None) for n, ok in there.items()], "table_name string, there boolean, columns long")
+
+
+def json_items(bodies: DataFrame, body: str, items: str, item: str) -> DataFrame:
+    """One row per item of the list ``items`` of JSON answers, beside the other columns; an answer that is no JSON has none. ``item``: an item's columns."""
+    read = F.from_json(F.col(body), f"struct<`{items}`: array<struct<{item}>>>")[items]
+    return bodies.select(*(c for c in bodies.columns if c != body), F.explode(read).alias("item")).select(*(c for c in bodies.columns if c != body), "item.*")
+
+
 def require_tables(spark: SparkSession, names: Sequence[str]) -> None:
     """A source that is missing must not look like an empty one."""
     missing = [n for n in names if not spark.catalog.tableExists(n)]

@@ -170,3 +170,23 @@ def test_yearly_reconciliation_flags(spark):
     f = spark.createDataFrame([("1", 2021, 95_000.0), ("2", 2019, 60_000.0), ("3", 2020, 10_000.0), ("4", 2010, 99_000.0)], "bn string, year int, revenue double")
     got = {x.bn: x.flag for x in S.reconcile_yearly(g, f).collect()}
     assert got == {"1": "RECONCILED", "2": "SLIGHTLY_HIGHER", "3": "MUCH_HIGHER", "4": "REPORTS_ZERO"}
+
+
+def test_long_chains_and_rings(spark):
+    """Depth is no limit: a chain goes whole, a ring is one component, tails stay alone."""
+    n = 1200
+    ring = [(i, (i + 1) % n) for i in range(n)]
+    edges = ring + [(10_000 + i, 10_001 + i) for i in range(n)] + [(5, 20_000), (20_000, 20_001), (20_001, 6), (30_000, 30_001), (30_001, 30_000)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    left = {(x.src, x.dst) for x in G.prune_dead_ends(df).collect()}
+    assert left == set(ring) | {(5, 20_000), (20_000, 20_001), (20_001, 6), (30_000, 30_001), (30_001, 30_000)}
+    parts = {x.node: x.component for x in G.strong_components(df).collect()}
+    assert all(parts[i] == 0 for i in [*range(n), 20_000, 20_001]) and parts[30_001] == 30_000
+    assert all(parts[10_000 + i] == 10_000 + i for i in range(n + 1))
+
+
+def test_a_cycle_passes_no_node_twice(spark):
+    """A to B to X to B to D to A is no cycle; what it is made of is."""
+    a, b, x, dd = 1, 2, 3, 4
+    df = spark.createDataFrame([(s, t, 1.0, 2000, 2000) for s, t in ((a, b), (b, x), (x, b), (b, dd), (dd, a))], "src long, dst long, total_amt double, min_year int, max_year int")
+    assert {r.path_key for r in G.all_cycles(df, 8).collect()} == {"2>3", "1>2>4"}
