@@ -141,9 +141,9 @@ def fellegi_sunter(patterns: DataFrame, sizes: Sequence[int], u: Sequence[Sequen
     return [list(map(float, x)) for x in m], [list(map(float, x)) for x in v], share, seen
 
 
-def match_probability(levels: Sequence[Column], m: Sequence[Sequence[float]], u: Sequence[Sequence[float]], share: float) -> Column:
-    """Posterior of a pair from its comparison levels: summed log2 weights as an expression, no UDF."""
-    weight = F.lit(float(np.log2(share / (1 - share))))
+def match_probability(levels: Sequence[Column], m: Sequence[Sequence[float]], u: Sequence[Sequence[float]], share: float, more: Column | None = None) -> Column:
+    """Posterior of a pair from its comparison levels: summed log2 weights as an expression, no UDF; ``more`` is added to them."""
+    weight = F.lit(float(np.log2(share / (1 - share)))) + (F.lit(0.0) if more is None else F.coalesce(more, F.lit(0.0)))
     for c, mi, ui in zip(levels, m, u):
         weight = weight + F.element_at(F.array(*(F.lit(float(np.log2(a / b))) for a, b in zip(mi, ui))), c + 1)
     odds = F.pow(F.lit(2.0), F.least(F.greatest(weight, F.lit(-60.0)), F.lit(60.0)))

@@ -63,11 +63,13 @@ def ghost_score(recipients: DataFrame, pass_average: float = 10_000_000) -> Data
 def amendment_creep(agreements: DataFrame, times: float = 3) -> DataFrame:
     """Agreements whose present value is far above the first, with score and reasons."""
     rows = L.with_agreement_key(agreements)
-    first = L.original_agreements(rows).select(*L.AGREEMENT, F.col("recipient").alias("vendor"), "department", F.col("agreement_value").alias("original_value"))
-    # the present row and the counts need the same grouping, so one aggregate gives both
-    order = F.struct(F.coalesce("amend_no", F.lit(-1)), F.coalesce("amendment_date", F.lit("0001-01-01").cast("date")), "line_id")
-    now = rows.groupBy(*L.AGREEMENT).agg(F.max_by(F.struct(F.col("agreement_value").alias("current_value"), F.col("is_amendment").alias("latest_is_amendment"), F.col("line_id").alias("current_id")), order).alias("now"), A.count_where(F.col("is_amendment")).alias("amendment_count"), F.count("*").alias("record_count"))
-    j = first.join(now.select(*L.AGREEMENT, "now.*", "amendment_count", "record_count"), L.AGREEMENT)
+    # first row, present row and counts need the same grouping, so one aggregate gives them all
+    place = lambda no, day: F.struct(F.coalesce("amend_no", F.lit(no)), F.coalesce("amendment_date", F.lit(day).cast("date")), "line_id")
+    first = ~F.col("is_amendment") & (F.col("agreement_value") > 0)
+    original = F.min_by(F.struct(F.col("recipient").alias("vendor"), "department", F.col("agreement_value").alias("original_value")), F.when(first, place(-1, "0001-01-01")))
+    now = F.max_by(F.struct(F.col("agreement_value").alias("current_value"), F.col("is_amendment").alias("latest_is_amendment"), F.col("line_id").alias("current_id")), place(-1, "0001-01-01"))
+    j = rows.groupBy(*L.AGREEMENT).agg(original.alias("original"), now.alias("now"), A.count_where(F.col("is_amendment")).alias("amendment_count"), F.count("*").alias("record_count"))
+    j = j.where("original is not null").select(*L.AGREEMENT, "original.*", "now.*", "amendment_count", "record_count")
     j = j.where((F.col("current_value") > F.col("original_value") * times) & (F.col("latest_is_amendment") | (F.col("record_count") > 1)))
     ratio, more, near = V.ratio(F.col("current_value"), F.col("original_value")), F.col("current_value") - F.col("original_value"), V.near_threshold(F.col("original_value"))
     score = V.total([V.banded(ratio, CREEP_BANDS), V.banded(F.col("amendment_count"), [(3, 15), (1, 10)]), V.banded(more, INCREASE_BANDS), V.flag(near, 15)], cap=100)
@@ -112,6 +114,7 @@ def risk_register(agreements: DataFrame, least: float, quiet: tuple[int, int, in
     five = lambda *parts: V.total(parts, cap=5)
     some = F.col("amendments") > 0
     dims = {
+        # Limits and points of the dimensions.
         "cessation": F.when(year.isNull(), undated_points).otherwise(five(F.when((year <= quiet[0]) & (v >= 1_000_000), 2).when((year <= quiet[1]) & (v >= 1_000_000), 1).otherwise(0), V.flag((n <= 3) & (v >= 500_000) & (year <= quiet[1]), 2), V.flag((n == 1) & (v >= 1_000_000) & (year <= quiet[2]), 1))),
         "identity": five(F.when(no_bn & company, 3).when(no_bn, 1).otherwise(0), V.flag(F.col("province").isNull(), 1), V.flag(no_bn & (n <= 2) & (v >= 500_000), 1)),
         "amendment": five(F.when(some, V.banded(rate, [(3, 2), (1, 1)])).otherwise(0), F.when(some & (F.col("more") > v * 2), 2).when(some & (F.col("more") > v), 1).otherwise(0), V.flag(some & (-F.col("less") > v * 0.5), 1)),

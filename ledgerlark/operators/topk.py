@@ -28,18 +28,20 @@ def vocabulary_rank(value: Column, words: Sequence[str]) -> Column:
     return F.when(found > 0, found).otherwise(len(words) + 1).cast("int")
 
 
-def interleave(rows: DataFrame, group: str, order: Sequence[Column], place: str = "place") -> DataFrame:
-    """Adds the turn in which a row comes when groups take turns; sort by it and the group."""
-    return rows.withColumn(place, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-
-
-def balanced(rows: DataFrame, dimensions: Sequence[Sequence[str]], order: Sequence[Column], k: int) -> DataFrame:
-    """k rows that cover the dimensions: the best of each value of the first, of the second and so on, then the rest in order."""
-    first = [F.row_number().over(Window.partitionBy(*d).orderBy(*order)) == 1 for d in dimensions]
-    step = F.lit(len(dimensions))
-    for i in reversed(range(len(dimensions))):
-        step = F.when(F.col(f"_first{i}"), i).otherwise(step)
-    for i, test in enumerate(first):
-        rows = rows.withColumn(f"_first{i}", test)
-    rows = rows.withColumn("coverage_step", step).drop(*(f"_first{i}" for i in range(len(dimensions))))
-    return rows.orderBy("coverage_step", *order).limit(k)
+def interleave(rows: DataFrame, group: str, order: Sequence[Column], most: int, place: str = "place") -> DataFrame:
+    """Adds the turn in which a row comes when groups take turns, for the first ``most`` of each: a group limit; sort by it and the group."""
+    return top_per_group(rows, [group], order, most, place)
+
+
+def balanced(rows: DataFrame, dimensions: Sequence[Sequence[str]], order: Sequence[Column], k: int, id_col: str) -> DataFrame:
+    """k rows that cover the dimensions: the best of each value of the first, of the second and so on, then the rest in order.
+
+    The best of each value are group limits; no dimension is sorted whole. ``id_col`` names each row.
+    """
+    first = None
+    for i, d in enumerate(dimensions):
+        one = top_per_group(rows, d, order, 1, "_turn").select(id_col, F.lit(i).alias("_step"))
+        first = one if first is None else first.unionByName(one)
+    steps = first.groupBy(id_col).agg(F.min("_step").alias("_step"))
+    ranked = rows.join(steps, id_col, "left").withColumn("coverage_step", F.coalesce("_step", F.lit(len(dimensions)))).drop("_step")
+    return ranked.orderBy("coverage_step", *order).limit(k)

@@ -136,33 +136,54 @@ def entity_search(spark, d):
     return E.search(n, "Univ of").withColumn("score", F.round("score", 6))
 
 
-def _linkage_pairs(spark, d):
-    """Pairs of a source with dirty names and one with clean names, in blocks of place and segment."""
-    dirty = view(spark, d, "dirty_names").select("id", N.norm_name(F.col("name")).alias("name"), N.bn_root(F.col("bn")).alias("bn"), "province", "segment")
+_COMPARED = ["bn", "name", "postal", "city", "kind", "grams"]
+
+
+def _linkage_rows(spark, d):
+    """Records of a source with dirty names and of one with clean names; trigrams are made once a record."""
+    place = lambda p, k: (F.concat(F.left(p, F.lit(2)), F.left(k, F.lit(1))).alias("postal"), p.alias("city"), k.alias("kind"))
+    dirty = view(spark, d, "dirty_names").select("id", N.norm_name(F.col("name")).alias("name"), N.bn_root(F.col("bn")).alias("bn"), *place(F.col("province"), F.col("segment")))
     c, n = view(spark, d, "customer"), view(spark, d, "nation")
-    clean = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select((F.col("c_custkey") + 10**9).alias("id"), N.norm_name(F.col("c_name")).alias("name"), F.lpad(F.col("c_custkey").cast("string"), 9, "1").alias("bn"), F.col("n_name").alias("province"), F.col("c_mktsegment").alias("segment"))
-    # trigrams are made once a record and levels once a pair
-    rows = dirty.unionByName(clean).withColumn("grams", N.trigrams(F.col("name")))
-    pairs = M.blocked_pairs(rows, [["province", "segment"]], ["name", "bn", "grams"]).where((F.col("id_a") < 10**9) & (F.col("id_b") >= 10**9))
-    near = F.when(F.col("name_a") == F.col("name_b"), 2).when(N.set_similarity(F.col("grams_a"), F.col("grams_b")) > 0.6, 1).otherwise(0)
-    return written(pairs.select("id_a", "id_b", F.when(F.col("bn_a") == F.col("bn_b"), 1).otherwise(0).alias("bn_level"), near.alias("name_level")), "pairs")
+    clean = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select((F.col("c_custkey") + 10**9).alias("id"), N.norm_name(F.col("c_name")).alias("name"), F.lpad(F.col("c_custkey").cast("string"), 9, "1").alias("bn"), *place(F.col("n_name"), F.col("c_mktsegment")))
+    rows = dirty.unionByName(clean).withColumn("grams", N.trigrams(F.col("name"))).withColumn("tail", F.right(F.regexp_replace("name", "[^0-9]", ""), F.lit(2)))
+    return written(rows, "records")
+
+
+def _linkage_levels():
+    """Five comparisons: number, name, postal code, city, kind; each with its number of levels. A missing number neither agrees nor differs."""
+    same = lambda c: F.when(F.col(f"{c}_a") == F.col(f"{c}_b"), 1).otherwise(0)
+    name = F.when(F.col("name_a") == F.col("name_b"), 2).when(N.set_similarity(F.col("grams_a"), F.col("grams_b")) > 0.6, 1).otherwise(0)
+    number = F.when(F.col("bn_a").isNull() | F.col("bn_b").isNull(), 1).when(F.col("bn_a") == F.col("bn_b"), 2).otherwise(0)
+    return {"bn": (number, 3), "name": (name, 3), "postal": (same("postal"), 2), "city": (same("city"), 2), "kind": (same("kind"), 2)}
 
 
-def _levels():
-    return [F.col("bn_level"), F.col("name_level")]
+def _linkage(spark, d):
+    """(pairs with their levels, m, u, share): u from neighbours in a random order, m and the share by EM over the patterns of the blocked pairs."""
+    rows, levels = _linkage_rows(spark, d), _linkage_levels()
+    u = E.levels_u(rows.select("id", *_COMPARED), levels)
+    # every rule has a key of its own kind, so no block grows with the table
+    pairs = M.blocked_pairs(rows, [["bn"], ["name"], ["city", "kind", "tail"]], _COMPARED).where((F.col("id_a") < 10**9) & (F.col("id_b") >= 10**9))
+    pairs = written(pairs.select("id_a", "id_b", "name_a", *(c.alias(f"{n}_level") for n, (c, _) in levels.items())), "pairs")
+    named = [F.col(f"{n}_level") for n in levels]
+    m, u, share, _ = E.fellegi_sunter(E.agreement_patterns(pairs, named), [k for _, k in levels.values()], u)
+    return rows, pairs, named, m, u, share
 
 
 @query("linkage_model", "O-154")
 def linkage_model(spark, d):
     """Parameters of the linkage model, one row per comparison and level."""
-    m, u, share, _ = E.fellegi_sunter(E.agreement_patterns(_linkage_pairs(spark, d), _levels()), [2, 3])
-    rows = [(c, k, round(a, 6), round(b, 6), round(share, 9)) for c, (x, y) in enumerate(zip(m, u)) for k, (a, b) in enumerate(zip(x, y))]
-    return spark.createDataFrame(rows, "comparison int, level int, m double, u double, share double")
+    _, _, _, m, u, share = _linkage(spark, d)
+    rows = [(name, k, round(a, 6), round(b, 6), round(share, 9)) for name, x, y in zip(_linkage_levels(), m, u) for k, (a, b) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, "comparison string, level int, m double, u double, share double")
 
 
-@query("linkage_matches", "O-154")
+@query("linkage_matches", "O-154 O-155")
 def linkage_matches(spark, d):
-    """Pairs with a match probability of 0.4 and more."""
-    pairs = _linkage_pairs(spark, d)
-    m, u, share, _ = E.fellegi_sunter(E.agreement_patterns(pairs, _levels()), [2, 3])
-    return pairs.select("id_a", "id_b", F.round(E.match_probability(_levels(), m, u, share), 6).alias("probability")).where("probability >= 0.4")
+    """Pairs with a match probability of 0.4 and more, agreement on a rare name counting for more, with their cluster."""
+    rows, pairs, named, m, u, share = _linkage(spark, d)
+    n = rows.count()
+    often = rows.groupBy(F.col("name").alias("name_a")).agg((F.count("*") / F.lit(float(max(1, n)))).alias("often"))
+    rare = E.frequency_weight(F.col("name_level"), 2, u[1][2], F.col("often"))
+    found = pairs.join(often, "name_a", "left").select("id_a", "id_b", F.round(E.match_probability(named, m, u, share, rare), 6).alias("probability")).where("probability >= 0.4")
+    found = written(found, "matches")
+    return found.join(E.merge_clusters(found).withColumnRenamed("id", "id_a"), "id_a").select("id_a", "id_b", "probability", "cluster")

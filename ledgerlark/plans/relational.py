@@ -254,7 +254,7 @@ def top_per_group(spark, d):
 
 @query("queue_interleave", "O-107 O-246", "SELECT event_id, event_type, place FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS place FROM events) x ORDER BY place, event_type LIMIT 60")
 def queue_interleave(spark, d):
-    r = K.interleave(view(spark, d, "events"), "event_type", [F.col("value").desc(), F.col("event_id")])
+    r = K.interleave(view(spark, d, "events"), "event_type", [F.col("value").desc(), F.col("event_id")], 60)
     return r.orderBy("place", "event_type").limit(60).select("event_id", "event_type", "place")
 
 
@@ -262,7 +262,7 @@ def queue_interleave(spark, d):
     WITH r AS (SELECT p_partkey, p_brand, p_type, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) = 1 AS f0, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) = 1 AS f1, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_retailprice DESC, p_partkey) = 1 AS f2 FROM part)
     SELECT p_partkey, CAST(CASE WHEN f0 THEN 0 WHEN f1 THEN 1 WHEN f2 THEN 2 ELSE 3 END AS BIGINT) AS coverage_step FROM r ORDER BY coverage_step, p_retailprice DESC, p_partkey LIMIT 40""")
 def balanced_selection(spark, d):
-    return K.balanced(view(spark, d, "part"), [["p_brand"], ["p_type"], ["p_brand", "p_type"]], [F.col("p_retailprice").desc(), F.col("p_partkey")], 40).select("p_partkey", "coverage_step")
+    return K.balanced(view(spark, d, "part"), [["p_brand"], ["p_type"], ["p_brand", "p_type"]], [F.col("p_retailprice").desc(), F.col("p_partkey")], 40, "p_partkey").select("p_partkey", "coverage_step")
 
 
 @query("set_union", "O-111 O-112", "SELECT name, CAST(min(kind) AS VARCHAR) AS kind FROM (SELECT c_name AS name, 'c' AS kind FROM customer UNION SELECT s_name, 's' FROM supplier UNION SELECT c_name, 'c' FROM customer) u GROUP BY name")

@@ -161,7 +161,7 @@ def test_differences(spark):
 
 def test_balanced_choice_covers(spark):
     rows = [(i, f"a{i % 3}", f"b{i % 5}", i) for i in range(60)]
-    got = K.balanced(spark.createDataFrame(rows, "id long, a string, b string, v long"), [["a"], ["b"]], [F.col("v").desc(), F.col("id")], 10).collect()
+    got = K.balanced(spark.createDataFrame(rows, "id long, a string, b string, v long"), [["a"], ["b"]], [F.col("v").desc(), F.col("id")], 10, "id").collect()
     assert {x.a for x in got} == {"a0", "a1", "a2"} and {x.b for x in got} == {f"b{i}" for i in range(5)}
 
 
@@ -190,3 +190,18 @@ def test_a_cycle_passes_no_node_twice(spark):
     a, b, x, dd = 1, 2, 3, 4
     df = spark.createDataFrame([(s, t, 1.0, 2000, 2000) for s, t in ((a, b), (b, x), (x, b), (b, dd), (dd, a))], "src long, dst long, total_amt double, min_year int, max_year int")
     assert {r.path_key for r in G.all_cycles(df, 8).collect()} == {"2>3", "1>2>4"}
+
+
+def test_linkage_finds_the_records_of_one_body(spark):
+    from ledgerlark.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    model = QUERIES["linkage_model"].build(spark, sf).collect()
+    for name in {x.comparison for x in model}:
+        rows = [x for x in model if x.comparison == name]
+        assert abs(sum(x.m for x in rows) - 1) < 1e-4 and abs(sum(x.u for x in rows) - 1) < 1e-4
+    found = QUERIES["linkage_matches"].build(spark, sf).collect()
+    truth = {x.c_custkey for x in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    right = {x.id_a for x in found if x.id_b == x.id_a + 10**9}
+    assert len(right) >= 0.9 * len({x.id_a for x in found}) and len(right) > 0.3 * len(truth)
+    assert all(0.4 <= x.probability <= 1 and x.cluster <= x.id_a for x in found)
