@@ -156,7 +156,7 @@ def levels_u(rows: DataFrame, levels: dict[str, tuple[Column, int]], sample: int
     ``levels``: name to (level from columns x_a and x_b, number of levels).
     """
     n = rows.count()
-    apart = max(1, min(20, sample // max(1, n)))
+    apart = max(1, min(5, sample // max(1, n)))
     near = rows.select("*", F.conv(F.left(F.md5(F.col(id_col).cast("string")), F.lit(15)), 16, 10).cast("long").alias("_h")).repartitionByRange("_h")
     by = Window.partitionBy(F.spark_partition_id()).orderBy("_h", id_col)
     whole = F.struct(*rows.columns)

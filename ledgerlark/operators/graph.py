@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.sources.store import release, written
 
-PLAIN_ROUNDS = 8  # rounds of pruning before paths are made one edge
+PLAIN_ROUNDS = 8  # times to prune before paths are made one edge
 
 
 def build_edges(gifts: DataFrame, src: str = "src", dst: str = "dst", amount: str = "amount", year: str = "year", min_gift: float = 5000) -> DataFrame:
@@ -56,19 +56,19 @@ def prune_dead_ends(edges: DataFrame) -> DataFrame:
     return tagged.join(kept, ["head", "tail"], "left").where(F.col("ring") | F.coalesce("kept", F.lit(False))).select(*left.columns)
 
 
-def contract(edges: DataFrame) -> DataFrame | None:
+def contract(edges: DataFrame, least: int = 1) -> DataFrame | None:
     """(node, head, tail, ring, least) for the nodes with one edge in and one out: between which other nodes their path runs.
 
     Found by doubling: each round a node looks twice as far along its path. A
     ring of such nodes has no other node; ``least`` is its smallest one. None if
-    there is no such node. ``edges``: distinct (src, dst).
+    there are fewer than ``least`` such nodes. ``edges``: distinct (src, dst).
     """
     pairs = edges.select("src", "dst").distinct()
     out = pairs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("after")).where("n = 1")
     into = pairs.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("before")).where("n = 1")
     inner = written(out.join(into, "node").where("after <> node").select("node", "after", "before", F.col("node").alias("least")), "inner")
     n = inner.count()
-    if not n:
+    if n < max(1, least):
         release(inner)
         return None
     for _ in range(n.bit_length()):
@@ -167,16 +167,19 @@ def reciprocal(edges: DataFrame) -> DataFrame:
     return edges.where("src < dst").join(back, ["src", "dst"]).select("src", "dst", F.col("total_amt").alias("sent"), "received")
 
 
-def _reach(labels: DataFrame, edges: DataFrame, same: bool) -> DataFrame:
-    """Least label that reaches each node along edges, to a fixpoint; ``same``: only within a colour."""
-    state = None
+def _reach(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): the least node that reaches each node along edges.
+
+    A round takes a step along the edges, then gives each node the label of the
+    node that it is labelled with: what reaches that one reaches this one. So
+    far fewer rounds are needed than the longest way has steps.
+    """
+    labels, state = nodes.select("node", F.col("node").alias("label")), None
     while True:
-        sent = edges.join(labels.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "label", *(["colour"] if same else []))
-        both = labels.select("node", "label", *(["colour"] if same else [])).unionByName(sent)
-        if same:
-            own = labels.select("node", F.col("colour").alias("own"))
-            both = both.join(own, "node").where("own = colour").drop("own")
-        before, labels = labels, written(both.groupBy("node", *(["colour"] if same else [])).agg(F.min("label").alias("label")), "labels")
+        sent = edges.join(labels.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "label")
+        near = labels.unionByName(sent).groupBy("node").agg(F.min("label").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        before, labels = labels, written(near.join(jump, "label", "left").select("node", F.least("label", "far").alias("label")), "labels")
         release(before)
         now = labels.agg(F.count("label"), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()
         if now == state:
@@ -209,25 +212,26 @@ def _parts(edges: DataFrame) -> DataFrame | None:
     left = prune_dead_ends(edges)
     if left.isEmpty():
         return None
-    ends = contract(left)
+    n = left.select("src").union(left.select("dst")).distinct().count()
+    ends = contract(left, -(-n // 2))
     if ends is not None:
-        n = left.select("src").union(left.select("dst")).distinct().count()
-        if 2 * ends.count() >= n:
-            rings = ends.where("ring").select("node", F.col("least").alias("component"))
-            short = _with_ends(left, ends).where("not ring").select(F.col("head").alias("src"), F.col("tail").alias("dst")).distinct()
-            parts = _parts(written(short, "graph"))
-            if parts is None:
-                return written(rings, "component")
-            part = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-            paths = ends.where("not ring").join(part("head"), "head").join(part("tail"), "tail").where("of_head = of_tail").select("node", F.col("of_head").alias("component"))
-            return written(parts.unionByName(rings).unionByName(paths), "component")
+        rings = ends.where("ring").select("node", F.col("least").alias("component"))
+        short = _with_ends(left, ends).where("not ring").select(F.col("head").alias("src"), F.col("tail").alias("dst")).distinct()
+        parts = _parts(written(short, "graph"))
+        if parts is None:
+            return written(rings, "component")
+        part = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        paths = ends.where("not ring").join(part("head"), "head").join(part("tail"), "tail").where("of_head = of_tail").select("node", F.col("of_head").alias("component"))
+        return written(parts.unionByName(rings).unionByName(paths), "component")
     found = None
     while not left.isEmpty():
         live = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
-        colours = _reach(live.select("node", F.col("node").alias("label")), left, False).select("node", F.col("label").alias("colour"))
-        back = left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        marked = colours.withColumn("label", F.when(F.col("node") == F.col("colour"), F.col("colour")))
-        reached = _reach(marked, back, True).where("label is not null").select("node", F.col("colour").alias("component"))
+        colours = _reach(live, left).withColumnRenamed("label", "colour")
+        colour = lambda end: colours.select(F.col("node").alias(end), F.col("colour").alias(f"of_{end}"))
+        within = left.join(colour("src"), "src").join(colour("dst"), "dst").where("of_src = of_dst")
+        back = written(within.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "coloured")
+        # the root of a colour is its least node, so whoever reaches the root is labelled with it
+        reached = _reach(live, back).join(colours, "node").where("label = colour").select("node", F.col("colour").alias("component"))
         reached = written(reached, "component")
         found = reached if found is None else found.unionByName(reached)
         rest = left.join(reached.select(F.col("node").alias("src")), "src", "left_anti").join(reached.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")

@@ -45,11 +45,11 @@ VIEWS = {
             SELECT *, row_number() OVER (PARTITION BY src ORDER BY total_amt DESC, dst) AS rn FROM (
                 SELECT src, dst, CAST(sum(amount) AS DECIMAL(18,2)) AS total_amt, min(year) AS min_year, max(year) AS max_year FROM {gifts} WHERE amount >= 5000 AND src <> dst GROUP BY src, dst) a) b
         WHERE rn <= 3""",
-    # a user's purchase of 100 or more hands over to the next user's
+    # a user's purchase of 60 or more hands over to the next user's
     "event_edges": """
         SELECT src, dst, CAST(sum(v) AS DECIMAL(18,2)) AS total_amt FROM (
             SELECT user_id AS src, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS dst, CAST(value AS DECIMAL(18,2)) AS v FROM {events} WHERE event_type = 'purchase') p
-        WHERE dst IS NOT NULL AND src <> dst AND v >= 100 GROUP BY src, dst""",
+        WHERE dst IS NOT NULL AND src <> dst AND v >= 60 GROUP BY src, dst""",
     "yearly_flows": "SELECT src, dst, year, CAST(sum(amount) AS DECIMAL(18,2)) AS amount FROM {gifts} WHERE src <> dst GROUP BY src, dst, year",
     # customers who returned urgent goods of a supplier stand for its directors
     "roles": """
