@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.sources.store import release, written
@@ -296,15 +296,27 @@ def symmetric_flows(yearly: DataFrame, apart: int = 0) -> DataFrame:
 def shared_people(roles: DataFrame, least: int = 2, org: str = "org", person: str = "person", year: str = "year") -> DataFrame:
     """Pairs of organisations that share at least ``least`` people, with the years in which they do. ``roles``: (org, person, year).
 
-    A person's organisations meet through an equi-join on the person; roles are
-    first brought to one row per person and organisation.
+    Roles are first one row per person and organisation. Organisations that
+    share that many people also share one besides the ``least`` - 1 most
+    widespread of each, in one order of all people; only through the others do
+    they meet, so someone who sits everywhere does not list all pairs. The
+    people of the pairs that met are then counted. Nulls are shared by nobody.
     """
-    r = roles.groupBy(org, person).agg(F.min(year).alias("y0"), F.max(year).alias("y1"))
-    a = r.select(F.col(org).alias("org_a"), person, F.col("y0").alias("a0"), F.col("y1").alias("a1"))
-    b = r.select(F.col(org).alias("org_b"), person, F.col("y0").alias("b0"), F.col("y1").alias("b1"))
-    pairs = a.join(b, person).where("org_a < org_b")
+    r = roles.dropna(subset=[org, person]).groupBy(F.col(org).alias("org"), F.col(person).alias("person")).agg(F.min(year).alias("y0"), F.max(year).alias("y1"))
+    r = written(r, "roles")
+    meeting = r.join(r.groupBy("person").agg(F.count("*").alias("seats")).where("seats > 1"), "person")
+    if least > 1:
+        widest = Window.partitionBy("org").orderBy(F.desc("seats"), F.desc("person"))
+        left_out = meeting.withColumn("place", F.row_number().over(widest)).where(F.col("place") < least).select("org", "person")
+        keyed = meeting.join(left_out, ["org", "person"], "left_anti")
+    else:
+        keyed = meeting
+    met = keyed.select(F.col("org").alias("org_a"), "person").join(keyed.select(F.col("org").alias("org_b"), "person"), "person").where("org_a < org_b").select("org_a", "org_b").distinct()
+    a = meeting.select(F.col("org").alias("org_a"), "person", F.col("y0").alias("a0"), F.col("y1").alias("a1"))
+    b = meeting.select(F.col("org").alias("org_b"), "person", F.col("y0").alias("b0"), F.col("y1").alias("b1"))
     first, last = F.min(F.greatest("a0", "b0")), F.max(F.least("a1", "b1"))
-    return pairs.groupBy("org_a", "org_b").agg(F.count("*").alias("shared_people"), first.alias("overlap_first_year"), last.alias("overlap_last_year")).where(F.col("shared_people") >= least)
+    pairs = met.join(a, "org_a").join(b, ["org_b", "person"]).groupBy("org_a", "org_b")
+    return pairs.agg(F.count("*").alias("shared_people"), first.alias("overlap_first_year"), last.alias("overlap_last_year")).where(F.col("shared_people") >= least)
 
 
 def seeded_cycles(edges: DataFrame, node, k: int, window: int | None = None) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,16 +21,47 @@ def _pairs(rows: DataFrame, block: Sequence[str], keep: Sequence[str]) -> DataFr
     return a.join(b, list(block)).where("id_a < id_b")
 
 
-def trigram_join(rows: DataFrame, threshold: float, id_col: str = "id", text: str = "name", min_length: int = 5) -> DataFrame:
-    """Pairs with trigram similarity of at least ``threshold``: (id_a, id_b, similarity).
+def _classes(rows: DataFrame, value: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """One row per distinct ``value``, its ``id`` the least that has it; and (rep, member): whom each of them stands for."""
+    one = rows.groupBy(*value).agg(F.min("id").alias("id"))
+    members = rows.join(one.withColumnRenamed("id", "rep"), list(value)).select("rep", F.col("id").alias("member"))
+    return one, members
 
-    Prefix filter: with trigrams in a fixed order, rarest first, two texts that
-    similar share one of their first n - ceil(t * n) + 1. Only these trigrams
-    are joined; sizes too far apart are dropped in the join and the exact value
-    is taken from the sets.
+
+def _spread(pairs: DataFrame, members: DataFrame, copies: bool, **same: Column) -> DataFrame:
+    """Pairs of representatives as pairs of rows; rows of one value carry the values of ``same``.
+
+    Without ``copies``, representatives stay and each other row is linked to its own.
+    """
+    values = list(same)
+    links = members.where("rep < member")
+    if copies:
+        a, b = (members.select(F.col("rep").alias(f"id_{s}"), F.col("member").alias(f"m_{s}")) for s in "ab")
+        pairs = pairs.join(a, "id_a").join(b, "id_b").select(F.least("m_a", "m_b").alias("id_a"), F.greatest("m_a", "m_b").alias("id_b"), *values)
+        links = members.join(members.withColumnRenamed("member", "other"), "rep").where("member < other").select(F.col("member").alias("rep"), F.col("other").alias("member"))
+    return pairs.unionByName(links.select(F.col("rep").alias("id_a"), F.col("member").alias("id_b"), *(c.alias(n) for n, c in same.items())))
+
+
+def same_key(rows: DataFrame, keys: Sequence[str], id_col: str = "id") -> DataFrame:
+    """(id_a, id_b): each row beside the least of those that agree with it on ``keys``. As connected as all pairs, in as many rows as there are; nulls agree with nothing."""
+    r = rows.dropna(subset=list(keys)).select(*keys, F.col(id_col).alias("id_b"))
+    least = r.groupBy(*keys).agg(F.min("id_b").alias("id_a"))
+    return r.join(least, list(keys)).where("id_a < id_b").select("id_a", "id_b")
+
+
+def trigram_join(rows: DataFrame, threshold: float, id_col: str = "id", text: str = "name", min_length: int = 5, copies: bool = True) -> DataFrame:
+    """Pairs with trigram similarity of at least ``threshold``: (id_a, id_b, similarity). Ids name rows; null and short texts pair with nothing.
+
+    Rows of the same trigrams are one row first. Prefix filter: with trigrams
+    in a fixed order, rarest first, two texts that similar share one of their
+    first n - ceil(t * n) + 1. Only these trigrams are joined; sizes too far
+    apart are dropped in the join and the exact value is taken from the sets.
+    Without ``copies``, rows of the same trigrams are linked to the least of
+    them alone, so a name that half of the rows bear is not all their pairs.
     """
-    base = rows.where(F.length(text) >= min_length).select(F.col(id_col).alias("id"), trigrams(F.col(text)).alias("grams")).where(F.size("grams") > 0)
-    each = base.select("id", F.explode("grams").alias("gram"))
+    each_row = rows.where(F.length(text) >= min_length).select(F.col(id_col).alias("id"), F.array_sort(trigrams(F.col(text))).alias("set")).where(F.size("set") > 0)
+    base, members = _classes(each_row, ["set"])
+    each = base.select("id", F.explode("set").alias("gram"))
     counts = each.groupBy("gram").agg(F.count("*").alias("n"))
     ordered = each.join(counts, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g")).select("id", F.transform("g", lambda x: x["gram"]).alias("grams"))
     size = F.size("grams")
@@ -37,15 +71,44 @@ def trigram_join(rows: DataFrame, threshold: float, id_col: str = "id", text: st
     found = _pairs(keyed, ["gram"], ["id", "grams", "n"]).where(near).dropDuplicates(["id_a", "id_b"])
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
     value = shared.cast("double") / (F.col("n_a") + F.col("n_b") - shared)
-    return found.select("id_a", "id_b", value.alias("similarity")).where(F.col("similarity") >= threshold)
+    alike = found.select("id_a", "id_b", value.alias("similarity")).where(F.col("similarity") >= threshold)
+    return _spread(alike, members, copies, similarity=F.lit(1.0))
 
 
-def levenshtein_match(rows: DataFrame, block: Sequence[str], most: int = 5, prefix: int = 40, id_col: str = "id", text: str = "name") -> DataFrame:
-    """Pairs in a block within ``most`` edits of their prefixes and that much of length, with confidence 1 - d / longest."""
-    r = rows.select(*block, F.col(id_col).alias("id"), F.left(F.col(text), F.lit(prefix)).alias("t"))
-    d = F.levenshtein("t_a", "t_b", most)
-    j = _pairs(r, block, ["id", "t"]).where(F.abs(F.length("t_a") - F.length("t_b")) <= most).withColumn("distance", d).where("distance >= 0")
-    return j.select("id_a", "id_b", "distance", F.round(1 - F.col("distance") / F.greatest(F.length("t_a"), F.length("t_b"), F.lit(1)), 6).alias("confidence"))
+def _segments(most: int) -> Column:
+    """(i, start, size) of the most + 1 even parts of a text of ``l`` characters, the longer parts last."""
+    parts = most + 1
+    short, longer = F.floor(F.col("l") / parts).cast("int"), (F.col("l") % parts).cast("int")
+    part = lambda i: F.struct(i.alias("i"), (i * short + F.greatest(i - (parts - longer), F.lit(0))).alias("start"), (short + (i >= parts - longer).cast("int")).alias("size"))
+    return F.transform(F.sequence(F.lit(0), F.lit(most)), part)
+
+
+def levenshtein_match(rows: DataFrame, block: Sequence[str], most: int = 5, prefix: int = 40, id_col: str = "id", text: str = "name", copies: bool = True) -> DataFrame:
+    """Pairs in a block within ``most`` edits of their prefixes and that much of length: (id_a, id_b, distance, confidence), 1 - distance / longest.
+
+    Equal prefixes are one row first. Of the most + 1 parts of the shorter text
+    one must stand unchanged in the longer one, shifted by no more than the
+    edits to its left and right allow; so parts are looked up, not all pairs of
+    a block. A null block or text pairs with nothing; ``copies`` as in
+    ``trigram_join``.
+    """
+    r = rows.select(*block, F.col(id_col).alias("id"), F.left(F.col(text), F.lit(prefix)).alias("t")).dropna(subset=[*block, "t"])
+    one, members = _classes(r, [*block, "t"])
+    part = lambda t, start, size: F.substr(t, start + 1, size).alias("part")
+    held = one.withColumn("l", F.length("t")).select(*block, "l", F.col("id").alias("id_s"), F.col("t").alias("t_s"), F.explode(_segments(most)).alias("x"))
+    held = held.select(*block, "l", "id_s", "t_s", "x.i", part(F.col("t_s"), F.col("x.start"), F.col("x.size")))
+    asked = one.withColumn("n", F.length("t")).withColumn("l", F.explode(F.sequence(F.greatest(F.col("n") - most, F.lit(0)), F.col("n"))))
+    asked = asked.select(*block, "l", "n", F.col("id").alias("id_r"), F.col("t").alias("t_r"), F.explode(_segments(most)).alias("x")).select("*", "x.*").drop("x")
+    gap = F.col("n") - F.col("l")
+    low = F.greatest(F.col("start") - F.col("i"), F.col("start") + gap - (most - F.col("i")), F.lit(0))
+    high = F.least(F.col("start") + F.col("i"), F.col("start") + gap + (most - F.col("i")), F.col("n") - F.col("size"))
+    asked = asked.withColumn("low", low).withColumn("high", F.when(F.col("size") == 0, F.col("low")).otherwise(high)).where("low <= high")
+    asked = asked.withColumn("at", F.explode(F.sequence("low", "high"))).select(*block, "l", "n", "id_r", "t_r", "i", part(F.col("t_r"), F.col("at"), F.col("size"))).distinct()
+    met = held.join(asked, [*block, "l", "i", "part"]).where("l < n or id_s < id_r").dropDuplicates(["id_s", "id_r"])
+    longest = F.greatest(F.length("t_s"), F.length("t_r"), F.lit(1))
+    near = met.withColumn("distance", F.levenshtein("t_s", "t_r", most)).where("distance >= 0")
+    near = near.select(F.least("id_s", "id_r").alias("id_a"), F.greatest("id_s", "id_r").alias("id_b"), "distance", F.round(1 - F.col("distance") / longest, 6).alias("confidence"))
+    return _spread(near, members, copies, distance=F.lit(0), confidence=F.lit(1.0))
 
 
 def rare_token_match(rows: DataFrame, least_shared: int = 2, overlap: float = 0.5, most_df: int = 200, id_col: str = "id", tokens: str = "tokens") -> DataFrame:
@@ -66,47 +129,71 @@ def rare_token_match(rows: DataFrame, least_shared: int = 2, overlap: float = 0.
     return j.select("id_a", "id_b", "shared", F.round(F.col("common") / F.least("t_a", "t_b"), 6).alias("overlap")).where(F.col("overlap") >= overlap)
 
 
-def _jaro_winkler(a: str | None, b: str | None) -> float | None:
-    if a is None or b is None:
-        return None
-    if a == b:
-        return 1.0 if a else 0.0
-    if not a or not b:
-        return 0.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    used, hits = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                hits.append(c)
-                break
-    if not hits:
-        return 0.0
-    m = len(hits)
-    swaps = sum(x != y for x, y in zip(hits, (c for c, u in zip(b, used) if u))) / 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    same = 0
-    while same < min(4, len(a), len(b)) and a[same] == b[same]:
-        same += 1
-    return jaro + same * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
+def _codes(texts: list[str], filler: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, one text a row, at least four columns; and the lengths."""
+    sizes = np.array([len(t) for t in texts], int)
+    rows = np.full((len(texts), max(4, sizes.max(initial=0))), filler, np.int32)
+    rows[np.arange(rows.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.int32)
+    return rows, sizes
+
+
+def jaro_winkler_values(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaro-Winkler similarity of pairs of texts, all pairs a character at a time; an empty text is like nothing."""
+    (x, nx), (y, ny) = _codes(a, -1), _codes(b, -2)
+    row, place = np.arange(len(a)), np.arange(y.shape[1])
+    reach = np.maximum(0, np.maximum(nx, ny) // 2 - 1)[:, None]
+    hit, used = np.zeros(x.shape, bool), np.zeros(y.shape, bool)
+    for i in range(x.shape[1]):
+        free = (y == x[:, i : i + 1]) & ~used & (np.abs(place - i) <= reach)
+        at = free.argmax(1)
+        ok = free[row, at]
+        used[row[ok], at[ok]] = True
+        hit[ok, i] = True
+    m = hit.sum(1)
+    # matched characters stand in both masks in the order of their texts, as many in one as in the other
+    swaps = np.bincount(np.nonzero(hit)[0], x[hit] != y[used], len(a)) / 2
+    some = np.maximum(m, 1)
+    jaro = np.where(m > 0, (m / np.maximum(nx, 1) + m / np.maximum(ny, 1) + (m - swaps) / some) / 3, 0.0)
+    start = np.cumprod(x[:, :4] == y[:, :4], axis=1).sum(1)
+    return np.where(jaro > 0.7, jaro + start * 0.1 * (1 - jaro), jaro)
 
 
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaro-Winkler similarity; Spark has no built-in for it."""
-    return pd.Series([_jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
+    """Jaro-Winkler similarity in numpy batches; Spark has no built-in for it. Null if either text is."""
+    out = np.full(len(a), np.nan)
+    both = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+    width = np.array([max(len(a.iat[k]), len(b.iat[k])) for k in both], int)
+    both = both[np.argsort(width, kind="stable")]  # texts of like length together, so that a long one does not widen all
+    width, begin = np.sort(width), 0
+    while begin < len(both):
+        end = begin + 1
+        while end < len(both) and (end + 1 - begin) * width[end] <= 1_000_000:
+            end += 1
+        part = both[begin:end]
+        out[part] = jaro_winkler_values(a.iloc[part].tolist(), b.iloc[part].tolist())
+        begin = end
+    return pd.Series(out)
 
 
 def blocked_pairs(rows: DataFrame, rules: Sequence[Sequence[str]], keep: Sequence[str], id_col: str = "id") -> DataFrame:
-    """Each pair that agrees on all columns of at least one rule, once."""
+    """Each pair that agrees on all columns of at least one rule, once: (id_a, id_b, and ``keep`` of both). Ids name rows.
+
+    A rule leaves out the pairs of the rules before it, so one join a rule is
+    all. Pairs are what a rule asks for: choose rules whose groups do not grow
+    with the data; ``same_key`` links groups of any size.
+    """
     r = rows.withColumnRenamed(id_col, "id")
+    carried = list(dict.fromkeys([*keep, *(c for rule in rules for c in rule)]))
+    agree = lambda rule: reduce(and_, (F.coalesce(F.col(f"{c}_a") == F.col(f"{c}_b"), F.lit(False)) for c in rule))
     found = None
-    for rule in rules:
-        p = _pairs(r.dropna(subset=list(rule)), rule, ["id"]).select("id_a", "id_b")
+    for k, rule in enumerate(rules):
+        p = _pairs(r.dropna(subset=list(rule)), rule, ["id", *carried])
+        for earlier in rules[:k]:
+            p = p.where(~agree(earlier))
+        p = p.select("id_a", "id_b", *(f"{c}_{s}" for s in "ab" for c in keep))
         found = p if found is None else found.unionByName(p)
-    side = lambda s: r.select(F.col("id").alias(f"id_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in keep))
-    return found.distinct().join(side("a"), "id_a").join(side("b"), "id_b")
+    return found
 
 
 def resolver_confidence(similarity: Column, overlap: Column, bn_a: Column, bn_b: Column, least_overlap: float = 0.7, least_similarity: float = 0.3) -> Column:

@@ -109,7 +109,7 @@ def golden_records(spark, d):
     SELECT a AS id, least(a, min(b)) AS cluster FROM r GROUP BY a""")
 def merge_clusters(spark, d):
     s = view(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("k"), F.floor(F.col("s_acctbal") / 2000).alias("b"))
-    return E.merge_clusters(M.blocked_pairs(s, [["k", "b"]], []))
+    return E.merge_clusters(M.same_key(s, ["k", "b"]))
 
 
 @query("unmerge", "O-152", "SELECT s_suppkey AS id_a, s_suppkey + 1 AS id_b FROM supplier WHERE s_suppkey % 7 <> 0")
@@ -145,7 +145,7 @@ def _linkage_rows(spark, d):
     dirty = view(spark, d, "dirty_names").select("id", N.norm_name(F.col("name")).alias("name"), N.bn_root(F.col("bn")).alias("bn"), *place(F.col("province"), F.col("segment")))
     c, n = view(spark, d, "customer"), view(spark, d, "nation")
     clean = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select((F.col("c_custkey") + 10**9).alias("id"), N.norm_name(F.col("c_name")).alias("name"), F.lpad(F.col("c_custkey").cast("string"), 9, "1").alias("bn"), *place(F.col("n_name"), F.col("c_mktsegment")))
-    rows = dirty.unionByName(clean).withColumn("grams", N.trigrams(F.col("name"))).withColumn("tail", F.right(F.regexp_replace("name", "[^0-9]", ""), F.lit(2)))
+    rows = dirty.unionByName(clean).withColumn("grams", N.trigrams(F.col("name"))).withColumn("tail", F.right(F.regexp_replace("name", "[^0-9]", ""), F.lit(6)))
     return written(rows, "records")
 
 

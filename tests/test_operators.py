@@ -105,6 +105,110 @@ def test_trigram_join_finds_every_pair(spark):
     assert got == want
 
 
+def joined_groups(pairs, ids):
+    """The least id that each id is linked to by pairs."""
+    least = {i: i for i in ids}
+    for _ in ids:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+def test_trigram_join_links_copies_to_one(spark):
+    rows = [(i, "northern food bank") for i in range(300)] + [(900, "northern food banks"), (901, "bank, northern food"), (902, None)]
+    df = spark.createDataFrame(rows, "id long, name string")
+    got = [(x.id_a, x.id_b) for x in M.trigram_join(df, 0.7, copies=False).collect()]
+    assert len(got) == len(set(got)) == 301 and set(joined_groups(got, [*range(300), 900, 901]).values()) == {0}
+    assert M.trigram_join(df, 0.7).count() == 302 * 301 // 2
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most, seed", [(1, 21), (2, 22), (5, 23)])
+def test_levenshtein_match_finds_every_pair(spark, most, seed):
+    r = random.Random(seed)
+    texts = ["".join(r.choice("abc") for _ in range(r.randint(0, 14))) for _ in range(60)]
+    for _ in range(60):  # edited copies, ends and middles moved
+        t = list(r.choice(texts) + "dédale"[: r.randint(0, 6)])
+        for _ in range(r.randint(0, most + 1)):
+            k = r.randint(0, len(t))
+            t[k : k + r.randint(0, 1)] = r.choice(["", "x", "a"])
+        texts.append("".join(t))
+    rows = [(i, "k" if i % 3 else "m", t) for i, t in enumerate(texts)] + [(500, None, "abc"), (501, "k", None), (502, None, None)]
+    df = spark.createDataFrame(rows, "id long, k string, name string")
+    want = {}
+    for (i, k, a), (j, m, b) in itertools.combinations(rows[: len(texts)], 2):
+        if k == m and (d := plain_distance(a[:12], b[:12])) <= most:
+            want[i, j] = (d, round(1 - d / max(len(a[:12]), len(b[:12]), 1), 6))
+    got = M.levenshtein_match(df, ["k"], most, 12).collect()
+    assert {(x.id_a, x.id_b): (x.distance, x.confidence) for x in got} == want and len(got) == len(want)
+    some = [(x.id_a, x.id_b) for x in M.levenshtein_match(df, ["k"], most, 12, copies=False).collect()]
+    assert joined_groups(some, range(len(texts))) == joined_groups(want, range(len(texts)))
+
+
+def plain_jaro_winkler(a, b):
+    reach, used, hits = max(0, max(len(a), len(b)) // 2 - 1), set(), []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if j not in used and b[j] == c:
+                used.add(j)
+                hits.append(c)
+                break
+    if not hits:
+        return 0.0
+    m, swaps = len(hits), sum(x != b[j] for x, j in zip(hits, sorted(used))) / 2
+    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    same = len(list(itertools.takewhile(lambda p: p[0] == p[1], zip(a[:4], b[:4]))))
+    return jaro + same * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
+
+
+def test_jaro_winkler(spark):
+    r = random.Random(24)
+    word = lambda: "".join(r.choice("abcé\U0001f600") for _ in range(r.randint(0, 12)))
+    rows = [(word(), word()) for _ in range(800)] + [("martha", "marhta"), ("dixon", "dicksonx"), ("same", "same"), ("", ""), ("a" * 3000, "a" * 2999 + "b"), (None, "a"), ("a", None)]
+    got = spark.createDataFrame(rows, "a string, b string").coalesce(1).select("a", "b", M.jaro_winkler("a", "b").alias("s")).collect()
+    for x in got:
+        want = None if x.a is None or x.b is None else plain_jaro_winkler(x.a, x.b)
+        assert x.s is None if want is None else abs(x.s - want) < 1e-12
+    assert abs(next(x.s for x in got if x.a == "martha") - 0.961111) < 1e-6
+
+
+def test_blocked_pairs_once_each(spark):
+    r = random.Random(25)
+    rows = [(i, r.choice(["a", "b", None]), r.choice(["x", "y", "z", None]), r.randint(0, 4)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, p string, q string, n long")
+    eq = lambda u, v: u is not None and u == v
+    want = sorted((s[0], t[0], s[3], t[3]) for s, t in itertools.combinations(rows, 2) if eq(s[1], t[1]) and eq(s[2], t[2]) or s[3] == t[3] or eq(s[2], t[2]) and s[3] == t[3])
+    got = sorted(tuple(x) for x in M.blocked_pairs(df, [["p", "q"], ["n"], ["q", "n"]], ["n"]).select("id_a", "id_b", "n_a", "n_b").collect())
+    assert got == want
+    links = [(x.id_a, x.id_b) for x in M.same_key(df, ["p", "q"]).collect()]
+    assert joined_groups(links, range(60)) == {s[0]: min([s[0], *(t[0] for t in rows if eq(s[1], t[1]) and eq(s[2], t[2]))]) for s in rows}
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_shared_people(spark, least):
+    r = random.Random(26)
+    rows = [(r.randrange(25), r.randrange(40), 2000 + r.randrange(6)) for _ in range(220)] + [(o, 99, 2003) for o in range(25)] + [(3, None, 2000), (None, 99, 2000)]
+    seats = {}
+    for o, p, y in rows:
+        if o is not None and p is not None:
+            seats.setdefault(o, {}).setdefault(p, []).append(y)
+    want = set()
+    for a, b in itertools.combinations(sorted(seats), 2):
+        both = seats[a].keys() & seats[b].keys()
+        if len(both) >= least:
+            want.add((a, b, len(both), min(max(min(seats[a][p]), min(seats[b][p])) for p in both), max(min(max(seats[a][p]), max(seats[b][p])) for p in both)))
+    got = [tuple(x) for x in G.shared_people(spark.createDataFrame(rows, "org long, person long, year int"), least).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_clusters(spark):
     r = random.Random(7)
     pairs = [(r.randrange(80), r.randrange(80)) for _ in range(50)]
