@@ -22,36 +22,53 @@ def _part_names(spark, d):
     return view(spark, d, "part").groupBy(F.concat_ws(" ", "p_name", "p_brand").alias("name")).agg(F.min("p_partkey").alias("id"))
 
 
-@query("trigram_join", "O-141 O-133 O-142", f"WITH p AS (SELECT id, {trigram_sql('name')} AS g FROM ({_PARTS}) x) SELECT a.id AS id_a, b.id AS id_b, {_SIM.format(a='a.g', b='b.g')} AS similarity FROM p a JOIN p b ON a.id < b.id WHERE {_SIM.format(a='a.g', b='b.g')} >= 0.8")
+@query("trigram_join", "O-141 O-133 O-142", f"""
+    WITH p AS (SELECT id, {trigram_sql('name')} AS g FROM ({_PARTS}) x) SELECT a.id AS id_a, b.id AS id_b,
+        {_SIM.format(a='a.g', b='b.g')} AS similarity FROM p a JOIN p b ON a.id < b.id WHERE {_SIM.format(a='a.g', b='b.g')} >= 0.8""")
 def trigram_join(spark, d):
     return M.trigram_join(_part_names(spark, d), 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("levenshtein_match", "O-133 O-134 O-142", "WITH p AS (SELECT p_partkey AS id, p_brand AS k, p_name AS t FROM part), j AS (SELECT a.id AS id_a, b.id AS id_b, levenshtein(a.t, b.t) AS distance, greatest(length(a.t), length(b.t), 1) AS n FROM p a JOIN p b ON a.k = b.k AND a.id < b.id WHERE abs(length(a.t) - length(b.t)) <= 2 AND levenshtein(a.t, b.t) <= 2) SELECT id_a, id_b, distance, round(1 - CAST(distance AS DOUBLE) / n, 6) AS confidence FROM j")
+@query("levenshtein_match", "O-133 O-134 O-142", """
+    WITH p AS (SELECT p_partkey AS id, p_brand AS k, p_name AS t
+        FROM part), j AS (SELECT a.id AS id_a, b.id AS id_b, levenshtein(a.t, b.t) AS distance, greatest(length(a.t), length(b.t), 1) AS n FROM p a
+        JOIN p b ON a.k = b.k AND a.id < b.id WHERE abs(length(a.t) - length(b.t)) <= 2 AND levenshtein(a.t, b.t) <= 2) SELECT id_a, id_b, distance,
+        round(1 - CAST(distance AS DOUBLE) / n, 6) AS confidence FROM j""")
 def levenshtein_match(spark, d):
     p = view(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", F.col("p_name").alias("name"))
     return M.levenshtein_match(p, ["p_brand"], 2)
 
 
 @query("rare_token_match", "O-153 O-065 O-132", """
-    WITH t AS (SELECT id, unnest(list_distinct(string_split(lower(name), ' '))) AS token FROM {dirty_names}), f AS (SELECT token, count(*) AS df FROM t GROUP BY 1), w AS (SELECT id, token, df, 1 / log2(df + 1) AS w FROM t JOIN f USING (token)), s AS (SELECT id, sum(w) AS total FROM w GROUP BY 1),
-    p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared, sum(a.w) AS common FROM w a JOIN w b ON a.token = b.token AND a.id < b.id WHERE a.df >= 2 AND a.df < 200 GROUP BY 1, 2 HAVING count(*) >= 2)
-    SELECT id_a, id_b, shared, round(common / least(x.total, y.total), 6) AS overlap FROM p JOIN s x ON x.id = id_a JOIN s y ON y.id = id_b WHERE round(common / least(x.total, y.total), 6) >= 0.3""")
+    WITH t AS (SELECT id, unnest(list_distinct(string_split(lower(name), ' '))) AS token FROM {dirty_names}), f AS (SELECT token, count(*) AS df
+        FROM t GROUP BY 1), w AS (SELECT id, token, df, 1 / log2(df + 1) AS w FROM t JOIN f USING (token)), s AS (SELECT id, sum(w) AS total FROM w
+        GROUP BY 1),
+    p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared, sum(a.w) AS common FROM w a JOIN w b ON a.token = b.token AND a.id < b.id
+        WHERE a.df >= 2 AND a.df < 200 GROUP BY 1, 2 HAVING count(*) >= 2)
+    SELECT id_a, id_b, shared, round(common / least(x.total, y.total), 6) AS overlap FROM p JOIN s x ON x.id = id_a JOIN s y ON y.id = id_b
+        WHERE round(common / least(x.total, y.total), 6) >= 0.3""")
 def rare_token_match(spark, d):
     n = view(spark, d, "dirty_names").select("id", F.split(F.lower("name"), " ").alias("tokens"))
     return M.rare_token_match(n, 2, 0.3)
 
 
-@query("jaro_winkler_blocked", "O-135 O-064", "WITH s AS (SELECT s_suppkey AS id, s_nationkey AS k, s_name AS n FROM supplier) SELECT a.id AS id_a, b.id AS id_b, round(jaro_winkler_similarity(a.n, b.n), 6) AS similarity FROM s a JOIN s b ON a.k = b.k AND a.id < b.id")
+@query("jaro_winkler_blocked", "O-135 O-064", """
+    WITH s AS (SELECT s_suppkey AS id, s_nationkey AS k, s_name AS n
+        FROM supplier) SELECT a.id AS id_a, b.id AS id_b, round(jaro_winkler_similarity(a.n, b.n), 6) AS similarity FROM s a
+        JOIN s b ON a.k = b.k AND a.id < b.id""")
 def jaro_winkler_blocked(spark, d):
     s = view(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("k"), F.col("s_name").alias("n"))
     return M.blocked_pairs(s, [["k"]], ["n"]).select("id_a", "id_b", F.round(M.jaro_winkler("n_a", "n_b"), 6).alias("similarity"))
 
 
 @query("match_cascade", "O-144 O-145", f"""
-    WITH p AS (SELECT id, name, {_NORM} AS norm, CASE WHEN regexp_matches(bn, '^[1-9][0-9]{{8}}') THEN left(bn, 9) END AS root FROM {{dirty_names}}), e AS (SELECT c_custkey AS entity_id, c_name AS name, upper(replace(c_name, '#', ' ')) AS norm, lpad(CAST(c_custkey AS VARCHAR), 9, '1') AS root FROM customer),
-    h AS (SELECT id, 0 AS step, min(entity_id) AS entity_id FROM p JOIN e USING (root) GROUP BY id UNION ALL SELECT id, 1, min(entity_id) FROM p JOIN e ON p.name = e.name GROUP BY id UNION ALL SELECT id, 2, min(entity_id) FROM p JOIN e ON p.norm = e.norm AND p.norm <> '' GROUP BY id)
-    SELECT id, entity_id, ['bn_anchor', 'exact', 'normalised'][step + 1] AS method, CAST([0.99, 0.95, 0.90][step + 1] AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY step, entity_id) AS rn FROM h) x WHERE rn = 1""".replace("[0-9]{8}", "[0-9][0-9][0-9][0-9][0-9][0-9][0-9][0-9]"))
+    WITH p AS (SELECT id, name, {_NORM} AS norm, CASE WHEN regexp_matches(bn, '^[1-9][0-9]{{8}}') THEN left(bn, 9) END AS root
+        FROM {{dirty_names}}), e AS (SELECT c_custkey AS entity_id, c_name AS name, upper(replace(c_name, '#', ' ')) AS norm,
+        lpad(CAST(c_custkey AS VARCHAR), 9, '1') AS root FROM customer),
+    h AS (SELECT id, 0 AS step, min(entity_id) AS entity_id FROM p JOIN e USING (root) GROUP BY id UNION ALL SELECT id, 1, min(entity_id) FROM p
+        JOIN e ON p.name = e.name GROUP BY id UNION ALL SELECT id, 2, min(entity_id) FROM p JOIN e ON p.norm = e.norm AND p.norm <> '' GROUP BY id)
+    SELECT id, entity_id, ['bn_anchor', 'exact', 'normalised'][step + 1] AS method, CAST([0.99, 0.95, 0.90][step + 1] AS DOUBLE) AS confidence
+        FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY step, entity_id) AS rn FROM h) x WHERE rn = 1""".replace("[0-9]{8}", "[0-9][0-9][0-9][0-9][0-9][0-9][0-9][0-9]"))
 def match_cascade(spark, d):
     p = view(spark, d, "dirty_names").select("id", F.col("name").alias("p_name"), N.norm_name(F.col("name")).alias("p_norm"), F.when(F.col("bn").rlike("^[1-9][0-9]{8}"), F.left("bn", F.lit(9))).alias("p_root"))
     c = F.col("c_name")
@@ -60,14 +77,17 @@ def match_cascade(spark, d):
     return E.match_cascade(p, e, steps)
 
 
-@query("new_entities", "O-146", f"WITH p AS (SELECT id, {_NORM} AS norm FROM {{dirty_names}} WHERE id % 5 <> 0) SELECT norm AS name_key, count(*) AS rows, CAST(0.70 AS DOUBLE) AS confidence FROM p WHERE id % 2 <> 0 GROUP BY norm")
+@query("new_entities", "O-146", f"""
+    WITH p AS (SELECT id, {_NORM} AS norm FROM {{dirty_names}}
+        WHERE id % 5 <> 0) SELECT norm AS name_key, count(*) AS rows, CAST(0.70 AS DOUBLE) AS confidence FROM p WHERE id % 2 <> 0 GROUP BY norm""")
 def new_entities(spark, d):
     p = view(spark, d, "dirty_names").where("id % 5 <> 0")
     return E.remaining_as_entities(p, p.where("id % 2 = 0").select("id"), N.norm_name(F.col("name"))).select("name_key", "rows", "confidence")
 
 
 @query("dedup_survivors", "O-147 O-097", """
-    WITH r AS (SELECT c_custkey AS id, CAST(c_nationkey AS VARCHAR) || c_mktsegment AS k, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS bn FROM customer), s AS (SELECT k FROM r GROUP BY 1 HAVING count(DISTINCT bn) <= 1)
+    WITH r AS (SELECT c_custkey AS id, CAST(c_nationkey AS VARCHAR) || c_mktsegment AS k, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS bn
+        FROM customer), s AS (SELECT k FROM r GROUP BY 1 HAVING count(DISTINCT bn) <= 1)
     SELECT id AS absorbed, survivor FROM (SELECT id, min(id) OVER (PARTITION BY k) AS survivor FROM r WHERE k IN (SELECT k FROM s)) x WHERE id <> survivor""")
 def dedup_survivors(spark, d):
     c = view(spark, d, "customer")
@@ -76,7 +96,9 @@ def dedup_survivors(spark, d):
 
 
 @query("candidate_tiers", "O-148 O-149 O-150", """
-    WITH s AS (SELECT s_suppkey AS id, s_nationkey AS k, CAST(floor(s_acctbal / 500) AS BIGINT) AS b FROM supplier), t AS (SELECT a.id AS id_a, b.id AS id_b, 'norm' AS method, 1.0 AS confidence FROM s a JOIN s b ON a.k = b.k AND a.b = b.b AND a.id < b.id UNION ALL SELECT a.id, b.id, 'trade', 0.9 FROM s a JOIN s b ON a.b = b.b AND a.id < b.id)
+    WITH s AS (SELECT s_suppkey AS id, s_nationkey AS k, CAST(floor(s_acctbal / 500) AS BIGINT) AS b
+        FROM supplier), t AS (SELECT a.id AS id_a, b.id AS id_b, 'norm' AS method, 1.0 AS confidence FROM s a
+        JOIN s b ON a.k = b.k AND a.b = b.b AND a.id < b.id UNION ALL SELECT a.id, b.id, 'trade', 0.9 FROM s a JOIN s b ON a.b = b.b AND a.id < b.id)
     SELECT id_a, id_b, arg_max(method, confidence) AS method, CAST(max(confidence) AS DOUBLE) AS confidence FROM t GROUP BY 1, 2""")
 def candidate_tiers(spark, d):
     s = view(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("k"), F.floor(F.col("s_acctbal") / 500).alias("b"))
@@ -85,8 +107,12 @@ def candidate_tiers(spark, d):
 
 
 @query("resolver_gate", "O-143 O-130", f"""
-    WITH r AS (SELECT id, name, {trigram_sql('name')} AS g, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> '')) AS w, bn FROM {{dirty_names}}), p AS (SELECT a.id AS id_a, b.id AS id_b, CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / len(list_distinct(list_concat(a.g, b.g))) AS s, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / least(len(a.w), len(b.w)) AS o, left(a.bn, 5) AS x, left(b.bn, 5) AS y FROM r a JOIN r b ON b.id = a.id + 1)
-    SELECT id_a, id_b, round(CASE WHEN x = y THEN least(0.6 * s + 0.4 * o + 0.15, 0.98) ELSE 0.6 * s + 0.4 * o END, 6) AS confidence FROM p WHERE s >= 0.3 AND o >= 0.1 AND x IS NOT DISTINCT FROM y""")
+    WITH r AS (SELECT id, name, {trigram_sql('name')} AS g, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'),
+        lambda w: w <> '')) AS w, bn FROM {{dirty_names}}), p AS (SELECT a.id AS id_a, b.id AS id_b, CAST(len(list_intersect(a.g,
+        b.g)) AS DOUBLE) / len(list_distinct(list_concat(a.g, b.g))) AS s, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / least(len(a.w),
+        len(b.w)) AS o, left(a.bn, 5) AS x, left(b.bn, 5) AS y FROM r a JOIN r b ON b.id = a.id + 1)
+    SELECT id_a, id_b, round(CASE WHEN x = y THEN least(0.6 * s + 0.4 * o + 0.15, 0.98) ELSE 0.6 * s + 0.4 * o END, 6) AS confidence FROM p
+        WHERE s >= 0.3 AND o >= 0.1 AND x IS NOT DISTINCT FROM y""")
 def resolver_gate(spark, d):
     r = view(spark, d, "dirty_names").select("id", "name", F.array_distinct(F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: w != "")).alias("w"), F.left("bn", F.lit(5)).alias("bn"))
     b = r.select((F.col("id") - 1).alias("id"), F.col("id").alias("id_b"), *(F.col(c).alias(f"{c}_b") for c in ("name", "w", "bn")))
@@ -96,8 +122,13 @@ def resolver_gate(spark, d):
 
 
 @query("golden_records", "O-157 O-156 O-228", """
-    WITH n AS (SELECT s_suppkey AS id, name, count(*) AS c FROM (SELECT s_suppkey, s_name AS name FROM supplier UNION ALL SELECT l_suppkey, 'alias ' || CAST(l_linenumber AS VARCHAR) FROM lineitem WHERE l_returnflag = 'R') x GROUP BY 1, 2), k AS (SELECT l_suppkey AS id, l_returnflag AS source, count(*) AS c FROM lineitem GROUP BY 1, 2)
-    SELECT s_suppkey AS entity_id, (SELECT name FROM n WHERE id = s_suppkey ORDER BY c DESC, name LIMIT 1) AS canonical, (SELECT string_agg(name, '|' ORDER BY name) FROM n WHERE id = s_suppkey) AS aliases, CAST(coalesce((SELECT sum(c) FROM k WHERE id = s_suppkey), 0) AS BIGINT) AS link_count, (SELECT string_agg(source || ':' || CAST(c AS VARCHAR), '|' ORDER BY source) FROM k WHERE id = s_suppkey) AS sources FROM supplier""")
+    WITH n AS (SELECT s_suppkey AS id, name, count(*) AS c FROM (SELECT s_suppkey, s_name AS name FROM supplier
+        UNION ALL SELECT l_suppkey, 'alias ' || CAST(l_linenumber AS VARCHAR) FROM lineitem WHERE l_returnflag = 'R') x
+        GROUP BY 1, 2), k AS (SELECT l_suppkey AS id, l_returnflag AS source, count(*) AS c FROM lineitem GROUP BY 1, 2)
+    SELECT s_suppkey AS entity_id, (SELECT name FROM n WHERE id = s_suppkey ORDER BY c DESC, name LIMIT 1) AS canonical, (SELECT string_agg(name, '|'
+        ORDER BY name) FROM n WHERE id = s_suppkey) AS aliases, CAST(coalesce((SELECT sum(c) FROM k
+        WHERE id = s_suppkey), 0) AS BIGINT) AS link_count, (SELECT string_agg(source || ':' || CAST(c AS VARCHAR), '|' ORDER BY source) FROM k
+        WHERE id = s_suppkey) AS sources FROM supplier""")
 def golden_records(spark, d):
     s, li = view(spark, d, "supplier"), view(spark, d, "lineitem")
     names = s.select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name")).unionByName(li.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("entity_id"), F.concat(F.lit("alias "), F.col("l_linenumber").cast("string")).alias("name")))
@@ -105,7 +136,9 @@ def golden_records(spark, d):
 
 
 @query("merge_clusters", "O-151 O-155", """
-    WITH RECURSIVE p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND floor(a.s_acctbal / 2000) = floor(b.s_acctbal / 2000)), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+    WITH RECURSIVE p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a
+        JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND floor(a.s_acctbal / 2000) = floor(b.s_acctbal / 2000)),
+        e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
     SELECT a AS id, least(a, min(b)) AS cluster FROM r GROUP BY a""")
 def merge_clusters(spark, d):
     s = view(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("k"), F.floor(F.col("s_acctbal") / 2000).alias("b"))
@@ -119,7 +152,9 @@ def unmerge(spark, d):
 
 
 @query("unlinked_fallback", "O-158 O-066", f"""
-    WITH u AS (SELECT name, count(*) AS n FROM (SELECT upper(p_name) || 'S' AS name FROM part WHERE p_partkey % 2 = 0) x GROUP BY 1 HAVING count(*) >= 3), e AS (SELECT DISTINCT p_name AS target FROM part), g AS (SELECT name, target, {_SIM.format(a=trigram_sql('name'), b=trigram_sql('target'))} AS s FROM u, e)
+    WITH u AS (SELECT name, count(*) AS n FROM (SELECT upper(p_name) || 'S' AS name FROM part WHERE p_partkey % 2 = 0) x GROUP BY 1
+        HAVING count(*) >= 3), e AS (SELECT DISTINCT p_name AS target
+        FROM part), g AS (SELECT name, target, {_SIM.format(a=trigram_sql('name'), b=trigram_sql('target'))} AS s FROM u, e)
     SELECT name, target, s AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY s DESC, target) AS rn FROM g WHERE s >= 0.6) x WHERE rn = 1""")
 def unlinked_fallback(spark, d):
     p = view(spark, d, "part")
@@ -130,7 +165,11 @@ def unlinked_fallback(spark, d):
     return best
 
 
-@query("entity_search", "O-160 O-136", f"SELECT id AS entity_id, name, greatest(CASE WHEN contains(upper(name), 'UNIV OF') THEN 0.9 ELSE 0 END, {_SIM.format(a=trigram_sql('name'), b=trigram_sql(chr(39) + 'Univ of' + chr(39)))}) AS score FROM {{dirty_names}} WHERE greatest(CASE WHEN contains(upper(name), 'UNIV OF') THEN 0.9 ELSE 0 END, {_SIM.format(a=trigram_sql('name'), b=trigram_sql(chr(39) + 'Univ of' + chr(39)))}) >= 0.3 ORDER BY score DESC, entity_id LIMIT 30")
+@query("entity_search", "O-160 O-136", f"""
+    SELECT id AS entity_id, name, greatest(CASE WHEN contains(upper(name), 'UNIV OF') THEN 0.9 ELSE 0 END,
+        {_SIM.format(a=trigram_sql('name'), b=trigram_sql(chr(39) + 'Univ of' + chr(39)))}) AS score FROM {{dirty_names}}
+        WHERE greatest(CASE WHEN contains(upper(name), 'UNIV OF') THEN 0.9 ELSE 0 END,
+        {_SIM.format(a=trigram_sql('name'), b=trigram_sql(chr(39) + 'Univ of' + chr(39)))}) >= 0.3 ORDER BY score DESC, entity_id LIMIT 30""")
 def entity_search(spark, d):
     n = view(spark, d, "dirty_names").select(F.col("id").alias("entity_id"), "name", F.array().cast("array<string>").alias("aliases"), "bn")
     return E.search(n, "Univ of").withColumn("score", F.round("score", 6))

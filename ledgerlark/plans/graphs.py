@@ -19,8 +19,10 @@ def gift_edges(spark, d):
 
 
 @query("pruned_edges", "O-162", """
-    WITH RECURSIVE reach AS (SELECT src AS a, dst AS b FROM {event_edges} UNION SELECT a, e.dst FROM reach JOIN {event_edges} e ON e.src = b), cyc AS (SELECT a AS n FROM reach WHERE a = b),
-    down AS (SELECT n FROM cyc UNION SELECT b FROM reach WHERE a IN (SELECT n FROM cyc)), up AS (SELECT n FROM cyc UNION SELECT a FROM reach WHERE b IN (SELECT n FROM cyc)) SELECT src, dst FROM {event_edges} WHERE src IN (SELECT n FROM down) AND dst IN (SELECT n FROM up)""")
+    WITH RECURSIVE reach AS (SELECT src AS a, dst AS b FROM {event_edges} UNION SELECT a, e.dst FROM reach
+        JOIN {event_edges} e ON e.src = b), cyc AS (SELECT a AS n FROM reach WHERE a = b),
+    down AS (SELECT n FROM cyc UNION SELECT b FROM reach WHERE a IN (SELECT n FROM cyc)), up AS (SELECT n FROM cyc UNION SELECT a FROM reach
+        WHERE b IN (SELECT n FROM cyc)) SELECT src, dst FROM {event_edges} WHERE src IN (SELECT n FROM down) AND dst IN (SELECT n FROM up)""")
 def pruned_edges(spark, d):
     return G.prune_dead_ends(view(spark, d, "event_edges").select("src", "dst").distinct())
 
@@ -74,7 +76,9 @@ def universe(spark, d):
     return u.withColumn("total_circular_amt", F.round("total_circular_amt", 2))
 
 
-@query("reciprocal_partners", "O-167", "SELECT CAST(a.src AS BIGINT) AS src, CAST(a.dst AS BIGINT) AS dst, CAST(a.total_amt AS DOUBLE) AS sent, CAST(b.total_amt AS DOUBLE) AS received FROM {top_edges} a JOIN {top_edges} b ON a.src = b.dst AND a.dst = b.src AND a.src < a.dst")
+@query("reciprocal_partners", "O-167", """
+    SELECT CAST(a.src AS BIGINT) AS src, CAST(a.dst AS BIGINT) AS dst, CAST(a.total_amt AS DOUBLE) AS sent, CAST(b.total_amt AS DOUBLE) AS received
+        FROM {top_edges} a JOIN {top_edges} b ON a.src = b.dst AND a.dst = b.src AND a.src < a.dst""")
 def reciprocal_partners(spark, d):
     return G.reciprocal(view(spark, d, "top_edges"))
 
@@ -94,19 +98,30 @@ def component_summary(spark, d):
     return G.component_summary(e, G.strong_components(e))
 
 
-@query("hub_ranking", "O-172", "SELECT coalesce(o.n, i.n) AS node, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) AS out_degree, coalesce(i.c, 0) + coalesce(o.c, 0) AS degree, CAST(coalesce(i.t, 0) AS DOUBLE) AS inflow, CAST(coalesce(o.t, 0) AS DOUBLE) AS outflow FROM (SELECT src AS n, count(*) AS c, sum(total_amt) AS t FROM {event_edges} GROUP BY 1) o FULL JOIN (SELECT dst AS n, count(*) AS c, sum(total_amt) AS t FROM {event_edges} GROUP BY 1) i ON o.n = i.n")
+@query("hub_ranking", "O-172", """
+    SELECT coalesce(o.n, i.n) AS node, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) AS out_degree, coalesce(i.c, 0) + coalesce(o.c, 0) AS degree,
+        CAST(coalesce(i.t, 0) AS DOUBLE) AS inflow, CAST(coalesce(o.t, 0) AS DOUBLE) AS outflow
+        FROM (SELECT src AS n, count(*) AS c, sum(total_amt) AS t FROM {event_edges} GROUP BY 1) o
+        FULL JOIN (SELECT dst AS n, count(*) AS c, sum(total_amt) AS t FROM {event_edges} GROUP BY 1) i ON o.n = i.n""")
 def hub_ranking(spark, d):
     return G.hubs(view(spark, d, "event_edges"))
 
 
-@query("closed_walks", "O-173", "WITH e AS (SELECT DISTINCT src, dst FROM {top_edges}) SELECT CAST(a.src AS BIGINT) AS node, CAST(2 AS BIGINT) AS k, count(*) AS walks FROM e a JOIN e b ON b.src = a.dst AND b.dst = a.src GROUP BY 1 UNION ALL SELECT a.src, 3, count(*) FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst AND c.dst = a.src GROUP BY 1 UNION ALL SELECT a.src, 4, count(*) FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst JOIN e f ON f.src = c.dst AND f.dst = a.src GROUP BY 1")
+@query("closed_walks", "O-173", """
+    WITH e AS (SELECT DISTINCT src, dst FROM {top_edges}) SELECT CAST(a.src AS BIGINT) AS node, CAST(2 AS BIGINT) AS k, count(*) AS walks FROM e a
+        JOIN e b ON b.src = a.dst AND b.dst = a.src GROUP BY 1 UNION ALL SELECT a.src, 3, count(*) FROM e a JOIN e b ON b.src = a.dst
+        JOIN e c ON c.src = b.dst AND c.dst = a.src GROUP BY 1 UNION ALL SELECT a.src, 4, count(*) FROM e a JOIN e b ON b.src = a.dst
+        JOIN e c ON c.src = b.dst JOIN e f ON f.src = c.dst AND f.dst = a.src GROUP BY 1""")
 def closed_walks(spark, d):
     return G.closed_walks(written(view(spark, d, "top_edges"), "top_edges"), 4)
 
 
 @query("cross_check", "O-175 O-174 O-176", f"""
-    WITH a AS ({_cycle_sql(3, 'top_edges')}), w AS (SELECT DISTINCT x.src AS node FROM {{top_edges}} x JOIN {{top_edges}} y ON y.src = x.dst JOIN {{top_edges}} z ON z.src = y.dst AND z.dst = x.src), n AS (SELECT DISTINCT CAST(unnest(string_split(path_key, '>')) AS BIGINT) AS node FROM a)
-    SELECT CAST(e.src AS BIGINT) AS src, CAST(e.dst AS BIGINT) AS dst, e.src IN (SELECT node FROM n) AS src_in_cycle, e.src IN (SELECT node FROM w) AS src_in_walk FROM {{top_edges}} e WHERE e.src IN (SELECT node FROM n) AND e.dst IN (SELECT node FROM n)""")
+    WITH a AS ({_cycle_sql(3, 'top_edges')}), w AS (SELECT DISTINCT x.src AS node FROM {{top_edges}} x JOIN {{top_edges}} y ON y.src = x.dst
+        JOIN {{top_edges}} z ON z.src = y.dst AND z.dst = x.src), n AS (SELECT DISTINCT CAST(unnest(string_split(path_key, '>')) AS BIGINT) AS node
+        FROM a)
+    SELECT CAST(e.src AS BIGINT) AS src, CAST(e.dst AS BIGINT) AS dst, e.src IN (SELECT node FROM n) AS src_in_cycle, e.src IN (SELECT node
+        FROM w) AS src_in_walk FROM {{top_edges}} e WHERE e.src IN (SELECT node FROM n) AND e.dst IN (SELECT node FROM n)""")
 def cross_check(spark, d):
     e = written(view(spark, d, "top_edges"), "top_edges")
     members = G.participants(G.cycles(e, 3)).select("node").distinct()
@@ -118,21 +133,30 @@ def cross_check(spark, d):
 _SYM = "CASE WHEN s > 0.75 THEN 'HIGH' WHEN s > 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS level"
 
 
-@query("symmetric_flows", "O-180", f"SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, CAST(year AS BIGINT) AS year, CAST(amount AS DOUBLE) AS amount, CAST(returned AS DOUBLE) AS returned, round(s, 6) AS symmetry, {_SYM} FROM (SELECT a.*, b.amount AS returned, CAST(least(a.amount, b.amount) AS DOUBLE) / CAST(greatest(a.amount, b.amount) AS DOUBLE) AS s FROM {{yearly_flows}} a JOIN {{yearly_flows}} b ON a.src = b.dst AND a.dst = b.src AND a.year = b.year AND a.src < a.dst) x")
+@query("symmetric_flows", "O-180", f"""
+    SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, CAST(year AS BIGINT) AS year, CAST(amount AS DOUBLE) AS amount,
+        CAST(returned AS DOUBLE) AS returned, round(s, 6) AS symmetry, {_SYM}
+        FROM (SELECT a.*, b.amount AS returned, CAST(least(a.amount, b.amount) AS DOUBLE) / CAST(greatest(a.amount, b.amount) AS DOUBLE) AS s
+        FROM {{yearly_flows}} a JOIN {{yearly_flows}} b ON a.src = b.dst AND a.dst = b.src AND a.year = b.year AND a.src < a.dst) x""")
 def symmetric_flows(spark, d):
     return G.symmetric_flows(written(view(spark, d, "yearly_flows"), "yearly"))
 
 
 @query("adjacent_flows", "O-181", f"""
-    WITH f AS (SELECT src, dst, min_year AS year, total_amt AS amount FROM {{year_edges}}), o AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.src = f.dst AND g.dst = f.src AND g.year = f.year))
-    SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, CAST(year AS BIGINT) AS year, CAST(amount AS DOUBLE) AS amount, CAST(returned AS DOUBLE) AS returned, round(s, 6) AS symmetry, {_SYM} FROM (SELECT a.*, b.amount AS returned, CAST(least(a.amount, b.amount) AS DOUBLE) / CAST(greatest(a.amount, b.amount) AS DOUBLE) AS s FROM o a JOIN o b ON a.src = b.dst AND a.dst = b.src AND b.year = a.year + 1) x""")
+    WITH f AS (SELECT src, dst, min_year AS year, total_amt AS amount FROM {{year_edges}}), o AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f g
+        WHERE g.src = f.dst AND g.dst = f.src AND g.year = f.year))
+    SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, CAST(year AS BIGINT) AS year, CAST(amount AS DOUBLE) AS amount,
+        CAST(returned AS DOUBLE) AS returned, round(s, 6) AS symmetry, {_SYM}
+        FROM (SELECT a.*, b.amount AS returned, CAST(least(a.amount, b.amount) AS DOUBLE) / CAST(greatest(a.amount, b.amount) AS DOUBLE) AS s FROM o a
+        JOIN o b ON a.src = b.dst AND a.dst = b.src AND b.year = a.year + 1) x""")
 def adjacent_flows(spark, d):
     f = view(spark, d, "year_edges").select("src", "dst", F.col("min_year").alias("year"), F.col("total_amt").alias("amount"))
     return G.symmetric_flows(written(f, "yearly"), 1)
 
 
 @query("loop_financials", "O-188 O-061", f"""
-    WITH {_MEMBERS}, y AS (SELECT path_key, node, sends_to, sum(f.amount) AS w, count(DISTINCT f.year) AS years FROM m JOIN {{yearly_flows}} f ON f.src = node AND f.dst = sends_to AND f.year BETWEEN min_year AND max_year GROUP BY 1, 2, 3)
+    WITH {_MEMBERS}, y AS (SELECT path_key, node, sends_to, sum(f.amount) AS w, count(DISTINCT f.year) AS years FROM m
+        JOIN {{yearly_flows}} f ON f.src = node AND f.dst = sends_to AND f.year BETWEEN min_year AND max_year GROUP BY 1, 2, 3)
     SELECT path_key, CAST(min(w) AS DOUBLE) AS window_bottleneck, CAST(sum(w) AS DOUBLE) AS window_flow, max(years) AS active_years FROM y GROUP BY 1""")
 def loop_financials(spark, d):
     """Flows of each loop within its own years: an equi-join on the edge, the years of the loop as what is left to test."""
@@ -140,15 +164,22 @@ def loop_financials(spark, d):
 
 
 @query("loop_report", "O-189", f"""
-    WITH {_MEMBERS}, u AS (SELECT hops, count(DISTINCT path_key) AS loops, count(DISTINCT node) AS members, CAST(max(bottleneck) AS DOUBLE) AS largest_bottleneck FROM m GROUP BY 1), k AS (SELECT hops, CAST(sum(total_flow) AS DOUBLE) AS flow, count(*) FILTER (WHERE min_year = max_year) AS same_year FROM cyc GROUP BY 1)
+    WITH {_MEMBERS}, u AS (SELECT hops, count(DISTINCT path_key) AS loops, count(DISTINCT node) AS members,
+        CAST(max(bottleneck) AS DOUBLE) AS largest_bottleneck FROM m
+        GROUP BY 1), k AS (SELECT hops, CAST(sum(total_flow) AS DOUBLE) AS flow, count(*) FILTER (WHERE min_year = max_year) AS same_year FROM cyc
+        GROUP BY 1)
     SELECT CAST(hops AS BIGINT) AS hops, loops, members, largest_bottleneck, flow, same_year FROM u JOIN k USING (hops)""")
 def loop_report(spark, d):
     return S.loop_report(written(G.all_cycles(view(spark, d, "top_edges"), 5), "cycles"))
 
 
 @query("sector_baseline", "O-189", f"""
-    WITH {_MEMBERS}, l AS (SELECT DISTINCT node FROM m), o AS (SELECT src AS node, CAST(sum(total_amt) AS DOUBLE) AS given, count(*) AS partners FROM {{all_edges}} GROUP BY 1), j AS (SELECT r_name AS sector, o.*, node IN (SELECT node FROM l) AS in_loop FROM o JOIN nation ON n_nationkey = node JOIN region ON r_regionkey = n_regionkey)
-    SELECT sector, count(*) AS members, count(*) FILTER (WHERE in_loop) AS loop_members, round(avg(given), 4) AS sector_mean, round(avg(CASE WHEN in_loop THEN given END), 4) AS loop_mean, round(avg(CASE WHEN in_loop THEN given END) / nullif(avg(given), 0), 6) AS times_sector FROM j GROUP BY 1""")
+    WITH {_MEMBERS}, l AS (SELECT DISTINCT node FROM m), o AS (SELECT src AS node, CAST(sum(total_amt) AS DOUBLE) AS given, count(*) AS partners
+        FROM {{all_edges}} GROUP BY 1), j AS (SELECT r_name AS sector, o.*, node IN (SELECT node FROM l) AS in_loop FROM o
+        JOIN nation ON n_nationkey = node JOIN region ON r_regionkey = n_regionkey)
+    SELECT sector, count(*) AS members, count(*) FILTER (WHERE in_loop) AS loop_members, round(avg(given), 4) AS sector_mean, round(avg(CASE
+        WHEN in_loop THEN given END), 4) AS loop_mean, round(avg(CASE WHEN in_loop THEN given END) / nullif(avg(given), 0), 6) AS times_sector FROM j
+        GROUP BY 1""")
 def sector_baseline(spark, d):
     """What members of loops give against all of their sector."""
     members = G.participants(G.all_cycles(view(spark, d, "top_edges"), 5)).select("node").distinct()
@@ -158,8 +189,13 @@ def sector_baseline(spark, d):
 
 
 @query("loop_watchlist", "O-191 O-190 O-059", f"""
-    WITH {_MEMBERS}, u AS (SELECT node, least(30, count(*)) AS s FROM m GROUP BY 1), w AS (SELECT path_key, any_value(hops) AS hops, count(*) AS members, any_value(bottleneck) AS b, any_value(total_flow) AS f, any_value(min_year = max_year) AS same, max(s) AS ms, string_agg(n_name, ' -> ' ORDER BY i) AS display FROM m JOIN u USING (node) JOIN nation ON n_nationkey = node GROUP BY 1)
-    SELECT path_key, display, CAST(ms + CASE WHEN same THEN 4 ELSE 0 END + CASE WHEN b >= 1000000 THEN 4 WHEN b >= 100000 THEN 3 WHEN b >= 10000 THEN 2 WHEN b > 0 THEN 1 ELSE 0 END + CASE WHEN f >= 5000000 THEN 4 WHEN f >= 1000000 THEN 3 WHEN f >= 100000 THEN 2 WHEN f > 0 THEN 1 ELSE 0 END + least(hops, 6) + least(members, 6) AS BIGINT) AS score FROM w""")
+    WITH {_MEMBERS}, u AS (SELECT node, least(30, count(*)) AS s FROM m
+        GROUP BY 1), w AS (SELECT path_key, any_value(hops) AS hops, count(*) AS members, any_value(bottleneck) AS b, any_value(total_flow) AS f,
+        any_value(min_year = max_year) AS same, max(s) AS ms, string_agg(n_name, ' -> ' ORDER BY i) AS display FROM m JOIN u USING (node)
+        JOIN nation ON n_nationkey = node GROUP BY 1)
+    SELECT path_key, display, CAST(ms + CASE WHEN same THEN 4 ELSE 0 END + CASE WHEN b >= 1000000 THEN 4 WHEN b >= 100000 THEN 3
+        WHEN b >= 10000 THEN 2 WHEN b > 0 THEN 1 ELSE 0 END + CASE WHEN f >= 5000000 THEN 4 WHEN f >= 1000000 THEN 3 WHEN f >= 100000 THEN 2
+        WHEN f > 0 THEN 1 ELSE 0 END + least(hops, 6) + least(members, 6) AS BIGINT) AS score FROM w""")
 def loop_watchlist(spark, d):
     found = written(G.all_cycles(view(spark, d, "top_edges"), 5), "cycles")
     m = G.participants(found)
@@ -171,9 +207,17 @@ def loop_watchlist(spark, d):
 
 
 @query("loop_score", "O-190 O-181 O-180", """
-    WITH f AS (SELECT src, dst, min_year AS year, total_amt AS amount FROM {year_edges}), p AS (SELECT a.src AS node, a.dst AS partner, a.year, EXISTS (SELECT 1 FROM f b WHERE b.src = a.dst AND b.dst = a.src AND b.year = a.year AND least(a.amount, b.amount) / greatest(a.amount, b.amount) > 0.5) AS same, EXISTS (SELECT 1 FROM f b WHERE b.src = a.dst AND b.dst = a.src AND b.year = a.year + 1 AND least(a.amount, b.amount) / greatest(a.amount, b.amount) > 0.5) AS next FROM f a),
-    n AS (SELECT node, count(*) FILTER (WHERE same) AS sy, count(*) FILTER (WHERE next AND NOT same) AS ay FROM p GROUP BY 1), q AS (SELECT node, max(y) AS years FROM (SELECT node, partner, count(DISTINCT year) AS y FROM p WHERE same OR next GROUP BY 1, 2) z GROUP BY 1)
-    SELECT CAST(n.node AS BIGINT) AS node, sy AS same_year, ay AS adjacent_year, CAST(CASE WHEN sy >= 5 THEN 4 WHEN sy >= 3 THEN 3 WHEN sy >= 1 THEN 2 ELSE 0 END + CASE WHEN ay >= 5 THEN 4 WHEN ay >= 3 THEN 3 WHEN ay >= 1 THEN 2 ELSE 0 END + CASE WHEN coalesce(years, 0) >= 2 THEN 2 ELSE 0 END AS BIGINT) AS temporal_score FROM n LEFT JOIN q USING (node) WHERE sy + ay > 0""")
+    WITH f AS (SELECT src, dst, min_year AS year, total_amt AS amount
+        FROM {year_edges}), p AS (SELECT a.src AS node, a.dst AS partner, a.year, EXISTS (SELECT 1 FROM f b
+        WHERE b.src = a.dst AND b.dst = a.src AND b.year = a.year AND least(a.amount, b.amount) / greatest(a.amount, b.amount) > 0.5) AS same,
+        EXISTS (SELECT 1 FROM f b WHERE b.src = a.dst AND b.dst = a.src AND b.year = a.year + 1 AND least(a.amount, b.amount) / greatest(a.amount,
+        b.amount) > 0.5) AS next FROM f a),
+    n AS (SELECT node, count(*) FILTER (WHERE same) AS sy, count(*) FILTER (WHERE next AND NOT same) AS ay FROM p
+        GROUP BY 1), q AS (SELECT node, max(y) AS years FROM (SELECT node, partner, count(DISTINCT year) AS y FROM p WHERE same OR next
+        GROUP BY 1, 2) z GROUP BY 1)
+    SELECT CAST(n.node AS BIGINT) AS node, sy AS same_year, ay AS adjacent_year, CAST(CASE WHEN sy >= 5 THEN 4 WHEN sy >= 3 THEN 3 WHEN sy >= 1 THEN 2
+        ELSE 0 END + CASE WHEN ay >= 5 THEN 4 WHEN ay >= 3 THEN 3 WHEN ay >= 1 THEN 2 ELSE 0 END + CASE WHEN coalesce(years, 0) >= 2 THEN 2
+        ELSE 0 END AS BIGINT) AS temporal_score FROM n LEFT JOIN q USING (node) WHERE sy + ay > 0""")
 def loop_score(spark, d):
     f = view(spark, d, "year_edges").select("src", "dst", F.col("min_year").alias("year"), F.col("total_amt").alias("amount"))
     return S.temporal_loop_score(written(f, "yearly"))
@@ -182,9 +226,12 @@ def loop_score(spark, d):
 
 @query("circular_score", "O-190", f"""
     WITH {_MEMBERS}, k AS (SELECT node, count(DISTINCT CASE WHEN hops = 2 THEN sends_to END) AS partners, count(*) FILTER (WHERE hops = 3) AS triangles FROM m GROUP BY 1),
-    v AS (SELECT node, year, amount, 1 AS o FROM {{yearly_flows}} JOIN (SELECT DISTINCT node, sends_to FROM m) x ON src = node AND dst = sends_to UNION ALL SELECT node, year, amount, 0 FROM {{yearly_flows}} JOIN (SELECT DISTINCT node, receives_from FROM m) x ON dst = node AND src = receives_from),
+    v AS (SELECT node, year, amount, 1 AS o FROM {{yearly_flows}} JOIN (SELECT DISTINCT node, sends_to FROM m) x ON src = node AND dst = sends_to
+        UNION ALL SELECT node, year, amount, 0 FROM {{yearly_flows}} JOIN (SELECT DISTINCT node, receives_from
+        FROM m) x ON dst = node AND src = receives_from),
     s AS (SELECT node, coalesce(sum(amount) FILTER (WHERE o = 1), 0) AS sent, coalesce(sum(amount) FILTER (WHERE o = 0), 0) AS got, count(DISTINCT year) AS years FROM v GROUP BY 1)
-    SELECT node, partners, triangles, years, CAST(least(sent, got) AS DOUBLE) AS circular, CAST((partners > 0)::INT + (partners >= 2 OR triangles > 0)::INT + (years >= 2)::INT + (least(sent, got) > 100000)::INT AS BIGINT) AS score FROM k JOIN s USING (node)""")
+    SELECT node, partners, triangles, years, CAST(least(sent, got) AS DOUBLE) AS circular, CAST((partners > 0)::INT + (partners >= 2
+        OR triangles > 0)::INT + (years >= 2)::INT + (least(sent, got) > 100000)::INT AS BIGINT) AS score FROM k JOIN s USING (node)""")
 def circular_score(spark, d):
     m = written(G.participants(G.all_cycles(view(spark, d, "top_edges"), 5)), "members")
     c = S.circular_flows(m, written(view(spark, d, "yearly_flows"), "yearly"))
@@ -192,8 +239,14 @@ def circular_score(spark, d):
 
 
 @query("financial_score", "O-190", """
-    WITH f AS (SELECT filing, coalesce(CAST(total AS DOUBLE), 0) AS r, coalesce(CAST(program_spending + compensation AS DOUBLE), 0) AS s, coalesce(CAST(program_spending AS DOUBLE), 0) AS p, coalesce(CAST(c AS DOUBLE), 0) AS o, coalesce(CAST(a AS DOUBLE), 0) AS gi, coalesce(CAST(b AS DOUBLE), 0) AS go, coalesce(CAST(compensation AS DOUBLE), 0) AS w FROM {filings}), g AS (SELECT *, CASE WHEN s > 0 THEN round(o / s * 100, 1) ELSE 0 END AS oh FROM f)
-    SELECT filing, CAST(CASE WHEN oh > 40 THEN 2 WHEN oh > 25 THEN 1 ELSE 0 END + CASE WHEN r > 0 AND gi > r * 0.5 THEN 2 ELSE 0 END + CASE WHEN gi > 50000 AND go > 0 AND least(gi, go) > greatest(gi, go) * 0.5 THEN 2 ELSE 0 END + CASE WHEN r > 100000 AND p < r * 0.2 THEN 2 ELSE 0 END + CASE WHEN w > 0 AND p > 0 AND w > p THEN 2 ELSE 0 END + CASE WHEN p > 0 AND gi > p * 2 THEN 2 ELSE 0 END AS BIGINT) AS score FROM g""")
+    WITH f AS (SELECT filing, coalesce(CAST(total AS DOUBLE), 0) AS r, coalesce(CAST(program_spending + compensation AS DOUBLE), 0) AS s,
+        coalesce(CAST(program_spending AS DOUBLE), 0) AS p, coalesce(CAST(c AS DOUBLE), 0) AS o, coalesce(CAST(a AS DOUBLE), 0) AS gi,
+        coalesce(CAST(b AS DOUBLE), 0) AS go, coalesce(CAST(compensation AS DOUBLE), 0) AS w
+        FROM {filings}), g AS (SELECT *, CASE WHEN s > 0 THEN round(o / s * 100, 1) ELSE 0 END AS oh FROM f)
+    SELECT filing, CAST(CASE WHEN oh > 40 THEN 2 WHEN oh > 25 THEN 1 ELSE 0 END + CASE WHEN r > 0 AND gi > r * 0.5 THEN 2 ELSE 0 END + CASE
+        WHEN gi > 50000 AND go > 0 AND least(gi, go) > greatest(gi, go) * 0.5 THEN 2 ELSE 0 END + CASE WHEN r > 100000 AND p < r * 0.2 THEN 2
+        ELSE 0 END + CASE WHEN w > 0 AND p > 0 AND w > p THEN 2 ELSE 0 END + CASE WHEN p > 0 AND gi > p * 2 THEN 2 ELSE 0 END AS BIGINT) AS score
+        FROM g""")
 def financial_score(spark, d):
     c = F.col
     points = S.financial_points(c("total"), c("program_spending") + c("compensation"), c("program_spending"), c("c"), c("a"), c("b"), c("compensation"), c("a"))

@@ -37,7 +37,9 @@ def csv_load(spark, d):
     return R.crosswalk(raw, {"id": ("id", V.parse_int), "legal_name": ("legal name", V.blank_to_null), "balance": ("balance", V.parse_decimal), "day": ("day", V.parse_date)})
 
 
-@query("json_load", "O-004 O-005 O-266", "SELECT o_orderkey AS id, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS amount, o_orderpriority AS program, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS payment_date FROM orders")
+@query("json_load", "O-004 O-005 O-266", """
+    SELECT o_orderkey AS id, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS amount, o_orderpriority AS program,
+        CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS payment_date FROM orders""")
 def json_load(spark, d):
     path = _path(spark, "json")
     o = view(spark, d, "orders").select(F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("$numberLong"))).alias("id"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("amount"), F.col("o_orderpriority").alias("program"), F.date_format("o_orderdate", "yyyy/MM/dd").alias("payment_date"))
@@ -81,7 +83,9 @@ def zip_members(spark, d):
     return R.members(files).select("member", "size")
 
 
-@query("source_manifest", "O-016", "SELECT t AS name, n AS row_count, n > 0 AS there FROM (SELECT 'nation' AS t, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region) x")
+@query("source_manifest", "O-016", """
+    SELECT t AS name, n AS row_count, n > 0 AS there FROM (SELECT 'nation' AS t, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*)
+        FROM region) x""")
 def source_manifest(spark, d):
     m = R.sources_registry(spark, [(n, f"{d}/{n}.parquet", "parquet", True) for n in ("nation", "region")])
     counts = R.row_counts({n: view(spark, d, n) for n in ("nation", "region")}).withColumnRenamed("table_name", "name")
@@ -108,7 +112,9 @@ def xlsx_load(spark, d):
     return got.select(F.col("path").alias("book"), "row", F.col("cells")["id"].alias("id"), F.col("cells")["legal_name"].alias("legal_name"))
 
 
-@query("registry_xml", "O-012", "SELECT CAST(s_suppkey AS VARCHAR) AS corporation_id, s_name AS name, CASE WHEN s_acctbal < 0 THEN '11' ELSE '1' END AS status_code, '2001-02-03' AS last_activity, 'b' AS last_activity_code FROM supplier")
+@query("registry_xml", "O-012", """
+    SELECT CAST(s_suppkey AS VARCHAR) AS corporation_id, s_name AS name, CASE WHEN s_acctbal < 0 THEN '11' ELSE '1' END AS status_code,
+        '2001-02-03' AS last_activity, 'b' AS last_activity_code FROM supplier""")
 def registry_xml(spark, d):
     """Corporations of an XML registry: the current name and status, the last activity."""
     path = _path(spark, "xml")
@@ -135,7 +141,9 @@ def news_items(spark, d):
     return R.json_items(bodies.unionByName(failed), "body", "articles", "title string, link string, size long").select(F.col("page_id").alias("id"), "title", "link", "size")
 
 
-@query("table_catalogue", "O-017", "SELECT t AS table_name, t <> 'absent' AS there, n AS columns FROM (SELECT 'nation' AS t, CAST(3 AS BIGINT) AS n UNION ALL SELECT 'region', 2 UNION ALL SELECT 'absent', NULL) x")
+@query("table_catalogue", "O-017", """
+    SELECT t AS table_name, t <> 'absent' AS there, n AS columns FROM (SELECT 'nation' AS t, CAST(3 AS BIGINT) AS n UNION ALL SELECT 'region', 2
+        UNION ALL SELECT 'absent', NULL) x""")
 def table_catalogue(spark, d):
     """Which tables there are, and how many columns they have, from the catalogue."""
     for n in ("nation", "region"):
@@ -144,7 +152,8 @@ def table_catalogue(spark, d):
 
 
 @query("typed_audit", "O-268", """
-    SELECT 'balance' AS field, count(*) FILTER (WHERE s_suppkey % 7 = 0) AS differing, count(*) AS checked FROM supplier UNION ALL SELECT 'day', 0, count(*) FROM supplier UNION ALL SELECT 'name', count(*) FILTER (WHERE s_suppkey % 5 = 0), count(*) FROM supplier""")
+    SELECT 'balance' AS field, count(*) FILTER (WHERE s_suppkey % 7 = 0) AS differing, count(*) AS checked FROM supplier
+        UNION ALL SELECT 'day', 0, count(*) FROM supplier UNION ALL SELECT 'name', count(*) FILTER (WHERE s_suppkey % 5 = 0), count(*) FROM supplier""")
 def typed_audit(spark, d):
     """Fields of a source as text against the stored values, equal by type: decimals to 1e-6, dates with any separator."""
     s = view(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").cast("decimal(18,2)").alias("balance"), F.lit("2001-02-03").cast("date").alias("day"), F.col("s_name").alias("name"))
@@ -155,8 +164,13 @@ def typed_audit(spark, d):
 
 @query("reload_levels", "O-267", """
     WITH s AS (SELECT o_orderkey, o_orderstatus = 'F' AS done, CAST(o_totalprice AS DECIMAL(28,4)) AS t FROM orders), b AS (SELECT * FROM s WHERE o_orderkey % 100 <> 1),
-    m AS (SELECT 'keys' AS measure, (SELECT count(DISTINCT o_orderkey) FROM s) AS x, (SELECT count(DISTINCT o_orderkey) FROM b) AS y UNION ALL SELECT 'rows', (SELECT count(*) FROM s), (SELECT count(*) FROM b) UNION ALL SELECT 'filled:t', (SELECT count(t) FROM s), (SELECT count(t) FROM b) UNION ALL SELECT 'sum:t', (SELECT sum(t) FROM s), (SELECT sum(t) FROM b) UNION ALL SELECT 'true:done', (SELECT count(*) FROM s WHERE done), (SELECT count(*) FROM b WHERE done) UNION ALL SELECT 'unmapped', 0, (SELECT count(*) FROM s WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)))
-    SELECT measure, CAST(x AS DOUBLE) AS source_value, CAST(y AS DOUBLE) AS store_value, CASE WHEN measure = 'sum:t' THEN abs(x - y) <= greatest(1, abs(x) * 1e-4) ELSE abs(x - y) <= greatest(5, abs(x) * 1e-4) END AS ok FROM m""")
+    m AS (SELECT 'keys' AS measure, (SELECT count(DISTINCT o_orderkey) FROM s) AS x, (SELECT count(DISTINCT o_orderkey) FROM b) AS y
+        UNION ALL SELECT 'rows', (SELECT count(*) FROM s), (SELECT count(*) FROM b) UNION ALL SELECT 'filled:t', (SELECT count(t)
+        FROM s), (SELECT count(t) FROM b) UNION ALL SELECT 'sum:t', (SELECT sum(t) FROM s), (SELECT sum(t) FROM b)
+        UNION ALL SELECT 'true:done', (SELECT count(*) FROM s WHERE done), (SELECT count(*) FROM b WHERE done)
+        UNION ALL SELECT 'unmapped', 0, (SELECT count(*) FROM s WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)))
+    SELECT measure, CAST(x AS DOUBLE) AS source_value, CAST(y AS DOUBLE) AS store_value, CASE WHEN measure = 'sum:t' THEN abs(x - y) <= greatest(1,
+        abs(x) * 1e-4) ELSE abs(x - y) <= greatest(5, abs(x) * 1e-4) END AS ok FROM m""")
 def reload_levels(spark, d):
     """All levels of a reload check: keys, rows, filled values, sums, flags, and keys that the store lacks."""
     s = view(spark, d, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("done"), F.col("o_totalprice").cast("decimal(28,4)").alias("t"))
@@ -184,8 +198,10 @@ def dataset_importers(spark, d):
 
 
 @query("vendor_tactics", "O-199", """
-    WITH v AS (SELECT vendor, count(*) AS n, CAST(max(amount) AS DOUBLE) / CAST(arg_min(amount, (start_date, contract_number, line, part_id)) AS DOUBLE) AS growth, count(*) FILTER (WHERE amount >= 23750 AND amount < 25000) AS split FROM {contracts} GROUP BY 1)
-    SELECT vendor, CAST(CASE WHEN growth > 3 THEN 40 ELSE 0 END + CASE WHEN split >= 2 THEN 30 ELSE 0 END + CASE WHEN n >= 3 AND growth > 2 THEN 30 ELSE 0 END AS BIGINT) AS score FROM v""")
+    WITH v AS (SELECT vendor, count(*) AS n, CAST(max(amount) AS DOUBLE) / CAST(arg_min(amount, (start_date, contract_number, line,
+        part_id)) AS DOUBLE) AS growth, count(*) FILTER (WHERE amount >= 23750 AND amount < 25000) AS split FROM {contracts} GROUP BY 1)
+    SELECT vendor, CAST(CASE WHEN growth > 3 THEN 40 ELSE 0 END + CASE WHEN split >= 2 THEN 30 ELSE 0 END + CASE WHEN n >= 3 AND growth > 2 THEN 30
+        ELSE 0 END AS BIGINT) AS score FROM v""")
 def vendor_tactics(spark, d):
     c = view(spark, d, "contracts")
     first = F.min_by("amount", F.struct("start_date", "contract_number", "line", "part_id"))
@@ -195,8 +211,10 @@ def vendor_tactics(spark, d):
 
 
 @query("overlap_and_gaps", "O-207", """
-    WITH p AS (SELECT program, department, CAST(sum(amount) AS DOUBLE) AS spent, count(DISTINCT recipient) AS recipients FROM {agreements} GROUP BY 1, 2), o AS (SELECT program, count(*) AS departments, sum(spent) AS spent, max(spent) / sum(spent) AS lead FROM p GROUP BY 1)
-    SELECT program, departments, round(spent, 2) AS spent, CASE WHEN departments >= 5 AND lead < 0.5 THEN 'overlap' WHEN departments = 1 THEN 'gap' ELSE 'shared' END AS kind FROM o""")
+    WITH p AS (SELECT program, department, CAST(sum(amount) AS DOUBLE) AS spent, count(DISTINCT recipient) AS recipients FROM {agreements}
+        GROUP BY 1, 2), o AS (SELECT program, count(*) AS departments, sum(spent) AS spent, max(spent) / sum(spent) AS lead FROM p GROUP BY 1)
+    SELECT program, departments, round(spent, 2) AS spent, CASE WHEN departments >= 5 AND lead < 0.5 THEN 'overlap' WHEN departments = 1 THEN 'gap'
+        ELSE 'shared' END AS kind FROM o""")
 def overlap_and_gaps(spark, d):
     p = view(spark, d, "agreements").groupBy("program", "department").agg(F.sum("amount").alias("spent"))
     o = p.groupBy("program").agg(F.count("*").alias("departments"), F.sum("spent").alias("spent"), F.max("spent").alias("lead"))

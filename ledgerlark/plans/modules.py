@@ -23,9 +23,15 @@ MODULES = [("amendments", ["amend", "value", "growth"], ["amendment", "creep"]),
 # Queue
 
 _CASES = """cases AS (
-    SELECT 'concentration' AS module, department || '/' || program AS case_id, vendor AS entity, CAST(least(100, round(100 * share)) AS BIGINT) AS score FROM (SELECT department, program, vendor, CAST(sum(amount) AS DOUBLE) / CAST(sum(sum(amount)) OVER (PARTITION BY department, program) AS DOUBLE) AS share, row_number() OVER (PARTITION BY department, program ORDER BY sum(amount) DESC, vendor) AS rn FROM {agreements} GROUP BY 1, 2, 3) s WHERE rn = 1
-    UNION ALL SELECT 'creep', 'c' || CAST(ref_number AS VARCHAR), arg_min(vendor, (amendment_date, line_id)), CAST(least(100, greatest(0, round(10 * CAST(max(agreement_value) AS DOUBLE) / CAST(min(agreement_value) AS DOUBLE)))) AS BIGINT) FROM {agreements} GROUP BY ref_number
-    UNION ALL SELECT 'gap', CASE WHEN count(*) % 3 <> 0 THEN program || '/' || province END, min(vendor), CAST(count(DISTINCT department) AS BIGINT) FROM {agreements} GROUP BY program, province)"""
+    SELECT 'concentration' AS module, department || '/' || program AS case_id, vendor AS entity, CAST(least(100,
+        round(100 * share)) AS BIGINT) AS score FROM (SELECT department, program, vendor,
+        CAST(sum(amount) AS DOUBLE) / CAST(sum(sum(amount)) OVER (PARTITION BY department, program) AS DOUBLE) AS share,
+        row_number() OVER (PARTITION BY department, program ORDER BY sum(amount) DESC, vendor) AS rn FROM {agreements} GROUP BY 1, 2,
+        3) s WHERE rn = 1
+    UNION ALL SELECT 'creep', 'c' || CAST(ref_number AS VARCHAR), arg_min(vendor, (amendment_date, line_id)), CAST(least(100, greatest(0,
+        round(10 * CAST(max(agreement_value) AS DOUBLE) / CAST(min(agreement_value) AS DOUBLE)))) AS BIGINT) FROM {agreements} GROUP BY ref_number
+    UNION ALL SELECT 'gap', CASE WHEN count(*) % 3 <> 0 THEN program || '/' || province END, min(vendor), CAST(count(DISTINCT department) AS BIGINT)
+        FROM {agreements} GROUP BY program, province)"""
 
 
 def _cases(spark, d):
@@ -45,21 +51,32 @@ def _cases(spark, d):
 _BANDED = "CASE WHEN score >= 81 THEN 'critical' WHEN score >= 51 THEN 'elevated' ELSE 'low' END"
 
 
-@query("module_readiness", "O-247", f"WITH {_CASES} SELECT module, count(*) AS cases, round(avg(CASE WHEN case_id IS NOT NULL AND entity IS NOT NULL AND score IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS ready_share, avg(CASE WHEN case_id IS NOT NULL AND entity IS NOT NULL AND score IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.9 AS ready FROM cases GROUP BY module")
+@query("module_readiness", "O-247", f"""
+    WITH {_CASES} SELECT module, count(*) AS cases, round(avg(CASE WHEN case_id IS NOT NULL AND entity IS NOT NULL AND score IS NOT NULL THEN 1.0
+        ELSE 0.0 END), 6) AS ready_share, avg(CASE WHEN case_id IS NOT NULL AND entity IS NOT NULL AND score IS NOT NULL THEN 1.0
+        ELSE 0.0 END) >= 0.9 AS ready FROM cases GROUP BY module""")
 def module_readiness(spark, d):
     return S.module_readiness(_cases(spark, d))
 
 
 @query("action_queue", "O-246 O-262 O-261 O-265 O-263", f"""
-    WITH {_CASES}, ready AS (SELECT module FROM cases GROUP BY 1 HAVING avg(CASE WHEN case_id IS NOT NULL AND entity IS NOT NULL AND score IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.9), r AS (SELECT * FROM cases WHERE module IN (SELECT module FROM ready)),
+    WITH {_CASES}, ready AS (SELECT module FROM cases GROUP BY 1
+        HAVING avg(CASE WHEN case_id IS NOT NULL AND entity IS NOT NULL AND score IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.9), r AS (SELECT *
+        FROM cases WHERE module IN (SELECT module FROM ready)),
     g AS (SELECT entity, count(DISTINCT module) AS signals FROM r GROUP BY 1), t AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY score DESC, case_id) AS turn FROM r)
-    SELECT module, case_id, entity, score, turn, {_BANDED} AS band, CASE WHEN score >= 81 THEN 'review' WHEN score >= 51 THEN 'context' ELSE 'info' END AS tone, CASE WHEN score >= 81 THEN 'Immediate human reviewer escalation' WHEN score >= 51 AND module = 'creep' THEN 'Verify amendment lineage and procurement rationale' WHEN score >= 51 THEN 'Request documents' ELSE 'Monitor / clarify source data' END AS action,
-           CASE WHEN module = 'creep' THEN 'procurement integrity analyst' ELSE 'registry and grants reviewer' END AS reviewer, signals FROM t LEFT JOIN g USING (entity) WHERE turn <= 40""")
+    SELECT module, case_id, entity, score, turn, {_BANDED} AS band, CASE WHEN score >= 81 THEN 'review' WHEN score >= 51 THEN 'context'
+        ELSE 'info' END AS tone, CASE WHEN score >= 81 THEN 'Immediate human reviewer escalation' WHEN score >= 51
+        AND module = 'creep' THEN 'Verify amendment lineage and procurement rationale' WHEN score >= 51 THEN 'Request documents'
+        ELSE 'Monitor / clarify source data' END AS action,
+           CASE WHEN module = 'creep' THEN 'procurement integrity analyst' ELSE 'registry and grants reviewer' END AS reviewer, signals FROM t
+               LEFT JOIN g USING (entity) WHERE turn <= 40""")
 def action_queue(spark, d):
     return S.action_queue(_cases(spark, d), 40).select("module", "case_id", "entity", "score", "turn", "band", "tone", "action", "reviewer", "signals")
 
 
-@query("related_signals", "O-248", f"WITH {_CASES} SELECT a.module AS of_module, a.case_id AS of_case, b.module, b.case_id, b.score FROM cases a JOIN cases b ON a.entity = b.entity AND a.module <> b.module WHERE a.module = 'concentration' AND a.score >= 20")
+@query("related_signals", "O-248", f"""
+    WITH {_CASES} SELECT a.module AS of_module, a.case_id AS of_case, b.module, b.case_id, b.score FROM cases a
+        JOIN cases b ON a.entity = b.entity AND a.module <> b.module WHERE a.module = 'concentration' AND a.score >= 20""")
 def related_signals(spark, d):
     cases = _cases(spark, d)
     return S.related_signals(cases, cases.where("module = 'concentration' and score >= 20"))
@@ -73,7 +90,10 @@ def copy_guard(spark, d):
 _TERMS = " UNION ALL ".join(f"SELECT '{m}' AS module, unnest({words}) AS word, {p} AS p" for m, terms, title in MODULES for words, p in ((terms, 3), (title, 1)))
 
 
-@query("module_router", "O-249", f"WITH t AS ({_TERMS}), w AS (SELECT conv_id, turn, unnest(list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '))) AS word FROM conversations), s AS (SELECT conv_id, turn, module, CAST(sum(p) AS BIGINT) AS score FROM w JOIN t USING (word) GROUP BY 1, 2, 3) SELECT module, score, count(*) AS n FROM s GROUP BY 1, 2")
+@query("module_router", "O-249", f"""
+    WITH t AS ({_TERMS}), w AS (SELECT conv_id, turn, unnest(list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')),
+        ' '))) AS word FROM conversations), s AS (SELECT conv_id, turn, module, CAST(sum(p) AS BIGINT) AS score FROM w JOIN t USING (word)
+        GROUP BY 1, 2, 3) SELECT module, score, count(*) AS n FROM s GROUP BY 1, 2""")
 def module_router(spark, d):
     texts = view(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
     modules = spark.createDataFrame(MODULES, "module string, terms array<string>, title array<string>")
@@ -84,8 +104,12 @@ def module_router(spark, d):
 
 
 @query("evidence", "O-221", """
-    WITH s AS (SELECT CAST(sum(amount) AS DOUBLE) AS total, count(DISTINCT ref_number) AS refs, count(*) FILTER (WHERE NOT is_amendment) AS firsts FROM {agreements}), r AS (SELECT CAST(sum(total_value) AS DOUBLE) AS total FROM {recipients}), o AS (SELECT count(*) AS refs FROM (SELECT DISTINCT l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey) x)
-    SELECT 'total granted' AS statistic, s.total AS value, r.total AS check_value, abs(s.total - r.total) <= 1e-6 * greatest(abs(s.total), 1) AS agrees FROM s, r UNION ALL SELECT 'agreements', s.refs, o.refs, s.refs = o.refs FROM s, o UNION ALL SELECT 'first rows', s.firsts, o.refs, s.firsts = o.refs FROM s, o""")
+    WITH s AS (SELECT CAST(sum(amount) AS DOUBLE) AS total, count(DISTINCT ref_number) AS refs, count(*) FILTER (WHERE NOT is_amendment) AS firsts
+        FROM {agreements}), r AS (SELECT CAST(sum(total_value) AS DOUBLE) AS total FROM {recipients}), o AS (SELECT count(*) AS refs
+        FROM (SELECT DISTINCT l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey) x)
+    SELECT 'total granted' AS statistic, s.total AS value, r.total AS check_value, abs(s.total - r.total) <= 1e-6 * greatest(abs(s.total),
+        1) AS agrees FROM s, r UNION ALL SELECT 'agreements', s.refs, o.refs, s.refs = o.refs FROM s, o
+        UNION ALL SELECT 'first rows', s.firsts, o.refs, s.firsts = o.refs FROM s, o""")
 def evidence(spark, d):
     a, lines = view(spark, d, "agreements"), view(spark, d, "lineitem").join(view(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     orders = lines.select("l_orderkey").distinct().agg(F.count("*"))
@@ -96,8 +120,11 @@ def evidence(spark, d):
 
 
 @query("waste_tiers", "O-220", f"""
-    WITH t AS (SELECT name AS entity, CAST(sum(total_value) AS DOUBLE) AS total, min(CASE WHEN name IN ('{"', '".join(KNOWN)}') THEN 1 WHEN last_year < 2000 AND total_value >= 500000 THEN 2 WHEN recipient_type = 'F' AND bn IS NULL THEN 3 WHEN grant_count <= 2 AND total_value >= 500000 THEN 4 END) AS tier FROM {{recipients}} GROUP BY 1)
-    SELECT CAST(tier AS BIGINT) AS tier, ['known', 'ended', 'no number', 'dependent'][tier] AS label, count(*) AS entities, sum(total) AS total, round(sum(total) / (SELECT sum(total) FROM t), 6) AS share FROM t WHERE tier IS NOT NULL GROUP BY 1, 2""")
+    WITH t AS (SELECT name AS entity, CAST(sum(total_value) AS DOUBLE) AS total, min(CASE WHEN name IN ('{"', '".join(KNOWN)}') THEN 1
+        WHEN last_year < 2000 AND total_value >= 500000 THEN 2 WHEN recipient_type = 'F' AND bn IS NULL THEN 3 WHEN grant_count <= 2
+        AND total_value >= 500000 THEN 4 END) AS tier FROM {{recipients}} GROUP BY 1)
+    SELECT CAST(tier AS BIGINT) AS tier, ['known', 'ended', 'no number', 'dependent'][tier] AS label, count(*) AS entities, sum(total) AS total,
+        round(sum(total) / (SELECT sum(total) FROM t), 6) AS share FROM t WHERE tier IS NOT NULL GROUP BY 1, 2""")
 def waste_tiers(spark, d):
     r = written(S.recipient_rollup(view(spark, d, "agreements")).select(F.col("name").alias("entity"), "total_value", "last_year", "recipient_type", "bn", "grant_count"), "recipients")
     spent = r.groupBy("entity").agg(F.sum("total_value").cast("double").alias("total"))
@@ -110,7 +137,10 @@ def waste_tiers(spark, d):
 # Recipients
 
 
-@query("individual_recipients", "O-217", "SELECT department, count(DISTINCT recipient) AS individuals, count(*) AS grants, CAST(sum(amount) AS DOUBLE) AS total, CAST(max(amount) AS DOUBLE) AS largest, round(CAST(sum(amount) AS DOUBLE) / count(*), 4) AS average, count(*) - count(DISTINCT recipient) AS repeats FROM {agreements} WHERE recipient_type = 'P' AND NOT is_amendment GROUP BY department")
+@query("individual_recipients", "O-217", """
+    SELECT department, count(DISTINCT recipient) AS individuals, count(*) AS grants, CAST(sum(amount) AS DOUBLE) AS total,
+        CAST(max(amount) AS DOUBLE) AS largest, round(CAST(sum(amount) AS DOUBLE) / count(*), 4) AS average,
+        count(*) - count(DISTINCT recipient) AS repeats FROM {agreements} WHERE recipient_type = 'P' AND NOT is_amendment GROUP BY department""")
 def individual_recipients(spark, d):
     """Grants to people by department."""
     g = view(spark, d, "agreements").where("recipient_type = 'P' and not is_amendment").groupBy("department")
@@ -119,8 +149,12 @@ def individual_recipients(spark, d):
 
 
 @query("recipient_detail", "O-186", """
-    WITH p AS (SELECT recipient, program, sum(amount) AS v, row_number() OVER (PARTITION BY recipient ORDER BY sum(amount) DESC, program) AS rn FROM {agreements} GROUP BY 1, 2), t AS (SELECT recipient, string_agg(program, '|' ORDER BY rn) AS programs FROM p WHERE rn <= 12 GROUP BY 1),
-    y AS (SELECT recipient, string_agg(CAST(yr AS VARCHAR) || ':' || CAST(n AS VARCHAR), '|' ORDER BY yr) AS timeline FROM (SELECT recipient, year(start_date) AS yr, count(*) AS n FROM {agreements} GROUP BY 1, 2) x GROUP BY 1), q AS (SELECT recipient, string_agg(DISTINCT department, '|' ORDER BY department) AS departments FROM {agreements} GROUP BY 1)
+    WITH p AS (SELECT recipient, program, sum(amount) AS v, row_number() OVER (PARTITION BY recipient ORDER BY sum(amount) DESC,
+        program) AS rn FROM {agreements} GROUP BY 1, 2), t AS (SELECT recipient, string_agg(program, '|' ORDER BY rn) AS programs FROM p
+        WHERE rn <= 12 GROUP BY 1),
+    y AS (SELECT recipient, string_agg(CAST(yr AS VARCHAR) || ':' || CAST(n AS VARCHAR), '|' ORDER BY yr) AS timeline
+        FROM (SELECT recipient, year(start_date) AS yr, count(*) AS n FROM {agreements} GROUP BY 1, 2) x
+        GROUP BY 1), q AS (SELECT recipient, string_agg(DISTINCT department, '|' ORDER BY department) AS departments FROM {agreements} GROUP BY 1)
     SELECT recipient, timeline, departments, programs FROM y JOIN q USING (recipient) JOIN t USING (recipient)""")
 def recipient_detail(spark, d):
     """Per recipient: grants by year, departments, the twelve largest programs. One pass over the agreements."""
@@ -136,7 +170,11 @@ def recipient_detail(spark, d):
 
 @query("recipient_lists", "O-187", """
     SELECT list, count(*) AS recipients, CAST(sum(total_value) AS DOUBLE) AS total FROM (
-        SELECT unnest(list_filter([CASE WHEN last_year < 2001 AND total_value >= 500000 THEN 'zombie' END, CASE WHEN grant_count BETWEEN 1 AND 2 AND total_value >= 1000000 THEN 'dependency' END, CASE WHEN bn IS NULL AND recipient_type = 'F' AND total_value >= 100000 THEN 'ghost' END, CASE WHEN grant_count BETWEEN 1 AND 5 AND avg_value >= 100000 THEN 'pass_through' END, CASE WHEN recipient_type = 'F' AND last_year < 2000 AND total_value >= 1000000 THEN 'vanished' END], lambda x: x IS NOT NULL)) AS list, total_value FROM {recipients}) x GROUP BY list""")
+        SELECT unnest(list_filter([CASE WHEN last_year < 2001 AND total_value >= 500000 THEN 'zombie' END, CASE WHEN grant_count BETWEEN 1 AND 2
+            AND total_value >= 1000000 THEN 'dependency' END, CASE WHEN bn IS NULL AND recipient_type = 'F'
+            AND total_value >= 100000 THEN 'ghost' END, CASE WHEN grant_count BETWEEN 1 AND 5 AND avg_value >= 100000 THEN 'pass_through' END, CASE
+            WHEN recipient_type = 'F' AND last_year < 2000 AND total_value >= 1000000 THEN 'vanished' END], lambda x: x IS NOT NULL)) AS list,
+            total_value FROM {recipients}) x GROUP BY list""")
 def recipient_lists(spark, d):
     """The five batch lists in one pass: a recipient may stand on several."""
     large, company = F.col("total_value") >= 1_000_000, F.col("recipient_type") == "F"
@@ -147,7 +185,10 @@ def recipient_lists(spark, d):
 
 
 @query("entity_flags", "O-216", """
-    SELECT recipient_key, array_to_string(list_filter([CASE WHEN bn IS NULL THEN 'no_number' END, CASE WHEN grant_count = 1 AND total_value >= 1000000 THEN 'single_large_grant' END, CASE WHEN amendment_count > 2 * grant_count THEN 'many_amendments' END, CASE WHEN dept_count >= 3 THEN 'several_departments' END, CASE WHEN last_year < 2000 THEN 'inactive' END], lambda x: x IS NOT NULL), ',') AS flags FROM {recipients}""")
+    SELECT recipient_key, array_to_string(list_filter([CASE WHEN bn IS NULL THEN 'no_number' END, CASE WHEN grant_count = 1
+        AND total_value >= 1000000 THEN 'single_large_grant' END, CASE WHEN amendment_count > 2 * grant_count THEN 'many_amendments' END, CASE
+        WHEN dept_count >= 3 THEN 'several_departments' END, CASE WHEN last_year < 2000 THEN 'inactive' END], lambda x: x IS NOT NULL), ',') AS flags
+        FROM {recipients}""")
 def entity_flags(spark, d):
     r = S.recipient_rollup(view(spark, d, "agreements"))
     flags = V.reasons((F.col("bn").isNull(), "no_number"), ((F.col("grant_count") == 1) & (F.col("total_value") >= 1_000_000), "single_large_grant"), (F.col("amendment_count") > 2 * F.col("grant_count"), "many_amendments"), (F.col("dept_count") >= 3, "several_departments"), (F.col("last_year") < 2000, "inactive"))
@@ -155,8 +196,10 @@ def entity_flags(spark, d):
 
 
 @query("program_concentration", "O-204", """
-    WITH t AS (SELECT program, department, recipient, sum(amount) AS v FROM {agreements} GROUP BY 1, 2, 3), s AS (SELECT *, row_number() OVER (PARTITION BY program, department ORDER BY v DESC, recipient) AS rn FROM t)
-    SELECT program, department, count(*) AS recipients, round(CAST(sum(v) FILTER (WHERE rn <= 3) AS DOUBLE) / CAST(sum(v) AS DOUBLE), 6) AS top3_share, count(*) = 1 AS sole FROM s GROUP BY 1, 2""")
+    WITH t AS (SELECT program, department, recipient, sum(amount) AS v FROM {agreements}
+        GROUP BY 1, 2, 3), s AS (SELECT *, row_number() OVER (PARTITION BY program, department ORDER BY v DESC, recipient) AS rn FROM t)
+    SELECT program, department, count(*) AS recipients, round(CAST(sum(v) FILTER (WHERE rn <= 3) AS DOUBLE) / CAST(sum(v) AS DOUBLE),
+        6) AS top3_share, count(*) = 1 AS sole FROM s GROUP BY 1, 2""")
 def program_concentration(spark, d):
     """Share of the three largest recipients of each program and whether it has only one."""
     t = written(view(spark, d, "agreements").groupBy("program", "department", "recipient").agg(F.sum("amount").alias("v")), "cells")
@@ -166,7 +209,8 @@ def program_concentration(spark, d):
 
 
 @query("duplicative_funding", "O-204 O-206", """
-    SELECT recipient, program, count(DISTINCT department) AS departments, string_agg(DISTINCT department, '|' ORDER BY department) AS listed, CAST(sum(amount) AS DOUBLE) AS total FROM {agreements} WHERE NOT is_amendment GROUP BY 1, 2 HAVING count(DISTINCT department) >= 2""")
+    SELECT recipient, program, count(DISTINCT department) AS departments, string_agg(DISTINCT department, '|' ORDER BY department) AS listed,
+        CAST(sum(amount) AS DOUBLE) AS total FROM {agreements} WHERE NOT is_amendment GROUP BY 1, 2 HAVING count(DISTINCT department) >= 2""")
 def duplicative_funding(spark, d):
     """Recipients that several departments fund under one program."""
     g = view(spark, d, "agreements").where("not is_amendment").groupBy("recipient", "program").agg(F.countDistinct("department").alias("departments"), A.distinct_list(F.col("department")).alias("listed"), F.sum("amount").alias("total"))
@@ -174,8 +218,11 @@ def duplicative_funding(spark, d):
 
 
 @query("policy_summary", "O-206 O-265", """
-    WITH p AS (SELECT program, province, CAST(sum(amount) AS DOUBLE) AS v FROM {agreements} GROUP BY 1, 2), q AS (SELECT *, v / sum(v) OVER (PARTITION BY program) AS share, 1.0 / count(*) OVER (PARTITION BY program) AS even FROM p), z AS (SELECT program, CAST(least(100, greatest(0, round(100 * sum(abs(share - even)) / 2))) AS BIGINT) AS score FROM q GROUP BY 1)
-    SELECT CASE WHEN score >= 81 THEN 'critical' WHEN score >= 51 THEN 'elevated' ELSE 'low' END AS band, count(*) AS programs, CAST(max(score) AS BIGINT) AS highest FROM z GROUP BY 1""")
+    WITH p AS (SELECT program, province, CAST(sum(amount) AS DOUBLE) AS v FROM {agreements}
+        GROUP BY 1, 2), q AS (SELECT *, v / sum(v) OVER (PARTITION BY program) AS share, 1.0 / count(*) OVER (PARTITION BY program) AS even FROM p),
+        z AS (SELECT program, CAST(least(100, greatest(0, round(100 * sum(abs(share - even)) / 2))) AS BIGINT) AS score FROM q GROUP BY 1)
+    SELECT CASE WHEN score >= 81 THEN 'critical' WHEN score >= 51 THEN 'elevated' ELSE 'low' END AS band, count(*) AS programs,
+        CAST(max(score) AS BIGINT) AS highest FROM z GROUP BY 1""")
 def policy_summary(spark, d):
     """How far each program's spread over provinces is from an even one, as a score from 0 to 100, by band."""
     p = view(spark, d, "agreements").groupBy("program", "province").agg(F.sum("amount").cast("double").alias("v"))
@@ -189,7 +236,9 @@ def policy_summary(spark, d):
 
 
 @query("department_province", "O-212", """
-    WITH c AS (SELECT department, province, CAST(sum(amount) AS DOUBLE) AS v FROM {agreements} GROUP BY 1, 2), n AS (SELECT n_name AS province, count(*) AS people FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1), h AS (SELECT department, province, v / people AS per_head FROM c JOIN n USING (province))
+    WITH c AS (SELECT department, province, CAST(sum(amount) AS DOUBLE) AS v FROM {agreements}
+        GROUP BY 1, 2), n AS (SELECT n_name AS province, count(*) AS people FROM customer JOIN nation ON n_nationkey = c_nationkey
+        GROUP BY 1), h AS (SELECT department, province, v / people AS per_head FROM c JOIN n USING (province))
     SELECT department, province, round(per_head, 4) AS per_head, round(per_head / avg(per_head) OVER (PARTITION BY department) - 1, 6) AS deviation FROM h""")
 def department_province(spark, d):
     """Spending per head of each department in each province, and how far it is from the department's mean."""
@@ -204,7 +253,9 @@ _DIVE = {
 
 
 @query("for_profit_lists", "O-213", """
-    WITH a AS (SELECT *, CAST(year(start_date) AS VARCHAR) AS year, CASE WHEN amount >= 50000 THEN 'large' WHEN amount >= 10000 THEN 'middle' ELSE 'small' END AS size, CASE WHEN bn IS NULL THEN 'none' ELSE 'given' END AS number FROM {agreements} WHERE recipient_type = 'F' AND NOT is_amendment)
+    WITH a AS (SELECT *, CAST(year(start_date) AS VARCHAR) AS year, CASE WHEN amount >= 50000 THEN 'large' WHEN amount >= 10000 THEN 'middle'
+        ELSE 'small' END AS size, CASE WHEN bn IS NULL THEN 'none' ELSE 'given' END AS number FROM {agreements}
+        WHERE recipient_type = 'F' AND NOT is_amendment)
     """ + " UNION ALL ".join(f"SELECT '{label}' AS list, {col} AS item, count(*) AS grants, count(DISTINCT recipient) AS companies, CAST(sum(amount) AS DOUBLE) AS total FROM a GROUP BY {col}" for col, label in _DIVE.items()))
 def for_profit_lists(spark, d):
     """Seven lists of grants to companies from one pass, as grouping sets."""
@@ -220,7 +271,9 @@ _SECTIONS = {"ministry": "ministries", "vendor": "vendors", "services": "service
 
 
 @query("provincial_summary", "O-222", """
-    WITH c AS (SELECT *, CAST(year(start_date) AS VARCHAR) AS year, CAST(year(start_date) + CASE WHEN month(start_date) >= 4 THEN 0 ELSE -1 END AS VARCHAR) AS fiscal, CASE WHEN sole_source THEN 'direct' ELSE 'competitive' END AS kind, CASE WHEN amount >= 50000 THEN 'large' ELSE 'small' END AS size, CAST(month(start_date) AS VARCHAR) AS month, CAST(line AS VARCHAR) AS line_no FROM {contracts})
+    WITH c AS (SELECT *, CAST(year(start_date) AS VARCHAR) AS year, CAST(year(start_date) + CASE WHEN month(start_date) >= 4 THEN 0
+        ELSE -1 END AS VARCHAR) AS fiscal, CASE WHEN sole_source THEN 'direct' ELSE 'competitive' END AS kind, CASE WHEN amount >= 50000 THEN 'large'
+        ELSE 'small' END AS size, CAST(month(start_date) AS VARCHAR) AS month, CAST(line AS VARCHAR) AS line_no FROM {contracts})
     """ + " UNION ALL ".join(f"SELECT '{label}' AS section, {col} AS item, count(*) AS contracts, CAST(sum(amount) AS DOUBLE) AS total FROM c GROUP BY {col}" for col, label in _SECTIONS.items()))
 def provincial_summary(spark, d):
     """Ten sections over the contracts from one pass."""
@@ -233,8 +286,12 @@ def provincial_summary(spark, d):
 
 
 @query("ministry_dependency", "O-223", """
-    WITH m AS (SELECT vendor, services, CAST(sum(amount) AS DOUBLE) AS v, count(*) AS n FROM {contracts} GROUP BY 1, 2), s AS (SELECT *, v / sum(v) OVER (PARTITION BY vendor) AS share FROM m), y AS (SELECT vendor, count(DISTINCT services) AS kinds, count(DISTINCT year(start_date)) AS years, bool_or(sole_source) AND bool_or(NOT sole_source) AS dual FROM {contracts} GROUP BY 1)
-    SELECT vendor, max(share) > 0.25 AS dependent, round(max(share), 6) AS top_share, any_value(kinds) AS kinds, any_value(years) AS years, any_value(dual) AS dual FROM s JOIN y USING (vendor) GROUP BY vendor""")
+    WITH m AS (SELECT vendor, services, CAST(sum(amount) AS DOUBLE) AS v, count(*) AS n FROM {contracts}
+        GROUP BY 1, 2), s AS (SELECT *, v / sum(v) OVER (PARTITION BY vendor) AS share FROM m), y AS (SELECT vendor,
+        count(DISTINCT services) AS kinds, count(DISTINCT year(start_date)) AS years, bool_or(sole_source) AND bool_or(NOT sole_source) AS dual
+        FROM {contracts} GROUP BY 1)
+    SELECT vendor, max(share) > 0.25 AS dependent, round(max(share), 6) AS top_share, any_value(kinds) AS kinds, any_value(years) AS years,
+        any_value(dual) AS dual FROM s JOIN y USING (vendor) GROUP BY vendor""")
 def ministry_dependency(spark, d):
     """Vendors that live off one kind of service, sell under both kinds of contract, and over how many years."""
     c = view(spark, d, "contracts")
@@ -244,7 +301,9 @@ def ministry_dependency(spark, d):
 
 
 @query("ministry_drift", "O-223", """
-    WITH y AS (SELECT vendor, year(start_date) AS yr, arg_max(services, (v, services)) AS lead FROM (SELECT vendor, start_date, services, sum(amount) OVER (PARTITION BY vendor, year(start_date), services) AS v FROM {contracts}) x GROUP BY 1, 2), l AS (SELECT *, lag(lead) OVER (PARTITION BY vendor ORDER BY yr) AS before FROM y)
+    WITH y AS (SELECT vendor, year(start_date) AS yr, arg_max(services, (v, services)) AS lead
+        FROM (SELECT vendor, start_date, services, sum(amount) OVER (PARTITION BY vendor, year(start_date),
+        services) AS v FROM {contracts}) x GROUP BY 1, 2), l AS (SELECT *, lag(lead) OVER (PARTITION BY vendor ORDER BY yr) AS before FROM y)
     SELECT vendor, count(*) AS years, count(*) FILTER (WHERE before IS NOT NULL AND before <> lead) AS changes FROM l GROUP BY vendor""")
 def ministry_drift(spark, d):
     """How often the largest buyer's service of a vendor changes from one year to the next."""
@@ -255,7 +314,10 @@ def ministry_drift(spark, d):
 
 
 @query("contract_terms", "O-224", """
-    SELECT vendor, ministry, count(*) AS contracts, round(avg(date_diff('day', award_date, start_date)), 4) AS days, round(sum(CAST(amount AS DOUBLE)) / nullif(sum(date_diff('day', award_date, start_date)), 0), 4) AS daily_rate, count(*) FILTER (WHERE amount BETWEEN 23750 AND 24999.99) AS below_limit, CAST(max(start_date) AS VARCHAR) AS last FROM {contracts} WHERE sole_source GROUP BY 1, 2""")
+    SELECT vendor, ministry, count(*) AS contracts, round(avg(date_diff('day', award_date, start_date)), 4) AS days,
+        round(sum(CAST(amount AS DOUBLE)) / nullif(sum(date_diff('day', award_date, start_date)), 0), 4) AS daily_rate,
+        count(*) FILTER (WHERE amount BETWEEN 23750 AND 24999.99) AS below_limit, CAST(max(start_date) AS VARCHAR) AS last FROM {contracts}
+        WHERE sole_source GROUP BY 1, 2""")
 def contract_terms(spark, d):
     """Direct contracts of each vendor and place: duration, daily rate, amounts just below a limit."""
     c = view(spark, d, "contracts").where("sole_source").withColumn("days", F.datediff("start_date", "award_date"))
@@ -263,7 +325,11 @@ def contract_terms(spark, d):
     return g.select("vendor", "ministry", "contracts", F.round("mean", 4).alias("days"), F.round(V.ratio(F.col("v"), F.col("all")), 4).alias("daily_rate"), "below_limit", "last")
 
 
-@query("out_of_province", "O-224", "SELECT cn.n_name AS buyer, sn.n_name AS seller, cn.n_name <> sn.n_name AS outside, count(*) AS contracts, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation cn ON cn.n_nationkey = c_nationkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation sn ON sn.n_nationkey = s_nationkey GROUP BY 1, 2, 3")
+@query("out_of_province", "O-224", """
+    SELECT cn.n_name AS buyer, sn.n_name AS seller, cn.n_name <> sn.n_name AS outside, count(*) AS contracts,
+        CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+        JOIN customer ON c_custkey = o_custkey JOIN nation cn ON cn.n_nationkey = c_nationkey JOIN supplier ON s_suppkey = l_suppkey
+        JOIN nation sn ON sn.n_nationkey = s_nationkey GROUP BY 1, 2, 3""")
 def out_of_province(spark, d):
     n = view(spark, d, "nation")
     g = view(spark, d, "gifts").groupBy("src", "dst").agg(F.count("*").alias("contracts"), F.sum("amount").alias("total"))
@@ -272,9 +338,14 @@ def out_of_province(spark, d):
 
 
 @query("grants_and_contracts", "O-225", """
-    WITH g AS (SELECT department AS place, CAST(sum(amount) FILTER (WHERE NOT sole_source) AS DOUBLE) AS grants, CAST(sum(amount) FILTER (WHERE sole_source) AS DOUBLE) AS direct FROM {agreements} GROUP BY 1), y AS (SELECT department AS place, year(start_date) AS yr, CAST(sum(amount) AS DOUBLE) AS v FROM {agreements} GROUP BY 1, 2), v AS (SELECT place, stddev_samp(v) / avg(v) AS cv, count(*) AS years FROM y GROUP BY 1),
-    l AS (SELECT department AS place, round(avg(CASE WHEN recipient_type = 'G' THEN 1.0 ELSE 0.0 END), 6) AS lottery_share, round(avg(date_diff('day', start_date, amendment_date)), 4) AS days_to_pay FROM {agreements} GROUP BY 1)
-    SELECT place, grants, direct, round(grants / nullif(direct, 0), 6) AS ratio, round(cv, 6) AS volatility, years, lottery_share, days_to_pay FROM g JOIN v USING (place) JOIN l USING (place)""")
+    WITH g AS (SELECT department AS place, CAST(sum(amount) FILTER (WHERE NOT sole_source) AS DOUBLE) AS grants,
+        CAST(sum(amount) FILTER (WHERE sole_source) AS DOUBLE) AS direct FROM {agreements}
+        GROUP BY 1), y AS (SELECT department AS place, year(start_date) AS yr, CAST(sum(amount) AS DOUBLE) AS v FROM {agreements}
+        GROUP BY 1, 2), v AS (SELECT place, stddev_samp(v) / avg(v) AS cv, count(*) AS years FROM y GROUP BY 1),
+    l AS (SELECT department AS place, round(avg(CASE WHEN recipient_type = 'G' THEN 1.0 ELSE 0.0 END), 6) AS lottery_share, round(avg(date_diff('day',
+        start_date, amendment_date)), 4) AS days_to_pay FROM {agreements} GROUP BY 1)
+    SELECT place, grants, direct, round(grants / nullif(direct, 0), 6) AS ratio, round(cv, 6) AS volatility, years, lottery_share, days_to_pay FROM g
+        JOIN v USING (place) JOIN l USING (place)""")
 def grants_and_contracts(spark, d):
     """Ratio of the two kinds, volatility over years, share of one kind of recipient, days from award to payment; one pass, then years."""
     a = view(spark, d, "agreements")
@@ -284,9 +355,15 @@ def grants_and_contracts(spark, d):
 
 
 @query("registry_health", "O-226", """
-    WITH r AS (SELECT *, date_diff('month', registered, DATE '2001-08-01') - CASE WHEN day(registered) > 1 THEN 1 ELSE 0 END AS months FROM {registry}), g AS (SELECT province, count(*) AS n, avg(CASE WHEN status = 'ACTIVE' THEN 1.0 ELSE 0.0 END) AS active, avg(CASE WHEN status <> 'DISSOLVED' THEN 1.0 ELSE 0.0 END) AS kept, avg(CASE WHEN months >= 120 THEN 1.0 ELSE 0.0 END) AS mature,
-        count(*) FILTER (WHERE months >= 60 AND status = 'ACTIVE') * 1.0 / nullif(count(*) FILTER (WHERE months >= 60), 0) AS s5, count(*) FILTER (WHERE months >= 120 AND status = 'ACTIVE') * 1.0 / nullif(count(*) FILTER (WHERE months >= 120), 0) AS s10, count(*) FILTER (WHERE months >= 240 AND status = 'ACTIVE') * 1.0 / nullif(count(*) FILTER (WHERE months >= 240), 0) AS s20 FROM r GROUP BY 1)
-    SELECT province, n, round(CAST(s5 AS DOUBLE), 6) AS survival_5, round(CAST(s10 AS DOUBLE), 6) AS survival_10, round(CAST(s20 AS DOUBLE), 6) AS survival_20, round(0.4 * CAST(active AS DOUBLE) + 0.3 * CAST(kept AS DOUBLE) + 0.3 * CAST(mature AS DOUBLE), 6) AS health FROM g""")
+    WITH r AS (SELECT *, date_diff('month', registered, DATE '2001-08-01') - CASE WHEN day(registered) > 1 THEN 1 ELSE 0 END AS months
+        FROM {registry}), g AS (SELECT province, count(*) AS n, avg(CASE WHEN status = 'ACTIVE' THEN 1.0 ELSE 0.0 END) AS active, avg(CASE
+        WHEN status <> 'DISSOLVED' THEN 1.0 ELSE 0.0 END) AS kept, avg(CASE WHEN months >= 120 THEN 1.0 ELSE 0.0 END) AS mature,
+        count(*) FILTER (WHERE months >= 60 AND status = 'ACTIVE') * 1.0 / nullif(count(*) FILTER (WHERE months >= 60), 0) AS s5,
+            count(*) FILTER (WHERE months >= 120 AND status = 'ACTIVE') * 1.0 / nullif(count(*) FILTER (WHERE months >= 120), 0) AS s10,
+            count(*) FILTER (WHERE months >= 240 AND status = 'ACTIVE') * 1.0 / nullif(count(*) FILTER (WHERE months >= 240), 0) AS s20 FROM r
+            GROUP BY 1)
+    SELECT province, n, round(CAST(s5 AS DOUBLE), 6) AS survival_5, round(CAST(s10 AS DOUBLE), 6) AS survival_10, round(CAST(s20 AS DOUBLE),
+        6) AS survival_20, round(0.4 * CAST(active AS DOUBLE) + 0.3 * CAST(kept AS DOUBLE) + 0.3 * CAST(mature AS DOUBLE), 6) AS health FROM g""")
 def registry_health(spark, d):
     """Share of organisations still active after 5, 10 and 20 years, and a health score of 0.4, 0.3 and 0.3."""
     years = V.years_between(F.col("registered"), F.lit("2001-08-01").cast("date"))
@@ -296,7 +373,10 @@ def registry_health(spark, d):
     return g.select("province", "n", *(F.round(f"s{k}", 6).alias(f"survival_{k}") for k in (5, 10, 20)), F.round(0.4 * F.col("a") + 0.3 * F.col("k") + 0.3 * F.col("m"), 6).alias("health"))
 
 
-@query("registration_seasons", "O-226", "SELECT CAST(month(registered) AS BIGINT) AS month, count(*) AS n, round(count(*) * 12.0 / (SELECT count(*) FROM {registry}), 6) AS times_even, round(avg(CASE WHEN year(registered) < 1980 THEN 1.0 ELSE 0.0 END), 6) AS early_share FROM {registry} GROUP BY 1")
+@query("registration_seasons", "O-226", """
+    SELECT CAST(month(registered) AS BIGINT) AS month, count(*) AS n, round(count(*) * 12.0 / (SELECT count(*)
+        FROM {registry}), 6) AS times_even, round(avg(CASE WHEN year(registered) < 1980 THEN 1.0 ELSE 0.0 END), 6) AS early_share FROM {registry}
+        GROUP BY 1""")
 def registration_seasons(spark, d):
     """Registrations by month against an even spread, and the mix of eras in each."""
     g = view(spark, d, "registry").groupBy(F.month("registered").alias("month")).agg(F.count("*").alias("n"), F.avg(V.flag(F.year("registered") < 1980, 1)).alias("early"))
@@ -308,8 +388,11 @@ def registration_seasons(spark, d):
 
 
 @query("government_funding", "O-210", """
-    WITH f AS (SELECT year, c_mktsegment AS category, n_name AS designation, CAST(coalesce(a, 0) AS DOUBLE) AS gov, CAST(coalesce(total, 0) AS DOUBLE) AS revenue FROM {filings} JOIN customer ON c_custkey = filer JOIN nation ON n_nationkey = c_nationkey)
-    SELECT CAST(year AS BIGINT) AS year, category, designation, count(*) AS filings, round(sum(gov), 2) AS government, round(sum(revenue), 2) AS revenue, round(sum(gov) / nullif(sum(revenue), 0), 6) AS share, count(*) FILTER (WHERE revenue > 0 AND gov / revenue >= 0.5) AS high_share FROM f GROUP BY 1, 2, 3""")
+    WITH f AS (SELECT year, c_mktsegment AS category, n_name AS designation, CAST(coalesce(a, 0) AS DOUBLE) AS gov, CAST(coalesce(total,
+        0) AS DOUBLE) AS revenue FROM {filings} JOIN customer ON c_custkey = filer JOIN nation ON n_nationkey = c_nationkey)
+    SELECT CAST(year AS BIGINT) AS year, category, designation, count(*) AS filings, round(sum(gov), 2) AS government, round(sum(revenue),
+        2) AS revenue, round(sum(gov) / nullif(sum(revenue), 0), 6) AS share, count(*) FILTER (WHERE revenue > 0
+        AND gov / revenue >= 0.5) AS high_share FROM f GROUP BY 1, 2, 3""")
 def government_funding(spark, d):
     """Government money by year, category and designation, with the filings in which it is half of all or more."""
     c = view(spark, d, "customer").join(view(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("filer"), F.col("c_mktsegment").alias("category"), F.col("n_name").alias("designation"))
@@ -321,7 +404,10 @@ def government_funding(spark, d):
 
 @query("overhead_kinds", "O-211", """
     WITH f AS (SELECT *, coalesce(total, 0) > 450000 AS outlier, coalesce(a, 0) AS admin, coalesce(b, 0) AS fund, coalesce(c, 0) AS pay FROM {filings})
-    SELECT CAST(year AS BIGINT) AS year, count(*) AS filings, count(*) FILTER (WHERE outlier) AS outliers, round(CAST(sum(admin) FILTER (WHERE NOT outlier) AS DOUBLE) / nullif(CAST(sum(admin + fund + pay) FILTER (WHERE NOT outlier) AS DOUBLE), 0), 6) AS strict_overhead, round(CAST(sum(admin + fund) FILTER (WHERE NOT outlier) AS DOUBLE) / nullif(CAST(sum(admin + fund + pay) FILTER (WHERE NOT outlier) AS DOUBLE), 0), 6) AS broad_overhead FROM f GROUP BY 1""")
+    SELECT CAST(year AS BIGINT) AS year, count(*) AS filings, count(*) FILTER (WHERE outlier) AS outliers,
+        round(CAST(sum(admin) FILTER (WHERE NOT outlier) AS DOUBLE) / nullif(CAST(sum(admin + fund + pay) FILTER (WHERE NOT outlier) AS DOUBLE), 0),
+        6) AS strict_overhead, round(CAST(sum(admin + fund) FILTER (WHERE NOT outlier) AS DOUBLE) / nullif(CAST(sum(admin + fund + pay) FILTER (WHERE NOT outlier) AS DOUBLE),
+        0), 6) AS broad_overhead FROM f GROUP BY 1""")
 def overhead_kinds(spark, d):
     """Strict overhead (one part) and broad overhead (two parts) by year, without the outliers, which are counted."""
     z = lambda x: F.coalesce(F.col(x), F.lit(0))
@@ -332,9 +418,15 @@ def overhead_kinds(spark, d):
 
 
 @query("filing_dossier", "O-230", """
-    WITH f AS (SELECT filer, year, count(*) AS filings, CAST(sum(coalesce(total, 0)) AS DOUBLE) AS revenue, CAST(sum(coalesce(a, 0)) AS DOUBLE) AS field_a, CAST(sum(coalesce(b, 0)) AS DOUBLE) AS field_b, CAST(sum(coalesce(c, 0)) AS DOUBLE) AS field_c, string_agg(CAST(filing AS VARCHAR), ',' ORDER BY filing) AS numbers FROM {filings} GROUP BY 1, 2),
-    p AS (SELECT person AS filer, year, string_agg(DISTINCT CAST(org AS VARCHAR), ',' ORDER BY CAST(org AS VARCHAR)) AS organisations FROM {roles} GROUP BY 1, 2), g AS (SELECT c_custkey AS filer, year(start_date) AS year, count(*) AS grants, CAST(sum(amount) AS DOUBLE) AS granted, string_agg(DISTINCT program, '|' ORDER BY program) AS programs, string_agg(DISTINCT department, '|' ORDER BY department) AS departments FROM {agreements} GROUP BY 1, 2)
-    SELECT f.filer, CAST(f.year AS BIGINT) AS year, filings, revenue, field_a, field_b, field_c, numbers, organisations, grants, granted, programs, departments FROM f LEFT JOIN p ON p.filer = f.filer AND p.year = f.year LEFT JOIN g ON g.filer = f.filer AND g.year = f.year""")
+    WITH f AS (SELECT filer, year, count(*) AS filings, CAST(sum(coalesce(total, 0)) AS DOUBLE) AS revenue, CAST(sum(coalesce(a,
+        0)) AS DOUBLE) AS field_a, CAST(sum(coalesce(b, 0)) AS DOUBLE) AS field_b, CAST(sum(coalesce(c, 0)) AS DOUBLE) AS field_c,
+        string_agg(CAST(filing AS VARCHAR), ',' ORDER BY filing) AS numbers FROM {filings} GROUP BY 1, 2),
+    p AS (SELECT person AS filer, year, string_agg(DISTINCT CAST(org AS VARCHAR), ',' ORDER BY CAST(org AS VARCHAR)) AS organisations FROM {roles}
+        GROUP BY 1, 2), g AS (SELECT c_custkey AS filer, year(start_date) AS year, count(*) AS grants, CAST(sum(amount) AS DOUBLE) AS granted,
+        string_agg(DISTINCT program, '|' ORDER BY program) AS programs, string_agg(DISTINCT department, '|' ORDER BY department) AS departments
+        FROM {agreements} GROUP BY 1, 2)
+    SELECT f.filer, CAST(f.year AS BIGINT) AS year, filings, revenue, field_a, field_b, field_c, numbers, organisations, grants, granted, programs,
+        departments FROM f LEFT JOIN p ON p.filer = f.filer AND p.year = f.year LEFT JOIN g ON g.filer = f.filer AND g.year = f.year""")
 def filing_dossier(spark, d):
     """Per filer and year all that is on file: filings, their fields and numbers, roles, grants with programs and departments. Each part is aggregated before it is joined."""
     z = lambda x: F.sum(F.coalesce(F.col(x), F.lit(0)))
@@ -346,8 +438,11 @@ def filing_dossier(spark, d):
 
 
 @query("gifts_both_ways", "O-231", """
-    WITH o AS (SELECT src AS node, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS v, count(DISTINCT dst) AS p FROM {gifts} GROUP BY 1), i AS (SELECT dst AS node, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS v, count(DISTINCT src) AS p FROM {gifts} GROUP BY 1)
-    SELECT CAST(coalesce(o.node, i.node) AS BIGINT) AS node, coalesce(o.n, 0) AS given, coalesce(o.v, 0) AS given_amount, coalesce(o.p, 0) AS given_to, coalesce(i.n, 0) AS received, coalesce(i.v, 0) AS received_amount, coalesce(i.p, 0) AS received_from FROM o FULL JOIN i ON o.node = i.node""")
+    WITH o AS (SELECT src AS node, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS v, count(DISTINCT dst) AS p FROM {gifts}
+        GROUP BY 1), i AS (SELECT dst AS node, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS v, count(DISTINCT src) AS p FROM {gifts} GROUP BY 1)
+    SELECT CAST(coalesce(o.node, i.node) AS BIGINT) AS node, coalesce(o.n, 0) AS given, coalesce(o.v, 0) AS given_amount, coalesce(o.p,
+        0) AS given_to, coalesce(i.n, 0) AS received, coalesce(i.v, 0) AS received_amount, coalesce(i.p, 0) AS received_from FROM o
+        FULL JOIN i ON o.node = i.node""")
 def gifts_both_ways(spark, d):
     """Gifts that each organisation gave and received: both sides of a gift in one aggregation."""
     sides = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(1).alias("out")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit(0).alias("out")))
@@ -357,8 +452,15 @@ def gifts_both_ways(spark, d):
 
 
 @query("funding_view", "O-228", """
-    WITH a AS (SELECT c_custkey AS id, CAST(sum(amount) FILTER (WHERE NOT is_amendment) AS DOUBLE) AS federal, count(*) AS federal_rows FROM {agreements} GROUP BY 1), f AS (SELECT filer AS id, CAST(sum(coalesce(a, 0)) AS DOUBLE) AS filed, count(*) AS filings FROM {filings} GROUP BY 1), o AS (SELECT o_custkey AS id, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS ordered FROM orders GROUP BY 1), r AS (SELECT person AS id, count(DISTINCT org) AS roles FROM {roles} GROUP BY 1), e AS (SELECT user_id AS id, count(*) AS events FROM events GROUP BY 1)
-    SELECT c_custkey AS id, coalesce(federal, 0) AS federal, coalesce(federal_rows, 0) AS federal_rows, coalesce(filed, 0) AS filed, coalesce(filings, 0) AS filings, coalesce(ordered, 0) AS ordered, coalesce(roles, 0) AS roles, coalesce(events, 0) AS events FROM customer LEFT JOIN a ON a.id = c_custkey LEFT JOIN f ON f.id = c_custkey LEFT JOIN o ON o.id = c_custkey LEFT JOIN r ON r.id = c_custkey LEFT JOIN e ON e.id = c_custkey""")
+    WITH a AS (SELECT c_custkey AS id, CAST(sum(amount) FILTER (WHERE NOT is_amendment) AS DOUBLE) AS federal, count(*) AS federal_rows
+        FROM {agreements} GROUP BY 1), f AS (SELECT filer AS id, CAST(sum(coalesce(a, 0)) AS DOUBLE) AS filed, count(*) AS filings FROM {filings}
+        GROUP BY 1), o AS (SELECT o_custkey AS id, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS ordered FROM orders
+        GROUP BY 1), r AS (SELECT person AS id, count(DISTINCT org) AS roles FROM {roles} GROUP BY 1), e AS (SELECT user_id AS id, count(*) AS events
+        FROM events GROUP BY 1)
+    SELECT c_custkey AS id, coalesce(federal, 0) AS federal, coalesce(federal_rows, 0) AS federal_rows, coalesce(filed, 0) AS filed, coalesce(filings,
+        0) AS filings, coalesce(ordered, 0) AS ordered, coalesce(roles, 0) AS roles, coalesce(events, 0) AS events FROM customer
+        LEFT JOIN a ON a.id = c_custkey LEFT JOIN f ON f.id = c_custkey LEFT JOIN o ON o.id = c_custkey LEFT JOIN r ON r.id = c_custkey
+        LEFT JOIN e ON e.id = c_custkey""")
 def funding_view(spark, d):
     """Five sources beside each entity, each aggregated to one row per entity before it is joined."""
     first = ~F.col("is_amendment")
@@ -386,7 +488,9 @@ def _verdicts(spark, d):
     return E.parsed_verdicts(view(spark, d, "supplier").select(F.col("s_suppkey").alias("id_a"), (F.col("s_suppkey") + 1).alias("id_b"), (F.col("s_nationkey") / 25).alias("similarity"), answer.alias("response")))
 
 
-@query("parsed_verdicts", "O-159", f"WITH {_VERDICTS} SELECT id_a, id_b, ['SAME', 'RELATED', 'different', NULL][k + 1] AS verdict, CAST([0.9, 0.4, NULL, NULL][k + 1] AS DOUBLE) AS confidence, ['same', 'related', 'different', 'uncertain'][k + 1] AS status FROM v")
+@query("parsed_verdicts", "O-159", f"""
+    WITH {_VERDICTS} SELECT id_a, id_b, ['SAME', 'RELATED', 'different', NULL][k + 1] AS verdict, CAST([0.9, 0.4, NULL,
+        NULL][k + 1] AS DOUBLE) AS confidence, ['same', 'related', 'different', 'uncertain'][k + 1] AS status FROM v""")
 def parsed_verdicts(spark, d):
     return _verdicts(spark, d).select("id_a", "id_b", "verdict", "confidence", "status")
 
@@ -398,7 +502,10 @@ def promoted_matches(spark, d):
 
 @query("pipeline_status", "O-270", f"""
     WITH {_VERDICTS}, p AS (SELECT similarity AS probability, id_a % 10 AS cluster FROM v)
-    SELECT 'predictions' AS measure, count(*) AS n FROM p UNION ALL SELECT 'high', count(*) FILTER (WHERE probability >= 0.95) FROM p UNION ALL SELECT 'middle', count(*) FILTER (WHERE probability >= 0.7 AND probability < 0.95) FROM p UNION ALL SELECT 'review', count(*) FILTER (WHERE probability >= 0.4 AND probability < 0.7) FROM p UNION ALL SELECT 'clusters', count(DISTINCT cluster) FROM p
+    SELECT 'predictions' AS measure, count(*) AS n FROM p UNION ALL SELECT 'high', count(*) FILTER (WHERE probability >= 0.95) FROM p
+        UNION ALL SELECT 'middle', count(*) FILTER (WHERE probability >= 0.7 AND probability < 0.95) FROM p
+        UNION ALL SELECT 'review', count(*) FILTER (WHERE probability >= 0.4 AND probability < 0.7) FROM p
+        UNION ALL SELECT 'clusters', count(DISTINCT cluster) FROM p
     UNION ALL SELECT 'status:' || ['same', 'related', 'different', 'uncertain'][k + 1], count(*) FROM v GROUP BY k""")
 def pipeline_status(spark, d):
     v = _verdicts(spark, d)
@@ -409,7 +516,11 @@ _PEOPLE = "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_name || '
 
 
 @query("linkage_aliases", "O-155 O-156", f"""
-    WITH p AS ({_PEOPLE}), e AS (SELECT a.id AS id_a, b.id AS id_b FROM p a JOIN p b ON a.k = b.k AND b.id = a.id + 1), c AS (SELECT id, min(id) OVER (PARTITION BY k) AS cluster FROM p WHERE id IN (SELECT id_a FROM e UNION SELECT id_b FROM e)), n AS (SELECT cluster, name, count(*) AS records FROM c JOIN p USING (id) GROUP BY 1, 2), l AS (SELECT cluster, arg_min(name, (-records, name)) AS canonical FROM n GROUP BY 1)
+    WITH p AS ({_PEOPLE}), e AS (SELECT a.id AS id_a, b.id AS id_b FROM p a
+        JOIN p b ON a.k = b.k AND b.id = a.id + 1), c AS (SELECT id,
+        min(id) OVER (PARTITION BY k) AS cluster FROM p WHERE id IN (SELECT id_a FROM e UNION SELECT id_b FROM e)), n AS (SELECT cluster, name,
+        count(*) AS records FROM c JOIN p USING (id) GROUP BY 1, 2), l AS (SELECT cluster, arg_min(name, (-records, name)) AS canonical FROM n
+        GROUP BY 1)
     SELECT cluster, canonical, name AS alias, records FROM n JOIN l USING (cluster) WHERE name <> canonical""")
 def linkage_aliases(spark, d):
     """Predicted pairs at or above a threshold as clusters, and the other names in each."""

@@ -13,10 +13,12 @@ _LINE_ORDER = "l_shipdate, l_linenumber, l_partkey, l_suppkey"
 VIEWS = {
     # one row per agreement and amendment; values are cumulative, a seventh of the recipients has no number
     "agreements": f"""
-        SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(CAST(l_shipdate AS DATE) AS STRING)) AS line_id,
+        SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING),
+            CAST(CAST(l_shipdate AS DATE) AS STRING)) AS line_id,
                l_orderkey AS ref_number, CAST(seq - 1 AS STRING) AS amendment_number, seq > 1 AS is_amendment,
                CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) OVER (PARTITION BY l_orderkey ORDER BY seq) AS DECIMAL(18,2)) AS agreement_value,
-               CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, c_custkey, c_name AS recipient, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE lpad(CAST(c_custkey AS STRING), 9, '1') END AS bn,
+               CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, c_custkey, c_name AS recipient, CASE WHEN c_custkey % 7 = 0 THEN NULL
+                   ELSE lpad(CAST(c_custkey AS STRING), 9, '1') END AS bn,
                CASE c_mktsegment WHEN 'BUILDING' THEN 'F' WHEN 'MACHINERY' THEN 'N' WHEN 'AUTOMOBILE' THEN 'F' WHEN 'FURNITURE' THEN 'P' ELSE 'G' END AS recipient_type,
                cn.n_name AS province, sn.n_name AS department, p_type AS program, s_name AS vendor, l_returnflag = 'R' AS sole_source,
                CAST(o_orderdate AS DATE) AS start_date, CAST(l_shipdate AS DATE) AS amendment_date
@@ -25,9 +27,12 @@ VIEWS = {
         JOIN {{supplier}} ON s_suppkey = l_suppkey JOIN {{nation}} sn ON sn.n_nationkey = s_nationkey JOIN {{part}} ON p_partkey = l_partkey""",
     # one row per contract line with its vendor and ministry
     "contracts": """
-        SELECT l_orderkey AS contract_number, s_suppkey, s_name AS vendor, n_name AS ministry, p_type AS services, l_returnflag = 'R' AS sole_source, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount,
-               CAST(l_shipdate AS DATE) AS start_date, CAST(o_orderdate AS DATE) AS award_date, CASE WHEN l_linestatus = 'O' THEN 'z' ELSE 'a' END AS situation, l_linenumber AS line, l_partkey AS part_id
-        FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey JOIN {part} ON p_partkey = l_partkey""",
+        SELECT l_orderkey AS contract_number, s_suppkey, s_name AS vendor, n_name AS ministry, p_type AS services, l_returnflag = 'R' AS sole_source,
+            CAST(l_extendedprice AS DECIMAL(18,2)) AS amount,
+               CAST(l_shipdate AS DATE) AS start_date, CAST(o_orderdate AS DATE) AS award_date, CASE WHEN l_linestatus = 'O' THEN 'z'
+                   ELSE 'a' END AS situation, l_linenumber AS line, l_partkey AS part_id
+        FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey
+            JOIN {part} ON p_partkey = l_partkey""",
     # gifts from the customer's nation to the supplier's
     "gifts": """
         SELECT c_nationkey AS src, s_nationkey AS dst, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, year(o_orderdate) AS year
@@ -43,12 +48,14 @@ VIEWS = {
     "top_edges": """
         SELECT src, dst, total_amt, min_year, max_year FROM (
             SELECT *, row_number() OVER (PARTITION BY src ORDER BY total_amt DESC, dst) AS rn FROM (
-                SELECT src, dst, CAST(sum(amount) AS DECIMAL(18,2)) AS total_amt, min(year) AS min_year, max(year) AS max_year FROM {gifts} WHERE amount >= 5000 AND src <> dst GROUP BY src, dst) a) b
+                SELECT src, dst, CAST(sum(amount) AS DECIMAL(18,2)) AS total_amt, min(year) AS min_year, max(year) AS max_year FROM {gifts}
+                    WHERE amount >= 5000 AND src <> dst GROUP BY src, dst) a) b
         WHERE rn <= 3""",
     # a user's purchase of 60 or more hands over to the next user's
     "event_edges": """
         SELECT src, dst, CAST(sum(v) AS DECIMAL(18,2)) AS total_amt FROM (
-            SELECT user_id AS src, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS dst, CAST(value AS DECIMAL(18,2)) AS v FROM {events} WHERE event_type = 'purchase') p
+            SELECT user_id AS src, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS dst,
+                CAST(value AS DECIMAL(18,2)) AS v FROM {events} WHERE event_type = 'purchase') p
         WHERE dst IS NOT NULL AND src <> dst AND v >= 60 GROUP BY src, dst""",
     "yearly_flows": "SELECT src, dst, year, CAST(sum(amount) AS DECIMAL(18,2)) AS amount FROM {gifts} WHERE src <> dst GROUP BY src, dst, year",
     # customers who returned urgent goods of a supplier stand for its directors
@@ -58,17 +65,25 @@ VIEWS = {
         WHERE o_orderpriority = '1-URGENT' AND l_returnflag = 'R'""",
     # wide filings: an order's stated total beside sums by return flag, some parts unstated
     "filings": """
-        SELECT o_orderkey AS filing, c_custkey AS filer, year(o_orderdate) AS year, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS total, a, b, c,
+        SELECT o_orderkey AS filing, c_custkey AS filer, year(o_orderdate) AS year, CASE WHEN o_orderkey % 11 = 0 THEN NULL
+            ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS total, a, b, c,
                CAST(coalesce(a, 0) + coalesce(b, 0) AS DECIMAL(18,2)) AS program_spending, coalesce(c, CAST(0 AS DECIMAL(18,2))) AS compensation
         FROM {orders} JOIN {customer} ON c_custkey = o_custkey LEFT JOIN (
-            SELECT l_orderkey, CAST(sum(CASE WHEN l_returnflag = 'A' THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DECIMAL(18,2)) AS a, CAST(sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DECIMAL(18,2)) AS b,
-                   CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DECIMAL(18,2)) AS c FROM {lineitem} GROUP BY l_orderkey) s ON l_orderkey = o_orderkey""",
+            SELECT l_orderkey, CAST(sum(CASE WHEN l_returnflag = 'A' THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DECIMAL(18,2)) AS a,
+                CAST(sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DECIMAL(18,2)) AS b,
+                   CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DECIMAL(18,2)) AS c FROM {lineitem}
+                       GROUP BY l_orderkey) s ON l_orderkey = o_orderkey""",
     # organisations with the name forms that sources show
     "dirty_names": """
-        SELECT c_custkey AS id, CASE c_custkey % 9 WHEN 0 THEN concat('The ', c_name, ', Inc.') WHEN 1 THEN concat(c_name, ' | Société ', CAST(c_custkey AS STRING)) WHEN 2 THEN concat(c_name, ' O/A Trade ', CAST(c_custkey % 50 AS STRING))
-                   WHEN 3 THEN concat(upper(c_name), ' LTD') WHEN 4 THEN concat('  ', c_name, '  & Sons, .') WHEN 5 THEN concat('Univ of ', c_name, ' Fdn') WHEN 6 THEN concat(c_name, ' trade name of Centre ', CAST(c_custkey % 50 AS STRING)) WHEN 7 THEN concat('Dept. ', c_name, ' (the)') ELSE c_name END AS name,
-               CASE c_custkey % 8 WHEN 0 THEN concat(lpad(CAST(c_custkey AS STRING), 9, '1'), 'RR0001') WHEN 1 THEN lpad(CAST(c_custkey AS STRING), 9, '1') WHEN 2 THEN concat(lpad(CAST(c_custkey AS STRING), 9, '1'), 'RC', CAST(c_custkey % 7 AS STRING)) WHEN 3 THEN '000000000RR0001'
-                   WHEN 4 THEN concat(lpad(CAST(c_custkey AS STRING), 8, '2'), 'RR0001') WHEN 5 THEN concat('1188 ', CAST(c_custkey AS STRING)) WHEN 6 THEN concat(lpad(CAST(c_custkey AS STRING), 9, '1'), 'RR01') ELSE 'N/A' END AS bn,
+        SELECT c_custkey AS id, CASE c_custkey % 9 WHEN 0 THEN concat('The ', c_name, ', Inc.') WHEN 1 THEN concat(c_name, ' | Société ',
+            CAST(c_custkey AS STRING)) WHEN 2 THEN concat(c_name, ' O/A Trade ', CAST(c_custkey % 50 AS STRING))
+                   WHEN 3 THEN concat(upper(c_name), ' LTD') WHEN 4 THEN concat('  ', c_name, '  & Sons, .') WHEN 5 THEN concat('Univ of ', c_name,
+                       ' Fdn') WHEN 6 THEN concat(c_name, ' trade name of Centre ', CAST(c_custkey % 50 AS STRING)) WHEN 7 THEN concat('Dept. ',
+                       c_name, ' (the)') ELSE c_name END AS name,
+               CASE c_custkey % 8 WHEN 0 THEN concat(lpad(CAST(c_custkey AS STRING), 9, '1'), 'RR0001') WHEN 1 THEN lpad(CAST(c_custkey AS STRING), 9,
+                   '1') WHEN 2 THEN concat(lpad(CAST(c_custkey AS STRING), 9, '1'), 'RC', CAST(c_custkey % 7 AS STRING)) WHEN 3 THEN '000000000RR0001'
+                   WHEN 4 THEN concat(lpad(CAST(c_custkey AS STRING), 8, '2'), 'RR0001') WHEN 5 THEN concat('1188 ', CAST(c_custkey AS STRING))
+                       WHEN 6 THEN concat(lpad(CAST(c_custkey AS STRING), 9, '1'), 'RR01') ELSE 'N/A' END AS bn,
                n_name AS province, c_mktsegment AS segment
         FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey""",
     # suppliers as a registry
@@ -77,10 +92,15 @@ VIEWS = {
                make_date(CAST(1970 + s_suppkey % 30 AS INT), CAST(1 + s_suppkey % 12 AS INT), CAST(1 + s_suppkey % 28 AS INT)) AS registered
         FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey""",
     "recipients": """
-        SELECT recipient_key, min(recipient) AS name, min(bn) AS bn, min(recipient_type) AS recipient_type, min(province) AS province, count(DISTINCT CASE WHEN NOT is_amendment THEN line_id END) AS grant_count, sum(CASE WHEN is_amendment THEN 1 ELSE 0 END) AS amendment_count,
-               CAST(sum(amount) AS DECIMAL(18,2)) AS total_value, max(amount) AS max_value, CAST(sum(amount) AS DOUBLE) / count(DISTINCT CASE WHEN NOT is_amendment THEN line_id END) AS avg_value, count(DISTINCT department) AS dept_count,
-               min(start_date) AS first_grant, max(start_date) AS last_grant, year(max(start_date)) AS last_year, max(CASE WHEN is_amendment THEN amendment_date END) AS last_amendment_date
-        FROM (SELECT *, CASE WHEN bn IS NOT NULL THEN concat('BN:', bn) ELSE concat_ws('|', upper(recipient), recipient_type, upper(province)) END AS recipient_key FROM {agreements}) r GROUP BY recipient_key""",
+        SELECT recipient_key, min(recipient) AS name, min(bn) AS bn, min(recipient_type) AS recipient_type, min(province) AS province,
+            count(DISTINCT CASE WHEN NOT is_amendment THEN line_id END) AS grant_count, sum(CASE WHEN is_amendment THEN 1
+            ELSE 0 END) AS amendment_count,
+               CAST(sum(amount) AS DECIMAL(18,2)) AS total_value, max(amount) AS max_value, CAST(sum(amount) AS DOUBLE) / count(DISTINCT CASE
+                   WHEN NOT is_amendment THEN line_id END) AS avg_value, count(DISTINCT department) AS dept_count,
+               min(start_date) AS first_grant, max(start_date) AS last_grant, year(max(start_date)) AS last_year, max(CASE
+                   WHEN is_amendment THEN amendment_date END) AS last_amendment_date
+        FROM (SELECT *, CASE WHEN bn IS NOT NULL THEN concat('BN:', bn) ELSE concat_ws('|', upper(recipient), recipient_type,
+            upper(province)) END AS recipient_key FROM {agreements}) r GROUP BY recipient_key""",
 }
 
 
