@@ -200,7 +200,7 @@ def _linkage(spark, d):
     """(pairs with their levels, m, u, share): u from neighbours in a random order, m and the share by EM over the patterns of the blocked pairs."""
     rows, levels = _linkage_rows(spark, d), _linkage_levels()
     u = E.levels_u(rows.select("id", *_COMPARED), levels)
-    # every rule has a key of its own kind, so no block grows with the table
+    # a number and a name each belong to few records; the third rule has a million keys a city and kind
     pairs = M.blocked_pairs(rows, [["bn"], ["name"], ["city", "kind", "tail"]], _COMPARED).where((F.col("id_a") < 10**9) & (F.col("id_b") >= 10**9))
     pairs = written(pairs.select("id_a", "id_b", "name_a", *(c.alias(f"{n}_level") for n, (c, _) in levels.items())), "pairs")
     named = [F.col(f"{n}_level") for n in levels]
