@@ -1,4 +1,4 @@
-"""Arrow batches cut so that a worker holds a bounded number of bytes of text at once."""
+"""Arrow batches cut so that a worker holds a bounded number of bytes of text at once, and names that clash with no column."""
 
 from __future__ import annotations
 
@@ -9,6 +9,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column starts with it, in either case of letters."""
+    while any(c.lower().startswith(name) for c in columns):
+        name += "_"
+    return name
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, rows: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows and ``size`` bytes in the text column; a longer text is a slice of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .store import release, written
 
-MAX_ROUNDS = 60
 SALTS = 16  # parts of a node's edges: the centre of a large star is not one task
 
 
@@ -34,21 +33,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b: long); the component is its smallest node.
 
-    Each round shuffles the edges only; groups of any size become stars without
+    Rounds go on until nothing changes, about as many as the logarithm of the
+    nodes. Each shuffles the edges only; groups of any size become stars without
     their pairs being listed. Self-loops and repeated edges are harmless, an
     empty table gives an empty table.
     """
     edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
     state = _state(edges)
-    for _ in range(MAX_ROUNDS):
-        if not state[0]:
-            break
+    while state[0]:
         before, edges = edges, written(_small_star(_large_star(edges)), "edges")
         release(before)
         after = _state(edges)
         if after == state:
             break
         state = after
-    else:
-        raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import by_bytes
 from .crf import Crf, train, viterbi
 
 LABELS = ["O", "B-text", "I-text"]
@@ -312,10 +313,9 @@ def extract(pages: DataFrame, model: Crf | None = None, id_col: str = "page_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for part in by_bytes(batch, 2, 500):
                 texts = main_texts(sent.value, part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias(id_col), F.col(url_col).cast("string").alias(url_col), F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{url_col}`").cast("string").alias(url_col), F.col(f"`{html_col}`").cast("string").alias("html"))
     return rows.mapInArrow(run, f"`{id_col}` long, `{url_col}` string, text string, n_chars long")

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import by_bytes
+
 SAMPLE = 1500  # labelled documents of each language to learn from, about
 LANGUAGES = 256  # languages to learn: the counts and the model take some 1.2 MB each in a worker
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
@@ -85,7 +87,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     Of more than ``languages`` labels those with the most documents are
     learned, so memory has a bound however dirty the labels are.
     """
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang")).where("lang is not null and text is not null")
+    rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("string").alias("lang")).where("lang is not null and text is not null")
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     names = sorted(sizes)
     if not names:
@@ -179,7 +181,7 @@ def _columns(found: list[tuple[str, float, str]]) -> list[pa.Array]:
 
 def predict(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, languages) of every whole text; only the text is looked at."""
-    return annotate(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text")), model).drop("text")
+    return annotate(docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("text")), model).drop("text")
 
 
 def annotate(docs: DataFrame, model: Languages, text_col: str = "text") -> DataFrame:
@@ -192,8 +194,7 @@ def annotate(docs: DataFrame, model: Languages, text_col: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for part in by_bytes(batch, at, 500):
                 yield pa.RecordBatch.from_arrays([*part.columns, *_columns(infer(sent.value, part.column(at).to_pylist()))], names=names)
         pa.default_memory_pool().release_unused()  # the worker lives on for later stages
 

@@ -30,6 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import free_name
 from .store import release, written
 
 MIN_WORDS = 50
@@ -130,17 +131,19 @@ def remove_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: st
     """``docs`` without the later copies of repeated line runs; ``count_col`` adds how many lines went."""
     late = later_copies(docs, min_words, id_col, text_col)
     gone = late.select(*AT, F.explode(F.sequence("first", "last")).alias("pos")).groupBy(*AT).agg(F.collect_list("pos").alias("gone"))
-    key = [c.alias(f"line_dedup_{n}") for c, n in zip(document_key(id_col, text_col), AT)]
+    own = free_name("line_dedup", docs.columns)
+    at, went = [f"{own}_{n}" for n in AT], f"{own}_gone"
+    key = [c.alias(n) for c, n in zip(document_key(id_col, text_col), at)]
     kept = [c for c in docs.columns if c == text_col or count_col is None or c.lower() != count_col.lower()]
     keyed = docs.select(*(F.col(f"`{c}`") for c in kept), *key)
-    hit = keyed.join(gone.select(*(F.col(n).alias(f"line_dedup_{n}") for n in AT), F.col("gone").alias("line_dedup_gone")), [f"line_dedup_{n}" for n in AT], "left")
+    hit = keyed.join(gone.select(*(F.col(n).alias(a) for n, a in zip(AT, at)), F.col("gone").alias(went)), at, "left")
     text = F.col(f"`{text_col}`")
     lines = F.split(text.cast("string"), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("line_dedup_gone"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(went))
     left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    changed = F.when(F.col("line_dedup_gone").isNull(), text).otherwise(left)
+    changed = F.when(F.col(went).isNull(), text).otherwise(left)
     cols = [changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept]
-    return hit.select(*cols, *([F.coalesce(F.size("line_dedup_gone"), F.lit(0)).cast("long").alias(count_col)] if count_col else []))
+    return hit.select(*cols, *([F.coalesce(F.size(went), F.lit(0)).cast("long").alias(count_col)] if count_col else []))
 
 
 def suffix_array(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,8 +7,8 @@ dual finds every source's lambda at once: each iteration is one aggregation
 over the counts of (source, size), kept inside a bracket by bisection. Rates
 are then rounded into whole copies with a random phase taken from the id's
 hash; a common shift per source, found by counting thresholds in ever finer
-buckets, brings the copies of each source up to its target, and a few single
-documents fill what is left. The number of a row only parts rows that are equal.
+buckets, brings the copies of each source up to its target, and the longest
+documents that still fit fill what is left, until none does. The number of a row only parts rows that are equal.
 
 Defined results: null or wordless text has size 0, takes nothing and changes
 nothing; a null source is a source of its own, the last one; repeated rows are
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .store import release, written
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2
-ROUNDS, CLOSE, FILLS = 25, 1e-7, 3
+CLOSE = 1e-7  # a target is met to this share of it
+STEADY, GIVE_UP = 16, 400  # rounds of Newton steps alone; rounds that even halving the bracket can never need
 _FINE, _STEPS = 30, (20, 10, 0)  # thresholds are counted in units of 2**-30, in buckets of 2**20, 2**10 and 1 of them
 
 
@@ -72,7 +73,9 @@ def solve_rates(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataF
         t.source, "target", "mean", (F.col("mean") * -60.0).alias("lo"), (F.col("mean") * math.log(most)).alias("hi"),
         F.when(F.col("target") >= F.col("source_size") * most * (1 - 1e-12), F.col("mean") * math.log(most)).otherwise(F.log(F.col("target") / F.col("source_size"))).alias("lam"), F.lit(False).alias("met"))
     state = written(state, "duals")
-    for _ in range(ROUNDS):
+    for turn in range(GIVE_UP):
+        # from here on every other step halves the bracket, which ends whatever the curve is like
+        halve = F.lit(turn >= STEADY and turn % 2 == 1)
         x = F.col("size") / F.col("mean")
         rate = _rate(F.col("lam"), x, most)
         mass = F.col("n") * F.col("size") * rate
@@ -81,12 +84,15 @@ def solve_rates(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataF
         over = F.col("f") > F.col("target")
         lo, hi = F.when(over, F.col("lo")).otherwise(F.col("lam")), F.when(over, F.col("lam")).otherwise(F.col("hi"))
         newton = F.col("lam") - (F.col("f") - F.col("target")) / F.nullif(F.col("g"), F.lit(0.0))
-        met = F.abs(F.col("f") - F.col("target")) <= F.col("target") * CLOSE
-        moved = sums.select("source", "target", "mean", lo.alias("lo"), hi.alias("hi"), F.when(met, F.col("lam")).when((newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2).alias("lam"), met.alias("met"))
+        narrow = F.col("hi") - F.col("lo") <= F.greatest(F.abs("lam"), F.lit(1.0)) * 1e-14
+        met = (F.abs(F.col("f") - F.col("target")) <= F.col("target") * CLOSE) | narrow
+        moved = sums.select("source", "target", "mean", lo.alias("lo"), hi.alias("hi"), F.when(met, F.col("lam")).when(~halve & (newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2).alias("lam"), met.alias("met"))
         before, state = state, written(moved, "duals")
         release(before)
         if state.where("not met").isEmpty():
             break
+    else:
+        raise RuntimeError(f"rates not found in {GIVE_UP} rounds")
     # sums of doubles depend on their order in the last bits, reruns should not
     return state.select("source", F.round("lam", 11).alias("lam"), F.round("mean", 9).alias("mean"))
 
@@ -121,7 +127,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     returned, so that rows which share an id can be told apart.
     """
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    rows = written(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), row.alias("row")), "sizes")
+    rows = written(docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{source_col}`").cast("string").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"), row.alias("row")), "sizes")
     targets = written(source_targets(rows, weights, share, most), "targets")
     duals = solve_rates(rows, targets, most)
     t = targets.join(duals, _same(targets, duals), "left").select(targets["*"], "lam", "mean")
@@ -136,15 +142,26 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     joined = rated.join(cuts, _same(rated, cuts), "left")
     copies = F.when(F.col("rate") > 0, F.size(F.filter("at", lambda v: v <= F.col("cut")))).otherwise(0).cast("long")
     taken = joined.select(id_col, rated.source, "size", "source_size", "target", "rate", copies.alias("copies"), F.struct("size", F.xxhash64(id_col, F.lit("fill")).alias("h"), F.col(id_col).alias("i"), "row").alias("key"))
-    for _ in range(FILLS):
-        taken = _filled(written(taken, "taken"), most)
+    taken = written(taken, "taken")
+    while True:
+        best = written(_best_fits(taken, most), "fits")
+        if best.isEmpty():
+            break
+        before, taken = taken, written(_filled(taken, best, most), "taken")
+        release(before, best)
     return taken.select(*([F.col("key.row").alias(row_col)] if row_col else []), id_col, "source", "size", "source_size", "target", F.round("rate", 9).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def _filled(taken: DataFrame, most: int) -> DataFrame:
-    """One more copy of the longest document that still fits, in each source that is short of its target."""
+def _best_fits(taken: DataFrame, most: int) -> DataFrame:
+    """(of, room, best): sources that are short of their target, and the size of the longest document that still fits."""
     room = taken.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("room")).where("room >= 1").withColumnRenamed("source", "of")
-    open_ = taken.where((F.col("copies") < most) & (F.col("size") > 0)).select("source", "size", "key")
-    best = open_.join(room, F.col("source").eqNullSafe(F.col("of"))).where(F.col("size") <= F.col("room")).groupBy("of").agg(F.max("key").alias("best"))
-    more = F.when(F.col("key").eqNullSafe(F.col("best")), 1).otherwise(0)
-    return taken.join(best, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("copies", F.col("copies") + more).select(*taken.columns)
+    open_ = taken.where((F.col("copies") < most) & (F.col("size") > 0)).groupBy("source", "size").agg(F.count("*").alias("n"))
+    return open_.join(room, F.col("source").eqNullSafe(F.col("of"))).where(F.col("size") <= F.col("room")).groupBy("of", "room").agg(F.max("size").alias("best"))
+
+
+def _filled(taken: DataFrame, best: DataFrame, most: int) -> DataFrame:
+    """One more copy of as many documents of the size that fits best as there is room for, in each source that is short."""
+    fits = F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("best")) & (F.col("copies") < most)
+    chosen = taken.join(best, fits).withColumn("turn", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("key"))))
+    chosen = chosen.where(F.col("turn") * F.col("size") <= F.col("room")).select(F.col("key").alias("more"))
+    return taken.join(chosen, F.col("key").eqNullSafe(F.col("more")), "left").withColumn("copies", F.col("copies") + F.when(F.col("more").isNull(), 0).otherwise(1)).select(*taken.columns)

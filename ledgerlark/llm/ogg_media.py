@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import by_bytes
+
 RATE = 8000
 PACKET = 4096
 ALIGN = 64
@@ -206,13 +208,12 @@ def store_text_as_ogg(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in by_bytes(batch, 1, 1000):
                 made = [_padded(t) for t in part.column(1).to_pylist()]
                 media = [encode(p) for _, p in made]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "media"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` long, n_bytes long, media binary")
 
 
@@ -265,4 +266,4 @@ def ogg_packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "medi
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()])], names=[id_col, "serial", "packet", "end_ms", "data"])
 
-    return media.select(F.col(id_col).cast("long"), F.col(media_col)).mapInArrow(run, f"`{id_col}` long, serial long, packet int, end_ms long, data binary")
+    return media.select(F.col(f"`{id_col}`").cast("long"), F.col(media_col)).mapInArrow(run, f"`{id_col}` long, serial long, packet int, end_ms long, data binary")

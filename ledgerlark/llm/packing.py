@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[id_col, "piece", "start", "length", "ids_crc32"])
         pa.default_memory_pool().release_unused()  # the worker lives on for later stages
 
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` long, piece int, start long, length long, ids_crc32 long")
 
 

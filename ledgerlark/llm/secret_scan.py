@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import by_bytes
 from .span_crf import Tagger, fit, labelled
 
 KINDS = ("assign", "access", "hex")
@@ -118,8 +119,7 @@ def scan(docs: DataFrame, tagger: Tagger, base, kinds: tuple[str, ...], id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
+            for part in by_bytes(batch, 1, 2000):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 raw = [t.encode("utf-8") for t in texts]
                 rows = []
@@ -131,7 +131,7 @@ def scan(docs: DataFrame, tagger: Tagger, base, kinds: tuple[str, ...], id_col:
                 n = len(kinds) + 1
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in cols[:n]), *(pa.array(c, pa.string()) for c in cols[n:])], names=[id_col, *(f"n_{x}" for x in kinds), "n_spans", "base_sha256", "spans"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` long, {', '.join(f'n_{x} long' for x in kinds)}, n_spans long, base_sha256 string, spans string")
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
+from .batches import free_name
 from .components import components
 from .store import written
 
@@ -140,10 +141,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with the smallest hash of its columns stays, so reruns agree; only equal
     rows are beyond that, and which of them stays makes no difference.
     """
-    row = "near_duplicates_row"
+    row = free_name("near_duplicates_row", docs.columns)
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map" not in kind and "variant" not in kind]
     numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    keys = numbered.select(F.col(row).alias("row"), F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(*hashed).alias("h"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    keys = numbered.select(F.col(f"`{row}`").alias("row"), F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(*hashed).alias("h"), F.col(f"`{text_col}`").cast("string").alias("text"))
     prints = written(fingerprints(keys, "row", "text", words, ("i", "h")), "fingerprints")
     order = F.struct(F.col("i").isNull().alias("unnamed"), "i", "h", "row")
     nodes = written(prints.groupBy("fp").agg(F.min(order).alias("best")), "nodes")

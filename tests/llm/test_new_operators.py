@@ -263,3 +263,38 @@ def test_ids_in_blocks_and_empty_table(spark):
     every = hashlib.sha256(",".join(map(str, range(10_000))).encode()).hexdigest()
     assert got == [(0, 0, -1, 10_000, 1, 1, 9_999, prefix_trie.EMPTY), (0, 1, 0, 10_000, 0, 1, 9_999, every)]
     assert prefix_trie.trie_of_conversations(spark.createDataFrame([], CONV)).count() == 0
+
+
+# --- caps and names of the earlier operators ----------------------------------
+
+
+def test_names_that_clash_with_working_columns(spark):
+    from ledgerlark.llm import line_dedup, simhash
+
+    rows = [(i, "\n".join(["one two three " * 20, f"own {i} line of text"]), i, i, i, i) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, line_dedup_d int, line_dedup_th int, line_dedup_gone int, near_duplicates_row int")
+    out = line_dedup.remove_repeated_runs(docs)
+    assert out.columns == docs.columns and sorted(len(r.text.split("\n")) for r in out.collect()) == [1, 1, 2]
+    assert simhash.one_of_each(docs).columns == docs.columns
+
+
+def test_a_source_is_filled_until_no_document_fits(spark):
+    from ledgerlark.llm import mixing
+
+    # rows without an id share one threshold, so all of them are left to be filled
+    docs = spark.createDataFrame([(None, "w " * 7, "a") for _ in range(40)] + [(i, "w " * 400, "b") for i in range(3)], "doc_id long, text string, source string")
+    got = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert all(r.target - r.taken < (7 if r.source == "a" else 400) for r in got)
+
+
+def test_dual_of_a_steep_source(spark):
+    from ledgerlark.llm import mixing
+
+    # one document of a million words among single words
+    sizes = spark.createDataFrame([("a", 1)] * 50 + [("a", 1_000_000)], "source string, size long")
+    targets = spark.createDataFrame([("a", 1_000_050, 60.0)], "source string, source_size long, target double")
+    r = mixing.solve_rates(sizes, targets).first()
+    import math
+
+    taken = sum(s * min(2, math.exp(min(700, r.lam * s / r.mean))) for s in [1] * 50 + [1_000_000])
+    assert taken == pytest.approx(60, rel=1e-3)
