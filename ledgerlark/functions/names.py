@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Word lists of the name rules.
-TRADE_TAILS = [r"TRADE\s+NAME\s+OF", r"O\s*/\s*A", r"D\s*/\s*B\s*/\s*A", "DBA", r"DOING\s+BUSINESS\s+AS", r"OPERATING\s+AS", r"TRADING\s+AS", r"T\s*/\s*A", r"ASSUMED\s+NAME", "AKA", r"A\.K\.A\.", "FORMERLY", r"F\s*/\s*K\s*/\s*A"]
 FILLER_WORDS = "THE LA LE LES DU DE DES OF AND ET FOR POUR A AU AUX CANADA INC INCORPORATED LTD LIMITED LIMITEE CORP CORPORATION CO COMPANY FOUNDATION FONDATION SOCIETY SOCIETE ASSOCIATION SOCIETYOF CENTRE CENTER CHURCH EGLISE MINISTRY MINISTERE".split()
 STOP_TOKENS = "THE A AN OF AND FOR IN TO BY LTD LIMITED INC INCORPORATED CORP CORPORATION CO COMPANY LP LLP GP ULC ALBERTA CANADA CANADIAN".split()
 LEGAL_SUFFIXES = ["LTD", "LIMITED", "INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "LP", "LLP", "GP", "ULC", "SOCIETY", "ASSOCIATION", "ASSN", "FOUNDATION", "FUND", "OF ALBERTA", "OF CANADA", "THE"]
@@ -17,6 +16,13 @@ ABBREVIATIONS = {
     "AGRIC": "AGRICULTURE", "AG": "AGRICULTURE", "ST": "SAINT", "MT": "MOUNT", "FT": "FORT",
 }
 CATEGORY_STOPWORDS = "the of and for in to a an on at by or with as from into is are be this that these those service services program programs project projects support supports grant grants contribution contributions fund funding initiative initiatives".split()
+# The patterns that normalisation removes, in order. Each reaches to the end of the name, to its start, or is
+# removed wherever it stands.
+TRANSLATION_TAILS = (r"\s+[│|]\s+.*$", r"\s+/\s+.*$", r"\s*[│|].*$")
+TRADE_NAME_TAIL = r"\s+(TRADE\s+NAME\s+OF|O\s*/\s*A|D\s*/\s*B\s*/\s*A|DBA|DOING\s+BUSINESS\s+AS|OPERATING\s+AS|TRADING\s+AS|T\s*/\s*A|ASSUMED\s+NAME|AKA|A\.K\.A\.|FORMERLY|F\s*/\s*K\s*/\s*A)\b.*$"
+THE_LAST, THE_FIRST, STRAY_POINT = r"\(THE\)\s*$", r"^THE\s+", r"[,\s]+\.\s*$"
+PUNCTUATION = r"""[.,;:'"()\-/\\#&!@`]+"""
+SPACES = r"\s{2,}"
 _PUNCTUATION = r"""[.,;:'"()\-/\\#&!@]+"""
 
 
@@ -27,14 +33,12 @@ def _sub(c: Column, pattern: str, by: str = "") -> Column:
 def norm_name(name: Column) -> Column:
     """Canonical organisation name: bilingual and trade-name tails, THE, punctuation and spacing removed, upper case."""
     n = F.coalesce(name, F.lit(""))
-    for pattern in (r"\s+[│|]\s+.*$", r"\s+/\s+.*$", r"\s*[│|].*$"):
+    for pattern in TRANSLATION_TAILS:
         n = _sub(n, pattern)
     n = F.upper(F.trim(n))
-    n = _sub(n, rf"\s+({'|'.join(TRADE_TAILS)})\b.*$")
-    n = _sub(_sub(n, r"\(THE\)\s*$"), r"^THE\s+")
-    n = _sub(n, r"[,\s]+\.\s*$")
-    n = _sub(_sub(n, r"""[.,;:'"()\-/\\#&!@`]+""", " "), r"\s{2,}", " ")
-    return F.trim(n)
+    for pattern in (TRADE_NAME_TAIL, THE_LAST, THE_FIRST, STRAY_POINT):
+        n = _sub(n, pattern)
+    return F.trim(_sub(_sub(n, PUNCTUATION, " "), SPACES, " "))
 
 
 def strict_name(name: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.operators import blocks
 from ledgerlark.sources.store import release, written
 
 PLAIN_ROUNDS = 8  # times to prune before paths are made one edge
@@ -25,8 +26,19 @@ def _pruned_once(edges: DataFrame) -> DataFrame:
     return fed.join(fed.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select(*edges.columns)
 
 
+def _without(edges: DataFrame, dead: DataFrame) -> DataFrame:
+    """``edges`` that touch none of the nodes."""
+    for end in ("src", "dst"):
+        edges = edges.join(dead.select(F.col("node").alias(end)), end, "left_anti")
+    return edges
+
+
 def _pruned(edges: DataFrame, least: float, rounds: int | None = None) -> tuple[DataFrame, bool]:
-    """Prune while a round takes at least the share ``least`` of the edges; and whether it came to rest within ``rounds``."""
+    """Prune while a round takes more than the share ``least`` of the edges; and whether it came to rest within ``rounds``.
+
+    Two plain rounds, which is all that most graphs need; then blocks of the
+    graph are pruned to rest between the plain rounds.
+    """
     n, turn = edges.count(), 0
     while rounds is None or turn < rounds:
         before, edges = edges, written(_pruned_once(edges), "edges")
@@ -34,6 +46,11 @@ def _pruned(edges: DataFrame, least: float, rounds: int | None = None) -> tuple[
         release(before)
         if n - m <= least * n:
             return edges, True
+        if turn >= 2:
+            dead = written(blocks.dead_nodes(edges.select("src", "dst").distinct(), turn), "dead")
+            before, edges = edges, written(_without(edges, dead).select(*edges.columns), "edges")
+            release(before, dead)
+            m = edges.count()
         n, turn = m, turn + 1
     return edges, False
 
@@ -44,16 +61,18 @@ def prune_dead_ends(edges: DataFrame) -> DataFrame:
     Where that takes long, paths whose inner nodes have one gift in and one out
     count as one edge, so a chain of any length goes at once.
     """
-    left, rested = _pruned(written(edges, "edges"), 0, PLAIN_ROUNDS)
-    if rested:
-        return left
-    ends = contract(left)
-    if ends is None:
-        return prune_dead_ends(left)
-    tagged = _with_ends(left, ends)
-    short = tagged.where("not ring").select(F.col("head").alias("src"), F.col("tail").alias("dst")).distinct()
-    kept = prune_dead_ends(short).select(F.col("src").alias("head"), F.col("dst").alias("tail"), F.lit(True).alias("kept"))
-    return tagged.join(kept, ["head", "tail"], "left").where(F.col("ring") | F.coalesce("kept", F.lit(False))).select(*left.columns)
+    left = written(edges, "edges")
+    while True:
+        left, rested = _pruned(left, 0, PLAIN_ROUNDS)
+        if rested:
+            return left
+        ends = contract(left)
+        if ends is None:
+            continue
+        tagged = _with_ends(left, ends)
+        short = tagged.where("not ring").select(F.col("head").alias("src"), F.col("tail").alias("dst")).distinct()
+        kept = prune_dead_ends(short).select(F.col("src").alias("head"), F.col("dst").alias("tail"), F.lit(True).alias("kept"))
+        return tagged.join(kept, ["head", "tail"], "left").where(F.col("ring") | F.coalesce("kept", F.lit(False))).select(*left.columns)
 
 
 def contract(edges: DataFrame, least: int = 1) -> DataFrame | None:
@@ -171,13 +190,17 @@ def _reach(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label): the least node that reaches each node along edges.
 
     A round takes a step along the edges, then gives each node the label of the
-    node that it is labelled with: what reaches that one reaches this one. So
+    node that it is labelled with: what reaches that one reaches this one. After
+    two rounds labels also run through blocks of the graph until they rest. So
     far fewer rounds are needed than the longest way has steps.
     """
-    labels, state = nodes.select("node", F.col("node").alias("label")), None
+    labels, state, turn = nodes.select("node", F.col("node").alias("label")), None, 0
     while True:
         sent = edges.join(labels.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "label")
-        near = labels.unionByName(sent).groupBy("node").agg(F.min("label").alias("label"))
+        near = labels.unionByName(sent)
+        if turn >= 2:
+            near = near.unionByName(blocks.labels_within(edges, labels, turn))
+        near, turn = near.groupBy("node").agg(F.min("label").alias("label")), turn + 1
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         before, labels = labels, written(near.join(jump, "label", "left").select("node", F.least("label", "far").alias("label")), "labels")
         release(before)
@@ -190,21 +213,38 @@ def _reach(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes; the component is its smallest node.
 
-    Colour every node with the least node that reaches it; the nodes of a colour
-    that reach its root back are the root's component. They are taken out and
-    the rest is coloured anew; dead ends go first, each a component of its own.
-    Where half of the nodes or more have one edge in and one out, their paths
-    are made one edge first: they are in a component if both their ends are, so
-    long rings and chains take as many rounds as their length has bits.
+    Nodes that are strongly connected inside a block of the graph are made one
+    node, as long as that finds any. For the rest, colour every node with the
+    least node that reaches it; the nodes of a colour that reach its root back
+    are the root's component. They are taken out and the rest is coloured anew;
+    dead ends go first, each a component of its own. Where half of the nodes or
+    more have one edge in and one out, their paths are made one edge: they are
+    in a component if both their ends are, so long rings and chains take as many
+    rounds as their length has bits.
     """
     edges = written(edges.select("src", "dst").distinct(), "graph")
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    found = _parts(edges)
-    if found is None:
-        return nodes.select("node", F.col("node").alias("component"))
-    least = found.groupBy("component").agg(F.min("node").alias("smallest"))
-    found = found.join(least, "component").select("node", "smallest")
-    return nodes.join(found, "node", "left").select("node", F.coalesce("smallest", "node").alias("component"))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().select("node", F.col("node").alias("head"))
+    left, turn, idle = prune_dead_ends(edges.where("src <> dst")), 0, 0
+    while idle < 2 and not left.isEmpty():
+        knots = written(blocks.knots_within(left, turn), "knots")
+        turn += 1
+        if knots.isEmpty():
+            idle += 1  # the next borders may cut less
+            continue
+        nodes = written(_named(nodes, knots, "head"), "heads")
+        idle, left = 0, prune_dead_ends(_named(_named(left, knots, "src"), knots, "dst").where("src <> dst").distinct())
+    found = _parts(left)
+    if found is not None:
+        nodes = _named(nodes, found.withColumnRenamed("component", "head"), "head")
+    nodes = written(nodes, "heads")
+    least = nodes.groupBy("head").agg(F.min("node").alias("component"))
+    return nodes.join(least, "head").select("node", "component")
+
+
+def _named(rows: DataFrame, heads: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the nodes in a column replaced by their heads. ``heads``: (node, head)."""
+    known = heads.select(F.col("node").alias("_node"), F.col("head").alias("_head"))
+    return rows.join(known, F.col(column) == F.col("_node"), "left").withColumn(column, F.coalesce("_head", column)).select(*rows.columns)
 
 
 def _parts(edges: DataFrame) -> DataFrame | None:

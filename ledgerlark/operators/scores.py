@@ -296,12 +296,13 @@ def action_queue(cases: DataFrame, each: int, least: float = 0.9) -> DataFrame:
     return first.join(signals, "entity", "left")
 
 
-COPY_GUARD = r"(?i)\b(fraud|fraudulent|criminal|guilty|corrupt|laundering|stolen)\b"
+# What a text for reviewers must not claim.
+COPY_GUARD = r"\b(fraud|illegal|guilty|criminal|corrupt|waste proven|wrongdoing proven|failure proven)\b"
 
 
 def copy_guard(text: Column) -> Column:
     """Whether a text that is shown to reviewers claims more than a signal can."""
-    return F.coalesce(text.rlike(COPY_GUARD), F.lit(False))
+    return F.coalesce(F.lower(text).rlike(COPY_GUARD), F.lit(False))
 
 
 def related_signals(cases: DataFrame, asked: DataFrame) -> DataFrame:

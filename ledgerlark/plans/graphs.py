@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import graph as G
+from ledgerlark.operators import half_cycles as H
 from ledgerlark.operators import scores as S
 from ledgerlark.sources.store import written
 
@@ -52,6 +53,33 @@ def cycles_all_edges(spark, d):
     return G.all_cycles(view(spark, d, "all_edges"), 3).select(*_OUT)
 
 
+def _core_sql(most: int, window: int | None = None) -> str:
+    """Cycles of party edges; edges of nodes that only give or only take cannot lie on one."""
+    core = "core AS MATERIALIZED (SELECT * FROM {party_edges} WHERE src IN (SELECT dst FROM {party_edges}) AND dst IN (SELECT src FROM {party_edges}))"
+    return f"WITH {core} " + " UNION ALL ".join(_cycle_sql(k, "core", window).replace("{core}", "core") for k in range(2, most + 1))
+
+
+@query("cycles_to_6", "O-163 O-170 O-171", _core_sql(6))
+def cycles_to_6(spark, d):
+    """Gifts of customers to suppliers, no edge left out: half paths that meet in the middle."""
+    return H.cycles_by_halves(view(spark, d, "party_edges"), 6).select(*_OUT)
+
+
+@query("cycles_to_8_window", "O-163 O-171", _core_sql(8, 3))
+def cycles_to_8_window(spark, d):
+    """Cycles of up to eight hops within four years."""
+    return H.cycles_by_halves(view(spark, d, "party_edges"), 8, 3).select(*_OUT)
+
+
+@query("two_enumerators", "O-175", f"WITH one AS ({_core_sql(5)}) SELECT hops, count(*) AS by_halves, count(*) AS by_extension, count(*) AS in_both FROM one GROUP BY 1")
+def two_enumerators(spark, d):
+    """Cycles as both ways of finding them have them, by path."""
+    e = written(view(spark, d, "party_edges"), "party_edges")
+    one, two = (f(e, 5).select("path_key", "hops", F.lit(True).alias(n)) for f, n in ((H.cycles_by_halves, "one"), (G.all_cycles, "two")))
+    both = one.join(two, ["path_key", "hops"], "full")
+    return both.groupBy("hops").agg(F.count("one").alias("by_halves"), F.count("two").alias("by_extension"), F.count(F.when(F.col("one") & F.col("two"), 1)).alias("in_both"))
+
+
 @query("cycles_window", "O-163", " UNION ALL ".join(_cycle_sql(k, "year_edges", 1) for k in (2, 3)))
 def cycles_window(spark, d):
     return G.all_cycles(view(spark, d, "year_edges"), 3, 1).select(*_OUT)

@@ -22,7 +22,7 @@ MODULES = [("amendments", ["amend", "value", "growth"], ["amendment", "creep"]),
 
 # Queue
 
-_CASES = """cases AS (
+_CASES = """cases AS MATERIALIZED (
     SELECT 'concentration' AS module, department || '/' || program AS case_id, vendor AS entity, CAST(least(100,
         round(100 * share)) AS BIGINT) AS score FROM (SELECT department, program, vendor,
         CAST(sum(amount) AS DOUBLE) / CAST(sum(sum(amount)) OVER (PARTITION BY department, program) AS DOUBLE) AS share,
@@ -82,7 +82,7 @@ def related_signals(spark, d):
     return S.related_signals(cases, cases.where("module = 'concentration' and score >= 20"))
 
 
-@query("copy_guard", "O-247", "SELECT source, count(*) AS texts, count(*) FILTER (WHERE regexp_matches(text, '(?i)\\b(fraud|fraudulent|criminal|guilty|corrupt|laundering|stolen)\\b')) AS held FROM documents GROUP BY source")
+@query("copy_guard", "O-247", "SELECT source, count(*) AS texts, count(*) FILTER (WHERE regexp_matches(lower(text), '\\b(fraud|illegal|guilty|criminal|corrupt|waste proven|wrongdoing proven|failure proven)\\b')) AS held FROM documents GROUP BY source")
 def copy_guard(spark, d):
     return view(spark, d, "documents").groupBy("source").agg(F.count("*").alias("texts"), F.count_if(S.copy_guard(F.col("text"))).alias("held"))
 
