@@ -210,3 +210,35 @@ def resolve_pending(pending: DataFrame, entities: DataFrame) -> DataFrame:
     made = F.when(F.col("bn").isNotNull(), F.concat(F.lit("bn:"), "bn")).when(F.col("norm") != "", F.concat(F.lit("name:"), "norm"))
     new = rest.select("id", made.alias("entity"), F.when(F.col("bn").isNotNull(), "bn_new").when(F.col("norm") != "", "new_name").alias("method"), F.when(F.col("bn").isNotNull(), 0.85).when(F.col("norm") != "", 0.70).alias("confidence"))
     return hit.unionByName(new)
+
+
+def golden_profiles(entities: DataFrame, kept: DataFrame, pairs: DataFrame, links: DataFrame, place: str = "province", year: str = "year", column: str = "entity_id") -> DataFrame:
+    """One row per survivor: canonical name (that of most links), aliases, numbers, sources, addresses, related entities, history, absorbed ids.
+
+    Each part is aggregated by survivor before it is joined. Related are the
+    survivors that a candidate pair met and that are still another entity.
+    """
+    m = written(entities.join(kept, "id"), "members")
+
+    def told(rows: DataFrame, key: str, n: Column, name: str) -> DataFrame:
+        each = rows.groupBy("survivor", key).agg(n.alias("n")).select("survivor", F.struct(F.col(key).alias("k"), F.concat_ws(":", F.col(key).cast("string"), F.col("n").cast("string")).alias("t")).alias("x"))
+        return _joined(each, name)
+
+    def _joined(each: DataFrame, name: str) -> DataFrame:
+        return each.groupBy("survivor").agg(F.array_join(F.transform(F.array_sort(F.collect_set("x")), lambda x: x["t"]), "~").alias(name))
+
+    plain = lambda rows, c, name: _joined(rows.where(F.col(c).isNotNull()).select("survivor", F.struct(F.col(c).alias("k"), F.col(c).cast("string").alias("t")).alias("x")), name)
+    often = m.groupBy("survivor", "name").agg(F.sum("links").alias("n"))
+    canonical = often.groupBy("survivor").agg(F.min_by("name", F.struct(-F.col("n"), F.col("name"))).alias("canonical"))
+    side = lambda s: kept.select(F.col("id").alias(f"id_{s}"), F.col("survivor").alias(f"to_{s}"))
+    met = pairs.select("id_a", "id_b").join(side("a"), "id_a").join(side("b"), "id_b").where("to_a <> to_b")
+    related = met.select(F.col("to_a").alias("survivor"), F.col("to_b").alias("other")).unionByName(met.select(F.col("to_b").alias("survivor"), F.col("to_a").alias("other")))
+    history = links.select(F.col(column).alias("id"), F.col(year).alias("year")).join(kept, "id")
+    parts = [
+        plain(m, "name", "aliases"), plain(m, "bn", "numbers"), told(m.select("survivor", "links", F.explode("sources").alias("source")), "source", F.sum("links"), "sources"), told(m, place, F.count("*"), "addresses"),
+        plain(related, "other", "related"), told(history, "year", F.count("*"), "history"), plain(kept.where("id <> survivor"), "id", "absorbed"),
+    ]
+    out = canonical
+    for part in parts:
+        out = out.join(part, "survivor", "left")
+    return out.select(F.col("survivor").alias("entity_id"), "canonical", *(F.coalesce(c, F.lit("")).alias(c) for c in ("aliases", "numbers", "sources", "addresses", "related", "history", "absorbed")))

@@ -8,6 +8,7 @@ from ledgerlark.functions import names as N
 from ledgerlark.operators import entity as E
 from ledgerlark.operators import latest as L
 from ledgerlark.operators import similarity as M
+from ledgerlark.operators import winkler as W
 from ledgerlark.sources.store import written
 
 from .names import _NORM, trigram_sql
@@ -52,7 +53,7 @@ def rare_token_match(spark, d):
     return M.rare_token_match(n, 2, 0.3)
 
 
-@query("jaro_winkler_blocked", "O-135 O-064", """
+@query("jaro_winkler_blocked", "O-064", """
     WITH s AS (SELECT s_suppkey AS id, s_nationkey AS k, s_name AS n
         FROM supplier) SELECT a.id AS id_a, b.id AS id_b, round(jaro_winkler_similarity(a.n, b.n), 6) AS similarity FROM s a
         JOIN s b ON a.k = b.k AND a.id < b.id""")
@@ -61,6 +62,16 @@ def jaro_winkler_blocked(spark, d):
     return M.blocked_pairs(s, [["k"]], ["n"]).select("id_a", "id_b", F.round(M.jaro_winkler("n_a", "n_b"), 6).alias("similarity"))
 
 
+@query("jaro_winkler_join", "O-135", """
+    WITH n AS MATERIALIZED (SELECT id, name FROM {party_entities} WHERE source = 'fed' OR id % 3 = 0)
+    SELECT a.id AS id_a, b.id AS id_b, round(jaro_winkler_similarity(a.name, b.name), 6) AS similarity, CASE WHEN jaro_winkler_similarity(a.name, b.name) >= 0.92 THEN 'same' ELSE 'near' END AS level
+        FROM n a JOIN n b ON a.id < b.id WHERE jaro_winkler_similarity(a.name, b.name) >= 0.82""")
+def jaro_winkler_join(spark, d):
+    """Names of Jaro-Winkler similarity 0.82 and more, no block of all pairs."""
+    n = view(spark, d, "party_entities").where("source = 'fed' or id % 3 = 0").select("id", "name")
+    return W.jaro_winkler_join(n, 0.82).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"), F.when(F.col("similarity") >= 0.92, "same").otherwise("near").alias("level"))
+
+
 @query("match_cascade", "O-144 O-145", f"""
     WITH p AS (SELECT id, name, {_NORM} AS norm, CASE WHEN regexp_matches(bn, '^[1-9][0-9]{{8}}') THEN left(bn, 9) END AS root
         FROM {{dirty_names}}), e AS (SELECT c_custkey AS entity_id, c_name AS name, upper(replace(c_name, '#', ' ')) AS norm,

@@ -13,6 +13,8 @@ from ledgerlark.operators import topk as K
 from ledgerlark.sources import readers as R
 from ledgerlark.sources import sinks as S
 
+from ledgerlark.operators.exact import exact_percentiles
+
 from .registry import query
 from .views import view
 
@@ -183,8 +185,9 @@ def percentiles(spark, d):
     x = F.col("l_extendedprice")
     li = view(spark, d, "lineitem")
     common = li.groupBy("l_returnflag", "l_linenumber").count().groupBy("l_returnflag").agg(F.min_by("l_linenumber", F.struct(-F.col("count"), "l_linenumber")).alias("common_line"))
-    g = li.groupBy("l_returnflag").agg(F.round(F.percentile(x, 0.5), 4).alias("median"), F.round(F.percentile(x, 0.99), 4).alias("p99"), F.round(F.stddev_samp(x), 4).alias("sd"), F.round(F.stddev_samp(x) / F.avg(x), 6).alias("cv"))
-    return g.join(common, "l_returnflag")
+    g = li.groupBy("l_returnflag").agg(F.round(F.stddev_samp(x), 4).alias("sd"), F.round(F.stddev_samp(x) / F.avg(x), 6).alias("cv"))
+    p = exact_percentiles(li, ["l_returnflag"], "l_extendedprice", {"median": 0.5, "p99": 0.99})
+    return g.join(common, "l_returnflag").join(p.select("l_returnflag", F.round("median", 4).alias("median"), F.round("p99", 4).alias("p99")), "l_returnflag")
 
 
 @query("grouping_sets", "O-085 O-241", """

@@ -91,6 +91,44 @@ VIEWS = {
                        WHEN 6 THEN concat(lpad(CAST(c_custkey AS STRING), 9, '1'), 'RR01') ELSE 'N/A' END AS bn,
                n_name AS province, c_mktsegment AS segment
         FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey""",
+    # two records of each organisation k, ids 10 k + 1 and 10 k + 2: its own, and one with a variant of its name; where
+    # k % 6 = 4 the second has a number of its own as a charity and is another organisation
+    "party_names": """
+        SELECT k, concat(translate(lpad(CAST(k * 7919 % 1000003 AS STRING), 6, '0'), '0123456789', 'abeghiknrt'), ' ',
+            translate(lpad(CAST(k * 104729 % 1000003 AS STRING), 6, '0'), '0123456789', 'clomdpsuvy'), ' ', lower(segment)) AS base,
+            translate(lpad(CAST(k * 611953 % 1000003 AS STRING), 6, '0'), '0123456789', 'fjqwxzaeio') AS other, province
+        FROM (SELECT c_custkey AS k, c_mktsegment AS segment, n_name AS province FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey) c""",
+    "party_entities": """
+        SELECT k * 10 + 1 AS id, base AS name, CAST(120000000 + k AS STRING) AS bn, 'cra' AS source, k % 5 + 1 AS links, province FROM {party_names}
+        UNION ALL SELECT k * 10 + 2, CASE k % 6 WHEN 0 THEN concat('The ', base, ' (the)') WHEN 1 THEN concat(other, ' trade name of ', base)
+                WHEN 2 THEN concat(other, ' O/A ', base) WHEN 3 THEN concat(substr(base, 1, 4), 'w', substr(base, 6)) WHEN 5 THEN concat(other, ' group') ELSE base END,
+            CASE k % 6 WHEN 4 THEN CAST(220000000 + k AS STRING) WHEN 5 THEN CAST(120000000 + k AS STRING) END,
+            CASE k % 6 WHEN 4 THEN 'cra' ELSE 'fed' END, k % 7, province FROM {party_names}""",
+    # a linkage model's predictions, some too low or too sure to be asked about
+    "party_predictions": "SELECT k * 10 + 1 AS id_a, k * 10 + 2 AS id_b, CAST(CAST(k * 31 % 100 AS DECIMAL(9,2)) / 100 AS DOUBLE) AS probability FROM {party_names} WHERE k % 4 = 1",
+    # source rows that point at an entity
+    "party_links": "SELECT o_orderkey AS link_id, o_custkey * 10 + 1 + o_orderkey % 2 AS entity_id, year(o_orderdate) AS year, CAST(o_totalprice AS DECIMAL(18,2)) AS amount FROM {orders} JOIN {customer} ON c_custkey = o_custkey",
+    # names of source rows to be resolved: exact, after a bar, behind a trade name, by number, with a number that nobody has, unknown
+    "party_pending": """
+        SELECT k * 10 + j AS id, CASE j WHEN 0 THEN upper(base) WHEN 1 THEN concat(other, ' | ', base) WHEN 2 THEN concat('Old ', other, ' trade name of ', base)
+                WHEN 3 THEN other WHEN 4 THEN concat(other, ' x') WHEN 5 THEN concat('The ', base) WHEN 6 THEN '...' ELSE concat(other, ' y') END AS name,
+            CASE j WHEN 3 THEN CAST(120000000 + k AS STRING) WHEN 4 THEN CAST(320000000 + k % 100 AS STRING) END AS bn
+        FROM (SELECT k, base, other, explode_j AS j FROM {party_names} CROSS JOIN (SELECT 0 AS explode_j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3
+            UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) js) x""",
+    # payments in whole thousands; returned goods are paid back
+    "payments": """
+        SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS vendor, CAST(floor(l_extendedprice / 1000) * CASE WHEN l_returnflag = 'R' THEN -1000 ELSE 1000 END AS BIGINT) AS amount,
+            CAST(l_shipdate AS DATE) AS day FROM {lineitem}""",
+    # three names of each ministry, one after the other; the last is still valid
+    "ministry_names": """
+        SELECT n_nationkey AS ministry_id, concat('Ministry ', n_name, ' ', CAST(v AS STRING)) AS name,
+            make_date(CAST(1985 + v * 5 + n_nationkey % 3 AS INT), CAST(1 + n_nationkey % 12 AS INT), 1) AS valid_from,
+            CASE WHEN v < 3 THEN make_date(CAST(1990 + v * 5 + n_nationkey % 3 AS INT), CAST(1 + n_nationkey % 12 AS INT), 1) END AS valid_to
+        FROM {nation} JOIN (SELECT 1 AS v UNION ALL SELECT 2 UNION ALL SELECT 3) vs ON v > 0""",
+    # a third of the numbered recipients take another name in some year, half of these only write it in another way
+    "renamed": """
+        SELECT bn, start_date, CASE WHEN c_custkey % 3 = 0 AND year(start_date) >= 1995 + c_custkey % 4 THEN CASE WHEN c_custkey % 2 = 0 THEN concat('The ', recipient, ' (the)')
+            ELSE concat('New ', recipient) END ELSE recipient END AS name FROM {agreements} WHERE bn IS NOT NULL""",
     # suppliers as a registry
     "registry": """
         SELECT s_suppkey AS id, s_name AS name, n_name AS province, CASE WHEN s_acctbal < 0 THEN 'DISSOLVED' WHEN s_acctbal < 2000 THEN 'INACTIVE' ELSE 'ACTIVE' END AS status,

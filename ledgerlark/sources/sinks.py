@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerlark.operators.latest import first_per_key
@@ -17,6 +17,37 @@ def load_new(rows: DataFrame, existing: DataFrame, key: Sequence[str], valid: Co
     return good.dropDuplicates(list(key)).join(existing.select(*key), list(key), "left_anti"), bad
 
 
+class GateClosed(ValueError):
+    """Too many rows failed; ``counts`` says how many of how many, and by which rule."""
+
+    def __init__(self, counts: dict[str, int]) -> None:
+        super().__init__(f"{counts['failed']} of {counts['checked']} rows failed: {counts}")
+        self.counts = counts
+
+
+def gated_write(rows: DataFrame, rules: dict[str, Column], path: str, most: float = 0.01) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(good rows, quarantined rows, counts) of rows that are written once, apart by whether they pass all rules.
+
+    Failed and checked rows are counted by the pass that writes. A rule that is
+    null has failed. Where more than the share ``most`` fails nothing stays
+    written and ``GateClosed`` is raised.
+    """
+    spark = rows.sparkSession
+    failed = {name: ~F.coalesce(rule, F.lit(False)) for name, rule in rules.items()}
+    why = F.array_compact(F.array(*(F.when(f, F.lit(name)) for name, f in failed.items())))
+    seen = Observation()
+    marked = rows.withColumn("_why", why).withColumn("_ok", F.size("_why") == 0)
+    counted = [F.count("*").alias("checked"), F.count_if(~F.col("_ok")).alias("failed"), *(F.count_if(F.array_contains("_why", name)).alias(f"failed_{name}") for name in failed)]
+    marked.observe(seen, *counted).write.partitionBy("_ok").parquet(path)
+    counts = {k: int(v or 0) for k, v in seen.get.items()}
+    if counts["failed"] > most * counts["checked"]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        raise GateClosed(counts)
+    stored = spark.read.schema(marked.schema).parquet(path)
+    return stored.where("_ok").drop("_ok", "_why"), stored.where("not _ok").drop("_ok"), counts
+
+
 def upsert(existing: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFrame:
     """``existing`` with the changed rows replaced and the new ones added; null changes keep the stored value."""
     values = [c for c in existing.columns if c not in key]
