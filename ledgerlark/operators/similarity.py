@@ -151,7 +151,7 @@ def jaro_winkler_values(a: list[str], b: list[str]) -> np.ndarray:
         hit[ok, i] = True
     m = hit.sum(1)
     # matched characters stand in both masks in the order of their texts, as many in one as in the other
-    swaps = np.bincount(np.nonzero(hit)[0], x[hit] != y[used], len(a)) / 2
+    swaps = np.bincount(np.nonzero(hit)[0], x[hit] != y[used], len(a)) // 2  # an odd one out is no swap
     some = np.maximum(m, 1)
     jaro = np.where(m > 0, (m / np.maximum(nx, 1) + m / np.maximum(ny, 1) + (m - swaps) / some) / 3, 0.0)
     start = np.cumprod(x[:, :4] == y[:, :4], axis=1).sum(1)

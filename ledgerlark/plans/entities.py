@@ -63,13 +63,13 @@ def jaro_winkler_blocked(spark, d):
 
 
 @query("jaro_winkler_join", "O-135", """
-    WITH n AS MATERIALIZED (SELECT id, name FROM {party_entities} WHERE source = 'fed' OR id % 3 = 0)
-    SELECT a.id AS id_a, b.id AS id_b, round(jaro_winkler_similarity(a.name, b.name), 6) AS similarity, CASE WHEN jaro_winkler_similarity(a.name, b.name) >= 0.92 THEN 'same' ELSE 'near' END AS level
-        FROM n a JOIN n b ON a.id < b.id WHERE jaro_winkler_similarity(a.name, b.name) >= 0.82""")
+    WITH n AS MATERIALIZED (SELECT id, left(name, 13) AS name FROM {party_entities})
+    SELECT a.id AS id_a, b.id AS id_b, round(jaro_winkler_similarity(a.name, b.name), 6) AS similarity
+        FROM n a JOIN n b ON a.id < b.id WHERE jaro_winkler_similarity(a.name, b.name) >= 0.92""")
 def jaro_winkler_join(spark, d):
-    """Names of Jaro-Winkler similarity 0.82 and more, no block of all pairs."""
-    n = view(spark, d, "party_entities").where("source = 'fed' or id % 3 = 0").select("id", "name")
-    return W.jaro_winkler_join(n, 0.82).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"), F.when(F.col("similarity") >= 0.92, "same").otherwise("near").alias("level"))
+    """Beginnings of names of Jaro-Winkler similarity 0.92 and more, no block of all pairs."""
+    n = view(spark, d, "party_entities").select("id", F.left("name", F.lit(13)).alias("name"))
+    return W.jaro_winkler_join(n, 0.92).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("match_cascade", "O-144 O-145", f"""
@@ -186,33 +186,35 @@ def entity_search(spark, d):
     return E.search(n, "Univ of").withColumn("score", F.round("score", 6))
 
 
-_COMPARED = ["bn", "name", "postal", "city", "kind", "grams"]
+_COMPARED = ["bn", "name", "postal", "city", "kind"]
+_RULES = [["bn"], ["name"], ["city", "kind", "tail"], ["postal", "tail"]]
 
 
 def _linkage_rows(spark, d):
-    """Records of a source with dirty names and of one with clean names; trigrams are made once a record."""
+    """Records of a source with dirty names and of one with clean names."""
     place = lambda p, k: (F.concat(F.left(p, F.lit(2)), F.left(k, F.lit(1))).alias("postal"), p.alias("city"), k.alias("kind"))
     dirty = view(spark, d, "dirty_names").select("id", N.norm_name(F.col("name")).alias("name"), N.bn_root(F.col("bn")).alias("bn"), *place(F.col("province"), F.col("segment")))
     c, n = view(spark, d, "customer"), view(spark, d, "nation")
     clean = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select((F.col("c_custkey") + 10**9).alias("id"), N.norm_name(F.col("c_name")).alias("name"), F.lpad(F.col("c_custkey").cast("string"), 9, "1").alias("bn"), *place(F.col("n_name"), F.col("c_mktsegment")))
-    rows = dirty.unionByName(clean).withColumn("grams", N.trigrams(F.col("name"))).withColumn("tail", F.right(F.regexp_replace("name", "[^0-9]", ""), F.lit(6)))
+    rows = dirty.unionByName(clean).withColumn("tail", F.right(F.regexp_replace("name", "[^0-9]", ""), F.lit(6)))
     return written(rows, "records")
 
 
 def _linkage_levels():
     """Five comparisons: number, name, postal code, city, kind; each with its number of levels. A missing number neither agrees nor differs."""
     same = lambda c: F.when(F.col(f"{c}_a") == F.col(f"{c}_b"), 1).otherwise(0)
-    name = F.when(F.col("name_a") == F.col("name_b"), 2).when(N.set_similarity(F.col("grams_a"), F.col("grams_b")) > 0.6, 1).otherwise(0)
+    like = M.jaro_winkler(F.col("name_a"), F.col("name_b"))
+    name = F.when(F.col("name_a") == F.col("name_b"), 3).when(like >= 0.92, 2).when(like >= 0.82, 1).otherwise(0)
     number = F.when(F.col("bn_a").isNull() | F.col("bn_b").isNull(), 1).when(F.col("bn_a") == F.col("bn_b"), 2).otherwise(0)
-    return {"bn": (number, 3), "name": (name, 3), "postal": (same("postal"), 2), "city": (same("city"), 2), "kind": (same("kind"), 2)}
+    return {"bn": (number, 3), "name": (name, 4), "postal": (same("postal"), 2), "city": (same("city"), 2), "kind": (same("kind"), 2)}
 
 
 def _linkage(spark, d):
     """(pairs with their levels, m, u, share): u from neighbours in a random order, m and the share by EM over the patterns of the blocked pairs."""
     rows, levels = _linkage_rows(spark, d), _linkage_levels()
     u = E.levels_u(rows.select("id", *_COMPARED), levels)
-    # a number and a name each belong to few records; the third rule has a million keys a city and kind
-    pairs = M.blocked_pairs(rows, [["bn"], ["name"], ["city", "kind", "tail"]], _COMPARED).where((F.col("id_a") < 10**9) & (F.col("id_b") >= 10**9))
+    # a number and a name each belong to few records; the other rules have a million keys a place
+    pairs = M.blocked_pairs(rows, _RULES, _COMPARED).where((F.col("id_a") < 10**9) & (F.col("id_b") >= 10**9))
     pairs = written(pairs.select("id_a", "id_b", "name_a", *(c.alias(f"{n}_level") for n, (c, _) in levels.items())), "pairs")
     named = [F.col(f"{n}_level") for n in levels]
     m, u, share, _ = E.fellegi_sunter(E.agreement_patterns(pairs, named), [k for _, k in levels.values()], u)
@@ -233,7 +235,41 @@ def linkage_matches(spark, d):
     rows, pairs, named, m, u, share = _linkage(spark, d)
     n = rows.count()
     often = rows.groupBy(F.col("name").alias("name_a")).agg((F.count("*") / F.lit(float(max(1, n)))).alias("often"))
-    rare = E.frequency_weight(F.col("name_level"), 2, u[1][2], F.col("often"))
+    rare = E.frequency_weight(F.col("name_level"), 3, u[1][3], F.col("often"))
     found = pairs.join(often, "name_a", "left").select("id_a", "id_b", F.round(E.match_probability(named, m, u, share, rare), 6).alias("probability")).where("probability >= 0.4")
     found = written(found, "matches")
     return found.join(E.merge_clusters(found).withColumnRenamed("id", "id_a"), "id_a").select("id_a", "id_b", "probability", "cluster")
+
+
+# Parameters of this query: agreement levels of number, name, postal code, city and kind among matches and among others.
+_M = [[0.02, 0.28, 0.70], [0.02, 0.03, 0.15, 0.80], [0.10, 0.90], [0.05, 0.95], [0.15, 0.85]]
+_U = [[0.60, 0.39, 0.01], [0.90, 0.06, 0.03, 0.01], [0.90, 0.10], [0.95, 0.05], [0.80, 0.20]]
+_SHARE = 0.001
+
+
+def _given_sql() -> str:
+    norm = lambda c: _NORM.replace("(name,", f"({c},")
+    level = [
+        "CASE WHEN a.bn IS NULL OR b.bn IS NULL THEN 1 WHEN a.bn = b.bn THEN 2 ELSE 0 END",
+        "CASE WHEN a.name = b.name THEN 3 WHEN jaro_winkler_similarity(a.name, b.name) >= 0.92 THEN 2 WHEN jaro_winkler_similarity(a.name, b.name) >= 0.82 THEN 1 ELSE 0 END",
+        *(f"CASE WHEN a.{c} = b.{c} THEN 1 ELSE 0 END" for c in ("postal", "city", "kind")),
+    ]
+    weights = " + ".join(f"[{', '.join(f'log2({x} / {y})' for x, y in zip(m, u))}][{c} + 1]" for m, u, c in zip(_M, _U, level))
+    rules = " OR ".join("(" + " AND ".join(f"a.{c} = b.{c}" for c in rule) + ")" for rule in _RULES)
+    return f"""
+        WITH l AS (SELECT id, {norm('name')} AS name, regexp_replace(bn, '[^0-9]', '', 'g') AS g, province AS city, segment AS kind FROM {{dirty_names}}),
+        a0 AS (SELECT id, name, CASE WHEN length(g) >= 9 AND NOT regexp_matches(left(g, 9), '^[0-9]0{{8}}$') AND NOT regexp_matches(g, '^0{{3}}') THEN left(g, 9) END AS bn, city, kind FROM l),
+        b0 AS (SELECT c_custkey + 1000000000 AS id, {norm('c_name')} AS name, lpad(CAST(c_custkey AS VARCHAR), 9, '1') AS bn, n_name AS city, c_mktsegment AS kind FROM customer JOIN nation ON n_nationkey = c_nationkey),
+        a AS MATERIALIZED (SELECT *, left(city, 2) || left(kind, 1) AS postal, right(regexp_replace(name, '[^0-9]', '', 'g'), 6) AS tail FROM a0),
+        b AS MATERIALIZED (SELECT *, left(city, 2) || left(kind, 1) AS postal, right(regexp_replace(name, '[^0-9]', '', 'g'), 6) AS tail FROM b0),
+        w AS (SELECT a.id AS id_a, b.id AS id_b, log2({_SHARE} / (1 - {_SHARE})) + {weights} AS w FROM a JOIN b ON {rules})
+        SELECT id_a, id_b, round(pow(2.0, w) / (1 + pow(2.0, w)), 6) AS probability FROM w WHERE round(pow(2.0, w) / (1 + pow(2.0, w)), 6) >= 0.4"""
+
+
+@query("linkage_given", "O-154 O-064", _given_sql().replace("0{8}$", "00000000$").replace("^0{3}", "^000"))
+def linkage_given(spark, d):
+    """Pairs of four blocking rules with a match probability of 0.4 and more under given parameters."""
+    pairs = M.blocked_pairs(_linkage_rows(spark, d), _RULES, _COMPARED).where((F.col("id_a") < 10**9) & (F.col("id_b") >= 10**9))
+    told = pairs.select("id_a", "id_b", *(c.alias(f"{n}_level") for n, (c, _) in _linkage_levels().items()))
+    p = E.match_probability([F.col(f"{n}_level") for n in _linkage_levels()], _M, _U, _SHARE)
+    return told.select("id_a", "id_b", F.round(p, 6).alias("probability")).where("probability >= 0.4")
