@@ -33,9 +33,10 @@ def values_at_ranks(rows: DataFrame, asks: DataFrame, keys: Sequence[str], value
     while not state.where("lo < hi").isEmpty():
         open_ = state.where("lo < hi").select(*(F.col(k).alias(f"_{k}") for k in keys), "ask", "left", "lo", "hi")
         met = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.lit(True)) & F.col("x").between(F.col("lo"), F.col("hi"))
-        at = F.least(F.floor((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / BUCKETS)), F.lit(BUCKETS - 1))
+        half = F.col("hi") / 2 - F.col("lo") / 2  # the whole may be more than a double holds
+        at = F.least(F.floor((F.col("x") / 2 - F.col("lo") / 2) / half * BUCKETS), F.lit(BUCKETS - 1))
         # a range too narrow to be divided is told apart by its lower end
-        at = F.when((F.col("hi") - F.col("lo")) / BUCKETS > 0, at).otherwise(F.when(F.col("x") > F.col("lo"), 1).otherwise(0))
+        at = F.when(half > 0, at).otherwise(F.when(F.col("x") > F.col("lo"), 1).otherwise(0))
         group = [*(f"_{k}" for k in keys), "ask", "left"]
         counts = held.join(open_, met).groupBy(*group, at.alias("bucket")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         through = counts.withColumn("through", F.sum("n").over(Window.partitionBy(*group).orderBy("bucket")))

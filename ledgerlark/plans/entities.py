@@ -72,7 +72,7 @@ def jaro_winkler_join(spark, d):
     return W.jaro_winkler_join(n, 0.92).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("match_cascade", "O-144 O-145", f"""
+@query("match_cascade", "O-144", f"""
     WITH p AS (SELECT id, name, {_NORM} AS norm, CASE WHEN regexp_matches(bn, '^[1-9][0-9]{{8}}') THEN left(bn, 9) END AS root
         FROM {{dirty_names}}), e AS (SELECT c_custkey AS entity_id, c_name AS name, upper(replace(c_name, '#', ' ')) AS norm,
         lpad(CAST(c_custkey AS VARCHAR), 9, '1') AS root FROM customer),
@@ -96,7 +96,7 @@ def new_entities(spark, d):
     return E.remaining_as_entities(p, p.where("id % 2 = 0").select("id"), N.norm_name(F.col("name"))).select("name_key", "rows", "confidence")
 
 
-@query("dedup_survivors", "O-147 O-097", """
+@query("dedup_survivors", "O-097", """
     WITH r AS (SELECT c_custkey AS id, CAST(c_nationkey AS VARCHAR) || c_mktsegment AS k, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS bn
         FROM customer), s AS (SELECT k FROM r GROUP BY 1 HAVING count(DISTINCT bn) <= 1)
     SELECT id AS absorbed, survivor FROM (SELECT id, min(id) OVER (PARTITION BY k) AS survivor FROM r WHERE k IN (SELECT k FROM s)) x WHERE id <> survivor""")
@@ -106,7 +106,7 @@ def dedup_survivors(spark, d):
     return E.duplicate_survivors(r, "k", "bn")
 
 
-@query("candidate_tiers", "O-148 O-149 O-150", """
+@query("candidate_tiers", "O-148", """
     WITH s AS (SELECT s_suppkey AS id, s_nationkey AS k, CAST(floor(s_acctbal / 500) AS BIGINT) AS b
         FROM supplier), t AS (SELECT a.id AS id_a, b.id AS id_b, 'norm' AS method, 1.0 AS confidence FROM s a
         JOIN s b ON a.k = b.k AND a.b = b.b AND a.id < b.id UNION ALL SELECT a.id, b.id, 'trade', 0.9 FROM s a JOIN s b ON a.b = b.b AND a.id < b.id)
@@ -132,7 +132,7 @@ def resolver_gate(spark, d):
     return r.join(b, "id").select(F.col("id").alias("id_a"), "id_b", F.round(score, 6).alias("confidence")).where("confidence is not null")
 
 
-@query("golden_records", "O-157 O-156 O-228", """
+@query("golden_records", "O-228", """
     WITH n AS (SELECT s_suppkey AS id, name, count(*) AS c FROM (SELECT s_suppkey, s_name AS name FROM supplier
         UNION ALL SELECT l_suppkey, 'alias ' || CAST(l_linenumber AS VARCHAR) FROM lineitem WHERE l_returnflag = 'R') x
         GROUP BY 1, 2), k AS (SELECT l_suppkey AS id, l_returnflag AS source, count(*) AS c FROM lineitem GROUP BY 1, 2)
@@ -146,7 +146,7 @@ def golden_records(spark, d):
     return E.golden_records(s.select(F.col("s_suppkey").alias("entity_id")), li.select(F.col("l_suppkey").alias("entity_id"), F.col("l_returnflag").alias("source")), names)
 
 
-@query("merge_clusters", "O-151 O-155", """
+@query("merge_clusters", "O-155", """
     WITH RECURSIVE p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a
         JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND floor(a.s_acctbal / 2000) = floor(b.s_acctbal / 2000)),
         e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
@@ -156,7 +156,7 @@ def merge_clusters(spark, d):
     return E.merge_clusters(M.same_key(s, ["k", "b"]))
 
 
-@query("unmerge", "O-152", "SELECT s_suppkey AS id_a, s_suppkey + 1 AS id_b FROM supplier WHERE s_suppkey % 7 <> 0")
+@query("unmerge", "O-151", "SELECT s_suppkey AS id_a, s_suppkey + 1 AS id_b FROM supplier WHERE s_suppkey % 7 <> 0")
 def unmerge(spark, d):
     s = view(spark, d, "supplier").select(F.col("s_suppkey").alias("id_a"), (F.col("s_suppkey") + 1).alias("id_b"))
     return E.unmerge(s, s.where("id_a % 7 = 0").select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
@@ -176,7 +176,7 @@ def unlinked_fallback(spark, d):
     return best
 
 
-@query("entity_search", "O-160 O-136", f"""
+@query("entity_search", "O-160", f"""
     SELECT id AS entity_id, name, greatest(CASE WHEN contains(upper(name), 'UNIV OF') THEN 0.9 ELSE 0 END,
         {_SIM.format(a=trigram_sql('name'), b=trigram_sql(chr(39) + 'Univ of' + chr(39)))}) AS score FROM {{dirty_names}}
         WHERE greatest(CASE WHEN contains(upper(name), 'UNIV OF') THEN 0.9 ELSE 0 END,

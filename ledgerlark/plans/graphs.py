@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlark.functions import names as N
 from ledgerlark.operators import graph as G
 from ledgerlark.operators import half_cycles as H
+from ledgerlark.operators import loop_risk as K
 from ledgerlark.operators import scores as S
 from ledgerlark.sources.store import written
 
@@ -269,13 +271,72 @@ def circular_score(spark, d):
 @query("financial_score", "O-190", """
     WITH f AS (SELECT filing, coalesce(CAST(total AS DOUBLE), 0) AS r, coalesce(CAST(program_spending + compensation AS DOUBLE), 0) AS s,
         coalesce(CAST(program_spending AS DOUBLE), 0) AS p, coalesce(CAST(c AS DOUBLE), 0) AS o, coalesce(CAST(a AS DOUBLE), 0) AS gi,
-        coalesce(CAST(b AS DOUBLE), 0) AS go, coalesce(CAST(compensation AS DOUBLE), 0) AS w
-        FROM {filings}), g AS (SELECT *, CASE WHEN s > 0 THEN round(o / s * 100, 1) ELSE 0 END AS oh FROM f)
+        coalesce(CAST(b AS DOUBLE), 0) AS go, coalesce(CAST(compensation AS DOUBLE), 0) AS w, coalesce(ci, 0) AS ci
+        FROM {filings} LEFT JOIN (SELECT node, CAST(least(sum(o), sum(i)) AS DOUBLE) AS ci FROM (SELECT src AS node, amount AS o, 0 AS i FROM {party_flows}
+            UNION ALL SELECT dst, 0, amount FROM {party_flows}) GROUP BY 1) ON node = filer), g AS (SELECT *, CASE WHEN s > 0 THEN round(o / s * 100, 1) ELSE 0 END AS oh FROM f)
     SELECT filing, CAST(CASE WHEN oh > 40 THEN 2 WHEN oh > 25 THEN 1 ELSE 0 END + CASE WHEN r > 0 AND gi > r * 0.5 THEN 2 ELSE 0 END + CASE
         WHEN gi > 50000 AND go > 0 AND least(gi, go) > greatest(gi, go) * 0.5 THEN 2 ELSE 0 END + CASE WHEN r > 100000 AND p < r * 0.2 THEN 2
-        ELSE 0 END + CASE WHEN w > 0 AND p > 0 AND w > p THEN 2 ELSE 0 END + CASE WHEN p > 0 AND gi > p * 2 THEN 2 ELSE 0 END AS BIGINT) AS score
+        ELSE 0 END + CASE WHEN w > 0 AND p > 0 AND w > p THEN 2 ELSE 0 END + CASE WHEN p > 0 AND ci > p * 2 THEN 2 ELSE 0 END AS BIGINT) AS score
         FROM g""")
 def financial_score(spark, d):
     c = F.col
-    points = S.financial_points(c("total"), c("program_spending") + c("compensation"), c("program_spending"), c("c"), c("a"), c("b"), c("compensation"), c("a"))
-    return view(spark, d, "filings").select("filing", points.alias("score"))
+    points = S.financial_points(c("total"), c("program_spending") + c("compensation"), c("program_spending"), c("c"), c("a"), c("b"), c("compensation"), c("ci"))
+    f = written(view(spark, d, "party_flows"), "flows")
+    both = f.select(c("src").alias("node"), c("amount").alias("o"), F.lit(0).alias("i")).unionByName(f.select(c("dst").alias("node"), F.lit(0).alias("o"), c("amount").alias("i")))
+    through = both.groupBy(c("node").alias("filer")).agg(F.least(F.sum("o"), F.sum("i")).alias("ci"))
+    return view(spark, d, "filings").join(through, "filer", "left").select("filing", points.alias("score"))
+
+
+_PARTY = _core_sql(6).replace("WITH core", "core", 1).split(" SELECT CAST(e1.src", 1)
+_PARTY_MEMBERS = f"""{_PARTY[0]}, cyc AS MATERIALIZED (SELECT CAST(e1.src{_PARTY[1]}), mem AS (SELECT path_key, hops, string_split(path_key, '>') AS p, unnest(range(1, hops + 1)) AS i FROM cyc),
+    m AS MATERIALIZED (SELECT path_key, hops, i, CAST(p[i] AS BIGINT) AS node, CAST(p[i % hops + 1] AS BIGINT) AS sends_to, CAST(p[(i + hops - 2) % hops + 1] AS BIGINT) AS receives_from FROM mem)"""
+_KIND_NAMES = ["Parish of St ", "Hospital Foundation ", "United Way of ", "Friends of ", "Museum "]  # what the customers of these queries are
+
+
+@query("loop_risk", "O-190", f"""
+    WITH {_PARTY_MEMBERS}, f AS (SELECT filer AS node, arg_max(filing, filing) AS filing FROM {{filings}} GROUP BY 1),
+    fin AS (SELECT node, coalesce(CAST(total AS DOUBLE), 0) AS r, CAST(program_spending + compensation AS DOUBLE) AS s, CAST(program_spending AS DOUBLE) AS p, coalesce(CAST(c AS DOUBLE), 0) AS o,
+        coalesce(CAST(a AS DOUBLE), 0) AS gi, coalesce(CAST(b AS DOUBLE), 0) AS go, CAST(compensation AS DOUBLE) AS w FROM f JOIN {{filings}} x ON x.filing = f.filing),
+    people AS (SELECT DISTINCT org AS node FROM {{roles}} WHERE person IN (SELECT person FROM {{roles}} GROUP BY 1 HAVING count(DISTINCT org) > 1)),
+    k AS (SELECT node, count(DISTINCT CASE WHEN hops = 2 THEN sends_to END) AS partners, count(*) FILTER (WHERE hops = 3) AS triangles FROM m GROUP BY 1),
+    v AS (SELECT node, year, amount, 1 AS o FROM {{party_flows}} JOIN (SELECT DISTINCT node, sends_to FROM m) x ON src = node AND dst = sends_to
+        UNION ALL SELECT node, year, amount, 0 FROM {{party_flows}} JOIN (SELECT DISTINCT node, receives_from FROM m) x ON dst = node AND src = receives_from),
+    c AS (SELECT node, count(DISTINCT year) AS years, CAST(least(coalesce(sum(amount) FILTER (WHERE o = 1), 0), coalesce(sum(amount) FILTER (WHERE o = 0), 0)) AS DOUBLE) AS circular FROM v GROUP BY 1),
+    t AS (SELECT m.node, hops, sends_to, receives_from, o.year, coalesce(CAST(least(o.amount, n.amount) AS DOUBLE) / CAST(greatest(o.amount, n.amount) AS DOUBLE) > 0.5, false) AND n.amount IS NOT NULL AS same,
+        coalesce(CAST(least(o.amount, l.amount) AS DOUBLE) / CAST(greatest(o.amount, l.amount) AS DOUBLE) > 0.5, false) AND l.amount IS NOT NULL AS next FROM m JOIN {{party_flows}} o ON o.src = m.node AND o.dst = sends_to
+        LEFT JOIN {{party_flows}} n ON n.src = receives_from AND n.dst = m.node AND n.year = o.year LEFT JOIN {{party_flows}} l ON l.src = receives_from AND l.dst = m.node AND l.year = o.year + 1),
+    u AS (SELECT node, count(*) FILTER (WHERE same) AS sy, count(*) FILTER (WHERE next AND NOT same) AS ay, count(*) FILTER (WHERE (same OR next) AND hops >= 3) AS mh FROM t GROUP BY 1),
+    q AS (SELECT node, max(n) >= 2 AS persistent FROM (SELECT node, sends_to, receives_from, count(DISTINCT year) AS n FROM t WHERE same OR next GROUP BY 1, 2, 3) GROUP BY 1),
+    z AS (SELECT k.node, (partners > 0)::INT + (partners >= 2 OR triangles > 0)::INT + (years >= 2)::INT + (circular > 100000)::INT + (k.node IN (SELECT node FROM people))::INT AS circular_points,
+        coalesce(CASE WHEN s > 0 AND round(o / s * 100, 1) > 40 THEN 2 WHEN s > 0 AND round(o / s * 100, 1) > 25 THEN 1 ELSE 0 END + CASE WHEN r > 0 AND gi > r * 0.5 THEN 2 ELSE 0 END
+            + CASE WHEN gi > 50000 AND go > 0 AND least(gi, go) > greatest(gi, go) * 0.5 THEN 2 ELSE 0 END + CASE WHEN r > 100000 AND p < r * 0.2 THEN 2 ELSE 0 END
+            + CASE WHEN w > 0 AND p > 0 AND w > p THEN 2 ELSE 0 END + CASE WHEN p > 0 AND circular > p * 2 THEN 2 ELSE 0 END, 0) AS financial_points,
+        CASE WHEN sy >= 5 THEN 4 WHEN sy >= 3 THEN 3 WHEN sy >= 1 THEN 2 ELSE 0 END + CASE WHEN ay >= 5 THEN 4 WHEN ay >= 3 THEN 3 WHEN ay >= 1 THEN 2 ELSE 0 END
+            + CASE WHEN coalesce(persistent, false) THEN 2 ELSE 0 END + CASE WHEN mh >= 3 THEN 2 WHEN mh >= 1 THEN 1 ELSE 0 END AS temporal_points
+        FROM k JOIN c USING (node) JOIN u USING (node) LEFT JOIN q USING (node) LEFT JOIN fin USING (node))
+    SELECT node, CAST(circular_points AS BIGINT) AS circular_points, CAST(financial_points AS BIGINT) AS financial_points, CAST(temporal_points AS BIGINT) AS temporal_points,
+        CAST(least(30, circular_points + financial_points + temporal_points) AS BIGINT) AS score FROM z""")
+def loop_risk(spark, d):
+    """One score for each member of a loop, from its loops, its latest filing and the years in which money came back."""
+    members = G.participants(H.cycles_by_halves(view(spark, d, "party_edges"), 6))
+    f = view(spark, d, "filings")
+    latest = f.groupBy(F.col("filer").alias("node")).agg(F.max_by(F.struct(*f.columns), "filing").alias("f")).select("node", "f.*")
+    fields = latest.select("node", F.col("total").alias("revenue"), (F.col("program_spending") + F.col("compensation")).alias("spending"), F.col("program_spending").alias("program"), F.col("c").alias("overhead"), F.col("a").alias("gifts_in"), F.col("b").alias("gifts_out"), F.col("compensation").alias("pay"))
+    r = view(spark, d, "roles").select("org", "person").distinct()
+    shared = r.join(r.groupBy("person").count().where("count > 1").select("person"), "person").select(F.col("org").alias("node"))
+    return K.loop_risk(members, written(view(spark, d, "party_flows"), "flows"), fields, shared)
+
+
+@query("loop_labels", "O-191 O-137", f"""
+    WITH {_PARTY_MEMBERS}, n AS (SELECT c_custkey AS node, {_KIND_NAMES}[c_custkey % 5 + 1] || c_name AS name FROM customer),
+    g AS (SELECT path_key, string_agg(name, ' | ' ORDER BY i) AS names FROM m JOIN n USING (node) GROUP BY 1)
+    SELECT path_key, names, CASE WHEN regexp_matches(upper(names), '{N.DENOMINATIONS}') THEN 'likely_normal_denominational_network'
+        WHEN contains(upper(names), 'FOUNDATION') AND regexp_matches(upper(names), 'HOSPITAL|HEALTH') THEN 'likely_normal_foundation_operator'
+        WHEN regexp_matches(upper(names), 'UNITED WAY|YMCA|YWCA|FEDERATION|FEDERATED|COMMUNITY FOUNDATION') THEN 'likely_normal_federated_network' ELSE 'review' END AS interpretation FROM g""")
+def loop_labels(spark, d):
+    """What each loop most likely is, by the names on it."""
+    m = G.participants(H.cycles_by_halves(view(spark, d, "party_edges"), 6)).select("path_key", "position", "node")
+    kind = F.element_at(F.array(*map(F.lit, _KIND_NAMES)), (F.col("c_custkey") % 5 + 1).cast("int"))
+    names = view(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.concat(kind, "c_name").alias("name"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]), " | ")
+    return m.join(names, "node").groupBy("path_key").agg(listed.alias("names")).withColumn("interpretation", N.loop_label(F.col("names")))

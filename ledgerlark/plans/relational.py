@@ -356,7 +356,7 @@ def reload_check(spark, d):
     return C.reload_check(C.profile(s, ["s_suppkey"], ["s_acctbal"]), C.profile(s.where("s_suppkey % 10 <> 3"), ["s_suppkey"], ["s_acctbal"]))
 
 
-@query("upsert_merge", "O-020 O-023 O-019", """
+@query("upsert_merge", "O-020", """
     SELECT coalesce(e.s_suppkey, c.k) AS s_suppkey, coalesce(c.n, e.s_name) AS s_name, CAST(coalesce(c.b, e.s_acctbal) AS DOUBLE) AS s_acctbal
         FROM (SELECT * FROM supplier WHERE s_acctbal < 6000) e
         FULL JOIN (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN upper(s_name) END AS n, s_acctbal + 1 AS b FROM supplier
@@ -375,7 +375,7 @@ def delete_using(spark, d):
     return S.delete_using(S.keep_where_exists(view(spark, d, "customer").select("c_custkey"), o, ["c_custkey"]), o.where("o_orderpriority = '1-URGENT'"), ["c_custkey"])
 
 
-@query("reversal_pairs", "O-245 O-244", """
+@query("reversal_pairs", "O-244", """
     WITH x AS (SELECT vendor, amount, start_date, contract_number
         FROM {contracts}), k AS (SELECT vendor, amount, count(*) AS n, count(DISTINCT contract_number) AS contracts FROM x GROUP BY 1, 2
         HAVING count(*) > 1) SELECT vendor, CAST(amount AS DOUBLE) AS amount, n, contracts FROM k""")

@@ -65,7 +65,7 @@ def ratio_flags(spark, d):
     return R.ratio_flags(view(spark, d, "filings"), ["filing"], "program_spending", "total", "compensation", 2)
 
 
-@query("name_history", "O-238 O-102", """
+@query("name_history", "O-102", """
     SELECT recipient_type, recipient, CAST(min(year(start_date)) AS BIGINT) AS first_year, CAST(max(year(start_date)) AS BIGINT) AS last_year,
         count(*) AS rows FROM {agreements} GROUP BY 1, 2 HAVING max(year(start_date)) - min(year(start_date)) >= 3""")
 def name_history(spark, d):
@@ -81,7 +81,7 @@ def latest_names(spark, d):
     return L.latest_name(a, "k", "start_date", "line_id").select("k", "name")
 
 
-@query("number_mismatches", "O-237 O-126", """
+@query("number_mismatches", "O-126", """
     SELECT CASE WHEN bn IS NULL THEN 'no_number' WHEN regexp_matches(bn, '^[0-9]+RR0001$') THEN 'charity' WHEN regexp_matches(bn,
         '^[0-9]+$') THEN 'digits_only' ELSE 'other' END AS kind, count(*) AS n, count(DISTINCT province) AS provinces FROM {dirty_names} GROUP BY 1""")
 def number_mismatches(spark, d):

@@ -42,6 +42,9 @@ VIEWS = {
         SELECT o_custkey AS src, l_suppkey AS dst, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total_amt,
             min(year(o_orderdate)) AS min_year, max(year(o_orderdate)) AS max_year
         FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE l_extendedprice >= 97000 AND o_custkey <> l_suppkey GROUP BY o_custkey, l_suppkey""",
+    "party_flows": """
+        SELECT o_custkey AS src, l_suppkey AS dst, year(o_orderdate) AS year, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS amount
+        FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE l_extendedprice >= 97000 AND o_custkey <> l_suppkey GROUP BY o_custkey, l_suppkey, year(o_orderdate)""",
     # the two largest edges of each node and year (a parameter of these queries, as is the three of the next view)
     "year_edges": """
         SELECT src, dst, total_amt, year AS min_year, year AS max_year FROM (

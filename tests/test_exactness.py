@@ -18,7 +18,7 @@ from ledgerlark.sources import sinks as S
 
 def test_percentiles(spark):
     r = random.Random(1)
-    groups = {"a": [r.gauss(0, 1e6) for _ in range(3000)], "b": [r.choice([1.0, 2.0]) for _ in range(100)], "c": [5.0], "d": [10.0**k for k in range(-300, 300, 7)], None: [r.expovariate(1) for _ in range(50)], "e": [0.1, np.nextafter(0.1, 1), np.nextafter(0.1, 0), -1e308, 1e308]}
+    groups = {"a": [r.gauss(0, 1e6) for _ in range(3000)], "b": [r.choice([1.0, 2.0]) for _ in range(100)], "c": [5.0], "d": [10.0**k for k in range(-300, 300, 7)], None: [r.expovariate(1) for _ in range(50)], "e": [0.1, float(np.nextafter(0.1, 1)), float(np.nextafter(0.1, 0)), -1e308, 1e308], "f": [5e-324, 0.0, 1e-323]}
     rows = [(k, x) for k, xs in groups.items() for x in xs] + [("a", None), ("z", None), ("b", float("nan"))]
     got = {x.k: x for x in X.exact_percentiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", {"low": 0.01, "median": 0.5, "p99": 0.99, "top": 1.0}).collect()}
     assert set(got) == set(groups)
