@@ -339,3 +339,30 @@ def routed(texts: DataFrame, modules: DataFrame, id_col: str, text_col: str) ->
     asked = texts.select(F.col(id_col).alias("id"), words.alias("words")).select("id", F.explode("words").alias("word"))
     points = modules.select("module", F.explode("terms").alias("word"), F.lit(3).alias("p")).unionByName(modules.select("module", F.explode("title").alias("word"), F.lit(1).alias("p")))
     return asked.join(points, "word").groupBy("id", "module").agg(F.sum("p").alias("score"))
+
+
+def zombie_summary(rollup: DataFrame, as_of_year: int, quiet: int, gone: int) -> DataFrame:
+    """(recipient_key, total_value, years_since, signal, signals, score): the older score, with years in bands.
+
+    ``rollup``: as of ``recipient_rollup``. A for-profit recipient last seen
+    before ``gone`` comes before one that is quiet since ``quiet``, and that
+    before one that lives on one or two grants; the first names the row.
+    """
+    value, count, last = F.coalesce(F.col("total_value").cast("double"), F.lit(0.0)), F.coalesce("grant_count", F.lit(0)), F.coalesce("last_year", F.lit(0))
+    zombie = (last > 0) & (last < quiet) & (value >= 500_000)
+    dependent = (count > 0) & (count <= 2) & (value >= 1_000_000)
+    vanished = F.coalesce(F.col("recipient_type") == "F", F.lit(False)) & (last > 0) & (last < gone) & (value >= 1_000_000)
+    no_amendments = F.col("last_amendment_date").isNull() | (F.year("last_amendment_date") < quiet)
+    signals = F.array_compact(F.array(F.when(vanished, "disappeared_for_profit"), F.when(zombie, "zombie"), F.when(dependent, "high_dependency")))
+    since = F.greatest(F.lit(as_of_year) - last, F.lit(0))
+    r = rollup.select("recipient_key", "total_value", since.alias("years_since"), signals.alias("signals"), value.alias("v"), count.alias("n"), no_amendments.alias("quiet"), vanished.alias("gone"))
+    years = F.when(F.col("years_since") >= 8, 7).when(F.col("years_since") >= 5, 5).when(F.col("years_since") >= 3, 3).otherwise(1)
+    money = F.when(F.col("v") >= 50_000_000, 5).when(F.col("v") >= 10_000_000, 4).when(F.col("v") >= 1_000_000, 3).when(F.col("v") >= 500_000, 2).otherwise(1)
+    grants = F.when(F.col("n") <= 1, 3).when(F.col("n") <= 2, 2).when(F.col("n") <= 5, 1).otherwise(0)
+    score = V.total([years, money, grants, V.flag(F.col("quiet"), 2), V.flag(F.col("gone"), 3)])
+    return r.where(F.size("signals") > 0).select("recipient_key", "total_value", "years_since", F.element_at("signals", 1).alias("signal"), F.array_join("signals", ",").alias("signals"), score.alias("score"))
+
+
+def signal_counts(summary: DataFrame, high: int = 13) -> DataFrame:
+    """(signal, recipients, total_value, high): the counts beside the list."""
+    return summary.groupBy("signal").agg(F.count("*").alias("recipients"), F.sum("total_value").alias("total_value"), A.count_where(F.col("score") >= high).alias("high"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import names as N
+from ledgerlark.operators import finder as D
 from ledgerlark.operators import resolution as R
 from ledgerlark.sources.store import written
 
@@ -144,3 +145,39 @@ def golden_profiles(spark, d):
     """One record per entity: names, numbers, sources, addresses, entities that were candidates but are others, links by year, and what it took in."""
     e, _, kept = _merge(spark, d)
     return R.golden_profiles(e, kept, _candidates(spark, d, e), view(spark, d, "party_links"))
+
+
+_SIM = "CAST(len(list_intersect({a}, {b})) AS DOUBLE) / len(list_distinct(list_concat({a}, {b})))"
+
+
+@query("fuzzy_find", "O-142", f"""
+    WITH a AS MATERIALIZED (SELECT id, upper(trim(name)) AS t, {trigram_sql('upper(trim(name))')} AS g FROM {{party_entities}} WHERE id % 10 = 2),
+    k AS MATERIALIZED (SELECT min(id) AS kid, province AS source, min(name) AS matched_name, upper(trim(name)) AS t, {trigram_sql('upper(trim(name))')} AS g FROM {{party_entities}} WHERE id % 10 = 1 GROUP BY province, upper(trim(name)), g),
+    shared AS (SELECT x.id, y.kid, count(*) AS n FROM (SELECT id, unnest(g) AS g FROM a) x JOIN (SELECT kid, unnest(g) AS g FROM k) y USING (g) GROUP BY 1, 2),
+    alike AS (SELECT shared.id, source, matched_name, CAST(n AS DOUBLE) / (len(a.g) + len(k.g) - n) AS s FROM shared JOIN a USING (id) JOIN k USING (kid) WHERE a.t <> k.t),
+    h AS (SELECT a.id, source, matched_name, 1.0 AS confidence, 0 AS m FROM a JOIN k USING (t)
+        UNION ALL SELECT id, source, matched_name, round(s, 2), 1 FROM alike WHERE s >= 0.6
+        UNION ALL SELECT a.id, source, matched_name, round(1 - CAST(levenshtein(a.t, k.t) AS DOUBLE) / greatest(length(a.t), length(k.t)), 2), 2 FROM a JOIN k ON a.t <> k.t AND length(a.t) < 40 AND length(k.t) < 40
+            AND abs(length(a.t) - length(k.t)) <= 3 WHERE levenshtein(a.t, k.t) <= 3),
+    b AS (SELECT *, row_number() OVER (PARTITION BY id, source ORDER BY confidence DESC, m, matched_name) AS rn FROM h)
+    SELECT id, source, matched_name, CAST(confidence AS DOUBLE) AS confidence, ['exact', 'trigram', 'levenshtein'][m + 1] AS method FROM b WHERE rn = 1""")
+def fuzzy_find(spark, d):
+    """Second records looked up among the first ones of every province: equal, alike, or a few edits away."""
+    e = view(spark, d, "party_entities")
+    return D.best_per_source(e.where("id % 10 = 2").select("id", "name"), e.where("id % 10 = 1").select(F.col("province").alias("source"), "name"))
+
+
+@query("cited_names", "O-237 O-126", f"""
+    WITH c AS (SELECT number, name, count(*) AS citations, CAST(sum(amount) AS BIGINT) AS total FROM {{citations}} GROUP BY 1, 2),
+    r AS (SELECT CAST(120000000 + k AS VARCHAR) || 'RR0001' AS number, base AS legal_name FROM {{party_names}}),
+    n AS (SELECT c.*, r.legal_name AS canonical_name, {_norm_of('c.name')} AS a, {_norm_of('r.legal_name')} AS b FROM c LEFT JOIN r ON r.number = c.number),
+    s AS (SELECT *, CASE WHEN canonical_name IS NOT NULL THEN {_SIM.format(a=trigram_sql('a'), b=trigram_sql('b'))} END AS sim FROM n)
+    SELECT number, name, canonical_name, CASE WHEN starts_with(number, '000000000') THEN 'PLACEHOLDER_BN' WHEN NOT regexp_matches(number, '^[0-9]+RR[0-9][0-9][0-9][0-9]$') THEN 'MALFORMED_BN'
+        WHEN canonical_name IS NULL THEN 'UNREGISTERED_BN' WHEN sim >= 0.5 OR a = b THEN 'MINOR_VARIANT' ELSE 'NAME_MISMATCH' END AS category,
+        CASE WHEN regexp_matches(number, 'RC[0-9]') THEN '02_RC_payroll_program' END AS defect, round(sim, 3) AS similarity, citations, total FROM s""")
+def cited_names(spark, d):
+    """Cited numbers and names against the registry's."""
+    p = view(spark, d, "party_names")
+    registry = p.select(F.concat((F.col("k") + 120000000).cast("string"), F.lit("RR0001")).alias("number"), F.col("base").alias("legal_name"), F.lit(2001).alias("year"))
+    older = registry.withColumn("legal_name", F.concat(F.lit("old "), "legal_name")).withColumn("year", F.lit(1999))
+    return D.cited_names(view(spark, d, "citations"), registry.unionByName(older))

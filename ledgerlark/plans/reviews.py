@@ -30,7 +30,7 @@ def recipient_rollup(spark, d):
     return S.recipient_rollup(view(spark, d, "agreements")).withColumn("avg_value", F.round("avg_value", 8))
 
 
-@query("zombie_score", "O-183 O-184 O-260", f"""
+@query("zombie_score", "O-183", f"""
     WITH r AS (SELECT *, recipient_type = 'F' AND last_year < {GONE} AND total_value >= 1000000 AS gone FROM {{recipients}} WHERE total_value >= 500000)
     SELECT recipient_key, CAST(total_value AS DOUBLE) AS total_value, CAST(greatest(2001 - last_year, 0) + {_VALUE} + CASE
         WHEN grant_count <= 1 THEN 3 WHEN grant_count <= 2 THEN 2 WHEN grant_count <= 5 THEN 1 ELSE 0 END + CASE WHEN last_amendment_date IS NULL
@@ -227,7 +227,7 @@ def recipient_breadth(spark, d):
     return a.groupBy("recipient").agg(F.countDistinct("department").alias("departments"), F.countDistinct("program").alias("programs"), F.sum("amount").alias("total"), A.sum_where(F.col("sole_source"), F.col("amount")).alias("sole_total")).where("departments >= 3")
 
 
-@query("growth_decomposition", "O-208 O-264", """
+@query("growth_decomposition", "O-208", """
     WITH y AS (SELECT program, year(start_date) AS yr, count(*) AS n, CAST(sum(amount) AS DOUBLE) / count(*) AS p FROM {agreements} GROUP BY 1, 2)
     SELECT b.program, CAST(b.yr AS BIGINT) AS yr, round((b.n - a.n) * a.p, 2) AS volume_effect, round(a.n * (b.p - a.p), 2) AS value_effect,
         round((b.n - a.n) * (b.p - a.p), 2) AS interaction_effect FROM y a JOIN y b ON a.program = b.program AND b.yr = a.yr + 1""")
@@ -337,3 +337,43 @@ def overhead(spark, d):
     f = view(spark, d, "filings")
     g = f.groupBy("year").agg(F.count("*").alias("filings"), F.sum("total").alias("total"), F.sum("compensation").alias("c"), F.sum(F.col("program_spending") + F.col("compensation")).alias("s"), A.count_where(F.col("total") > 400000).alias("outliers"))
     return g.select("year", "filings", "total", F.round(V.ratio(F.col("c"), F.col("s")), 6).alias("overhead"), "outliers")
+
+
+_SUMMARY = f"""s AS (SELECT recipient_key, CAST(total_value AS DOUBLE) AS total_value, greatest(2001 - last_year, 0) AS since, grant_count, last_amendment_date IS NULL OR year(last_amendment_date) < {QUIET} AS quiet,
+        recipient_type = 'F' AND last_year < {GONE} AND total_value >= 1000000 AS gone, last_year < {QUIET} AND total_value >= 500000 AS zombie, grant_count BETWEEN 1 AND 2 AND total_value >= 1000000 AS dep FROM {{recipients}}),
+    z AS (SELECT recipient_key, total_value, CAST(since AS BIGINT) AS years_since, CASE WHEN gone THEN 'disappeared_for_profit' WHEN zombie THEN 'zombie' ELSE 'high_dependency' END AS signal,
+        concat_ws(',', CASE WHEN gone THEN 'disappeared_for_profit' END, CASE WHEN zombie THEN 'zombie' END, CASE WHEN dep THEN 'high_dependency' END) AS signals,
+        CAST(CASE WHEN since >= 8 THEN 7 WHEN since >= 5 THEN 5 WHEN since >= 3 THEN 3 ELSE 1 END + {_VALUE} + CASE WHEN grant_count <= 1 THEN 3 WHEN grant_count <= 2 THEN 2 WHEN grant_count <= 5 THEN 1 ELSE 0 END
+            + CASE WHEN quiet THEN 2 ELSE 0 END + CASE WHEN gone THEN 3 ELSE 0 END AS BIGINT) AS score FROM s WHERE gone OR zombie OR dep)"""
+
+
+@query("zombie_summary", "O-260", f"WITH {_SUMMARY} SELECT * FROM z")
+def zombie_summary(spark, d):
+    return S.zombie_summary(S.recipient_rollup(view(spark, d, "agreements")), 2001, QUIET, GONE)
+
+
+@query("zombie_counts", "O-184", f"WITH {_SUMMARY} SELECT signal, count(*) AS recipients, round(sum(total_value), 2) AS total_value, count(*) FILTER (WHERE score >= 10) AS high FROM z GROUP BY 1")
+def zombie_counts(spark, d):
+    c = S.signal_counts(S.zombie_summary(S.recipient_rollup(view(spark, d, "agreements")), 2001, QUIET, GONE), 10)
+    return c.withColumn("total_value", F.round(F.col("total_value").cast("double"), 2))
+
+
+@query("growth_priority", "O-264", """
+    WITH y AS (SELECT department, year(start_date) AS yr, CAST(sum(amount) AS DOUBLE) AS t, CAST(coalesce(sum(amount) FILTER (WHERE is_amendment), 0) AS DOUBLE) AS a FROM {agreements} GROUP BY 1, 2),
+    v AS (SELECT department, year(start_date) AS yr, vendor, CAST(sum(amount) AS DOUBLE) AS x FROM {agreements} GROUP BY 1, 2, 3),
+    h AS (SELECT department, yr, sum(pow(x / t, 2)) AS hhi FROM v JOIN y USING (department, yr) GROUP BY 1, 2)
+    SELECT b.department, CAST(b.yr AS BIGINT) AS yr, round(b.t - p.t, 2) AS change, round(hhi, 6) AS hhi, round(b.a / b.t, 6) AS amendment_share,
+        CAST(round(least(50.0, abs(b.t - p.t) / 10000000) + least(35.0, hhi * 35) + least(15.0, b.a / b.t * 15)) AS BIGINT) AS score
+    FROM y b JOIN y p ON p.department = b.department AND p.yr = b.yr - 1 JOIN h ON h.department = b.department AND h.yr = b.yr""")
+def growth_priority(spark, d):
+    """Departments and years by change of spending, concentration on vendors and share of amendments."""
+    from ledgerlark.sources.store import written
+
+    v = view(spark, d, "agreements").groupBy("department", F.year("start_date").alias("yr"), "vendor").agg(F.sum("amount").alias("x"), F.sum(F.when(F.col("is_amendment"), F.col("amount"))).alias("a"))
+    v = written(v, "vendors")
+    y = v.groupBy("department", "yr").agg(F.sum("x").cast("double").alias("t"), F.coalesce(F.sum("a"), F.lit(0)).cast("double").alias("a"))
+    h = v.join(y.select("department", "yr", "t"), ["department", "yr"]).groupBy("department", "yr").agg(F.sum(F.pow(F.col("x").cast("double") / F.col("t"), 2)).alias("hhi"))
+    before = y.select("department", (F.col("yr") + 1).alias("yr"), F.col("t").alias("t0"))
+    j = y.join(before, ["department", "yr"]).join(h, ["department", "yr"])
+    change, share = F.col("t") - F.col("t0"), V.ratio(F.col("a"), F.col("t"))
+    return j.select("department", "yr", F.round(change, 2).alias("change"), F.round("hhi", 6).alias("hhi"), F.round(share, 6).alias("amendment_share"), S.growth_priority(change, F.col("hhi"), share).alias("score"))

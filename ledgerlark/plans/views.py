@@ -111,6 +111,12 @@ VIEWS = {
     "party_predictions": "SELECT k * 10 + 1 AS id_a, k * 10 + 2 AS id_b, CAST(CAST(k * 31 % 100 AS DECIMAL(9,2)) / 100 AS DOUBLE) AS probability FROM {party_names} WHERE k % 4 = 1",
     # source rows that point at an entity
     "party_links": "SELECT o_orderkey AS link_id, o_custkey * 10 + 1 + o_orderkey % 2 AS entity_id, year(o_orderdate) AS year, CAST(o_totalprice AS DECIMAL(18,2)) AS amount FROM {orders} JOIN {customer} ON c_custkey = o_custkey",
+    # gifts that cite a number and a name: placeholders, malformed and unknown numbers, names that fit and that do not
+    "citations": """
+        SELECT CASE WHEN k % 7 = 0 THEN '000000000RR0001' WHEN k % 7 = 1 THEN concat(CAST(120000000 + k AS STRING), 'RC2') WHEN k % 7 = 2 THEN concat(CAST(520000000 + k AS STRING), 'RR0001')
+                ELSE concat(CAST(120000000 + k AS STRING), 'RR0001') END AS number,
+            CASE WHEN k % 7 = 3 THEN other WHEN k % 7 = 4 THEN concat(substr(base, 1, 4), 'w', substr(base, 6)) ELSE concat('The ', base) END AS name, k * 10 AS amount
+        FROM {party_names}""",
     # names of source rows to be resolved: exact, after a bar, behind a trade name, by number, with a number that nobody has, unknown
     "party_pending": """
         SELECT k * 10 + j AS id, CASE j WHEN 0 THEN upper(base) WHEN 1 THEN concat(other, ' | ', base) WHEN 2 THEN concat('Old ', other, ' trade name of ', base)
