@@ -35,19 +35,16 @@ def remaining_as_entities(pending: DataFrame, matched: DataFrame, name_key: Colu
 
 
 def duplicate_survivors(entities: DataFrame, key: str, valid_bn: str | None = None, order: Sequence[Column] = (), id_col: str = "entity_id") -> DataFrame:
-    """(absorbed, survivor) of entities with equal keys; with ``valid_bn`` only where a key has at most one number."""
+    """(absorbed, survivor) of entities with equal keys; with ``valid_bn`` only where a key has at most one number.
+
+    The survivor is the least by ``order`` and then by id, found by an aggregate: a key of any size is no task of its own.
+    """
     rows = entities.where(F.col(key).isNotNull() & (F.col(key) != ""))
     if valid_bn:
         safe = rows.groupBy(key).agg(F.countDistinct(valid_bn).alias("n")).where("n <= 1").select(key)
         rows = rows.join(safe, key, "left_semi")
-    best = F.first(id_col).over(Window.partitionBy(key).orderBy(*order, F.col(id_col)))
-    return rows.select(F.col(id_col).alias("absorbed"), best.alias("survivor")).where("absorbed <> survivor")
-
-
-def survivor_of_pair(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Which of two entities stays: one with a number, then a charity, then the one with more links, then the first."""
-    rank = lambda e: F.struct(e["has_bn"].cast("int"), e["is_charity"].cast("int"), e["links"])
-    return F.when(rank(a) >= rank(b), a["id"]).otherwise(b["id"])
+    best = rows.groupBy(key).agg(F.min_by(id_col, F.struct(*order, F.col(id_col))).alias("survivor"))
+    return rows.join(best, key).select(F.col(id_col).alias("absorbed"), "survivor").where("absorbed <> survivor")
 
 
 def merge_clusters(pairs: DataFrame) -> DataFrame:

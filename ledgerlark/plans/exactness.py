@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import names as N
+from ledgerlark.functions import values as V
 from ledgerlark.operators import checksums as C
 from ledgerlark.operators import exact as X
 from ledgerlark.operators import history as H
@@ -83,3 +84,24 @@ def gated_load(spark, d):
     new, _ = S.load_new(good, o.where("o_orderstatus = 'F'"), ["o_orderkey"], F.lit(True))
     told = spark.createDataFrame(list(counts.items()), "measure string, n long")
     return told.unionByName(bad.agg(F.lit("quarantined").alias("measure"), F.count("*").alias("n"))).unionByName(new.agg(F.lit("loaded").alias("measure"), F.count("*").alias("n")))
+
+
+@query("enriched_suppliers", "O-023", """
+    WITH u AS (SELECT l_suppkey AS k, max(l_extendedprice) AS top, CASE WHEN count(*) FILTER (WHERE l_returnflag = 'R') > 5 THEN 'returns' END AS note FROM lineitem GROUP BY 1)
+    SELECT s_suppkey, coalesce(note, s_name) AS s_name, CAST(coalesce(top, s_acctbal) AS DOUBLE) AS s_acctbal FROM supplier LEFT JOIN u ON k = s_suppkey AND s_suppkey % 3 <> 0""")
+def enriched_suppliers(spark, d):
+    """Suppliers with values from their lines where there are any; those without lines keep their own."""
+    li = view(spark, d, "lineitem").where("l_suppkey % 3 <> 0")
+    u = li.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.max("l_extendedprice").alias("s_acctbal"), F.when(F.count_if(F.col("l_returnflag") == "R") > 5, "returns").alias("s_name"))
+    return S.enrich(view(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), u, ["s_suppkey"], ["s_name", "s_acctbal"])
+
+
+@query("department_report", "O-027 O-139", """
+    WITH g AS (SELECT department, count(*) AS n, sum(amount) AS t FROM {agreements} GROUP BY 1)
+    SELECT '| department | agreements | total |' || chr(10) || '| --- | --- | --- |' || chr(10) ||
+        string_agg('| ' || department || ' | ' || n || ' | $' || format('{{:,}}', CAST(round(t) AS BIGINT)) || ' |', chr(10) ORDER BY t DESC, department) AS report FROM g""".replace("{{:,}}", "{:,}"))
+def department_report(spark, d):
+    """A Markdown table of departments with amounts written out: a report of a few rows, as its readers want it."""
+    g = view(spark, d, "agreements").groupBy("department").agg(F.count("*").alias("agreements"), F.sum("amount").alias("t"))
+    text = S.markdown(g.select("department", "agreements", V.money(F.round("t").cast("long")).alias("total"), "t"), [F.desc("t"), "department"], drop=["t"])
+    return spark.createDataFrame([(text,)], "report string")

@@ -234,7 +234,7 @@ def shares_of_total(spark, d):
 def survivor_first_value(spark, d):
     from ledgerlark.operators.entity import duplicate_survivors
 
-    return duplicate_survivors(view(spark, d, "supplier").withColumn("k", F.col("s_nationkey").cast("string")), "k", order=[F.col("s_acctbal").desc()], id_col="s_suppkey")
+    return duplicate_survivors(view(spark, d, "supplier").withColumn("k", F.col("s_nationkey").cast("string")), "k", order=[-F.col("s_acctbal")], id_col="s_suppkey")
 
 
 CURRENT = "ROW_NUMBER() OVER (PARTITION BY ref_number, coalesce(bn, recipient, line_id) ORDER BY CAST(regexp_replace(amendment_number, '[^0-9]', '', 'g') AS INTEGER) DESC NULLS LAST, amendment_date DESC NULLS LAST, line_id DESC)"

@@ -52,8 +52,3 @@ def typed(rows: DataFrame, dataset: str, headers: dict[str, str] | None = None)
     """Text columns of a file as the typed columns of a dataset; ``headers`` names those that the file calls otherwise."""
     wanted: dict[str, tuple[str, object]] = {c: ((headers or {}).get(c, c), CLEANERS[kind]) for c, kind in columns_of(dataset).items()}
     return crosswalk(rows, wanted)  # type: ignore[arg-type]
-
-
-def key_present(dataset: str) -> Column:
-    """Whether a typed row has its key."""
-    return F.col(next(iter(columns_of(dataset)))).isNotNull()

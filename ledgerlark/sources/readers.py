@@ -219,13 +219,6 @@ def json_items(bodies: DataFrame, body: str, items: str, item: str) -> DataFrame
     return bodies.select(*(c for c in bodies.columns if c != body), F.explode(read).alias("item")).select(*(c for c in bodies.columns if c != body), "item.*")
 
 
-def require_tables(spark: SparkSession, names: Sequence[str]) -> None:
-    """A source that is missing must not look like an empty one."""
-    missing = [n for n in names if not spark.catalog.tableExists(n)]
-    if missing:
-        raise LookupError(f"tables not there: {missing}")
-
-
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, row_count), counted in one job."""
     found = None

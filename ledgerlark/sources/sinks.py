@@ -86,10 +86,10 @@ def export(rows: DataFrame, path: str, form: str = "parquet", order: Sequence[st
     {"parquet": w.parquet, "json": w.json, "csv": lambda p: w.option("header", True).option("escape", '"').csv(p)}[form](path)
 
 
-def markdown(rows: DataFrame, order: Sequence[str | Column], n: int = 50) -> str:
-    """The first ``n`` rows as a Markdown table."""
-    cols = rows.columns
-    lines = [[str(v) if v is not None else "" for v in r] for r in rows.orderBy(*order).limit(n).collect()]
+def markdown(rows: DataFrame, order: Sequence[str | Column], n: int = 50, drop: Sequence[str] = ()) -> str:
+    """The first ``n`` rows as a Markdown table, without the columns that only order it."""
+    cols = [c for c in rows.columns if c not in drop]
+    lines = [[str(r[c]) if r[c] is not None else "" for c in cols] for r in rows.orderBy(*order).limit(n).collect()]
     return "\n".join("| " + " | ".join(x) + " |" for x in [cols, ["---"] * len(cols), *lines])
 
 
