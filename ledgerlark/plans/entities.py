@@ -23,14 +23,14 @@ def _part_names(spark, d):
     return view(spark, d, "part").groupBy(F.concat_ws(" ", "p_name", "p_brand").alias("name")).agg(F.min("p_partkey").alias("id"))
 
 
-@query("trigram_join", "O-141 O-133 O-142", f"""
+@query("trigram_join", "O-141 O-133", f"""
     WITH p AS (SELECT id, {trigram_sql('name')} AS g FROM ({_PARTS}) x) SELECT a.id AS id_a, b.id AS id_b,
         {_SIM.format(a='a.g', b='b.g')} AS similarity FROM p a JOIN p b ON a.id < b.id WHERE {_SIM.format(a='a.g', b='b.g')} >= 0.8""")
 def trigram_join(spark, d):
     return M.trigram_join(_part_names(spark, d), 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("levenshtein_match", "O-133 O-134 O-142", """
+@query("levenshtein_match", "O-133 O-134", """
     WITH p AS (SELECT p_partkey AS id, p_brand AS k, p_name AS t
         FROM part), j AS (SELECT a.id AS id_a, b.id AS id_b, levenshtein(a.t, b.t) AS distance, greatest(length(a.t), length(b.t), 1) AS n FROM p a
         JOIN p b ON a.k = b.k AND a.id < b.id WHERE abs(length(a.t) - length(b.t)) <= 2 AND levenshtein(a.t, b.t) <= 2) SELECT id_a, id_b, distance,
@@ -117,7 +117,7 @@ def candidate_tiers(spark, d):
     return E.best_candidates(tier(["k", "b"], "norm", 1.0), tier(["b"], "trade", 0.9))
 
 
-@query("resolver_gate", "O-143 O-130", f"""
+@query("resolver_gate", "O-130", f"""
     WITH r AS (SELECT id, name, {trigram_sql('name')} AS g, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'),
         lambda w: w <> '')) AS w, bn FROM {{dirty_names}}), p AS (SELECT a.id AS id_a, b.id AS id_b, CAST(len(list_intersect(a.g,
         b.g)) AS DOUBLE) / len(list_distinct(list_concat(a.g, b.g))) AS s, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / least(len(a.w),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import names as N
 from ledgerlark.operators import finder as D
 from ledgerlark.operators import resolution as R
+from ledgerlark.operators import similarity as M
 from ledgerlark.sources.store import written
 
 from .names import _NORM, trigram_sql
@@ -181,3 +182,23 @@ def cited_names(spark, d):
     registry = p.select(F.concat((F.col("k") + 120000000).cast("string"), F.lit("RR0001")).alias("number"), F.col("base").alias("legal_name"), F.lit(2001).alias("year"))
     older = registry.withColumn("legal_name", F.concat(F.lit("old "), "legal_name")).withColumn("year", F.lit(1999))
     return D.cited_names(view(spark, d, "citations"), registry.unionByName(older))
+
+
+_STOPS = ", ".join(f"'{w}'" for w in N.STOP_TOKENS)
+_CORE = r"list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(upper(trim({x})), '[.,;:''\"()\-/\\#&!@]+', ' ', 'g'), '\s+', ' ', 'g')), '\bTRADE\s+NAME\s+OF\b.*$', ''), '\|.*$', '')), '\s+'), lambda w: length(w) > 1 AND w NOT IN (" + _STOPS + ")))"
+_MEETS = "len(list_filter(a.q, lambda x: len(list_filter(b.q, lambda y: y = x OR y = x || 'S' OR x = y || 'S' OR (starts_with(y, x) AND length(x) >= 5) OR (starts_with(x, y) AND length(y) >= 5))) > 0))"
+
+
+@query("resolver_matches", "O-143 O-130", f"""
+    WITH {_CANDIDATES}, t AS MATERIALIZED (SELECT id, bn, {_CORE.replace('{x}', 'name')} AS q, {trigram_sql('norm')} AS g FROM ent),
+    p AS (SELECT id_a, id_b, {_SIM.format(a='a.g', b='b.g')} AS s, CASE WHEN len(a.q) = 0 OR len(b.q) = 0 THEN 0 ELSE CAST({_MEETS} AS DOUBLE) / len(a.q) END AS o, a.bn AS x, b.bn AS y
+        FROM cand JOIN t a ON a.id = id_a JOIN t b ON b.id = id_b)
+    SELECT id_a, id_b, round(CASE WHEN x = y THEN least(0.6 * s + 0.4 * o + 0.15, 0.98) ELSE 0.6 * s + 0.4 * o END, 6) AS confidence FROM p WHERE o >= 0.7 AND s >= 0.3 AND coalesce(x = y, true)""")
+def resolver_matches(spark, d):
+    """Candidates that pass the gates on shared words and trigrams, more sure where their numbers agree."""
+    e = _entities(spark, d)
+    told = e.select("id", "bn", "norm", N.core_tokens(F.col("name")).alias("q"))
+    side = lambda s: told.select(*(F.col(c).alias(f"{c}_{s}") for c in told.columns))
+    j = _candidates(spark, d, e).select("id_a", "id_b").join(side("a"), "id_a").join(side("b"), "id_b")
+    score = M.resolver_confidence(N.trigram_similarity(F.col("norm_a"), F.col("norm_b")), N.token_overlap(F.col("q_a"), F.col("q_b")), F.col("bn_a"), F.col("bn_b"))
+    return j.select("id_a", "id_b", F.round(score, 6).alias("confidence")).where("confidence is not null")
