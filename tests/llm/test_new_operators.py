@@ -298,3 +298,27 @@ def test_dual_of_a_steep_source(spark):
 
     taken = sum(s * min(2, math.exp(min(700, r.lam * s / r.mean))) for s in [1] * 50 + [1_000_000])
     assert taken == pytest.approx(60, rel=1e-3)
+
+
+def test_labels_beyond_one_model_are_learned_and_told(spark):
+    from ledgerlark.llm import language_id
+
+    r = random.Random(12)
+    words = {f"l{k:02d}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(25)] for k in range(11)}
+    rows = [(i, " ".join(r.choices(words[lang], k=40)), lang) for i, lang in enumerate(sorted(words) * 12)] + [(9000, None, "l00"), (9001, "123", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("likelihood", F.lit(1))
+    got = {x.doc_id: x for x in language_id.identify(docs, languages=4).collect()}
+    told = [got[i].lang_pred == lang for i, _, lang in rows[:-2]]
+    assert len(got) == len(rows) and sum(told) >= 0.98 * len(told) and {got[9000].lang_pred, got[9001].lang_pred} == {"und"}
+    out = language_id.annotate(docs, language_id.train(docs, languages=3))
+    assert set(out.columns) == {"doc_id", "text", "lang", "likelihood", "lang_pred", "score", "languages"} and out.select("likelihood").distinct().count() == 1
+
+
+def test_a_model_for_each_of_300_labels(spark):
+    from ledgerlark.llm import language_id
+
+    r = random.Random(13)
+    words = {f"l{k:03d}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)] for k in range(300)}
+    rows = [(i, " ".join(r.choices(words[lang], k=30)), lang) for i, lang in enumerate(sorted(words) * 3)]
+    got = {x.doc_id: x.lang_pred for x in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2), language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2))).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.98 * len(rows) and len(set(got.values())) > 290
