@@ -41,3 +41,18 @@ def test_keys_are_not_broadcast(spark):
     texts = spark.createDataFrame([(1, "k", "abc"), (2, "k", "abd")], "id long, k string, t string")
     plan = _plan(M._short_texts_met(texts, ["k"], 1))
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_blocks_are_dealt_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(M, "PIECE", 3)
+    rows = spark.range(10).select("id", F.lit("k").alias("k")).unionByName(spark.range(20, 22).select("id", F.lit("j").alias("k")))
+    pairs = M.blocked_pairs(rows, [["k"]], [])
+    assert "piece" in _plan(pairs) and sorted(map(tuple, pairs.collect())) == sorted([(i, j) for i in range(10) for j in range(i + 1, 10)] + [(20, 21)])
+
+
+def test_blocked_similarity_with_copies_and_nulls(spark):
+    rows = [(1, "x", "oak"), (2, "x", "oak"), (3, "x", "oaks"), (4, "x", None), (5, "x", ""), (6, "x", ""), (7, "y", "oak"), (8, "x", "oaks")]
+    got = {(r.id_a, r.id_b): r.similarity for r in M.jaro_winkler_blocked(spark.createDataFrame(rows, "id long, k string, name string"), ["k"]).collect()}
+    pairs = [(a, b) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1]]
+    want = {(a[0], b[0]): None if None in (a[2], b[2]) else float(M.jaro_winkler_values([a[2]], [b[2]])[0]) for a, b in pairs}
+    assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-9 for k in want)
