@@ -19,8 +19,8 @@ def best_per_source(asked: DataFrame, known: DataFrame, least: float = 0.6, edit
     case and trimmed: equal ones at 1, else by shared trigrams, and for names
     under ``longest`` letters also by edits, 1 - edits / longest name. The most
     confident counts; ties go to the earlier way, then to the smaller name.
-    Equal names are one text while they are compared. Null and empty names
-    match nothing.
+    Equal names are one text while they are compared, and asked names meet
+    known ones alone, not each other. Null and empty names match nothing.
     """
     plain = lambda c: F.upper(F.trim(c))
     a = written(asked.select("id", plain(F.col("name")).alias("t")).where("t <> ''"), "asked")
@@ -34,10 +34,10 @@ def best_per_source(asked: DataFrame, known: DataFrame, least: float = 0.6, edit
         one = lambda x, y: j.where(f"asked_{x} and known_{y}").select(F.col(f"t_{x}").alias("t"), F.col(f"t_{y}").alias("to"), F.lit(method).alias("method"), F.round(confidence, 2).alias("confidence"))
         return one("a", "b").unionByName(one("b", "a"))
 
-    rows = texts.select("id", F.col("t").alias("name"))
+    rows, between = texts.select("id", F.col("t").alias("name"), "asked", "known"), ("asked", "known")
     found = texts.where("asked and known").select("t", F.col("t").alias("to"), F.lit(EXACT).alias("method"), F.lit(1.0).alias("confidence"))
-    found = found.unionByName(named(M.trigram_join(rows, least), TRIGRAM, "similarity"))
-    near = M.levenshtein_match(rows.where(F.length("name") < longest), [], edits, longest)
+    found = found.unionByName(named(M.trigram_join(rows, least, between=between), TRIGRAM, "similarity"))
+    near = M.levenshtein_match(rows.where(F.length("name") < longest), [], edits, longest, between=between)
     found = found.unionByName(named(near, EDITS, "confidence").where(F.col("confidence") >= least))
     order = F.when(F.col("method") == EXACT, 0).when(F.col("method") == TRIGRAM, 1).otherwise(2)
     hit = found.join(k.withColumnRenamed("t", "to"), "to").groupBy("t", "source").agg(F.min_by(F.struct("matched_name", "confidence", "method"), F.struct(-F.col("confidence"), order, F.col("matched_name"))).alias("b"))

@@ -1,6 +1,9 @@
 """Names looked up in several sources, and cited names against the registry."""
 
+import pytest
+
 from ledgerlark.operators import finder as D
+from ledgerlark.operators import similarity as M
 
 
 def test_best_per_source(spark):
@@ -22,3 +25,23 @@ def test_cited_names(spark):
     }
     fits = got["120000001RR0001", "The Oak Trust"]
     assert (fits.citations, fits.total, fits.similarity, fits.canonical_name) == (2, 2, 1.0, "Oak Trust") and got["120000001RC1", "Oak"].defect == "02_RC_payroll_program"
+
+
+def test_asked_names_do_not_meet_each_other(spark, monkeypatch):
+    seen, across = [], D.M._across
+    monkeypatch.setattr(D.M, "_across", lambda s, r, meet: seen.append(across(s, r, meet)) or seen[-1])
+    asked = spark.createDataFrame([(i, f"a{i:03} group") for i in range(200)] + [(900, "oak trust of the elms")], "id long, name string")
+    known = spark.createDataFrame([("p", "oak trust of the elm"), ("p", "ash")], "source string, name string")
+    got = D.best_per_source(asked, known).collect()
+    assert [(r.id, r.matched_name, r.method) for r in got] == [(900, "oak trust of the elm", "levenshtein")]
+    assert len(seen) == 3 and sum(x.count() for x in seen) < 10  # 200 names with one last word were 19,900 pairs to compare
+
+
+@pytest.mark.parametrize("join", ["trigram_join", "levenshtein_match"])
+def test_between_keeps_the_pairs_of_both_sides(spark, join):
+    words = [f"{a}{b} {c} trust" for a in ("oak", "elm", "asher") for b in ("s", "", "es") for c in ("of", "off", "north")] + ["ab", "abc", "abd", "oak", "oaks"]
+    rows = spark.createDataFrame([(i, w, i % 2 == 0, i % 3 != 0) for i, w in enumerate(words)], "id long, name string, x boolean, y boolean")
+    run = lambda **k: {(r.id_a, r.id_b) for r in (M.trigram_join(rows, 0.5, **k) if join == "trigram_join" else M.levenshtein_match(rows, [], 2, **k)).collect()}
+    both = lambda i, j: (i % 2 == 0 and j % 3 != 0) or (j % 2 == 0 and i % 3 != 0)
+    want = {p for p in run() if both(*p)}
+    assert len(want) > 20 and run(between=("x", "y")) == want
