@@ -18,3 +18,15 @@ def test_lines_of_wide_views_are_dealt_by_their_number(spark, monkeypatch):
     for name in ("agreements", "contracts"):
         each = [r["count"] for r in view(spark, "/root/testdata/sf0.001", name).groupBy(F.spark_partition_id().alias("p")).count().collect()]
         assert len(each) >= 10 and max(each) < 1500  # 6,000 lines; by the four partitions of the session a task had 1,500 and more
+
+
+def test_queue_deals_the_cases_of_one_module(spark, monkeypatch, capsys):
+    rows = [("m", f"c{i:04}", f"e{i % 7}", i % 101) for i in range(1000)] + [("n", "x", "e1", 5)]
+    cases = spark.createDataFrame(rows, "module string, case_id string, entity string, score long")
+    monkeypatch.setattr(store, "TASK_ROWS", 50)
+    q = S.action_queue(cases, 40)
+    q.explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+    got = {(r.module, r.case_id): (r.turn, r.signals) for r in q.collect()}
+    best = sorted((r for r in rows if r[0] == "m"), key=lambda r: (-r[3], r[1]))[:40]
+    assert got == {("m", r[1]): (k, 2 if r[2] == "e1" else 1) for k, r in enumerate(best, 1)} | {("n", "x"): (1, 2)}
