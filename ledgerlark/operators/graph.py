@@ -339,24 +339,32 @@ def shared_people(roles: DataFrame, least: int = 2, org: str = "org", person: st
     Roles are first one row per person and organisation. Organisations that
     share that many people also share one besides the ``least`` - 1 most
     widespread of each, in one order of all people; only through the others do
-    they meet, so someone who sits everywhere does not list all pairs. The
-    people of the pairs that met are then counted. Nulls are shared by nobody.
+    they meet, so someone who sits everywhere does not list all pairs, and are
+    counted as they meet. To a pair that met, the people left out of the one
+    are added if they sit in the other, at most twice ``least`` - 1 of them, so
+    nobody else is looked up again. Nulls are shared by nobody.
     """
     r = roles.dropna(subset=[org, person]).groupBy(F.col(org).alias("org"), F.col(person).alias("person")).agg(F.min(year).alias("y0"), F.max(year).alias("y1"))
     r = written(r, "roles")
     meeting = r.join(r.groupBy("person").agg(F.count("*").alias("seats")).where("seats > 1"), "person")
     if least > 1:
         widest = Window.partitionBy("org").orderBy(F.desc("seats"), F.desc("person"))
-        left_out = meeting.withColumn("place", F.row_number().over(widest)).where(F.col("place") < least).select("org", "person")
-        keyed = meeting.join(left_out, ["org", "person"], "left_anti")
+        meeting = written(meeting.withColumn("left_out", F.row_number().over(widest) < least), "meeting")
     else:
-        keyed = meeting
-    met = keyed.select(F.col("org").alias("org_a"), "person").join(keyed.select(F.col("org").alias("org_b"), "person"), "person").where("org_a < org_b").select("org_a", "org_b").distinct()
-    a = meeting.select(F.col("org").alias("org_a"), "person", F.col("y0").alias("a0"), F.col("y1").alias("a1"))
-    b = meeting.select(F.col("org").alias("org_b"), "person", F.col("y0").alias("b0"), F.col("y1").alias("b1"))
-    first, last = F.min(F.greatest("a0", "b0")), F.max(F.least("a1", "b1"))
-    pairs = met.join(a, "org_a").join(b, ["org_b", "person"]).groupBy("org_a", "org_b")
-    return pairs.agg(F.count("*").alias("shared_people"), first.alias("overlap_first_year"), last.alias("overlap_last_year")).where(F.col("shared_people") >= least)
+        meeting = meeting.withColumn("left_out", F.lit(False))
+    keyed, left_out = meeting.where("not left_out"), meeting.where("left_out")
+    side = lambda rows, s: rows.select(F.col("org").alias(f"org_{s}"), "person", F.col("y0").alias(f"{s}0"), F.col("y1").alias(f"{s}1"))
+    told = [F.count("*").alias("n"), F.min(F.greatest("a0", "b0")).alias("first"), F.max(F.least("a1", "b1")).alias("last")]
+    counted = side(keyed, "a").join(side(keyed, "b"), "person").where("org_a < org_b").groupBy("org_a", "org_b").agg(*told)
+    if least > 1:
+        counted = written(counted, "met")
+        met, rest = counted.select("org_a", "org_b"), [(side(left_out, "a"), side(meeting, "b")), (side(left_out, "b"), side(keyed, "a"))]
+        for few, other in rest:
+            one, two = few.columns[0], other.columns[0]
+            more = met.join(few, one).join(other, [two, "person"]).groupBy("org_a", "org_b").agg(*told)
+            counted = counted.unionByName(more)
+        counted = counted.groupBy("org_a", "org_b").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return counted.select("org_a", "org_b", F.col("n").alias("shared_people"), F.col("first").alias("overlap_first_year"), F.col("last").alias("overlap_last_year")).where(F.col("shared_people") >= least)
 
 
 def seeded_cycles(edges: DataFrame, node, k: int, window: int | None = None) -> DataFrame:

@@ -30,3 +30,25 @@ def test_queue_deals_the_cases_of_one_module(spark, monkeypatch, capsys):
     got = {(r.module, r.case_id): (r.turn, r.signals) for r in q.collect()}
     best = sorted((r for r in rows if r[0] == "m"), key=lambda r: (-r[3], r[1]))[:40]
     assert got == {("m", r[1]): (k, 2 if r[2] == "e1" else 1) for k, r in enumerate(best, 1)} | {("n", "x"): (1, 2)}
+
+
+def test_shared_people_looks_nobody_up_again(spark, monkeypatch):
+    r = random.Random(5)
+    rows = sorted({(o, p, r.randint(1990, 2000)) for o in range(40) for p in [0, 1, *r.sample(range(2, 60), 6)]})
+    seen, keep = {}, G.written
+    monkeypatch.setattr(G, "written", lambda df, label: seen.setdefault(label, keep(df, label)))
+    df = spark.createDataFrame([*rows, (None, 1, 1990), (3, None, 1990)], "org int, person int, year int")
+    for least in (1, 2, 3, 4):
+        seen.clear()
+        seats = {}
+        for o, p, y in rows:
+            a, b = seats.setdefault(o, {}).get(p, (y, y))
+            seats[o][p] = (min(a, y), max(b, y))
+        want = {}
+        for a, b in itertools.combinations(range(40), 2):
+            both = [(max(seats[a][p][0], seats[b][p][0]), min(seats[a][p][1], seats[b][p][1])) for p in seats[a].keys() & seats[b].keys()]
+            if len(both) >= least:
+                want[a, b] = (len(both), min(x for x, _ in both), max(y for _, y in both))
+        got = {(x.org_a, x.org_b): (x.shared_people, x.overlap_first_year, x.overlap_last_year) for x in G.shared_people(df, least).collect()}
+        assert got == want
+        assert least == 1 or "n" in seen["met"].columns  # pairs come with the people through whom they met
