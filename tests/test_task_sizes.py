@@ -52,3 +52,13 @@ def test_shared_people_looks_nobody_up_again(spark, monkeypatch):
         got = {(x.org_a, x.org_b): (x.shared_people, x.overlap_first_year, x.overlap_last_year) for x in G.shared_people(df, least).collect()}
         assert got == want
         assert least == 1 or "n" in seen["met"].columns  # pairs come with the people through whom they met
+
+
+def test_pending_names_are_normalised_once(spark, monkeypatch):
+    seen, keep = {}, R.written
+    monkeypatch.setattr(R, "written", lambda df, label: seen.setdefault(label, keep(df, label)))
+    pending = spark.createDataFrame([(1, "Old trade name of Oak", None), (2, "x | Oak", None), (3, "The Elm", None)], "id long, name string, bn string")
+    entities = spark.createDataFrame([(7, "Oak", "OAK", None)], "id long, name string, norm string, bn string")
+    got = {r.id: (r.entity, r.method) for r in R.resolve_pending(pending, entities).collect()}
+    assert got == {1: ("7", "trade_name"), 2: ("7", "pipe_split"), 3: ("name:ELM", "new_name")}
+    assert {"norm", "bar", "trade"} <= set(seen["pending"].columns)
