@@ -3,11 +3,13 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import graph as G
 from ledgerlark.operators import resolution as R
 from ledgerlark.operators import scores as S
+from ledgerlark.operators import similarity as M
 from ledgerlark.operators import textindex as I
 from ledgerlark.plans.views import view
 from ledgerlark.sources import store
@@ -62,3 +64,21 @@ def test_pending_names_are_normalised_once(spark, monkeypatch):
     got = {r.id: (r.entity, r.method) for r in R.resolve_pending(pending, entities).collect()}
     assert got == {1: ("7", "trade_name"), 2: ("7", "pipe_split"), 3: ("name:ELM", "new_name")}
     assert {"norm", "bar", "trade"} <= set(seen["pending"].columns)
+
+
+@pytest.mark.parametrize("join", ["levenshtein_match", "trigram_join"])
+def test_pairs_of_copies_are_as_many_tasks_as_they_need(spark, monkeypatch, join):
+    monkeypatch.setattr(M, "PAIRS_A_TASK", 2000, raising=False)
+    monkeypatch.setattr(M, "LISTED", 20, raising=False)
+    sizes = {"oak trust of elms": 300, "oak trust of elm": 90, "oak trust off elms": 1, "quite another name": 31, "alone": 1}
+    names = [n for n, k in sizes.items() for _ in range(k)]
+    random.Random(3).shuffle(names)
+    rows = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    kind = {n: "other" if n[0] == "q" else "alone" if n[0] == "a" else "oak" for n in sizes}
+    found = M.levenshtein_match(rows, [], 2) if join == "levenshtein_match" else M.trigram_join(rows, 0.7)
+    got = found.withColumn("task", F.spark_partition_id()).collect()
+    want = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(names), 2) if kind[a] == kind[b]}
+    assert {(r.id_a, r.id_b) for r in got} == want and len(got) == len(want) == 391 * 390 // 2 + 31 * 30 // 2
+    assert all((names[r.id_a] == names[r.id_b]) == ((r.distance == 0) if "distance" in found.columns else (r.similarity == 1.0)) for r in got)
+    most = max(sum(1 for _ in g) for _, g in itertools.groupby(sorted(r.task for r in got)))
+    assert most < 3 * 2000  # by the four partitions of the session a task had 10,000 and more
