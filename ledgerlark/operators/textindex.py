@@ -10,14 +10,28 @@ from pyspark.sql import functions as F
 
 SHARDS = 64
 
+# Parameters: a task indexes about so many bytes of text, and fewer down to so many where cores would be idle.
+TASK_TEXT = 32_000_000
+LEAST_TEXT = 1_000_000
 
-def stem(word: Column) -> Column:
-    """English stem of a lower-case word: plural endings, then one of -ing, -ed, -ly, where enough of the word is left."""
+
+def _singular(word: Column) -> Column:
     n = F.length(word)
-    cut = lambda c, k: F.left(c, F.greatest(F.length(c) - k, F.lit(0)))
-    one = F.when(word.endswith("sses"), cut(word, 2)).when(word.endswith("ies") & (n > 4), F.concat(cut(word, 3), F.lit("y"))).when(word.endswith("s") & ~word.endswith("ss") & (n > 3), cut(word, 1)).otherwise(word)
+    return F.when(word.endswith("sses"), _cut(word, 2)).when(word.endswith("ies") & (n > 4), F.concat(_cut(word, 3), F.lit("y"))).when(word.endswith("s") & ~word.endswith("ss") & (n > 3), _cut(word, 1)).otherwise(word)
+
+
+def _base(one: Column) -> Column:
     m = F.length(one)
-    return F.when(one.endswith("ing") & (m >= 6), cut(one, 3)).when((one.endswith("ed") | one.endswith("ly")) & (m >= 5), cut(one, 2)).otherwise(one)
+    return F.when(one.endswith("ing") & (m >= 6), _cut(one, 3)).when((one.endswith("ed") | one.endswith("ly")) & (m >= 5), _cut(one, 2)).otherwise(one)
+
+
+def _cut(c: Column, k: int) -> Column:
+    return F.left(c, F.greatest(F.length(c) - k, F.lit(0)))
+
+
+def stem(word: Column) -> Column:
+    """English stem of a lower-case word: plural endings, then one of -ing, -ed, -ly, where enough of the word is left."""
+    return _base(_singular(word))
 
 
 def words(text: Column) -> Column:
@@ -25,24 +39,39 @@ def words(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, doc, positions, size): one row per stem and document; ``size`` is the document's words. Null texts have none, null ids are left out.
+    """(term, doc, positions, size): one row per stem and document; ``size`` is the document's words. Null texts have none, null ids are left out. Ids name documents.
 
-    A common term is as many rows as documents hold it, never one list.
+    A document's words are sorted inside its row, where equal stems then stand
+    together: no word is exchanged. A common term is as many rows as documents
+    hold it, never one list.
     """
     w = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("w"))
-    each = w.select("doc", F.size("w").alias("size"), F.posexplode("w").alias("at", "word"))
-    return each.groupBy(stem(F.col("word")).alias("term"), "doc").agg(F.array_sort(F.collect_list("at")).alias("positions"), F.first("size").alias("size"))
+    stemmed = F.transform(F.transform("w", _singular), lambda x, i: F.struct(_base(x).alias("term"), i.alias("at")))
+    s = w.select("doc", F.size("w").alias("size"), F.sort_array(stemmed).alias("s"))
+    first = lambda i: (i == 0) | (F.col("s")[i]["term"] != F.col("s")[F.greatest(i - 1, F.lit(0))]["term"])
+    s = s.select("*", F.filter(F.when(F.col("size") > 0, F.sequence(F.lit(0), F.col("size") - 1)), first).alias("begins"))
+    places = lambda i, k: F.transform(F.sequence(i, F.coalesce(F.get("begins", k + 1), F.col("size")) - 1), lambda j: F.col("s")[j]["at"])
+    terms = F.transform("begins", lambda i, k: F.struct(F.col("s")[i]["term"].alias("term"), places(i, k).alias("positions")))
+    return s.select("doc", "size", F.explode(terms).alias("x")).select("x.term", "doc", "x.positions", "size")
 
 
 def _shard(term: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
 
 
+def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Documents dealt by their bytes, so that one task's postings are sorted in memory: their texts are exchanged, a part of what their postings are."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    few = min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_TEXT))
+    return docs.repartition(max(1, few, -(-size // TASK_TEXT)), id_col)
+
+
 def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """Write the postings of ``docs``, sorted by term inside of ``shards`` folders, and read them again."""
-    rows = postings(docs, id_col, text_col).withColumn("shard", _shard(F.col("term"), shards))
-    # a shard with a common term is cut by document
-    rows.repartitionByRange("shard", "term", "doc").sortWithinPartitions("shard", "term", "doc").write.partitionBy("shard").parquet(path)
+    """Write the postings of ``docs`` in ``shards`` folders and read them again. A task writes its documents' part of each shard, sorted by term."""
+    # documents without an id would be one task
+    docs = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col)
+    rows = postings(_dealt(docs, id_col, text_col), id_col, text_col).withColumn("shard", _shard(F.col("term"), shards))
+    rows.sortWithinPartitions("shard", "term", "doc").write.partitionBy("shard").parquet(path)
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 

@@ -1,5 +1,6 @@
 """The inverted index against plain search, and what a search reads."""
 
+import itertools
 import random
 import re
 
@@ -59,3 +60,27 @@ def test_only_the_shards_of_the_asked_terms_are_read(index):
 
 def test_a_common_term_is_many_rows(index):
     assert index[1].where("term = 'the'").count() > 100 and index[1].agg(F.max(F.size("positions"))).first()[0] == 3000
+
+
+def test_words_are_not_exchanged(spark, tmp_path, monkeypatch, capsys):
+    r = random.Random(2)
+    docs = [(i, " ".join(r.choices(WORDS, k=r.randint(0, 60)))) for i in range(300)] + [(None, "kings"), (900, None), (901, "..."), (902, "Ring of rings, \u00e9RING")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {}
+    for doc, text in docs:
+        t = [plain_stem(w) for w in re.findall("[a-z0-9]+", (text or "").lower())]
+        for i, w in enumerate(t if doc is not None else []):
+            want.setdefault((w, doc), ([], len(t)))[0].append(i)
+    I.postings(table).explain()
+    assert "Exchange" not in capsys.readouterr().out
+    monkeypatch.setattr(I, "TASK_TEXT", sum(len((t or "").encode()) for _, t in docs) // 9, raising=False)
+    stored = I.write_index(table, str(tmp_path / "postings"), shards=8)
+    got = stored.withColumn("task", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).collect()
+    assert {(x.term, x.doc): (x.positions, x.size) for x in got} == want and len(got) == len(want)
+    tasks = {x.doc: set() for x in got}
+    for x in got:
+        tasks[x.doc].add(x.task)
+    assert all(len(t) == 1 for t in tasks.values()) and len(set().union(*tasks.values())) >= 9  # a document's postings are of the task that read it
+    for _, part in itertools.groupby(sorted(got, key=lambda x: (x.task, x.shard)), key=lambda x: (x.task, x.shard)):
+        terms = [x.term for x in part]
+        assert terms == sorted(terms)
