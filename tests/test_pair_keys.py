@@ -1,7 +1,10 @@
 """Keys of similarity joins: few, exact, and never broadcast."""
 
+import itertools
 import random
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import similarity as M
@@ -56,3 +59,34 @@ def test_blocked_similarity_with_copies_and_nulls(spark):
     pairs = [(a, b) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1]]
     want = {(a[0], b[0]): None if None in (a[2], b[2]) else float(M.jaro_winkler_values([a[2]], [b[2]])[0]) for a, b in pairs}
     assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def _dealt_rows(spark):
+    """Rows that all stages so far have written for others to read."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def _texts(n, seed):
+    rng = random.Random(seed)
+    word = lambda letters: "".join(rng.choices(letters, k=6))
+    texts = [f"{word('abeghiknrt')} {word('clomdpsuvy')} {rng.choice(['building', 'furniture'])}" for _ in range(n)]
+    return sorted({*texts, *(t[:i] + "w" + t[i + 1 :] for t, i in zip(texts[::3], itertools.cycle(range(12))))})
+
+
+@pytest.mark.parametrize("join", ["trigram_join", "levenshtein_match"])
+def test_keys_are_made_where_they_meet(spark, join):
+    texts = _texts(300, 5)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, name string")
+    before = _dealt_rows(spark)
+    found = (M.trigram_join(rows, 0.65) if join == "trigram_join" else M.levenshtein_match(rows, [], 3)).collect()
+    assert _dealt_rows(spark) - before < 100 * len(texts)  # with each key dealt there were some 300 a text
+    grams = [{f"  {w} "[i : i + 3] for w in t.split() for i in range(len(w) + 1)} for t in texts]
+    alike = lambda i, j: len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.65
+    near = lambda i, j: duckdb.execute("SELECT levenshtein(?, ?)", [texts[i], texts[j]]).fetchone()[0] <= 3
+    close = alike if join == "trigram_join" else near
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(grams[i] & grams[j]) > 8 and close(i, j)}
+    assert {(r.id_a, r.id_b) for r in found} == want and len(want) >= 90
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
