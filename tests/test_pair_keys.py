@@ -90,3 +90,21 @@ def test_keys_are_made_where_they_meet(spark, join):
     want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(grams[i] & grams[j]) > 8 and close(i, j)}
     assert {(r.id_a, r.id_b) for r in found} == want and len(want) >= 90
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_similar_texts_are_compared_where_they_meet(spark):
+    texts = sorted({t[:13] for t in _texts(400, 7)} | {f"{t[:6]} trade" for t in _texts(300, 8)})
+    ids = [*enumerate(texts), *((i + 10_000, t) for i, t in enumerate(texts[:40]))]
+    before = _dealt_rows(spark)
+    got = {(r.id_a, r.id_b): r.similarity for r in W.jaro_winkler_join(spark.createDataFrame(ids, "id long, name string"), 0.85).collect()}
+    dealt = _dealt_rows(spark) - before
+    pairs = list(itertools.combinations(ids, 2))
+    like = M.jaro_winkler_values([a[1] for a, _ in pairs], [b[1] for _, b in pairs])
+    want = {(a[0], b[0]): v for (a, b), v in zip(pairs, like) if v >= 0.85 - 1e-12}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    assert dealt < 100 * len(texts) + 5 * len(want)  # with each key and each pair that met dealt there were some 400 a text more
+
+
+def test_longer_prefixes_have_keys_only_where_fewer_characters_match():
+    assert [(k, until) for k, _, until in W._levels(13, (13, 13), 0.92)] == [(0, 3), (3, 0)]
+    assert len(W.keys_of("qwertyuiopasd", 0.92, {}, [(13, 13)])) < 60  # 110 with keys for each prefix
