@@ -108,3 +108,13 @@ def test_similar_texts_are_compared_where_they_meet(spark):
 def test_longer_prefixes_have_keys_only_where_fewer_characters_match():
     assert [(k, until) for k, _, until in W._levels(13, (13, 13), 0.92)] == [(0, 3), (3, 0)]
     assert len(W.keys_of("qwertyuiopasd", 0.92, {}, [(13, 13)])) < 60  # 110 with keys for each prefix
+
+
+def test_pairs_of_single_texts_are_not_dealt(spark):
+    rows = [(i, "x", f"supplier {i}") for i in range(300)] + [(1000 + i, "x", f"supplier {i % 3}") for i in range(9)]
+    before = _dealt_rows(spark)
+    got = {(r.id_a, r.id_b): r.similarity for r in M.jaro_winkler_blocked(spark.createDataFrame(rows, "id long, k string, name string"), ["k"]).collect()}
+    assert _dealt_rows(spark) - before < 15_000  # with each of the 44,850 pairs of different texts dealt several times there were over 100,000
+    pairs = list(itertools.combinations(rows, 2))
+    like = M.jaro_winkler_values([a[2] for a, _ in pairs], [b[2] for _, b in pairs])
+    assert got.keys() == {(a[0], b[0]) for a, b in pairs} and all(abs(got[a[0], b[0]] - v) < 1e-9 for (a, b), v in zip(pairs, like))
