@@ -114,3 +114,14 @@ def test_pending_names(spark, world):
 def test_nothing_to_resolve(spark, world):
     empty = world[0].limit(0)
     assert R.candidates(empty).count() == 0 and R.cannot_link_clusters(empty, world[1].limit(0)).count() == 0
+
+
+def test_profiles_seek_candidates_once(spark, monkeypatch):
+    from ledgerlark.operators import resolution
+    from ledgerlark.plans import QUERIES
+
+    calls = []
+    none = "id_a long, id_b long, method string, confidence double, status string"
+    monkeypatch.setattr(resolution, "candidates", lambda *a, **k: calls.append(1) or spark.createDataFrame([], none))
+    QUERIES["golden_profiles"].build(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
